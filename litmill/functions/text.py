@@ -26,12 +26,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def strip(c: Column, chars: str = BLANKS) -> Column:
-    return F.btrim(c, F.lit(chars))
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(BLANKS))
 
 
-def rstrip(c: Column, chars: str = BLANKS) -> Column:
-    return F.rtrim(c, F.lit(chars))
+def strip_chars(c: Column, chars: str) -> Column:
+    return F.btrim(c, F.lit(chars))
 
 
 def squeeze(c: Column) -> Column:

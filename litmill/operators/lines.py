@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill.functions import fixed_values as fv
-from litmill.functions.text import WORD, contains_any, let, lines, squeeze, strip, word_count
+from litmill.functions.text import WORD, contains_any, let, lines, squeeze, strip, strip_chars, word_count
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,15 +105,14 @@ def _all_numbers(c: Column, pattern: str) -> Column:
 
 def element_refs(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, element_type, number, n_refs): references to equations, tables and figures in a text."""
-    found = F.concat(
-        *[
-            F.transform(
-                _all_numbers(F.col(text), p),
-                lambda n, kind=kind: F.struct(F.lit(kind).alias("element_type"), n.cast("bigint").alias("number")),
-            )
-            for kind, p in fv.ELEMENT_REFERENCE.items()
-        ]
-    )
+
+    def refs_of(kind: str, pattern: str) -> Column:
+        return F.transform(
+            _all_numbers(F.col(text), pattern),
+            lambda n: F.struct(F.lit(kind).alias("element_type"), n.cast("bigint").alias("number")),
+        )
+
+    found = F.concat(*[refs_of(kind, p) for kind, p in fv.ELEMENT_REFERENCE.items()])
     refs = texts.select(key, F.explode(found).alias("r")).select(key, "r.element_type", "r.number")
     return refs.groupBy(key, "element_type", "number").agg(F.count("*").alias("n_refs"))
 
@@ -151,7 +150,7 @@ def markdown_tables(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         lambda l: F.when(F.ltrim(l).startswith("|"), F.concat(l, F.lit("\n"))).otherwise(F.lit("\u0001")),
     )
     runs = F.filter(F.split(F.array_join(parts, ""), "\u0001+"), lambda r: r != "")
-    df = docs.select(key, F.posexplode(F.transform(runs, lambda r: strip(r, "\n"))).alias("table_no", "markdown"))
+    df = docs.select(key, F.posexplode(F.transform(runs, lambda r: strip_chars(r, "\n"))).alias("table_no", "markdown"))
     all_lines = lines(F.col("markdown"))
     data = F.filter(all_lines, lambda l: ~l.rlike(_SEPARATOR))
     first = F.coalesce(F.get(data, F.lit(0)), F.lit(""))
@@ -292,7 +291,7 @@ def excerpt_of(text: Column, term: Column, window: int = 320) -> Column:
         end = F.least(n, at - 1 + F.length(term) + window // 2)
         hit = F.concat(
             F.when(start > 0, F.lit("... ")).otherwise(F.lit("")),
-            strip(clean.substr(start + 1, end - start), " ,.;"),
+            strip_chars(clean.substr(start + 1, end - start), " ,.;"),
             F.when(end < n, F.lit(" ...")).otherwise(F.lit("")),
         )
         head = F.concat(strip(clean.substr(1, window)), F.when(n > window, F.lit(" ...")).otherwise(F.lit("")))

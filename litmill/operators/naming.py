@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill.functions import fixed_values as fv
-from litmill.functions.text import WORD, contains_any, let, lines, nfkc, squeeze, strip
+from litmill.functions.text import WORD, contains_any, let, lines, nfkc, squeeze, strip, strip_chars
 
 
 def canonical_key_of(c: Column) -> Column:
@@ -61,7 +61,7 @@ def extract_metadata(docs: DataFrame, text: str = "text", filename: str = "filen
     return df.withColumns(
         {
             "arxiv_id": arxiv,
-            "title": squeeze(strip(title, " ,;-")),
+            "title": squeeze(strip_chars(title, " ,;-")),
             "authors": F.slice(names, 1, 12),
             "affiliations": F.slice(F.filter(first, lambda x: x.rlike(fv.AFFILIATION)), 1, 5),
             "year": F.when(year != "", year)
