@@ -232,13 +232,8 @@ def tidy_tables(tables: DataFrame, caption: str = "caption") -> DataFrame:
     header row is folded into the first, and rows that pack several values are unpacked.
     """
     keys = [c for c in tables.columns if c not in ("markdown", caption)]
-    cap = F.lower(
-        F.array_join(
-            F.slice(F.split(squeeze(F.regexp_replace(F.coalesce(F.col(caption), F.lit("")), r"(?i)^Table\s+\d+[:.\s]*", "")), " "), 1, 8),
-            " ",
-        )
-    )
-    df = tables.withColumn("_cap", cap)
+    phrase = squeeze(F.regexp_replace(F.coalesce(F.col(caption), F.lit("")), r"(?i)^Table\s+\d+[:.\s]*", ""))
+    df = tables.withColumn("_cap", F.lower(F.array_join(F.slice(F.split(phrase, " "), 1, 8), " ")))
     raw = F.filter(lines(F.col("markdown")), lambda l: F.ltrim(l).startswith("|"))
 
     def is_prose(line: Column) -> Column:
@@ -248,34 +243,34 @@ def tidy_tables(tables: DataFrame, caption: str = "caption") -> DataFrame:
             | ((F.length("_cap") > 10) & F.contains(F.lower(c), F.col("_cap"))),
         )
 
-    kept = let(
-        raw,
-        lambda r: let(
-            F.filter(r, lambda l: l.rlike(_SEPARATOR) | ~is_prose(l)),
-            lambda k: F.when(F.size(k) >= 2, k).otherwise(r),
-        ),
-    )
-    df = df.withColumn("_rows", F.transform(F.filter(kept, lambda l: ~l.rlike(_SEPARATOR)), _cells))
-    width = F.array_max(F.transform("_rows", F.size))
-    padded = let(
-        width,
-        lambda w: F.transform(
-            "_rows", lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(w - F.size(r), F.lit(0))))
-        ),
-    )
-    df = df.where(F.size("_rows") > 0).withColumn("_rows", padded)
-    second = F.get("_rows", F.lit(1))
-    filled = F.size(F.filter(second, lambda c: c != ""))
-    two_level = (
-        (F.size("_rows") > 1)
-        & (filled > 0)
-        & (filled < F.size(second))
-        & F.exists(second, lambda c: (c != "") & ~c.rlike(r"^[\d.\-+\s,%]*$"))
-    )
-    header = F.when(two_level, flat_headers(F.get("_rows", F.lit(0)), second)).otherwise(F.get("_rows", F.lit(0)))
-    body = F.when(two_level, F.slice("_rows", 3, F.size("_rows"))).otherwise(F.slice("_rows", 2, F.size("_rows")))
-    df = df.withColumn("header", header).withColumn("_body", F.flatten(F.transform(body, unpacked_rows)))
-    return df.select(*keys, "header", F.posexplode("_body").alias("row_no", "cells"))
+    def without_prose(r: Column) -> Column:
+        kept = F.filter(r, lambda l: l.rlike(_SEPARATOR) | ~is_prose(l))
+        return let(kept, lambda k: F.when(F.size(k) >= 2, k).otherwise(r))
+
+    def padded(rows: Column) -> Column:
+        width = F.array_max(F.transform(rows, F.size))
+        fill = lambda r, w: F.concat(r, F.array_repeat(F.lit(""), F.greatest(w - F.size(r), F.lit(0))))
+        return let(width, lambda w: F.transform(rows, lambda r: fill(r, w)))
+
+    def split_header(rows: Column) -> Column:
+        first, second = F.get(rows, F.lit(0)), F.get(rows, F.lit(1))
+        filled = F.size(F.filter(second, lambda c: c != ""))
+        labels = F.exists(second, lambda c: (c != "") & ~c.rlike(r"^[\d.\-+\s,%]*$"))
+        two_level = (F.size(rows) > 1) & (filled > 0) & (filled < F.size(second)) & labels
+        return let(
+            two_level,
+            lambda two: F.struct(
+                F.when(two, flat_headers(first, second)).otherwise(first).alias("header"),
+                F.flatten(
+                    F.transform(F.slice(rows, F.when(two, 3).otherwise(2), F.size(rows)), unpacked_rows)
+                ).alias("body"),
+            ),
+        )
+
+    cells = let(raw, without_prose)
+    cells = F.transform(F.filter(cells, lambda l: ~l.rlike(_SEPARATOR)), _cells)
+    df = df.withColumn("_t", let(let(cells, padded), split_header))
+    return df.select(*keys, F.col("_t.header").alias("header"), F.posexplode("_t.body").alias("row_no", "cells"))
 
 
 # ---- excerpts and pages ---------------------------------------------------------------------
