@@ -146,3 +146,52 @@ SQL_PAPERS = """papers as (
          case o_orderstatus when 'F' then 'arxiv' when 'O' then 'openalex' else 'arxiv, openalex' end as source,
          [o_orderpriority, c_mktsegment] as topic_tags
   from orders join customer on o_custkey = c_custkey)"""
+
+
+TEMPLATES = [
+    ("What is ", "?"), ("Show table # about ", ""), ("Explain equation #: ", ""), ("List all figures for ", ""),
+    ("Summarize the main findings of ", ""), ("", " limitations and future work"), ("Compare table 1 and 2 of ", ""), ("", ""),
+]
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """One question per document: words of a benchmark text in one of eight forms."""
+    docs = table(spark, d, "documents").select("doc_id")
+    b = table(spark, d, "benchmark")
+    n = b.agg(F.count("*").alias("n")).select("n").scalar()
+    few = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    rows = docs.withColumn("item_id", F.col("doc_id") % n).join(b.select("item_id", few.alias("w")), "item_id")
+    number = (F.col("doc_id") % 7 + 1).cast("string")
+    form = F.element_at(
+        F.array(*[F.concat(F.replace(F.lit(a), F.lit("#"), number), F.col("w"), F.lit(z)) for a, z in TEMPLATES]),
+        (F.col("doc_id") % len(TEMPLATES) + 1).cast("int"),
+    )
+    return rows.select(F.col("doc_id").alias("query_id"), "doc_id", form.alias("query"))
+
+
+_FORMS = ", ".join(f"replace('{a}', '#', (doc_id % 7 + 1)::varchar) || w || '{z}'" for a, z in TEMPLATES)
+SQL_QUESTIONS = f"""questions as (
+  select doc_id as query_id, doc_id, [{_FORMS}][doc_id % {len(TEMPLATES)} + 1] as query
+  from (select doc_id, array_to_string(string_split(b.text, ' ')[1:6], ' ') as w
+        from documents join benchmark b on b.item_id = doc_id % (select count(*) from benchmark)))"""
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Document lines as typed chunks: every fourth line is text, the others are elements."""
+    e = elements(spark, d)
+    kind = F.when(F.col("line_no") % 4 == 3, "text").otherwise(F.col("element_type"))
+    return e.select(
+        "chunk_id", "doc_id", "page_num", kind.alias("chunk_type"), "number", "text", "caption", "section",
+        F.when(kind == "equation", 1.5).when(kind == "table", 1.3).when(kind == "figure", 1.2).otherwise(1.0).alias("content_priority"),
+    )
+
+
+SQL_CHUNKS = SQL_ELEMENTS + """,
+chunks as (
+  select chunk_id, doc_id, page_num, case when line_no % 4 = 3 then 'text' else element_type end as chunk_type, number, text, caption, section,
+         case when line_no % 4 = 3 then 1.0 when element_type = 'equation' then 1.5 when element_type = 'table' then 1.3 else 1.2 end::double as content_priority
+  from elements)"""
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
