@@ -15,6 +15,7 @@ from litmill.functions.text import bigrams, count_contained, jaccard, squeeze, w
 from litmill.operators import lexical
 from litmill.operators.lexical import TermIndex, bm25, ranked, tokens_of
 from litmill.operators.vectors import knn
+from litmill.session import cut_lineage
 
 
 def rrf(results: list[DataFrame], k: int = 10, rrf_k: int = fv.RRF_K, key: str = "query_id") -> DataFrame:
@@ -30,27 +31,46 @@ def best_rows(results: list[DataFrame], key: str = "query_id") -> DataFrame:
     return both.groupBy(key, "chunk_id").agg(F.max("score").alias("best_score"))
 
 
-def hybrid(queries: DataFrame, vectors: DataFrame, index: TermIndex, k: int = 5, chunk_type: str | None = None, chunks: DataFrame | None = None) -> DataFrame:
-    """Dense and lexical top 3k, fused. queries: query_id, query, embedding."""
-    where = None
-    if chunk_type is not None:
-        vectors = vectors.join(chunks.where(F.col("chunk_type") == chunk_type).select("chunk_id"), "chunk_id", "left_semi")
-    dense = knn(queries, vectors, 3 * k, where)
-    return rrf([dense, bm25(queries, index, 3 * k, chunk_type, chunks)], k)
+def search_lists(rows: DataFrame, vectors: DataFrame, index: TermIndex, depth: int, chunks: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, rank, list): dense and lexical rankings of every question row, ``depth`` long.
 
+    rows: query_id, query, embedding, optionally want. One pass over the vectors and one join with the
+    postings serve all rows.
+    """
+    dense = knn(rows, vectors, depth).select("query_id", "chunk_id", "rank", F.lit("dense").alias("list"))
+    lexical_ = bm25(rows, index, depth, chunks).select("query_id", "chunk_id", "rank", F.lit("lexical").alias("list"))
+    return dense.unionByName(lexical_)
 
-def multi_query_hybrid(variants: DataFrame, vectors: DataFrame, index: TermIndex, k: int = 5) -> DataFrame:
-    """variants: query_id, variant_no, query, embedding. Each distinct variant brings its best 2k, fused per question."""
+
+def fused(lists: DataFrame, k: int) -> DataFrame:
+    """Both rankings cut at 3k and fused to the best k."""
+    return rrf([lists.where(F.col("rank") <= 3 * k)], k)
+
+
+def hybrid(queries: DataFrame, vectors: DataFrame, index: TermIndex, k: int = 5, chunks: DataFrame | None = None) -> DataFrame:
+    """Dense and lexical top 3k, fused. queries: query_id, query, embedding, optionally want (a chunk type)."""
+    return fused(search_lists(queries, vectors, index, 3 * k, chunks), k)
+
+
+def _variant_rows(variants: DataFrame) -> DataFrame:
+    """Distinct variants of a question, each with a row id of its own: question, query_id, query, embedding."""
     distinct = variants.where(F.trim("query") != "").groupBy("query_id", "query").agg(
         F.min("variant_no").alias("variant_no"), F.first("embedding").alias("embedding")
     )
-    each = distinct.withColumn("question", F.col("query_id")).withColumn(
-        "query_id", F.concat_ws("\u0001", F.col("question").cast("string"), F.col("variant_no").cast("string"))
-    )
-    found = hybrid(each, vectors, index, 2 * k)
-    back = each.select("query_id", "question")
-    per_question = found.join(back, "query_id").select(F.col("question").alias("query_id"), "chunk_id", "rank")
-    return rrf([per_question], k)
+    row = F.concat_ws("\u0001", F.col("query_id").cast("string"), F.col("variant_no").cast("string"))
+    return distinct.select(F.col("query_id").alias("question"), row.alias("query_id"), "variant_no", "query", "embedding")
+
+
+def _per_question(found: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    back = rows.select("query_id", "question")
+    placed = found.join(back, "query_id").select(F.col("question").alias("query_id"), "chunk_id", "rank")
+    return rrf([placed], k)
+
+
+def multi_query_hybrid(variants: DataFrame, vectors: DataFrame, index: TermIndex, k: int = 5) -> DataFrame:
+    """variants: query_id, variant_no, query, embedding. Each distinct variant brings its best 2k, fused per question."""
+    rows = _variant_rows(variants)
+    return _per_question(hybrid(rows, vectors, index, 2 * k), rows, k)
 
 
 def parent_child(results: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
@@ -177,37 +197,36 @@ def rank_chunks(chunks: DataFrame, k: int = 28) -> DataFrame:
 # ---- the whole retrieval -----------------------------------------------------------------------------
 
 
+def _direct_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Named elements by number and whole lists of a type, from the document of the question."""
+    c = chunks.select("chunk_id", F.col("doc_id").alias("c_doc"), "chunk_type", "number")
+    same = (F.col("doc_id") == F.col("c_doc")) & (F.col("target_type") == F.col("chunk_type"))
+    named = queries.where("query_type = 'specific_element' and target_number is not null")
+    looked_up = named.join(c, same & (F.col("target_number") == F.col("number"))).groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
+    looked_up = looked_up.select("query_id", "chunk_id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"), F.lit("registry_lookup").alias("strategy"))
+    lists = queries.where("query_type = 'list_all' and target_type is not null").join(c, same).select("query_id", "chunk_id")
+    w = Window.partitionBy("query_id").orderBy("chunk_id")
+    listed = lists.select("query_id", "chunk_id", F.lit(1.0).alias("score"), F.row_number().over(w).alias("rank"), F.lit("list_all").alias("strategy"))
+    return looked_up.unionByName(listed)
+
+
+def _wanted_type() -> Column:
+    return F.when(F.col("query_type") != "general", F.col("target_type")).alias("want")
+
+
 def route_retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: TermIndex, k: int = 5) -> DataFrame:
     """(query_id, chunk_id, score, rank, strategy): retrieval by intent.
 
     queries: query_id, doc_id, query, embedding and the intent columns query_type, target_type, target_number.
     A named element is looked up by number; "list all" returns every chunk of a type of its document;
-    everything else, and what the lookups do not find, is a hybrid search, within the type asked for.
+    everything else, and what the lookups do not find, is a hybrid search within the type asked for.
+    vectors: chunk_id, embedding, chunk_type. The classified questions are checkpointed: every branch reads them.
     """
-    q = queries
-    c = chunks.select("chunk_id", "doc_id", "chunk_type", "number")
-    named = q.where("query_type = 'specific_element' and target_number is not null")
-    looked_up = (
-        named.join(c, (named["doc_id"] == c["doc_id"]) & (named["target_type"] == c["chunk_type"]) & (named["target_number"] == c["number"]))
-        .groupBy("query_id")
-        .agg(F.min(c["chunk_id"]).alias("chunk_id"))
-        .select("query_id", "chunk_id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"), F.lit("registry_lookup").alias("strategy"))
-    )
-    lists = q.where("query_type = 'list_all' and target_type is not null")
-    w = Window.partitionBy("query_id").orderBy("chunk_id")
-    listed = (
-        lists.join(c, (lists["doc_id"] == c["doc_id"]) & (lists["target_type"] == c["chunk_type"]))
-        .select("query_id", c["chunk_id"])
-        .select("query_id", "chunk_id", F.lit(1.0).alias("score"), F.row_number().over(w).alias("rank"), F.lit("list_all").alias("strategy"))
-    )
-    direct = looked_up.unionByName(listed)
-    rest = q.join(direct.select("query_id").distinct(), "query_id", "left_anti")
-    found = []
-    typed = F.when(F.col("query_type") != "general", F.col("target_type"))
-    for kind in (None, *fv.ELEMENT_TYPES):
-        part = rest.where(typed.isNull() if kind is None else typed == kind)
-        found.append(hybrid(part, vectors, index, k, kind, chunks))
-    searched = reduce(DataFrame.unionByName, found).withColumn("strategy", F.lit("hybrid_rrf"))
+    queries = cut_lineage(queries)
+    direct = _direct_hits(queries, chunks)
+    rest = queries.join(direct.select("query_id").distinct(), "query_id", "left_anti")
+    rows = rest.select("query_id", "query", "embedding", _wanted_type())
+    searched = hybrid(rows, vectors, index, k, chunks).withColumn("strategy", F.lit("hybrid_rrf"))
     return direct.unionByName(searched)
 
 
@@ -215,25 +234,51 @@ def retrieve(queries: DataFrame, variants: DataFrame, chunks: DataFrame, vectors
     """(query_id, chunk_id, score, rank): the whole cascade for a batch of questions.
 
     Stages: all variants hybrid, best pages, intent route, and keywords for questions that found nothing.
-    A chunk keeps the score of its first stage; then everything is reranked by tokens.
+    A chunk keeps the score of its first stage (routed chunks and keyword hits count 0.5); then everything
+    is reranked by tokens. All stages share one search, kept by a reliable checkpoint.
     """
     fetch = max(3 * k, 18)
-    wide = multi_query_hybrid(variants, vectors, index, fetch)
-    pages = parent_child(hybrid(queries, vectors, index, fetch), chunks, k)
-    routed = route_retrieve(queries, chunks, vectors, index, fetch)
-    stages = [wide, pages, routed]
+    rows = cut_lineage(_variant_rows(variants))
+    intents = cut_lineage(queries.drop("embedding"))
+    direct = _direct_hits(intents, chunks)
+    left = intents.join(direct.select("query_id").distinct(), "query_id", "left_anti")
+    typed = (
+        rows.join(left.select(F.col("query_id").alias("question"), _wanted_type()).where("want is not null"), "question")
+        .withColumn("query_id", F.concat("query_id", F.lit("\u0001typed")))
+    )
+    every = rows.withColumn("want", F.lit(None).cast("string")).unionByName(typed)
+    lists = cut_lineage(search_lists(every, vectors, index, 6 * fetch, chunks))
+
+    def lists_of(part: DataFrame) -> DataFrame:
+        return lists.join(part.select("query_id"), "query_id", "left_semi")
+
+    wide = _per_question(fused(lists_of(rows), 2 * fetch), rows, fetch)
+    first = rows.where("variant_no = 0")
+    base = fused(lists_of(first), fetch).join(first.select("query_id", "question"), "query_id")
+    base = base.select(F.col("question").alias("query_id"), "chunk_id", "score", "rank")
+    pages = parent_child(base, chunks, k)
+    routed = direct.select("query_id", "chunk_id", "rank").unionByName(
+        _per_question(fused(lists_of(typed), 2 * fetch), typed, fetch).select("query_id", "chunk_id", "rank")
+    ).withColumn("score", F.lit(0.5))
     staged = reduce(
         DataFrame.unionByName,
-        [s.select("query_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"), F.lit(i).alias("stage")) for i, s in enumerate(stages)],
+        [s.select("query_id", "chunk_id", "score", "rank", F.lit(i).alias("stage")) for i, s in enumerate([wide, pages, routed])],
     )
-    firsts = staged.groupBy("query_id", "chunk_id").agg(
-        F.min_by(F.struct("score", "stage", "rank"), F.struct("stage", "rank")).alias("s")
-    ).select("query_id", "chunk_id", "s.*")
-    kept = top_k(firsts, ["query_id"], [F.col("stage"), F.col("rank"), F.col("chunk_id")], fetch, "pos")
-    empty_handed = queries.join(kept.select("query_id").distinct(), "query_id", "left_anti")
+    firsts = staged.groupBy("query_id", "chunk_id").agg(F.min_by(F.struct("score", "stage", "rank"), F.struct("stage", "rank")).alias("s"))
+    placed = top_k(firsts.select("query_id", "chunk_id", "s.*"), ["query_id", "stage"], [F.col("rank"), F.col("chunk_id")], fetch, "pos")
+    kept = placed.join(_stage_room(placed, fetch), "query_id").where(F.col("pos") <= F.element_at("room", F.col("stage") + 1))
+    empty_handed = intents.join(kept.select("query_id").distinct(), "query_id", "left_anti")
     fallback = lexical.keyword_search(empty_handed, chunks, k).select("query_id", "chunk_id", F.lit(0.5).alias("score"))
-    candidates = kept.select("query_id", "chunk_id", "score").unionByName(fallback)
-    return rerank(queries, candidates, chunks, k)
+    return rerank(intents, kept.select("query_id", "chunk_id", "score").unionByName(fallback), chunks, k)
+
+
+def _stage_room(placed: DataFrame, fetch: int) -> DataFrame:
+    """How many chunks each stage may add: what is left of ``fetch``, at least one."""
+    n = [F.count_if(F.col("stage") == i).cast("int") for i in range(2)]
+    counts = placed.groupBy("query_id").agg(n[0].alias("n0"), n[1].alias("n1"))
+    second = F.greatest(fetch - F.col("n0"), F.lit(1))
+    third = F.greatest(fetch - F.col("n0") - F.least(F.col("n1"), second), F.lit(1))
+    return counts.select("query_id", F.array(F.lit(fetch), second, third).alias("room"))
 
 
 def extractive_answers(queries: DataFrame, pages: DataFrame, results: DataFrame, chunks: DataFrame, selected: DataFrame, abstracts: DataFrame) -> DataFrame:

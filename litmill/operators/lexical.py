@@ -105,11 +105,14 @@ def ranked(scores: DataFrame, k: int, key: str = "query_id", chunk: str = "chunk
     return top_k(scores, [key], [F.round("score", 9).desc(), F.col(chunk)], k)
 
 
-def bm25(queries: DataFrame, index: TermIndex, k: int = 5, chunk_type: str | None = None, chunks: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank). A type filter restricts the chunks, not the statistics."""
+def bm25(queries: DataFrame, index: TermIndex, k: int = 5, chunks: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank). Where questions ``want`` a chunk type, the type restricts the
+    chunks (chunk_id, chunk_type), not the statistics."""
     scores = bm25_scores(queries, index)
-    if chunk_type is not None:
-        scores = scores.join(chunks.where(F.col("chunk_type") == chunk_type).select("chunk_id"), "chunk_id", "left_semi")
+    if "want" in queries.columns:
+        kinds = chunks.select("chunk_id", "chunk_type")
+        scores = scores.join(queries.select("query_id", "want"), "query_id").join(kinds, "chunk_id")
+        scores = scores.where("want is null or want = chunk_type").select("query_id", "chunk_id", "score")
     return ranked(scores, k)
 
 
@@ -162,17 +165,17 @@ def bm25_boosted(
     be among the best k of any question.
     """
     lead = queries.select("query_id", F.explode(F.slice(tokens_of(F.col("query")), 1, 8)).alias("needle")).distinct()
+    allowed = chunks if chunk_type is None else chunks.where(F.col("chunk_type") == chunk_type)
+    postings = index.postings.select("term", "chunk_id").join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     inside = containing_terms(lead.select(F.col("needle").alias("term")).distinct(), index.terms.select("term"))
     substring_hits = (
         lead.join(inside, "needle")
         .select("query_id", "term")
         .distinct()
-        .join(index.postings.select("term", "chunk_id"), "term")
-        .select("query_id", "chunk_id")
-        .distinct()
-        .withColumn("part", F.lit(fv.BOOST_SUBSTRING))
+        .join(postings, "term")
+        .groupBy("query_id", "chunk_id")
+        .agg(F.lit(fv.BOOST_SUBSTRING).alias("part"))
     )
-    allowed = chunks if chunk_type is None else chunks.where(F.col("chunk_type") == chunk_type)
     runs = F.array_distinct(F.regexp_extract_all("query", F.lit(r"(\d+)"), F.lit(1)))
     digits = queries.select("query_id", F.explode(runs).alias("run"))
     digits = digits.select("query_id", F.explode(_digit_parts(F.col("run"))).alias("digits")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from litmill.functions import fixed_values as fv
 from litmill.functions.skew import top_k
-from litmill.functions.text import WORD, contains_any, count_contained, first_per_key, squeeze, strip, words
+from litmill.functions.text import WORD, contains_any, count_contained, first_per_key, let, squeeze, strip, words
 from litmill.operators.lexical import focus_term_of, is_definition, is_explanation, is_limitations, is_summary
 
 
@@ -28,33 +28,35 @@ def _strings() -> Column:
 def classify_queries(queries: DataFrame, text: str = "query") -> DataFrame:
     """Adds query_type, target_type, target_number, target_numbers and confidence; rules in order, then keyword votes."""
     q = F.lower(strip(F.coalesce(F.col(text), F.lit(""))))
-    number = lambda s: F.when(s != "", s.cast("bigint"))
-    none = F.lit(None)
-
-    def intent(kind: str, confidence: float, target=None, one=None, many=None) -> Column:
+    # (kind, confidence, fixed type, pattern) in order; groups of the pattern give type and numbers.
+    rules = [("cross_reference", 0.9, None, p) for p in fv.CROSS_REFERENCE_PATTERNS]
+    rules += [("comparison", 0.95, None, p) for p in fv.COMPARISON_PATTERNS]
+    rules += [("list_all", 1.0, None, p) for p in fv.LIST_ALL_PATTERNS]
+    rules += [("specific_element", 1.0, kind, p) for kind, ps in fv.SPECIFIC_PATTERNS.items() for p in ps]
+    first = F.coalesce(*[F.when(q.rlike(r[3]), F.lit(i)) for i, r in enumerate(rules)], F.lit(-1))
+    votes = {kind: count_contained(q, ws) for kind, ws in fv.TYPE_KEYWORDS.items()}
+    most = F.greatest(*votes.values())
+    voted = F.coalesce(*[F.when((most > 0) & (v == most), F.lit(kind)) for kind, v in votes.items()])
+
+    def pick(rule: Column, group: int, kinds: tuple[str, ...]) -> Column:
+        """A group of the pattern that matched, for rules of some kinds."""
+        found = [F.when(rule == i, F.regexp_extract(q, r[3], group)) for i, r in enumerate(rules) if r[0] in kinds]
+        return F.coalesce(*found)
+
+    def fields(rule: Column) -> Column:
+        at = lambda xs: F.get(F.array(*[F.lit(x).cast("string") for x in xs]), rule)
+        by_rule = F.get(F.array(*[F.lit(r[1]) for r in rules]), rule)
+        by_vote = F.when(q == "", 0.5).when(most == 0, 0.7).otherwise(0.8)
+        numbers = F.array(pick(rule, 2, ("comparison",)).cast("bigint"), pick(rule, 3, ("comparison",)).cast("bigint"))
         return F.struct(
-            F.lit(kind).alias("query_type"),
-            (none if target is None else target).cast("string").alias("target_type"),
-            (none if one is None else one).cast("bigint").alias("target_number"),
-            (none if many is None else many).cast("array<bigint>").alias("target_numbers"),
-            F.lit(confidence).alias("confidence"),
+            F.when(rule >= 0, at([r[0] for r in rules])).otherwise(F.coalesce(voted, F.lit("general"))).alias("query_type"),
+            F.when(rule >= 0, F.coalesce(at([r[2] for r in rules]), pick(rule, 1, ("comparison", "list_all")))).otherwise(voted).alias("target_type"),
+            pick(rule, 1, ("specific_element",)).cast("bigint").alias("target_number"),
+            F.when(numbers[0].isNotNull(), numbers).alias("target_numbers"),
+            F.when(rule >= 0, by_rule).otherwise(by_vote).alias("confidence"),
         )
 
-    out = F.when(q == "", intent("general", 0.5)).when(_any_match(q, fv.CROSS_REFERENCE_PATTERNS), intent("cross_reference", 0.9))
-    for p in fv.COMPARISON_PATTERNS:
-        part = lambda g, p=p: F.regexp_extract(q, p, g)
-        out = out.when(q.rlike(p), intent("comparison", 0.95, part(1), many=F.array(number(part(2)), number(part(3)))))
-    for p in fv.LIST_ALL_PATTERNS:
-        out = out.when(q.rlike(p), intent("list_all", 1.0, F.regexp_extract(q, p, 1)))
-    for kind, patterns in fv.SPECIFIC_PATTERNS.items():
-        for p in patterns:
-            out = out.when(q.rlike(p), intent("specific_element", 1.0, F.lit(kind), number(F.regexp_extract(q, p, 1))))
-    votes = {kind: count_contained(q, ws) for kind, ws in fv.TYPE_KEYWORDS.items()}
-    most = F.greatest(*votes.values())
-    out = out.when(most == 0, intent("general", 0.7))
-    for kind, v in votes.items():
-        out = out.when(v == most, intent(kind, 0.8, F.lit(kind)))
-    return queries.withColumn("_i", out).select(*queries.columns, "_i.*")
+    return queries.withColumn("_i", let(first, fields)).select(*queries.columns, "_i.*")
 
 
 def query_flags(queries: DataFrame, text: str = "query") -> DataFrame:

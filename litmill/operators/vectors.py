@@ -68,14 +68,20 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return pool[order]
 
 
-def _block_top(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
-    scores = np.round(q @ v.T, 9)
-    picks = [_best(row, ids, k) for row in scores]
+def _block_top(q: pd.DataFrame, v: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best vectors of a block for every question of a block."""
+    ids = v["chunk_id"].to_numpy()
+    scores = np.round(_matrix(q["embedding"]) @ _matrix(v["embedding"]).T, 9)
+    kinds = v["kind"].to_numpy()
+    picks = []
+    for row, want in zip(scores, q["want"]):
+        allowed = np.arange(len(ids)) if want is None else np.flatnonzero(kinds == want)
+        picks.append(allowed[_best(row[allowed], ids[allowed], k)])
     return pd.DataFrame(
         {
-            "query_id": np.repeat(qids, [len(p) for p in picks]),
-            "chunk_id": np.concatenate([ids[p] for p in picks]) if picks else ids[:0],
-            "score": np.concatenate([scores[i][p] for i, p in enumerate(picks)]) if picks else np.zeros(0),
+            "query_id": np.repeat(q["query_id"].to_numpy(), [len(p) for p in picks]),
+            "chunk_id": np.concatenate([ids[p] for p in picks]),
+            "score": np.concatenate([scores[i][p] for i, p in enumerate(picks)]),
         }
     )
 
@@ -94,7 +100,8 @@ def knn(
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact top k by dot product for every question.
 
-    queries: query_id, embedding; vectors: chunk_id, embedding. A filter runs before any scoring.
+    queries: query_id, embedding, optionally want (a chunk type or null); vectors: chunk_id, embedding,
+    chunk_type where questions want one. Filters and types apply before any ranking.
     Up to ``shipped`` questions (checked) go to every task, which multiplies them with its batches of
     vectors and keeps k per question: the vectors are not shuffled. With more questions both sides
     are cut into groups by hashed id, so a task holds one block of each, whatever the sizes.
@@ -102,21 +109,22 @@ def knn(
     """
     if where is not None:
         vectors = vectors.where(where)
-    q = queries.select("query_id", "embedding")
-    v = vectors.select("chunk_id", "embedding")
+    text = "string"
+    want = F.col("want").cast(text) if "want" in queries.columns else F.lit(None).cast(text)
+    kind = F.col("chunk_type").cast(text) if "want" in queries.columns else F.lit(None).cast(text)
+    q = queries.select("query_id", "embedding", want.alias("want"))
+    v = vectors.select("chunk_id", "embedding", kind.alias("kind"))
     qt, vt = q.schema["query_id"].dataType.simpleString(), v.schema["chunk_id"].dataType.simpleString()
     schema = f"query_id {qt}, chunk_id {vt}, score double"
     if at_most(q, shipped):
         held = q.toPandas()
-        if held.empty:
-            return top_k(q.sparkSession.createDataFrame([], schema), ["query_id"], [F.col("score")], k)
-        block = q.sparkSession.sparkContext.broadcast((held["query_id"].to_numpy(), _matrix(held["embedding"])))
+        block = q.sparkSession.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qids, m = block.value
+            asked = block.value
             for pdf in batches:
-                if len(pdf):
-                    yield _block_top(qids, m, pdf["chunk_id"].to_numpy(), _matrix(pdf["embedding"]), k)
+                if len(pdf) and len(asked):
+                    yield _block_top(asked, pdf, k)
 
         partial = v.mapInPandas(run, schema)
     else:
@@ -130,7 +138,7 @@ def knn(
         def block_pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
                 return pd.DataFrame({"query_id": a["query_id"][:0], "chunk_id": b["chunk_id"][:0], "score": []})
-            return _block_top(a["query_id"].to_numpy(), _matrix(a["embedding"]), b["chunk_id"].to_numpy(), _matrix(b["embedding"]), k)
+            return _block_top(a, b, k)
 
         partial = left.groupBy("qg", "vg").cogroup(right.groupBy("qg", "vg")).applyInPandas(block_pair, schema)
     return top_k(partial, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)

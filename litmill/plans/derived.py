@@ -176,6 +176,22 @@ SQL_QUESTIONS = f"""questions as (
         from documents join benchmark b on b.item_id = doc_id % (select count(*) from benchmark)))"""
 
 
+def benchmark_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark text as a question, in one of eight forms, about the document of the same number."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("w"))
+    number = (F.col("doc_id") % 7 + 1).cast("string")
+    form = F.element_at(
+        F.array(*[F.concat(F.replace(F.lit(a), F.lit("#"), number), F.col("w"), F.lit(z)) for a, z in TEMPLATES]),
+        (F.col("doc_id") % len(TEMPLATES) + 1).cast("int"),
+    )
+    return q.select(F.col("doc_id").alias("query_id"), "doc_id", form.alias("query"))
+
+
+SQL_BENCHMARK_QUESTIONS = f"""bquestions as (
+  select doc_id as query_id, doc_id, [{_FORMS}][doc_id % {len(TEMPLATES)} + 1] as query
+  from (select item_id as doc_id, array_to_string(string_split(text, ' ')[1:6], ' ') as w from benchmark))"""
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Document lines as typed chunks: every fourth line is text, the others are elements."""
     e = elements(spark, d)

@@ -75,7 +75,7 @@ def bm25(spark, d):
 
 def bm25_boosted(spark, d):
     c = dv.chunks(spark, d)
-    found = lexical.bm25_boosted(dv.questions(spark, d), c, lexical.lexical_index(c), 5, "table")
+    found = lexical.bm25_boosted(dv.benchmark_questions(spark, d), c, lexical.lexical_index(c), 5, "table")
     return _out(found, "query_id", "chunk_id")
 
 
@@ -148,7 +148,7 @@ def hybrid(spark, d):
 
 def multi_query_hybrid(spark, d):
     c = dv.chunks(spark, d)
-    v = queries.query_variants(dv.questions(spark, d))
+    v = queries.query_variants(dv.benchmark_questions(spark, d))
     return _out(fusion.multi_query_hybrid(_embedded(v), _embedded(c, "text"), lexical.lexical_index(c), 5), "query_id", "chunk_id")
 
 
@@ -206,18 +206,18 @@ def rank_chunks(spark, d):
 
 
 def _routed(spark, d):
-    return _embedded(queries.classify_queries(dv.questions(spark, d)))
+    return _embedded(queries.classify_queries(dv.benchmark_questions(spark, d)))
 
 
 def route_retrieve(spark, d):
     c = dv.chunks(spark, d)
-    return _out(fusion.route_retrieve(_routed(spark, d), c, _embedded(c, "text").select("chunk_id", "embedding"), lexical.lexical_index(c), 5), "query_id", "chunk_id", "strategy")
+    return _out(fusion.route_retrieve(_routed(spark, d), c, _embedded(c, "text").select("chunk_id", "embedding", "chunk_type"), lexical.lexical_index(c), 5), "query_id", "chunk_id", "strategy")
 
 
 def retrieve(spark, d):
     c = dv.chunks(spark, d)
-    v = _embedded(queries.query_variants(dv.questions(spark, d)))
-    return _out(fusion.retrieve(_routed(spark, d), v, c, _embedded(c, "text").select("chunk_id", "embedding"), lexical.lexical_index(c), 5), "query_id", "chunk_id")
+    v = _embedded(queries.query_variants(dv.benchmark_questions(spark, d)))
+    return _out(fusion.retrieve(_routed(spark, d), v, c, _embedded(c, "text").select("chunk_id", "embedding", "chunk_type"), lexical.lexical_index(c), 5), "query_id", "chunk_id")
 
 
 def extractive_answers(spark, d):
@@ -434,9 +434,9 @@ ORACLES = {
       b as (select query_id, source_type, rank, row_number() over (partition by query_id, source_type order by rank) as n,
         case when source_type = 'Vector Chunk' then rtrim(substring(text, 1, 300), {dv.WS}) || case when length(text) > 300 then '…' else '' end else text end as t from r),
       l as (select query_id, source_type, string_agg('**[' || case when source_type = 'Vector Chunk' then 'V' else 'G' end || n || ']** ' || t, chr(10) || chr(10) order by n) as body from b group by all),
-      v as (select query_id, '### 📄 Vector Evidence (semantic passages)' || chr(10) || chr(10) || body as x from l where source_type = 'Vector Chunk'),
-      g as (select query_id, chr(10) || '### 🔗 Knowledge-Graph Facts (structured triplets)' || chr(10) || chr(10) || body as x from l where source_type <> 'Vector Chunk')
-      select query_id, {dv.sql_strip("concat_ws(chr(10) || chr(10), v.x, g.x)")} as context from (select distinct query_id from r) left join v using (query_id) left join g using (query_id)""",
+      vx as (select query_id, '### 📄 Vector Evidence (semantic passages)' || chr(10) || chr(10) || body as x from l where source_type = 'Vector Chunk'),
+      gx as (select query_id, chr(10) || '### 🔗 Knowledge-Graph Facts (structured triplets)' || chr(10) || chr(10) || body as x from l where source_type <> 'Vector Chunk')
+      select query_id, {dv.sql_strip("concat_ws(chr(10) || chr(10), vx.x, gx.x)")} as context from (select distinct query_id from r) left join vx using (query_id) left join gx using (query_id)""",
     "fus10_collect_citations": f"""with {dv.SQL_ELEMENTS},
       l as (select doc_id as answer_id, line_no as pos, case when line_no % 4 = 3 then '(Source: Page ' || page_num || ')'
         else '(Source: ' || upper(element_type[1]) || element_type[2:] || ' ' || (number % 3) || ')' end as label from elements),
