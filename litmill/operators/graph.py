@@ -14,6 +14,7 @@ from litmill.functions.text import squeeze, strip
 from litmill.operators import fusion
 from litmill.operators.queries import seed_terms
 from litmill.operators.vectors import knn
+from litmill.session import cut_lineage
 from litmill.sources.model_output import relation_type
 
 _ACRONYM = r"[A-Z][A-Z0-9\-]{1,12}"
@@ -97,9 +98,13 @@ def clean_relations(relations: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def clean_graph(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities merged by alias and relations re-pointed to the merged names."""
+    """Entities merged by alias and relations re-pointed to the merged names.
+
+    Both results are checkpointed: the steps after this one read them several times.
+    """
     named = entities.where(F.coalesce("name", F.lit("")) != "").select("pos", "name")
-    return dedupe_entities(entities), clean_relations(relations, alias_map(named))
+    aliases = cut_lineage(alias_map(named))
+    return cut_lineage(dedupe_entities(entities)), cut_lineage(clean_relations(relations, aliases))
 
 
 def _is_node(c: Column) -> Column:
@@ -115,13 +120,14 @@ def build_graph(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, D
     flat = lambda c: squeeze(F.coalesce(F.col(c), F.lit("")))
     typed = lambda c: F.when(flat(c) != "", flat(c)).otherwise("Concept")
     names = entities.select("pos", flat("name").alias("name"))
-    aliases = alias_map(names.where("name != ''"))
+    aliases = cut_lineage(alias_map(names.where("name != ''")))
     ents = _resolved(entities.select("pos", flat("name").alias("id"), typed("type").alias("type")), "id", aliases)
     rels = relations.select(
         "pos", flat("head").alias("head"), typed("head_type").alias("head_type"), flat("relation").alias("relation"),
         flat("tail").alias("tail"), typed("tail_type").alias("tail_type"),
     )
     rels = _resolved(_resolved(rels, "head", aliases), "tail", aliases).where(_is_node(F.col("head")) & _is_node(F.col("tail")))
+    rels = cut_lineage(rels)
     at = lambda src, side: F.struct(F.lit(src).alias("src"), "pos", F.lit(side).alias("side"))
     entries = (
         ents.where(_is_node(F.col("id"))).select("id", "type", at(0, 0).alias("at"))
@@ -129,6 +135,7 @@ def build_graph(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, D
         .unionByName(rels.select(F.col("tail").alias("id"), F.col("tail_type").alias("type"), at(1, 1).alias("at")))
     )
     nodes = entries.groupBy(F.lower("id").alias("key")).agg(F.min_by(F.struct("id", "type"), "at").alias("n")).select("key", "n.id", "n.type")
+    nodes = cut_lineage(nodes)
     ids = nodes.select("key", "id")
     rel = F.when(F.col("relation") != "", F.replace(F.upper("relation"), F.lit(" "), F.lit("_"))).otherwise("RELATED_TO")
     edges = (
@@ -187,11 +194,11 @@ def khop_facts(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 6
     e = edges.where("src is not null and dst is not null").select("src", "dst", "type").distinct()
     ends = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
     nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
-    front = _seed_nodes(nodes, seeds, key)
+    front = cut_lineage(_seed_nodes(nodes, seeds, key))
     reached = front.withColumn("step", F.lit(0))
     for step in range(1, hops):
         nxt = front.join(ends, F.col("id") == F.col("a")).select(key, F.col("b").alias("id")).distinct()
-        front = nxt.join(reached.select(key, "id"), [key, "id"], "left_anti")
+        front = cut_lineage(nxt.join(reached.select(key, "id"), [key, "id"], "left_anti"))
         reached = reached.unionByName(front.withColumn("step", F.lit(step)))
     touched = reached.join(e, F.col("id") == F.col("src")).select(key, "src", "dst", "type", "step").unionByName(
         reached.join(e, F.col("id") == F.col("dst")).select(key, "src", "dst", "type", "step")

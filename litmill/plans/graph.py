@@ -21,7 +21,7 @@ def _entities(spark, d):
         F.when(F.col("s_acctbal") < 2000, "").otherwise("Organisation").alias("type"),
     )
     b = n.select((F.col("n_nationkey") * 10 + 1).alias("pos").cast("bigint"), F.concat(F.lit(" "), "n_name", F.lit(" ")).alias("name"), F.lit("Country").alias("type"))
-    c = r.select((F.col("r_regionkey") * 10 + 2).alias("pos").cast("bigint"), F.concat(F.lit("North "), F.initcap("r_name"), F.lit(" Economic Area")).alias("name"), F.lit("Area").alias("type"))
+    c = r.select((F.col("r_regionkey") * 10 + 2).alias("pos").cast("bigint"), F.concat(F.lit("North "), F.substring("r_name", 1, 1), F.lower(F.col("r_name").substr(2, 50)), F.lit(" Economic Area")).alias("name"), F.lit("Area").alias("type"))
     e = r.select((F.col("r_regionkey") * 10 + 3).alias("pos").cast("bigint"), F.concat(F.lit("N"), F.substring("r_name", 1, 1), F.lit("EA")).alias("name"), F.lit("Area").alias("type"))
     return a.unionByName(b).unionByName(c).unionByName(e)
 
@@ -180,8 +180,8 @@ _GRAPH = f"""{_CHAIN},
   gr as (select pos, coalesce(h.canonical, c.head) as head, head_type, relation, coalesce(t.canonical, c.tail) as tail, tail_type from crel c
     left join g_alias h on h.alias = lower(c.head) left join g_alias t on t.alias = lower(c.tail)),
   okr as (select * from gr where length(head) > 1 and length(tail) > 1 and not regexp_matches(head, '^\\d+(\\.\\d+)?$') and not regexp_matches(tail, '^\\d+(\\.\\d+)?$')),
-  ent as (select coalesce(canonical, name) as id, type, (0, pos, 0) as at from ge left join g_alias on alias = lower(name) union all select head, head_type, (1, pos, 0) from okr union all select tail, tail_type, (1, pos, 1) from okr),
-  nd as (select lower(id) as key, arg_min(id, at) as id, arg_min(type, at) as type from ent where length(id) > 1 and not regexp_matches(id, '^\\d+(\\.\\d+)?$') group by 1),
+  ent as (select coalesce(canonical, name) as id, type, (0, pos, 0) as wh from ge left join g_alias on alias = lower(name) union all select head, head_type, (1, pos, 0) from okr union all select tail, tail_type, (1, pos, 1) from okr),
+  nd as (select lower(id) as key, arg_min(id, wh) as id, arg_min(type, wh) as type from ent where length(id) > 1 and not regexp_matches(id, '^\\d+(\\.\\d+)?$') group by 1),
   ed as (select a.id as src, b.id as dst, relation as type from okr join nd a on a.key = lower(head) join nd b on b.key = lower(tail))"""
 
 ORACLES = {
