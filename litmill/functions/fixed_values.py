@@ -387,3 +387,39 @@ SUB_QUESTIONS = {
     "simple": [("{q}", "simple", 1, [])],
 }
 FUSION_TYPES = ["comparison", "difference", "relation", "synthesis"]
+
+# ---- fixed values: papers ------------------------------------------------------------------------
+PAPER_STOP_WORDS = [
+    "the", "a", "an", "in", "of", "and", "or", "for", "to", "with", "on", "is", "are", "was",
+    "were", "be", "been", "by", "as", "at", "from", "that", "this", "which", "we", "our",
+    "their", "has", "have", "had", "using", "based", "via", "through", "can", "also",
+]
+TAG_SKIP_WORDS = ["that", "with", "this", "from", "have", "been", "they", "which", "their", "also", "such"]
+HYBRID_WEIGHTS = (0.40, 0.20, 0.25, 0.15)
+TREND_RISING, TREND_DECLINING, TREND_STABLE = "Rising (active research area)", "Declining", "Stable"
+
+# ---- fixed values: metrics and quotas ----------------------------------------------------------------
+REQUEST_BUCKETS = [0.1, 0.5, 1, 2, 5, 10, 30, 60, 120, 300]
+MODEL_BUCKETS = [0.5, 1, 2, 5, 10, 30, 60]
+QUOTA = {"requests_minute": 30, "tokens_minute": 14400, "tokens_day": 600_000, "tokens_month": 15_000_000}
+QUOTA_MARGIN = 0.10
+
+# ---- fixed values: answer checks -----------------------------------------------------------------------
+HEDGES = [
+    "probably", "might be", "possibly", "perhaps", "maybe",
+    "could be", "seems to be", "appears to be", "likely",
+    "i think", "i believe", "i assume", "presumably",
+]
+LIST_MARKS = ["1.", "2.", "-", "*", "•"]
+CONFIDENCE = {"refs": 0.8, "types": 0.7, "unsupported": 0.6, "complete": 0.9, "repetition": 0.95, "relevance": 0.4}
+LEVELS = {"strict": (0.95, 0, 0.60), "moderate": (0.80, 2, 0.45), "lenient": (0.60, 5, 0.45)}
+BROKEN_ANSWER = [r"(?i)Short Summary\s+Short", r"(?i)Explanation\s+Short", r"(?i)p\s*R\s*A\s*G", r"(?i)⚠️ Error generating response"]
+REFUSALS = [
+    "cannot find", "does not contain", "not present", "not available", "no information", "not mentioned",
+    "i cannot", "the document does not",
+]
+DENIALS = ["cannot find", "does not contain", "not present", "not available"]
+
+# ---- fixed values: merged sections -------------------------------------------------------------------------
+GENERIC_OPENERS = ["the paper", "this paper", "the study", "the research", "the authors", "in this", "this work"]
+FIGURE_SECTIONS = ["results", "abstract", "conclusion", "methodology", "introduction"]

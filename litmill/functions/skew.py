@@ -69,3 +69,33 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
     """The first ``k`` rows of each group with their rank; Spark limits each partition before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], bucket: Column) -> DataFrame:
+    """Several running sums in one pass; see ``running_sum``."""
+    b = df.withColumn("_bucket", bucket).withColumns({f"_v_{n}": v for n, v in values.items()})
+    totals = b.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.col("_bucket").alias("_b"),
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values],
+    )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _joined(b, offsets, keys)
+    rows = rows.withColumns({n: F.sum(f"_v_{n}").over(inside) + F.col(f"_o_{n}") for n in values})
+    return rows.drop("_bucket", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
+
+
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, bucket: Column, out: str) -> DataFrame:
+    """``value`` of the row before, per key; the last row of the nearest earlier bucket stands before a bucket."""
+    b = df.withColumn("_bucket", bucket)
+    ends = b.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_end"))
+    w = Window.partitionBy(*keys).orderBy("_bucket")
+    before = ends.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), F.lag("_end").over(w).alias("_offset")
+    )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    rows = _joined(b, before, keys)
+    first = F.row_number().over(inside) == 1
+    return rows.withColumn(out, F.when(first, F.col("_offset")["v"]).otherwise(F.lag(value).over(inside))).drop("_bucket", "_offset")
