@@ -141,7 +141,7 @@ def quota_usage(requests: DataFrame, limits: dict[str, int] | None = None, margi
     each request is a row and four probes of the running totals.
     """
     lim = {**fv.QUOTA, **(limits or {})}
-    micro = F.unix_micros("ts")
+    micro = F.unix_micros(F.col("ts").cast("timestamp"))
     spans = {"now": 0, "minute": 60, "day": 86_400, "month": 30 * 86_400}
     points = [F.struct(F.lit("row").alias("kind"), micro.alias("us"), F.lit(1).alias("after"), F.col("tokens").alias("v"), F.lit(1).alias("c"))]
     points += [
@@ -215,7 +215,7 @@ def nearest_element(refs: DataFrame, registry: DataFrame) -> DataFrame:
     asked = refs.select("doc_id", "element_type", "number").distinct()
     near = asked.join(runs, ["doc_id", "element_type"], "left")
     n = F.col("number")
-    close = F.when(n < F.col("lo"), F.col("lo")).when(n > F.col("hi"), F.col("hi")).otherwise(n)
+    close = F.when(F.col("lo").isNull(), F.lit(None).cast("bigint")).when(n < F.col("lo"), F.col("lo")).when(n > F.col("hi"), F.col("hi")).otherwise(n)
     best = near.groupBy("doc_id", "element_type", "number").agg(F.min_by(close, F.struct(F.abs(close - n), close)).alias("nearest"))
     return refs.join(best, ["doc_id", "element_type", "number"])
 

@@ -19,7 +19,13 @@ WATERMARK = "10 minutes"
 
 
 def _timed(events: DataFrame, late: str = WATERMARK) -> DataFrame:
-    return events.withWatermark("ts", late) if events.isStreaming else events
+    if not events.isStreaming:
+        return events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
+def _seconds(c: str) -> Column:
+    return F.unix_seconds(F.col(c).cast("timestamp"))
 
 
 def _flat(rows: DataFrame) -> DataFrame:
@@ -127,11 +133,11 @@ def alerts(measures: DataFrame, rules: list[tuple[str, str, float, int]] | None
 
     Groups are one row per rule, label and minute, so their size follows the time covered, not the traffic.
     """
-    b = breaches(measures, rules).withColumn("m", F.floor(F.unix_seconds("minute") / 60))
+    b = breaches(measures, rules).withColumn("m", F.floor(_seconds("minute") / 60))
     w = Window.partitionBy("rule", "label").orderBy("m")
     b = b.withColumn("g", F.col("m") - F.row_number().over(w))
     since = F.min("minute").over(Window.partitionBy("rule", "label", "g"))
-    held = (F.unix_seconds("minute") - F.unix_seconds("since")) >= F.col("hold") * 60
+    held = (_seconds("minute") - _seconds("since")) >= F.col("hold") * 60
     return b.withColumn("since", since).where(held).select("rule", "label", "minute", "value", "since")
 
 
@@ -140,9 +146,9 @@ def absence_alerts(events: DataFrame, label: str, minutes: int = 1) -> DataFrame
     seen = events.select(F.col(label).alias("label"), F.date_trunc("minute", "ts").alias("m")).distinct()
     w = Window.partitionBy("label").orderBy("m")
     gap = seen.withColumn("nxt", F.lead("m").over(w)).where("nxt is not null")
-    n = F.floor((F.unix_seconds("nxt") - F.unix_seconds("m")) / 60) - 1
+    n = F.floor((_seconds("nxt") - _seconds("m")) / 60) - 1
     rows = gap.withColumn("minutes", n.cast("bigint")).where(F.col("minutes") > minutes)
-    return rows.select("label", F.timestamp_seconds(F.unix_seconds("m") + 60).alias("absent_from"), F.col("nxt").alias("absent_to"), "minutes")
+    return rows.select("label", (F.col("m") + F.expr("interval 1 minute")).alias("absent_from"), F.col("nxt").alias("absent_to"), "minutes")
 
 
 def active_requests(events: DataFrame, key: str, duration: str = "value") -> DataFrame:
@@ -150,7 +156,7 @@ def active_requests(events: DataFrame, key: str, duration: str = "value") -> Dat
 
     events: ts and a duration in seconds. Ends come before starts at the same moment.
     """
-    us = F.unix_micros("ts")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
     marks = F.array(
         F.struct(us.alias("us"), F.lit(1).alias("delta")),
         F.struct((us + F.round(F.col(duration) * 1_000_000).cast("bigint")).alias("us"), F.lit(-1).alias("delta")),
@@ -158,4 +164,4 @@ def active_requests(events: DataFrame, key: str, duration: str = "value") -> Dat
     rows = events.select(key, F.explode(marks).alias("m")).groupBy(key, "m.us", "m.delta").agg(F.count("*").alias("c"))
     rows = rows.groupBy(key, "us").agg(F.sum(F.col("delta") * F.col("c")).alias("change"))
     out = running_sum(rows, [key], ["us"], F.col("change"), F.floor(F.col("us") / 3_600_000_000), "active")
-    return out.select(key, F.timestamp_micros("us").alias("at"), "active")
+    return out.select(key, F.timestamp_micros("us").cast("timestamp_ntz").alias("at"), "active")

@@ -354,7 +354,7 @@ def request_rates_stream(spark, d):
     """The same over a stream of the table: windows the watermark has passed."""
     r = metrics.request_rates(jobs.table_stream(spark, d, "events").select("ts", "event_type"), _is_error())
     r = r.select("window_start", F.round("requests_per_s", 6).alias("requests_per_s"), F.round("errors_per_s", 6).alias("errors_per_s"))
-    return jobs.run_available(r, "rates")
+    return jobs.run_available(r, "rates").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def error_rates(spark, d):
@@ -381,7 +381,9 @@ def alerts(spark, d):
 
 def alerts_stream(spark, d):
     measures = _measures(jobs.table_stream(spark, d, "events").select("ts", "event_type", "user_id", "value"))
-    return jobs.run_available(jobs.alerts_stream(measures, _RULES), "alerts")
+    a = jobs.run_available(jobs.alerts_stream(measures, _RULES), "alerts")
+    when = {c: F.col(c).cast("timestamp_ntz") for c in ("minute", "since")}
+    return a.withColumns({**when, "value": F.round("value", 6)})
 
 
 def absence_alerts(spark, d):

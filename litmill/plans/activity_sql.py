@@ -33,9 +33,9 @@ _SCO = f"""{dv.SQL_QUESTIONS},
     case when len(q) = 0 then 0.5 else round(least(1.0, len(list_intersect(q, tags))::double / greatest(len(q), 1)), 4) end::double as topic from n)"""
 _REFS = f"""{dv.SQL_ELEMENTS}, reg as (select doc_id, element_type, number, chunk_id from elements where number <> 2),
   refs as (select distinct l_orderkey % 1000 as doc_id, case l_returnflag when 'A' then 'equation' when 'N' then 'table' else 'figure' end as element_type, l_quantity::bigint as number from lineitem)"""
-_WS = """files as (select o_orderkey as id, o_custkey as owner, o_orderdate as at, o_orderstatus = 'P' as del from orders),
-  sessions as (select distinct l_orderkey * 100 + l_linenumber as id, o_custkey as owner, case when l_returnflag <> 'R' then l_shipdate end as at from lineitem join orders on l_orderkey = o_orderkey),
-  searches as (select event_id as id, user_id as owner, ts as at from events)"""
+_WS = """files as (select o_orderkey as id, o_custkey as owner, o_orderdate as tm, o_orderstatus = 'P' as del from orders),
+  sessions as (select distinct l_orderkey * 100 + l_linenumber as id, o_custkey as owner, case when l_returnflag <> 'R' then l_shipdate end as tm from lineitem join orders on l_orderkey = o_orderkey),
+  searches as (select event_id as id, user_id as owner, ts as tm from events)"""
 
 
 def _bq(counts: str, q: float, buckets=tuple(fv.REQUEST_BUCKETS)) -> str:
@@ -50,8 +50,8 @@ _COUNTS = "[" + ", ".join(f"count(*) filter (value <= {b})" for b in fv.REQUEST_
 # Sliding windows of five minutes: an event lies in the five that end after it.
 _SLIDE = """s as (select e.*, 's' || (user_id % 3) as service, time_bucket(interval 1 minute, ts) - to_minutes(i) as window_start from events e, range(5) t(i))"""
 _ALERT = f"""{_SLIDE}, m as (select service as label, window_start + interval 5 minutes as minute, count(*) filter (event_type = 'error') / count(*)::double as error_share,
-    count(*) filter (event_type = 'signup')::double as limit_hits, {_COUNTS} as c from s group by all),
-  p as (select *, {_bq('c', 0.95)} as p95 from m),
+    count(*) filter (event_type = 'signup')::double as limit_hits, {_COUNTS} as cnt from s group by all),
+  p as (select *, {_bq('cnt', 0.95)} as p95 from m),
   br as (select 'HighErrorRate' as rule, label, minute, error_share as value, 2 as hold from p where error_share > 0.1 union all select 'HighLatency', label, minute, p95, 3 from p where p95 > 20
     union all select 'RateLimitHit', label, minute, limit_hits, 0 from p where limit_hits > 0),
   g as (select *, epoch(minute)::bigint // 60 - row_number() over (partition by rule, label order by minute) as g from br),
@@ -91,9 +91,9 @@ ORACLES = {
       left join (select owner, count(*) as n from searches group by 1) d on d.owner = c_custkey""",
     "joi7_cascade_delete": f"with {_WS} select id, owner from files where owner not in (select c_custkey from customer where c_custkey % 2 = 0)",
     "agg11_workspace_summary": f"""with {_WS}, o as (select owner from files where not del union select owner from sessions union select owner from searches),
-      nf as (select owner, string_agg(id, ',' order by rn) as l from (select *, row_number() over (partition by owner order by at desc nulls last, id desc) as rn from files where not del) where rn <= 5 group by 1),
-      ns as (select owner, string_agg(id, ',' order by rn) as l from (select *, row_number() over (partition by owner order by at desc nulls last, id desc) as rn from sessions) where rn <= 5 group by 1),
-      nq as (select owner, string_agg(id, ',' order by rn) as l from (select *, row_number() over (partition by owner order by at desc nulls last, id desc) as rn from searches) where rn <= 10 group by 1)
+      nf as (select owner, string_agg(id, ',' order by rn) as l from (select *, row_number() over (partition by owner order by tm desc nulls last, id desc) as rn from files where not del) where rn <= 5 group by 1),
+      ns as (select owner, string_agg(id, ',' order by rn) as l from (select *, row_number() over (partition by owner order by tm desc nulls last, id desc) as rn from sessions) where rn <= 5 group by 1),
+      nq as (select owner, string_agg(id, ',' order by rn) as l from (select *, row_number() over (partition by owner order by tm desc nulls last, id desc) as rn from searches) where rn <= 10 group by 1)
       select o.owner, (select count(*) from files f where f.owner = o.owner and not del) as file_count, (select count(*) from sessions s where s.owner = o.owner) as session_count,
         coalesce(nf.l, '') as recent_files, coalesce(ns.l, '') as recent_sessions, coalesce(nq.l, '') as recent_searches from o left join nf using (owner) left join ns using (owner) left join nq using (owner)""",
     "set2_first_distinct": "select min(doc_id) as doc_id, lang from documents group by lang, text",
@@ -145,7 +145,7 @@ ORACLES = {
     "agg10_chat_stats": f"""with {dv.SQL_TURNS} select conv_id, count(*) as total_turns, count(*) filter (response_valid) as valid_turns, count(*) filter (not response_valid) as failed_turns,
       round(avg(retrieval_score), 6) as avg_retrieval_score, max(turn) as latest_turn from turns group by 1""",
     "agg12_merge_sections": f"""with {dv.SQL_LINES}, x as (select doc_id, line_no, unnest(['abstract', 'results']) as f, unnest([case when line_no % 3 = 0 then 'This paper ' || line else line end, case when line_no % 2 = 0 then 'not found' else line end]) as v from lines),
-      s as (select *, length(v) * 0.5 + (length(v) - length(regexp_replace(v, '[0-9]', '', 'g'))) * 8 + (length(v) - length(replace(v, '%', ''))) * 15 - case when starts_with(lower(v), 'this paper') then 20 else 0 end as sc
+      s as (select *, length(v) * 0.5 + (length(v) - length(regexp_replace(v, '[0-9]', '', 'g'))) * 8 + (length(v) - length(replace(v, '%', ''))) * 15 - case when {' or '.join(f"starts_with(lower({dv.sql_strip('v')}), '{g}')" for g in fv.GENERIC_OPENERS)} then 20 else 0 end as sc
         from x where lower({dv.sql_strip('v')}) not in ('', 'not found')),
       b as (select doc_id, f, arg_min(v, (-sc, line_no)) as v from s group by all)
       select doc_id as paper_id, coalesce((select v from b where b.doc_id = d.doc_id and f = 'abstract'), 'Not found') as abstract, coalesce((select v from b where b.doc_id = d.doc_id and f = 'results'), 'Not found') as results from documents d""",
@@ -161,7 +161,7 @@ ORACLES = {
       select conv_id, turn, round(c, 6) as completeness, round(v, 6) as relevance, round(y, 6) as clarity, round(z, 6) as conciseness, round((c + v + y + z) / 4, 6) as overall from s""",
     "agg16_quiz_scores": """select l_orderkey as attempt_id, count(*) as answered, count(*) filter ('brand#' || (l_quantity % 25)::int = lower(p_brand)) as correct,
       round(count(*) filter ('brand#' || (l_quantity % 25)::int = lower(p_brand))::double / count(*), 6) as score from lineitem join part on l_partkey = p_partkey group by 1""",
-    "agg17_bucket_quantile": f"with h as (select event_type, count(*) as n, {_COUNTS} as c from events group by 1) select event_type, n, round({_bq('c', 0.5)}, 6) as p50, round({_bq('c', 0.95)}, 6) as p95 from h",
+    "agg17_bucket_quantile": f"with h as (select event_type, count(*) as n, {_COUNTS} as cnt from events group by 1) select event_type, n, round({_bq('cnt', 0.5)}, 6) as p50, round({_bq('cnt', 0.95)}, 6) as p95 from h",
     "agg18_element_catalogue": f"""with {dv.SQL_ELEMENTS}, n as (select *, upper(element_type[1]) || element_type[2:] || ' ' || number as nm from elements),
       l as (select *, '- ' || nm || ' (Page ' || page_num || ')' || case when element_type <> 'equation' and trim(caption) <> '' and lower(trim(caption)) <> lower(nm) then ': ' || trim(caption) else '' end as line from n)
       select doc_id, element_type, 'Found ' || count(*) || ' ' || element_type || 's in the document.' || chr(10) || chr(10) || string_agg(line, chr(10) order by number, page_num) as catalogue from l group by 1, 2""",
@@ -169,13 +169,15 @@ ORACLES = {
     "str1_request_rates_stream": """select time_bucket(interval 1 minute, ts) as window_start, round(count(*) / 60.0::double, 6) as requests_per_s, round(count(*) filter (event_type = 'error') / 60.0::double, 6) as errors_per_s from events
       group by 1 having window_start + interval 1 minute <= (select max(ts) from events) - interval 10 minutes""",
     "str2_error_rates": f"with {_SLIDE} select window_start, user_id, count(*) as increase, round(count(*) / 300.0::double, 6) as errors_per_s from s where event_type = 'error' group by all",
-    "str3_latency_quantiles": f"with {_SLIDE}, h as (select window_start, event_type, count(*) as n, {_COUNTS} as c from s group by all) select window_start, event_type, n, round({_bq('c', 0.5)}, 6) as p50, round({_bq('c', 0.95)}, 6) as p95 from h",
+    "str3_latency_quantiles": f"with {_SLIDE}, h as (select window_start, event_type, count(*) as n, {_COUNTS} as cnt from s group by all) select window_start, event_type, n, round({_bq('cnt', 0.5)}, 6) as p50, round({_bq('cnt', 0.95)}, 6) as p95 from h",
     "str4_alerts": f"with {_ALERT} select rule, label, minute, round(value, 6) as value, since from al where epoch(minute) - epoch(since) >= hold * 60",
+    "str4_alerts_stream": f"""with {_ALERT} select rule, label, minute, round(value, 6) as value, since from al
+      where epoch(minute) - epoch(since) >= hold * 60 and minute <= (select max(ts) from events) - interval 10 minutes""",
     "str5_absence_alerts": """with m as (select distinct event_type as label, date_trunc('minute', ts) as m from events), n as (select *, lead(m) over (partition by label order by m) as nx from m)
       select label, m + interval 1 minute as absent_from, nx as absent_to, (epoch(nx)::bigint - epoch(m)::bigint) // 60 - 1 as minutes from n where (epoch(nx)::bigint - epoch(m)::bigint) // 60 - 1 > 10""",
     "str6_active_requests": """with m as (select event_type, epoch_us(ts) as us, 1 as d from events union all select event_type, epoch_us(ts) + round(value * 60 * 1000000)::bigint, -1 from events),
       g as (select event_type, us, sum(d) as c from m group by all)
-      select event_type, make_timestamp(us) as at, sum(c) over (partition by event_type order by us rows unbounded preceding)::bigint as active from g""",
+      select event_type, make_timestamp(us) as "at", sum(c) over (partition by event_type order by us rows unbounded preceding)::bigint as active from g""",
     "str8_dedup_stream": "select distinct md5(text) as content_hash from documents",
     "str9_metric_totals": "select event_type, count(*) as total, max(ts) as last_ts from events group by 1",
 }
