@@ -380,8 +380,10 @@ def alerts(spark, d):
 
 
 def alerts_stream(spark, d):
+    """Measures as one stream into a table, alerts as a second stateful stream over that table."""
     measures = _measures(jobs.table_stream(spark, d, "events").select("ts", "event_type", "user_id", "value"))
-    a = jobs.run_available(jobs.alerts_stream(measures, _RULES), "alerts")
+    folder = jobs.write_available(measures, "measures")
+    a = jobs.run_available(jobs.alerts_stream(jobs.folder_stream(spark, folder), _RULES), "alerts")
     when = {c: F.col(c).cast("timestamp_ntz") for c in ("minute", "since")}
     return a.withColumns({**when, "value": F.round("value", 6)})
 

@@ -102,7 +102,7 @@ _NUMS = "regexp_extract_all({x}, '\\b(\\d+\\.?\\d*)\\b', 1)"
 
 ORACLES = {
     "val1_relevance": f"""with {dv.SQL_BENCHMARK_QUESTIONS}, corpus as (select doc_id as chunk_id, text from documents), {sql_bm25('b', 'bquestions', 'corpus', 3, 'x')},
-      t as (select distinct query_id, unnest(regexp_extract_all(lower(query), '\\b[a-z]{{3,}}\\b')) as t from bquestions),
+      t as (select distinct query_id, unnest(list_filter(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}'))) as t from bquestions),
       h as (select distinct query_id, t from t join b using (query_id) join corpus using (chunk_id) where contains(lower(text), t))
       select q.query_id, round((select count(*) from h where h.query_id = q.query_id)::double / greatest((select count(*) from t where t.query_id = q.query_id), 1), 6) as relevance from bquestions q""",
     "val2_invalid_refs": f"""with {SQL_RESPONSES}, {dv.SQL_ELEMENTS}, l as (select response_id, doc_id, lower(text) as t from responses),

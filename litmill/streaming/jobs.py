@@ -22,16 +22,26 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything that is there into a parquet table of the shared folder and read it back."""
-    spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def folder_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder that another stream writes, as a stream source."""
+    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+
+
+def write_available(stream: DataFrame, name: str) -> str:
+    """Process everything that is there into a new parquet folder of the shared folder; returns its path."""
+    base = f"{ensure_checkpoint_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return f"{base}/out"
+
+
+def run_available(stream: DataFrame, name: str) -> DataFrame:
+    """As ``write_available``, read back as a table."""
+    schema = stream.schema
+    return stream.sparkSession.read.schema(schema).parquet(write_available(stream, name))
 
 
 def dedup_stream(docs: DataFrame, text: str = "text", ts: str = "ts", late: str = WATERMARK) -> DataFrame:
