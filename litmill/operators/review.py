@@ -16,6 +16,7 @@ from litmill.functions import review_values as rv
 from litmill.functions.skew import first_rows
 from litmill.functions.text import contains_any, count_contained, first_per_key, let, squeeze, strip, strip_chars
 from litmill.operators.cleaning import sentences_of
+from litmill.session import cut_lineage
 
 _NONE = "array<string>"
 
@@ -110,71 +111,99 @@ def _number_dump(t: Column) -> Column:
     return (F.size(parts) > 4) & (F.size(F.filter(parts, lambda p: p.rlike(r"^\d[\d.±]*$"))) / F.size(parts) > 0.5)
 
 
+def _feature(item: Column, **extra: Column) -> Column:
+    """What selecting evidence needs to know about one item, worked out once."""
+
+    def of_text(t: Column) -> Column:
+        low = F.lower(t)
+        value = F.when(contains_any(low, rv.METRIC_WORDS), F.regexp_extract(low, r"\b(\d[\d,.]*)\b", 1)).otherwise("")
+        return F.struct(t.alias("t"), low.alias("low"), value.alias("value"), *[c.alias(n) for n, c in extra.items()])
+
+    return let(let(_first_segment(clean_bullet(item)), _trimmed), of_text)
+
+
+def _usable(f: Column) -> Column:
+    t = f["t"]
+    fragment = t.contains("{") & t.contains("}")
+    return (F.length(t) >= 12) & ~fragment & ~contains_any(f["low"], rv.GENERIC_PHRASES) & ~_number_dump(t)
+
+
+def _selected(features: Column, limit: int) -> Column:
+    """Distinct texts in order, one per metric value, concrete ones only when there are any."""
+    distinct = first_per_key(features, lambda f: f["low"], lambda f: F.lit(False))
+    single = first_per_key(distinct, lambda f: f["value"], lambda f: f["value"] == "")
+    texts = F.transform(single, lambda f: f["t"])
+    return let(
+        texts,
+        lambda xs: let(F.filter(xs, is_specific), lambda sp: F.slice(F.when(F.size(sp) > 0, sp).otherwise(xs), 1, limit)),
+    )
+
+
 def clean_evidence(items: Column, limit: int = 5) -> Column:
     """Cleaned, distinct evidence in order: no generic phrases or number dumps, one item per metric value, concrete
     items only when there are any, at most ``limit``."""
-    usable = F.filter(
-        F.transform(F.transform(items, clean_bullet), _first_segment),
-        lambda t: (F.length(t) >= 12) & ~(t.contains("{") & t.contains("}")) & ~contains_any(F.lower(t), rv.GENERIC_PHRASES),
-    )
-    trimmed = F.filter(F.transform(usable, _trimmed), lambda t: ~_number_dump(t))
-    distinct = first_per_key(trimmed, lambda t: F.lower(t), lambda t: F.lit(False))
-    value = lambda t: F.regexp_extract(F.lower(t), r"\b(\d[\d,.]*)\b", 1)
-    single = first_per_key(distinct, value, lambda t: ~contains_any(F.lower(t), rv.METRIC_WORDS) | (value(t) == ""))
-    return let(
-        single,
-        lambda xs: let(
-            F.filter(xs, is_specific), lambda sp: F.slice(F.when(F.size(sp) > 0, sp).otherwise(xs), 1, limit)
-        ),
-    )
+    return _selected(F.filter(F.transform(items, lambda x: _feature(x)), _usable), limit)
+
+
+def _items(papers: DataFrame) -> Column:
+    """All usable sentences and key figures of a paper row with their section; every dimension chooses from them."""
+    parts = []
+    for section in rv.PAPER_SECTIONS:
+        if section in papers.columns:
+            parts.append(_tagged(split_sentences(F.col(section)), section))
+    if "key_figures" in papers.columns:
+        figures = F.coalesce(F.slice("key_figures", 1, 15), F.col("key_figures"))
+        parts.append(
+            F.transform(
+                figures,
+                lambda f: _feature(
+                    F.concat_ws(
+                        " | ", F.concat(f["label"], F.lit(": "), f["value"]), F.nullif(f["context"], F.lit("")), F.nullif(f["section"], F.lit(""))
+                    ),
+                    section=F.lit("key_figures"),
+                    scope=F.lower(squeeze(f["section"])),
+                ),
+            )
+        )
+    return F.filter(F.concat(*parts), _usable)
 
 
-def _ranked(candidates: Column, dimension: str) -> Column:
-    """Candidates by falling score, the earlier first on a tie."""
-    tagged = F.transform(candidates, lambda s, i: F.struct((-evidence_score(s, dimension)).alias("n"), i.alias("i"), s.alias("s")))
-    return F.transform(F.array_sort(tagged), lambda x: x["s"])
+def _tagged(items: Column, section: str) -> Column:
+    return F.transform(items, lambda s: _feature(s, section=F.lit(section), scope=F.lit("")))
 
 
-def _figure_texts(dimension: str) -> Column:
-    """Key figures of the sections that count for a dimension, as text."""
-    scope = rv.FIGURE_SCOPE.get(dimension)
-    if scope is None:
-        return _strings()
-    text = lambda f: F.concat_ws(
-        " | ", F.concat(f["label"], F.lit(": "), f["value"]), F.nullif(f["context"], F.lit("")), F.nullif(f["section"], F.lit(""))
-    )
-    kept = F.filter(F.slice("key_figures", 1, 15), lambda f: contains_any(F.lower(squeeze(f["section"])), scope))
-    texts = F.transform(kept, text)
-    if dimension in ("novelty", "reproducibility", "fairness_of_comparison", "applicability"):
-        texts = F.filter(texts, lambda t: contains_any(F.lower(t), rv.KEYWORDS[dimension]))
-    return texts
+def _evidence(items: Column, dimension: str, limit: int) -> Column:
+    """The best items of the sections that count for a dimension: by score, then in section order."""
+    sources = rv.EVIDENCE_SOURCES[dimension]
 
+    def wanted(f: Column) -> Column:
+        ok = f["section"].isin([x for x in sources if x != "key_figures"])
+        scope = rv.FIGURE_SCOPE.get(dimension)
+        if "key_figures" in sources and scope:
+            figure = (f["section"] == "key_figures") & contains_any(f["scope"], scope)
+            if dimension != "strengths":
+                figure = figure & contains_any(f["low"], rv.KEYWORDS[dimension])
+            ok = ok | figure
+        if dimension == "threats_to_validity":
+            ok = ok & ~f["t"].rlike(rv.ARCHITECTURE_NOISE)
+        return ok
 
-def evidence_of(dimension: str, columns: list[str], limit: int = 5) -> Column:
-    """Best evidence of a paper row for one dimension, out of the sections that count for it."""
-    parts = []
-    for source in rv.EVIDENCE_SOURCES[dimension]:
-        if source == "key_figures":
-            if "key_figures" in columns:
-                parts.append(F.coalesce(_figure_texts(dimension), _strings()))
-        elif source in columns:
-            parts.append(split_sentences(F.col(source)))
-    candidates = F.concat(*parts) if parts else _strings()
-    ranked = _ranked(candidates, dimension)
-    if dimension == "threats_to_validity":
-        ranked = F.filter(ranked, lambda s: ~s.rlike(rv.ARCHITECTURE_NOISE))
-    return clean_evidence(ranked, limit)
+    place = lambda f: F.coalesce(*[F.when(f["section"] == x, F.lit(i)) for i, x in enumerate(sources)], F.lit(9))
+    scored = F.transform(
+        F.filter(items, wanted),
+        lambda f, i: F.struct((-evidence_score(f["t"], dimension)).alias("n"), place(f).alias("p"), i.alias("i"), f.alias("f")),
+    )
+    return _selected(F.transform(F.array_sort(scored), lambda x: x["f"]), limit)
 
 
 def select_evidence(papers: DataFrame, limit: int = 5, dimensions: list[str] | None = None) -> DataFrame:
-    """(paper_id, dimension, evidence) of papers given as section columns."""
-    rows = F.array(
-        *[
-            F.struct(F.lit(d).alias("dimension"), evidence_of(d, papers.columns, limit).alias("evidence"))
-            for d in dimensions or rv.DIMENSIONS
-        ]
+    """(paper_id, dimension, evidence) of papers given as section columns; other columns are kept."""
+    keep = [c for c in papers.columns if c not in (*rv.PAPER_SECTIONS, "key_figures")]
+    rows = papers.select(*keep, _items(papers).alias("_items"))
+    per = F.array(
+        *[F.struct(F.lit(d).alias("dimension"), _evidence(F.col("_items"), d, limit).alias("evidence")) for d in dimensions or rv.DIMENSIONS]
     )
-    return papers.select("paper_id", F.explode(rows).alias("e")).select("paper_id", "e.dimension", "e.evidence")
+    return rows.select(*keep, F.explode(per).alias("e")).select(*keep, "e.dimension", "e.evidence")
 
 
 def signal_groups_of(text: Column, signals: dict[str, list[str]]) -> Column:
@@ -201,8 +230,14 @@ def signal_groups(docs: DataFrame, signals: dict[str, list[str]] | None = None,
 
 def local_verdict(dimension: Column, evidence: Column, extra: Column) -> Column:
     """Verdict by counted keywords; novelty also reads the abstract and introduction."""
-    joined = F.lower(F.array_join(evidence, " "))
-    scan = F.concat(joined, F.lit(" "), F.lower(F.coalesce(extra, F.lit(""))))
+    texts = F.struct(F.lower(F.array_join(evidence, " ")).alias("joined"), F.lower(F.coalesce(extra, F.lit(""))).alias("extra"))
+    none = F.lit(rv.NOT_ENOUGH)
+    return F.when(F.size(evidence) == 0, none).otherwise(
+        let(texts, lambda t: _verdict_rules(dimension, t["joined"], F.concat(t["joined"], F.lit(" "), t["extra"])))
+    )
+
+
+def _verdict_rules(dimension: Column, joined: Column, scan: Column) -> Column:
     v = rv.VERDICTS
     none = F.lit(rv.NOT_ENOUGH)
     strong = (count_contained(joined, rv.STRENGTH_WORDS) >= 2) | joined.rlike(r"\d[\d.]*\s*(%|pp|point|score)")
@@ -222,10 +257,7 @@ def local_verdict(dimension: Column, evidence: Column, extra: Column) -> Column:
         "fairness_of_comparison": F.lit(v["fairness_of_comparison"][1]),
         "applicability": F.lit(v["applicability"][1]),
     }
-    out = F.when(F.size(evidence) == 0, none)
-    for d, verdict in by_dimension.items():
-        out = out.when(dimension == d, verdict)
-    return out.otherwise(none)
+    return F.coalesce(*[F.when(dimension == d, verdict) for d, verdict in by_dimension.items()], none)
 
 
 def verdicts(evidence: DataFrame, extra: str | None = None) -> DataFrame:
@@ -273,8 +305,7 @@ def paper_profiles(papers: DataFrame) -> DataFrame:
     papers: paper_id and section columns.
     """
     extra = F.concat_ws(" ", F.col("abstract"), F.substring("introduction", 1, 800))
-    rows = F.array(*[F.struct(F.lit(d).alias("dimension"), evidence_of(d, papers.columns).alias("evidence")) for d in rv.DIMENSIONS])
-    out = papers.select("paper_id", extra.alias("_x"), F.explode(rows).alias("e")).select("paper_id", "_x", "e.dimension", "e.evidence")
+    out = select_evidence(papers.withColumn("_x", extra))
     more = F.when(F.col("dimension") == "novelty", squeeze(F.col("_x"))).otherwise("")
     out = out.withColumn("verdict", local_verdict(F.col("dimension"), F.col("evidence"), more))
     empty = F.col("verdict") == rv.NOT_ENOUGH
@@ -406,7 +437,11 @@ def _judgement() -> Column:
 
 
 def _paired(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """pairs (pair_id, paper_a, paper_b) with both profile rows per dimension."""
+    """pairs (pair_id, paper_a, paper_b) with both profile rows per dimension.
+
+    Profiles are read for both sides, so they are checkpointed instead of made twice.
+    """
+    profiles = cut_lineage(profiles)
     row = F.struct("verdict", "rationale", "evidence", "confidence")
     a = profiles.select(F.col("paper_id").alias("paper_a"), "dimension", row.alias("a"))
     b = profiles.select(F.col("paper_id").alias("paper_b"), "dimension", row.alias("b"))
