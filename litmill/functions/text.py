@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterable
 
@@ -52,19 +53,19 @@ def word_count(c: Column) -> Column:
     return F.size(words(c))
 
 
+def word_array(words: Iterable[str]) -> Column:
+    """A constant array of strings as one literal; Catalyst folds the split."""
+    return F.split(F.lit("\u0001".join(words)), "\u0001")
+
+
 def contains_any(c: Column, needles: Iterable[str]) -> Column:
-    out = F.lit(False)
-    for n in needles:
-        out = out | c.contains(n)
-    return out
+    """Whether one of a fixed list of needles occurs in the text."""
+    return c.rlike("|".join(re.escape(n) for n in needles))
 
 
 def count_contained(c: Column, needles: Iterable[str]) -> Column:
     """How many of a fixed list of needles occur in the text."""
-    out = F.lit(0)
-    for n in needles:
-        out = out + c.contains(n).cast("int")
-    return out
+    return let(c, lambda t: F.size(F.filter(word_array(needles), lambda n: F.contains(t, n))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

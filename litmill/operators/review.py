@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from litmill.functions import review_values as rv
 from litmill.functions.skew import first_rows
-from litmill.functions.text import contains_any, count_contained, first_per_key, let, squeeze, strip, strip_chars
+from litmill.functions.text import contains_any, count_contained, first_per_key, let, squeeze, strip, strip_chars, word_array
 from litmill.operators.cleaning import sentences_of
 from litmill.session import cut_lineage
 
@@ -474,7 +474,7 @@ def compare_profiles(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
 def uncontradicted(evidence: Column) -> Column:
     """Drop "not evaluated" items about something that another item reports a number for."""
     low = lambda e: F.lower(e)
-    tokens = F.array(*map(F.lit, rv.DATASET_TOKENS))
+    tokens = word_array(rv.DATASET_TOKENS)
     measured = F.filter(evidence, lambda e: low(e).rlike(rv.METRIC_VALUE) | (contains_any(low(e), rv.DATASET_TOKENS) & e.rlike(r"\d")))
 
     def keep(ms: Column) -> Column:
