@@ -220,7 +220,7 @@ def route_retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, in
     queries: query_id, doc_id, query, embedding and the intent columns query_type, target_type, target_number.
     A named element is looked up by number; "list all" returns every chunk of a type of its document;
     everything else, and what the lookups do not find, is a hybrid search within the type asked for.
-    vectors: chunk_id, embedding, chunk_type. The classified questions are checkpointed: every branch reads them.
+    vectors: chunk_id, embedding, chunk_type. The classified questions are written once: every branch reads them.
     """
     queries = cut_lineage(queries)
     direct = _direct_hits(queries, chunks)
@@ -235,7 +235,7 @@ def retrieve(queries: DataFrame, variants: DataFrame, chunks: DataFrame, vectors
 
     Stages: all variants hybrid, best pages, intent route, and keywords for questions that found nothing.
     A chunk keeps the score of its first stage (routed chunks and keyword hits count 0.5); then everything
-    is reranked by tokens. All stages share one search, kept by a reliable checkpoint.
+    is reranked by tokens. All stages share one search, written once as a table.
     """
     fetch = max(3 * k, 18)
     rows = cut_lineage(_variant_rows(variants))

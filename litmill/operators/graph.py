@@ -191,7 +191,7 @@ def khop_facts(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 6
     A node is at the smallest number of steps it is reached in; an edge belongs to the answer when one end
     is less than ``hops`` steps away. Each step joins the newly reached nodes only.
     """
-    e = edges.where("src is not null and dst is not null").select("src", "dst", "type").distinct()
+    e = cut_lineage(edges.where("src is not null and dst is not null").select("src", "dst", "type").distinct())
     ends = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
     nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     front = cut_lineage(_seed_nodes(nodes, seeds, key))

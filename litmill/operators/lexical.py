@@ -15,6 +15,7 @@ from litmill.functions import fixed_values as fv
 from litmill.functions.skew import top_k
 from litmill.functions.text import contains_any, let, squeeze
 from litmill.operators.lines import excerpt_of, requested_numbers
+from litmill.session import cut_lineage
 
 
 def tokens_of(c: Column) -> Column:
@@ -60,11 +61,13 @@ class TermIndex:
 
 
 def lexical_index(chunks: DataFrame, text: str = "text", key: str = "chunk_id") -> TermIndex:
-    sized = chunks.select(F.col(key).alias("chunk_id"), tokens_of(F.col(text)).alias("tokens"))
-    stats = sized.agg(F.count("*").alias("n_chunks"), F.avg(F.size("tokens")).alias("avg_len"))
-    postings = sized.select(
-        "chunk_id", F.size("tokens").alias("dl"), F.explode(counted(F.col("tokens"))).alias("p")
-    ).select("chunk_id", "p.term", "p.tf", "dl")
+    """Index tables of a chunk table. Postings are checkpointed: term totals, length and every search read them,
+    and no text is tokenised twice."""
+    toks = chunks.select(F.col(key).alias("chunk_id"), tokens_of(F.col(text)).alias("tokens"))
+    postings = toks.select("chunk_id", F.size("tokens").alias("dl"), F.explode(counted(F.col("tokens"))).alias("p"))
+    postings = cut_lineage(postings.select("chunk_id", "p.term", "p.tf", "dl"))
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).select("n").scalar()
+    stats = chunks.agg(F.count("*").alias("n_chunks")).select("n_chunks", (total / F.col("n_chunks")).alias("avg_len"))
     return TermIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from litmill.operators import fusion, graph, vectors
 from litmill.plans import derived as dv
-from litmill.plans.tables import table
+from litmill.plans.tables import spread, table
 
 def _entities(spark, d):
     """Suppliers, nations and regions as extracted entities: full forms with acronyms, bare acronyms, copies,
@@ -145,19 +145,27 @@ def khop_two(spark, d):
     return graph.khop_facts(edges, seeds, 2, 60).select("query_id", "fact_no", "head", "rel", "tail")
 
 
-def graph_retrieve(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("Supplier "), F.col("item_id").cast("string"), F.lit(" and "), "text").alias("query"))
+def _coded_edges(spark, d):
+    """The same edges with one-word ids, as a question names them."""
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag").distinct()
+    code = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"), F.lit("x"))
+    return li.select(code("sup", "l_suppkey").alias("src"), code("part", "l_partkey").alias("dst"), F.concat(F.lit("SHIPPED_"), "l_returnflag").alias("type"))
+
+
+def _graph_found(spark, d, tail):
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("sup"), F.col("item_id").cast("string"), F.lit("x"), tail).alias("query"))
     v = vectors.hash_embed(docs).select("chunk_id", "embedding")
-    out = graph.graph_retrieve(vectors.hash_embed(q, text="query"), docs, v, _supply_edges(spark, d))
+    return graph.graph_retrieve(vectors.hash_embed(q, text="query"), docs, v, _coded_edges(spark, d))
+
+
+def graph_retrieve(spark, d):
+    out = _graph_found(spark, d, F.concat(F.lit(" and "), F.col("text")))
     return out.select("query_id", "id", "source_type", F.round("score", 6).alias("score"), "rank")
 
 
 def graph_context(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("Supplier "), F.col("item_id").cast("string")).alias("query"))
-    v = vectors.hash_embed(docs).select("chunk_id", "embedding")
-    return fusion.build_context(graph.graph_retrieve(vectors.hash_embed(q, text="query"), docs, v, _supply_edges(spark, d)), 400)
+    return fusion.build_context(_graph_found(spark, d, F.lit("")), 400)
 
 
 QUERIES = {
