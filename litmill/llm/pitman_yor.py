@@ -226,7 +226,7 @@ def counted(words: DataFrame, width: int, shards: int) -> DataFrame:
         one = np.ones(len(some), np.int64)
         return pa.Table.from_batches([_rows(code.dictionary.take(pa.array(some)).to_pylist(), seat, of[some], one, one * 0, width)])
 
-    dealt = words.select("word", "pairs", F.pmod(F.xxhash64("word"), F.lit(shards)).alias("shard"))
+    dealt = words.where("octet_length(pairs) > 0").select("word", "pairs", F.pmod(F.xxhash64("word"), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInArrow(merge, SEATED)
 
 
