@@ -4,7 +4,8 @@ Index level: the tokens of a set are ordered from rare to frequent, and a set is
 are sorted by size and carry positions, so whole blocks of a list whose size or position can't reach the overlap are
 skipped. Answer level: a set is compared with the leader of its list first. Sets linked to one leader are in one
 component already, and the overlap with the leader bounds a set's overlap with the leader's other partners, so most of
-the remaining pairs are decided without reading the sets.
+the remaining pairs are decided without reading the sets. A first round does so for sets that share one of their LOWEST
+smallest hashes, which finds most large groups; lists whose sets are all in one component by then are skipped whole.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ PARITY_BITS = 1024
 BLOOM_BITS = 1 << 23
 SHARD_ENTRIES = 400_000
 SHORT_LIST = 64
+LOWEST = 4
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,37 +110,43 @@ def parity(s: np.ndarray) -> bytes:
 
 
 def described(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, n, digest, parity), counts of all tokens in 2^SKETCH_BITS buckets, saturating) of ``docs`` (doc_id, text).
+    """((doc_id, mark, n, digest, parity, low), counts of all tokens in 2^SKETCH_BITS buckets, saturating) of ``docs`` (doc_id, text).
 
-    The counts have a fixed size; they only order the tokens, and any order gives the same links.
+    mark: a hash of the text. low: the LOWEST smallest tokens. The counts have a fixed size; they only order the tokens, and
+    any order gives the same links.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "digest", "parity", "slice", "counts"]
+    names = ["doc_id", "mark", "n", "digest", "parity", "low", "slice", "counts"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         key = None
         for b in batches:
             key = b.schema.field(0).type
-            n, ids, odd, tokens = [], [], [], []
-            for s in shingle_sets(b.column(1)):
+            n, ids, odd, low, tokens = [], [], [], [], []
+            for s in shingle_sets(b.column(2)):
                 n.append(len(s))
                 ids.append(digest(s) if len(s) else None)
                 odd.append(parity(s) if len(s) else None)
+                low.append(s[:LOWEST].view(np.int64))
                 tokens.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
                 if len(tokens) == 512:
                     counts += np.bincount(np.concatenate(tokens), minlength=len(counts)).astype(np.uint32)
                     tokens = []
             if tokens:
                 counts += np.bincount(np.concatenate(tokens), minlength=len(counts)).astype(np.uint32)
-            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(odd, pa.binary()), *none], names)
+            cols = [pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(odd, pa.binary()), pa.array(low, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if key is not None:
             parts = [p.tobytes() for p in np.split(np.minimum(counts, 65535).astype("<u2"), SLICES)]
-            none = [pa.nulls(SLICES, t) for t in (key, pa.int64(), pa.int64(), pa.binary())]
+            none = [pa.nulls(SLICES, t) for t in (key, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    rows = cut_lineage(docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n long, digest long, parity binary, slice int, counts binary"))
+    rows = cut_lineage(
+        docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(
+            scan, f"doc_id {kind}, mark long, n long, digest long, parity binary, low array<long>, slice int, counts binary"
+        )
+    )
 
     def added(t: pa.Table) -> pa.Table:
         total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint32)
@@ -150,7 +158,7 @@ def described(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), "<u2")
     for r in slices:
         counts[r["slice"]] = np.frombuffer(r["counts"], "<u2")
-    return rows.where("slice is null").select("doc_id", "n", "digest", "parity"), counts.reshape(-1)
+    return rows.where("slice is null").drop("slice", "counts"), counts.reshape(-1)
 
 
 def prefix_length(n: int) -> int:
@@ -164,22 +172,22 @@ def can_reach(size_a: np.ndarray, rest_a: np.ndarray, size_b: np.ndarray, rest_b
     return (100 * small >= PERCENT * large) & ((100 + PERCENT) * np.minimum(rest_a, rest_b) >= PERCENT * (size_a + size_b))
 
 
-def listed(docs: DataFrame, counts: np.ndarray, shards: int) -> DataFrame:
-    """(shard, tokens, ids, sizes, rests): the index entries of each batch of distinct sets, packed by shard."""
-    order = docs.sparkSession.sparkContext.broadcast(counts)  # 2^SKETCH_BITS numbers of two bytes at any scale
+def listed(texts: DataFrame, counts: np.ndarray, shards: int) -> DataFrame:
+    """(shard, tokens, ids, moved, sizes, rests): the index entries of ``texts`` (digest, root, text), packed by shard.
+
+    moved: the bits in which an entry's component differs from its set's id.
+    """
+    order = texts.sparkSession.sparkContext.broadcast(counts)  # 2^SKETCH_BITS numbers of two bytes at any scale
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
         for b in batches:
-            seen, parts = set(), []
-            for s in shingle_sets(b.column(0)):
-                if not len(s) or (own := digest(s)) in seen:
-                    continue
-                seen.add(own)
+            parts = []
+            for own, root, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2)), strict=True):
                 k = prefix_length(len(s))
                 key = rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 first = s[np.lexsort((s, key))[:k]]
-                parts.append((first, np.full(k, own, np.int64), np.full(k, len(s), np.int32), (len(s) - np.arange(k)).astype(np.int32)))
+                parts.append((first, np.full(k, own, np.int64), np.full(k, own ^ root, np.int64), np.full(k, len(s), np.int32), (len(s) - np.arange(k)).astype(np.int32)))
             if not parts:
                 continue
             cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -189,35 +197,38 @@ def listed(docs: DataFrame, counts: np.ndarray, shards: int) -> DataFrame:
             full = np.flatnonzero(np.diff(edges))
             cols = [c[by] for c in cols]
             packed = [pa.array([c[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary()) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *packed], ["shard", "tokens", "ids", "sizes", "rests"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *packed], ["shard", "tokens", "ids", "moved", "sizes", "rests"])
 
-    return docs.select("text").mapInArrow(scan, "shard long, tokens binary, ids binary, sizes binary, rests binary")
+    return texts.select("digest", "root", "text").mapInArrow(scan, "shard long, tokens binary, ids binary, moved binary, sizes binary, rests binary")
 
 
 def paired(entries: DataFrame) -> DataFrame:
-    """(a, b, leader, long): pairs of sets that share a list and may reach the overlap; a < b.
+    """(a, b, leader, long): pairs of sets of different components that share a list and may reach the overlap; a < b.
 
-    In a list of at most SHORT_LIST sets all such pairs are given, those with the list's leader (its smallest id) as
-    ``leader`` true. In a longer list each set is paired with the leader alone, ``long`` true; ``more_pairs`` gives the rest.
+    Lists of one component give none. In a list of at most SHORT_LIST sets all such pairs are given, those with the list's
+    leader (its smallest id) as ``leader`` true. In a longer list each set is paired with the leader alone, ``long`` true;
+    ``more_pairs`` gives the rest.
     """
 
     def pairs(t: pa.Table) -> pa.Table:
-        token, own, size, rest = (
+        token, own, root, size, rest = (
             np.concatenate([np.frombuffer(x.as_buffer(), k) for x in t.column(c)])
-            for c, k in (("tokens", "<u8"), ("ids", "<i8"), ("sizes", "<i4"), ("rests", "<i4"))
+            for c, k in (("tokens", "<u8"), ("ids", "<i8"), ("moved", "<i8"), ("sizes", "<i4"), ("rests", "<i4"))
         )
-        size, rest = size.astype(np.int64), rest.astype(np.int64)
+        root = own ^ root
         by = np.lexsort((own, token))
-        token, own, size, rest = token[by], own[by], size[by], rest[by]
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (own[1:] != own[:-1])])
-        token, own, size, rest = token[new], own[new], size[new], rest[new]
+        token, own, root, size, rest = (x[by] for x in (token, own, root, size.astype(np.int64), rest.astype(np.int64)))
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        mixed_ = np.repeat(np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first), np.diff(np.append(first, len(token))))
+        token, own, root, size, rest = (x[mixed_] for x in (token, own, root, size, rest))
+        if not len(token):
+            return pa.table({c: pa.array([], k) for c, k in (("a", pa.int64()), ("b", pa.int64()), ("leader", pa.bool_()), ("long", pa.bool_()))})
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.append(first, len(token)))
         lead = np.repeat(first, length)
         n = np.repeat(length, length)
-        at = np.arange(len(token))
         out = []
-        far = np.flatnonzero((n > SHORT_LIST) & (at > lead))
+        far = np.flatnonzero((n > SHORT_LIST) & (own != own[lead]))
         if len(far):
             # the block of a list that holds no set small enough for the position of this one is skipped
             least = np.repeat(np.minimum.reduceat(size, first), length)[far]
@@ -230,7 +241,7 @@ def paired(entries: DataFrame) -> DataFrame:
             short = short[(short + step < len(token))]
             short = short[token[np.minimum(short + step, len(token) - 1)] == token[short]]
             i, j = short, short + step
-            ok = can_reach(size[i], rest[i], size[j], rest[j])
+            ok = can_reach(size[i], rest[i], size[j], rest[j]) & (root[i] != root[j])
             i, j = i[ok], j[ok]
             out.append(np.stack([own[i], own[j], (i == lead[i]).astype(np.int64), np.zeros(len(i), np.int64)], 1))
             step += 1
@@ -347,7 +358,7 @@ def more_pairs(checked: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFr
     leader's other partners. With overlaps x and y with the leader, two sets share at most min(x, y) of its tokens and
     min(rest, rest) others; pairs that can't link by that are left out.
     """
-    other = pairs.where("not leader and not long").select("a", "b")
+    other = pairs.select("a", "b")
     star = checked.where("long").select(F.col("a").alias("l"), F.col("b").alias("m"), F.col("n_b").alias("n"), "common", F.expr(LINKED).alias("ok"))
     x, y = (star.select("l", *[F.col(c).alias(f"{c}{k}") for c in ("m", "n", "common", "ok")]) for k in (1, 2))
     most = F.least("common1", "common2") + F.least(F.col("n1") - F.col("common1"), F.col("n2") - F.col("common2"))
@@ -355,12 +366,38 @@ def more_pairs(checked: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFr
     cross = cross.where(100 * F.least("n1", "n2") >= PERCENT * F.greatest("n1", "n2"))
     cross = cross.where((100 + PERCENT) * most >= PERCENT * (F.col("n1") + F.col("n2")))
     open_ = other.union(cross.select(F.least("m1", "m2"), F.greatest("m1", "m2"))).distinct()
+    return apart(open_, roots)
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ends are in different components by ``roots`` (node, root)."""
+    open_ = pairs
     for k in "ab":
         r = roots.select(F.col("node").alias(k), F.col("root").alias(f"_r{k}"))
         open_ = open_.join(r, k, "left").withColumn(f"_r{k}", F.coalesce(f"_r{k}", k))
     return open_.where("_ra <> _rb").select("a", "b")
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more ``links`` (a, b): only components are linked, not their nodes once more."""
+    ends = links
+    for k in "ab":
+        r = roots.select(F.col("node").alias(k), F.col("root").alias(f"_r{k}"))
+        ends = ends.join(r, k, "left").withColumn(f"_r{k}", F.coalesce(f"_r{k}", k))
+    ends = cut_lineage(ends.select("a", "b", "_ra", "_rb"))
+    above = components(ends.where("_ra <> _rb").select(F.least("_ra", "_rb").alias("a"), F.greatest("_ra", "_rb").alias("b")))
+    nodes = roots.union(ends.select("a", "_ra")).union(ends.select("b", "_rb")).distinct()
+    up = above.select(F.col("node").alias("root"), F.col("root").alias("_up"))
+    return cut_lineage(nodes.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root")))
+
+
+def low_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): each set of ``sets`` (digest, low) with the leader of those that share one of its smallest tokens; a < b."""
+    rows = cut_lineage(sets.select("digest", F.explode("low").alias("token")))
+    leader = rows.groupBy("token").agg(F.min("digest").alias("a"), F.max("digest").alias("_last")).where("a < _last").drop("_last")
+    return rows.join(leader, "token").where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
+
+
 def similarity_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text; others are ignored).
 
@@ -372,31 +409,47 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows, counts = described(docs)
-    sets = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
-    sets = cut_lineage(sets)
+    first_ = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    sets = rows.where("n > 0").groupBy("digest").agg(F.min(first_).alias("f"), *[F.first(c).alias(c) for c in ("n", "parity", "low")])
+    sets = cut_lineage(sets.select("digest", F.col("f.doc_id").alias("id"), F.col("f.mark").alias("mark"), "n", "parity", "low"))
+
+    def wanted(*pairs: DataFrame) -> DataFrame:
+        ends = [p.select(F.col(k).alias("digest")) for p in pairs for k in "ab"]
+        out = ends[0]
+        for e in ends[1:]:
+            out = out.union(e)
+        return out.distinct()
+
+    near = cut_lineage(may_link(low_pairs(sets), sets))
+    links = cut_lineage(overlaps(near, cut_lineage(packed_sets(docs, wanted(near)))).where(LINKED).select("a", "b"))
+    roots = cut_lineage(components(links))
+
+    # one text of each set, with its component; the text is found by its id and its hash, which no hot key has
+    known = sets.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+    known = known.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "digest", F.coalesce("root", "digest").alias("root"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     size = sets.agg(F.sum("n")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * (100 - PERCENT) // 100 // SHARD_ENTRIES))
-    pairs = cut_lineage(paired(listed(docs, counts, shards)))
+    pairs = cut_lineage(paired(listed(texts, counts, shards)))
     first = cut_lineage(may_link(pairs.where("leader or long"), sets))
-    # a long list's pairs that are ruled out bound nothing, so those lists count from what is left and from sizes alone
-    ruled = pairs.where("long").join(first.select("a", "b"), ["a", "b"], "left_anti")
     later = cut_lineage(may_link(pairs.where("not leader and not long"), sets))
-    wide = cut_lineage(ruled.join(sets.select(F.col("digest").alias("a"), F.col("n").alias("n_a")), "a").join(sets.select(F.col("digest").alias("b"), F.col("n").alias("n_b")), "b").select("a", "b", "leader", "long", "n_a", "n_b"))
-    ends = [p.select(F.col(k).alias("digest")) for p in (first, later, wide) for k in "ab"]
-    wanted = ends[0]
-    for e in ends[1:]:
-        wanted = wanted.union(e)
-    texts = cut_lineage(packed_sets(docs, wanted.distinct()))
-    checked = cut_lineage(overlaps(first.unionByName(wide), texts))
-    links = checked.where(LINKED).select("a", "b")
-    roots = components(links)
-    rest = more_pairs(checked, pairs.join(later.select("a", "b"), ["a", "b"], "left_semi"), roots)
-    rest = cut_lineage(may_link(rest, sets))
+    # the overlap with a long list's leader bounds others, so it is counted even where the two can't be linked
+    size_of = sets.select(F.col("digest"), "n")
+    ruled = pairs.where("long").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    for k in "ab":
+        ruled = ruled.join(size_of.select(F.col("digest").alias(k), F.col("n").alias(f"n_{k}")), k)
+    first = cut_lineage(first.unionByName(ruled))
+    tokens = cut_lineage(packed_sets(docs, wanted(first, later)))
+    checked = cut_lineage(overlaps(first, tokens))
+    roots = joined(roots, checked.where(LINKED).select("a", "b"))
+    rest = cut_lineage(may_link(more_pairs(checked, later, roots), sets))
     if not rest.isEmpty():
-        more = cut_lineage(overlaps(rest, texts).where(LINKED).select("a", "b"))
-        roots = components(links.union(more))
+        # pairs of a long list may be of sets that were in no pair before
+        lacking = wanted(rest).join(tokens.select("digest"), "digest", "left_anti")
+        more = tokens if lacking.isEmpty() else tokens.union(packed_sets(docs, lacking))
+        roots = joined(roots, overlaps(rest, more).where(LINKED).select("a", "b"))
     of = sets.select("digest", "id").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
-    of = of.withColumn("root", F.coalesce("root", "digest"))
+    of = cut_lineage(of.withColumn("root", F.coalesce("root", "digest")))
     low = of.groupBy("root").agg(F.min("id").alias("component_id"))
     named = of.join(low, "root").select("digest", "component_id")
     out = rows.join(named, "digest", "left")
