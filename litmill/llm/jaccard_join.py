@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litmill.llm.common import table
@@ -28,7 +28,7 @@ PARITY_BITS = 1024
 BLOOM_BITS = 1 << 23
 SHARD_ENTRIES = 400_000
 SHORT_LIST = 64
-LOWEST = 4
+LOWEST, LEADERS = 4, 24
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -351,22 +351,24 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def more_pairs(checked: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): pairs that the first comparison leaves open, as far as their sets aren't in one component by now.
+def more_pairs(checked: DataFrame, roots: DataFrame, leaders: int | None = None) -> DataFrame:
+    """(a, b): pairs of long lists that the first comparison leaves open, as far as their sets aren't in one component by now.
 
-    They are the short lists' other pairs, and in long lists the pairs of a set that isn't linked to the leader with the
-    leader's other partners. With overlaps x and y with the leader, two sets share at most min(x, y) of its tokens and
+    They are the pairs of a set that isn't linked to the leader with the leader's other partners; with ``leaders``, of so many
+    such sets of each leader only. With overlaps x and y with the leader, two sets share at most min(x, y) of its tokens and
     min(rest, rest) others; pairs that can't link by that are left out.
     """
-    other = pairs.select("a", "b")
-    star = checked.where("long").select(F.col("a").alias("l"), F.col("b").alias("m"), F.col("n_b").alias("n"), "common", F.expr(LINKED).alias("ok"))
-    x, y = (star.select("l", *[F.col(c).alias(f"{c}{k}") for c in ("m", "n", "common", "ok")]) for k in (1, 2))
+    star = checked.where("long").select(F.col("a").alias("l"), F.col("b").alias("node"), F.col("n_b").alias("n"), "common", F.expr(LINKED).alias("ok"))
+    star = cut_lineage(star.join(roots, "node", "left").select("l", F.col("node").alias("m"), "n", "common", "ok", F.coalesce("root", "node").alias("root")))
+    x, y = (star.select("l", *[F.col(c).alias(f"{c}{k}") for c in ("m", "n", "common", "ok", "root")]) for k in (1, 2))
+    x = x.where("not ok1")
+    if leaders:
+        x = x.withColumn("_k", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("m1"), "m1"))).where(F.col("_k") <= leaders).drop("_k")
     most = F.least("common1", "common2") + F.least(F.col("n1") - F.col("common1"), F.col("n2") - F.col("common2"))
-    cross = x.where("not ok1").join(y, "l").where("m1 < m2 or (ok2 and m1 <> m2)")
+    cross = x.join(y, "l").where("root1 <> root2" if leaders else "root1 <> root2 and (ok2 or m1 < m2)")
     cross = cross.where(100 * F.least("n1", "n2") >= PERCENT * F.greatest("n1", "n2"))
     cross = cross.where((100 + PERCENT) * most >= PERCENT * (F.col("n1") + F.col("n2")))
-    open_ = other.union(cross.select(F.least("m1", "m2"), F.greatest("m1", "m2"))).distinct()
-    return apart(open_, roots)
+    return cross.select(F.least("m1", "m2").alias("a"), F.greatest("m1", "m2").alias("b")).distinct()
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -442,12 +444,17 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     tokens = cut_lineage(packed_sets(docs, wanted(first, later)))
     checked = cut_lineage(overlaps(first, tokens))
     roots = joined(roots, checked.where(LINKED).select("a", "b"))
-    rest = cut_lineage(may_link(more_pairs(checked, later, roots), sets))
-    if not rest.isEmpty():
-        # pairs of a long list may be of sets that were in no pair before
-        lacking = wanted(rest).join(tokens.select("digest"), "digest", "left_anti")
-        more = tokens if lacking.isEmpty() else tokens.union(packed_sets(docs, lacking))
-        roots = joined(roots, overlaps(rest, more).where(LINKED).select("a", "b"))
+    # then the short lists' other pairs and some more leaders of each long list, and in the end whatever is left
+    for last in (False, True):
+        rest = more_pairs(checked, roots, None if last else LEADERS)
+        rest = rest if last else rest.union(apart(later.select("a", "b"), roots)).distinct()
+        rest = cut_lineage(may_link(rest, sets))
+        if not rest.isEmpty():
+            # pairs of a long list may be of sets that were in no pair before
+            lacking = wanted(rest).join(tokens.select("digest"), "digest", "left_anti")
+            if not lacking.isEmpty():
+                tokens = tokens.union(cut_lineage(packed_sets(docs, cut_lineage(lacking))))
+            roots = joined(roots, overlaps(rest, tokens).where(LINKED).select("a", "b"))
     of = sets.select("digest", "id").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     of = cut_lineage(of.withColumn("root", F.coalesce("root", "digest")))
     low = of.groupBy("root").agg(F.min("id").alias("component_id"))
