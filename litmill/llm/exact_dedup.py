@@ -45,10 +45,14 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def unseen(self, groups: DataFrame) -> DataFrame:
+        """Those of ``groups`` that the index lacks: a sort-merge anti-join that reads the index by bucket, without a shuffle."""
+        known = self.rows().select("digest").hint("merge")
+        return groups.join(known, "digest", "left_anti").select("digest", "keep_id", "group_size")
+
     def add(self, groups: DataFrame) -> None:
         """Appends the digests that the index lacks; ``groups`` has one row per digest."""
-        known = self.rows().select("digest").hint("merge")
-        new = groups.join(known, "digest", "left_anti").select("digest", "keep_id", "group_size")
+        new = self.unseen(groups)
         # the scan of the index ends before the append begins, so that no task reads files of the same batch
         self._append(cut_lineage(new).repartition(self.buckets, "digest"))
 
