@@ -11,6 +11,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from litmill.session import cut_lineage
 
 SIZE = 2048
 END = 0
-KNOWN_WORDS, KNOWN_LENGTH = 200_000, 40
+KNOWN_WORDS, KNOWN_LENGTH = 1_000_000, 40
 SLOTS = "length long, rank_from long, rank_to long, sequence_from long, per_sequence long, offset_from long"
 
 
@@ -36,8 +37,10 @@ def word_file() -> str:
 class Ids:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer cuts at white space and drops it, so a text's ids are those of its blank-separated parts, one after
-    another. Ids of short parts are kept in a table of bounded size; it is emptied when full.
+    The tokenizer lower-cases, and cuts at white space, which it drops, and between letters and signs. So a text's ids are those
+    of its blank-separated parts, one after another, and those of a part of letters with a full stop or comma are the
+    letters' and the sign's. Ids of short parts are kept in a table of bounded size; it is emptied when full. New parts are
+    encoded together; the offsets tell whose ids they are.
     """
 
     def __init__(self, path: str):
@@ -45,18 +48,40 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def _new(self, parts: list[str]) -> dict[str, bytes]:
+    def _encoded(self, parts: list[bytes]) -> dict[bytes, bytes]:
         out = {}
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            for p, e in zip(some, self.of.encode_batch(some, add_special_tokens=False), strict=True):
-                out[p] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(parts), 20_000):
+            some = [p.decode() for p in parts[at : at + 20_000]]
+            e = self.of.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            starts = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            size = np.fromiter(map(len, some), np.int64, len(some)) + 1
+            edges = (4 * np.searchsorted(starts, np.concatenate([[0], np.cumsum(size)]))).tolist()
+            for p, a, b in zip(parts[at : at + 20_000], edges[:-1], edges[1:], strict=True):
+                out[p] = ids[a:b]
+        return out
+
+    def _new(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        whole, signed = {}, []
+        for p in parts:
+            if p[-1:] in (b".", b",") and p[:-1].decode().lower().isalpha():  # lower case may end in a mark
+                signed.append(p)
+                whole[p[:-1]] = whole[p[-1:]] = None
+            else:
+                whole[p] = None
+        out = {p: self.known[p] for p in whole if p in self.known}
+        out |= self._encoded([p for p in whole if p not in out])
+        for p in signed:
+            out[p] = out[p[:-1]] + out[p[-1:]]
         return out
 
     def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
+        raw = text.encode()
+        if b"<|" not in raw:  # special tokens are told by their case
+            raw = raw.lower()
+        parts = raw.replace(b"\n", b" ").split(b" ")
         try:
             return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
@@ -68,6 +93,12 @@ class Ids:
             return ids
 
 
+@lru_cache(maxsize=1)
+def ids_of(path: str) -> Ids:
+    """One for each Python worker, so that a task finds the words of the tasks before it."""
+    return Ids(path)
+
+
 def pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document: its ids and one id 0, cut every ``size``.
 
@@ -75,7 +106,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = True)
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = ids_of(path)
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
