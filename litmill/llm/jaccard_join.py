@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litmill.llm.common import table
@@ -28,7 +28,7 @@ PARITY_BITS = 1024
 BLOOM_BITS = 1 << 23
 SHARD_ENTRIES = 400_000
 SHORT_LIST = 64
-LOWEST, LEADERS = 4, 24
+LOWEST, LEADERS, ROUNDS = 4, 24, 1
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,10 +103,17 @@ def digest(s: np.ndarray) -> int:
     return int((mixed(s * ODD + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64))
 
 
-def parity(s: np.ndarray) -> bytes:
+def parity(s: np.ndarray) -> np.ndarray:
     """Which of PARITY_BITS remainders occur oddly often: the bits in which two sets differ can't outnumber their difference."""
     odd = np.bincount((s % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def can_link(n_a: Column, p_a: Column, n_b: Column, p_b: Column) -> Column:
+    """Whether sizes and parities let two sets link: their overlap is at most (total - differing bits) / 2."""
+    differ = sum((F.bit_count(p_a[k].bitwiseXOR(p_b[k])) for k in range(1, PARITY_BITS // 64)), F.bit_count(p_a[0].bitwiseXOR(p_b[0])))
+    total = n_a + n_b
+    return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & ((100 + PERCENT) * (total - differ) >= 2 * PERCENT * total)
 
 
 def described(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -135,16 +142,16 @@ def described(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                     tokens = []
             if tokens:
                 counts += np.bincount(np.concatenate(tokens), minlength=len(counts)).astype(np.uint32)
-            cols = [pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(odd, pa.binary()), pa.array(low, pa.list_(pa.int64()))]
+            cols = [pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if key is not None:
             parts = [p.tobytes() for p in np.split(np.minimum(counts, 65535).astype("<u2"), SLICES)]
-            none = [pa.nulls(SLICES, t) for t in (key, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+            none = [pa.nulls(SLICES, t) for t in (key, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
     rows = cut_lineage(
         docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(
-            scan, f"doc_id {kind}, mark long, n long, digest long, parity binary, low array<long>, slice int, counts binary"
+            scan, f"doc_id {kind}, mark long, n long, digest long, parity array<long>, low array<long>, slice int, counts binary"
         )
     )
 
@@ -254,25 +261,9 @@ def paired(entries: DataFrame) -> DataFrame:
 
 def may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) with n_a, n_b of ``sets`` (digest, n, parity), without those that sizes or parities rule out."""
-    out = pairs
-    for k in "ab":
-        side = sets.select(F.col("digest").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"_p{k}"))
-        out = out.join(side, k)
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(t.num_rows, -1) for c in ("_pa", "_pb"))
-            apart = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
-            total = t.column("n_a").to_numpy() + t.column("n_b").to_numpy()
-            # overlap <= (total - apart) / 2, and linked sets overlap in PERCENT / (100 + PERCENT) of the total
-            ok = (100 + PERCENT) * (total - apart) >= 2 * PERCENT * total
-            yield from t.drop_columns(["_pa", "_pb"]).filter(pa.array(ok)).to_batches()
-
-    out = out.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    kept = [f for f in out.schema.fields if not f.name.startswith("_p")]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    return out.select(*[f.name for f in kept], "_pa", "_pb").mapInArrow(differ, schema)
+    a, b = (sets.select(F.col("digest").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"_p{k}")) for k in "ab")
+    both = pairs.join(a, "a").join(b.withColumnRenamed("b", "_b"), (F.col("b") == F.col("_b")) & can_link(F.col("n_a"), F.col("_pa"), F.col("n_b"), F.col("_pb")))
+    return both.drop("_pa", "_pb", "_b")
 
 
 def packed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -351,7 +342,7 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def more_pairs(checked: DataFrame, roots: DataFrame, leaders: int | None = None) -> DataFrame:
+def more_pairs(checked: DataFrame, sets: DataFrame, roots: DataFrame, leaders: int | None = None, seed: int = 0) -> DataFrame:
     """(a, b): pairs of long lists that the first comparison leaves open, as far as their sets aren't in one component by now.
 
     They are the pairs of a set that isn't linked to the leader with the leader's other partners; with ``leaders``, of so many
@@ -359,15 +350,15 @@ def more_pairs(checked: DataFrame, roots: DataFrame, leaders: int | None = None)
     min(rest, rest) others; pairs that can't link by that are left out.
     """
     star = checked.where("long").select(F.col("a").alias("l"), F.col("b").alias("node"), F.col("n_b").alias("n"), "common", F.expr(LINKED).alias("ok"))
-    star = cut_lineage(star.join(roots, "node", "left").select("l", F.col("node").alias("m"), "n", "common", "ok", F.coalesce("root", "node").alias("root")))
-    x, y = (star.select("l", *[F.col(c).alias(f"{c}{k}") for c in ("m", "n", "common", "ok", "root")]) for k in (1, 2))
+    star = star.join(roots, "node", "left").join(sets.select(F.col("digest").alias("node"), "parity"), "node")
+    star = cut_lineage(star.select("l", F.col("node").alias("m"), "n", "common", "ok", F.coalesce("root", "node").alias("root"), "parity"))
+    x, y = (star.select("l", *[F.col(c).alias(f"{c}{k}") for c in ("m", "n", "common", "ok", "root", "parity")]) for k in (1, 2))
     x = x.where("not ok1")
     if leaders:
-        x = x.withColumn("_k", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("m1"), "m1"))).where(F.col("_k") <= leaders).drop("_k")
+        x = x.withColumn("_k", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("m1", F.lit(seed)), "m1"))).where(F.col("_k") <= leaders).drop("_k")
     most = F.least("common1", "common2") + F.least(F.col("n1") - F.col("common1"), F.col("n2") - F.col("common2"))
     cross = x.join(y, "l").where("root1 <> root2" if leaders else "root1 <> root2 and (ok2 or m1 < m2)")
-    cross = cross.where(100 * F.least("n1", "n2") >= PERCENT * F.greatest("n1", "n2"))
-    cross = cross.where((100 + PERCENT) * most >= PERCENT * (F.col("n1") + F.col("n2")))
+    cross = cross.where(((100 + PERCENT) * most >= PERCENT * (F.col("n1") + F.col("n2"))) & can_link(F.col("n1"), F.col("parity1"), F.col("n2"), F.col("parity2")))
     return cross.select(F.least("m1", "m2").alias("a"), F.greatest("m1", "m2").alias("b")).distinct()
 
 
@@ -444,10 +435,10 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     tokens = cut_lineage(packed_sets(docs, wanted(first, later)))
     checked = cut_lineage(overlaps(first, tokens))
     roots = joined(roots, checked.where(LINKED).select("a", "b"))
-    # then the short lists' other pairs and some more leaders of each long list, and in the end whatever is left
-    for last in (False, True):
-        rest = more_pairs(checked, roots, None if last else LEADERS)
-        rest = rest if last else rest.union(apart(later.select("a", "b"), roots)).distinct()
+    # then the short lists' other pairs and some more leaders of each long list, in the end whatever is left
+    for k in range(ROUNDS + 1):
+        rest = more_pairs(checked, sets, roots, LEADERS if k < ROUNDS else None, k)
+        rest = rest if k else rest.union(apart(later.select("a", "b"), roots)).distinct()
         rest = cut_lineage(may_link(rest, sets))
         if not rest.isEmpty():
             # pairs of a long list may be of sets that were in no pair before
