@@ -39,8 +39,8 @@ class Ids:
 
     The tokenizer lower-cases, and cuts at white space, which it drops, and between letters and signs. So a text's ids are those
     of its blank-separated parts, one after another, and those of a part of letters with a full stop or comma are the
-    letters' and the sign's. Ids of short parts are kept in a table of bounded size; it is emptied when full. New parts are
-    encoded together; the offsets tell whose ids they are.
+    letters' and the sign's. Ids of short parts are kept in a table of bounded size; a full one stays as the older table,
+    from which parts that come again are taken over. New parts are encoded together; the offsets tell whose ids they are.
     """
 
     def __init__(self, path: str):
@@ -49,6 +49,7 @@ class Ids:
 
         self.of = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encoded(self, parts: list[bytes]) -> dict[bytes, bytes]:
         out = {}
@@ -71,7 +72,7 @@ class Ids:
                 whole[p[:-1]] = whole[p[-1:]] = None
             else:
                 whole[p] = None
-        out = {p: self.known[p] for p in whole if p in self.known}
+        out = {p: ids for p in whole if (ids := self.known.get(p, self.older.get(p))) is not None}
         out |= self._encoded([p for p in whole if p not in out])
         for p in signed:
             out[p] = out[p[:-1]] + out[p[-1:]]
@@ -85,10 +86,12 @@ class Ids:
         try:
             return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
-            new = self._new([p for p in dict.fromkeys(parts) if p not in self.known])
+            missing = [p for p in dict.fromkeys(parts) if p not in self.known]
+            new = {p: self.older[p] for p in missing if p in self.older}
+            new |= self._new([p for p in missing if p not in new])
             ids = b"".join([self.known[p] if p in self.known else new[p] for p in parts])
             if len(self.known) + len(new) > KNOWN_WORDS:
-                self.known = {}
+                self.known, self.older = {}, self.known
             self.known.update((p, v) for p, v in new.items() if len(p) <= KNOWN_LENGTH)
             return ids
 
