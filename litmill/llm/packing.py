@@ -43,7 +43,8 @@ class Ids:
     from which parts that come again are taken over. New parts are encoded together; the offsets tell whose ids they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_words: int = KNOWN_WORDS):
+        self.most = known_words
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -90,26 +91,27 @@ class Ids:
             new = {p: self.older[p] for p in missing if p in self.older}
             new |= self._new([p for p in missing if p not in new])
             ids = b"".join([self.known[p] if p in self.known else new[p] for p in parts])
-            if len(self.known) + len(new) > KNOWN_WORDS:
+            if len(self.known) + len(new) > self.most:
                 self.known, self.older = {}, self.known
             self.known.update((p, v) for p, v in new.items() if len(p) <= KNOWN_LENGTH)
             return ids
 
 
 @lru_cache(maxsize=1)
-def ids_of(path: str) -> Ids:
+def ids_of(path: str, known_words: int) -> Ids:
     """One for each Python worker, so that a task finds the words of the tasks before it."""
-    return Ids(path)
+    return Ids(path, known_words)
 
 
-def pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = True, known_words: int = KNOWN_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document: its ids and one id 0, cut every ``size``.
 
-    ``ids``: little-endian 32-bit. Null and empty texts give the id 0 alone.
+    ``ids``: little-endian 32-bit. Null and empty texts give the id 0 alone. A Python worker keeps the ids of at most twice
+    ``known_words`` words, about 150 bytes each.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(path)
+        ids = ids_of(path, known_words)
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -200,9 +202,9 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     return out.select(*cut.columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, size: int = SIZE, known_words: int = KNOWN_WORDS) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text; others are ignored) with their places, without the ids themselves."""
-    return pack(cut_lineage(pieces(docs, path or word_file(), size, with_ids=False)), size)
+    return pack(cut_lineage(pieces(docs, path or word_file(), size, False, known_words)), size)
 
 
 def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
