@@ -355,7 +355,7 @@ def controlled_judgement(dimension: Column, text: Column) -> Column:
     """A free comparison mapped to the vocabulary by its direction."""
     low = F.lower(squeeze(F.coalesce(text, F.lit(""))))
     a = contains_any(low, rv.POSITIVE_A)
-    b = contains_any(low, [p.replace("paper a", "paper b") for p in rv.POSITIVE_A])
+    b = contains_any(low, rv.POSITIVE_B)
     out = []
     for d, (ahead_a, ahead_b, alike, unclear) in rv.PAIRWISE.items():
         options = [ahead_a, ahead_b, alike, unclear] + ([rv.FOUNDATIONAL_A, rv.FOUNDATIONAL_B] if d == "novelty" else [])
@@ -480,7 +480,7 @@ def uncontradicted(evidence: Column) -> Column:
     def keep(ms: Column) -> Column:
         def contradicted(e: Column) -> Column:
             same = F.exists(tokens, lambda t: F.contains(low(e), t) & F.exists(ms, lambda m: F.contains(low(m), t)))
-            task = F.contains(low(e), F.lit("text classification")) & F.exists(ms, lambda m: contains_any(low(m), rv.DATASET_TOKENS[:1] + rv.DATASET_TOKENS[2:5]))
+            task = F.contains(low(e), F.lit("text classification")) & F.exists(ms, lambda m: contains_any(low(m), rv.TEXT_DATASETS))
             return contains_any(low(e), rv.NOT_EVALUATED) & (same | task)
 
         return F.filter(evidence, lambda e: ~contradicted(e))
