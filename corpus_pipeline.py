@@ -49,7 +49,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences. The workers serve the other stages too, so they keep fewer words."""
-    return pack_documents(docs, known_words=150_000)
+    return pack_documents(docs, known_words=50_000)
 
 
 STAGES = [

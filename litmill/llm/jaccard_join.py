@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from litmill.llm.common import table
+from litmill.llm.common import release, table
 from litmill.session import cut_lineage
 
 N, PERCENT = 5, 75
@@ -144,6 +144,7 @@ def described(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 counts += np.bincount(np.concatenate(tokens), minlength=len(counts)).astype(np.uint32)
             cols = [pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+        release()
         if key is not None:
             parts = [p.tobytes() for p in np.split(np.minimum(counts, 65535).astype("<u2"), SLICES)]
             none = [pa.nulls(SLICES, t) for t in (key, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
@@ -205,6 +206,7 @@ def listed(texts: DataFrame, counts: np.ndarray, shards: int) -> DataFrame:
             cols = [c[by] for c in cols]
             packed = [pa.array([c[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary()) for c in cols]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *packed], ["shard", "tokens", "ids", "moved", "sizes", "rests"])
+        release()
 
     return texts.select("digest", "root", "text").mapInArrow(scan, "shard long, tokens binary, ids binary, moved binary, sizes binary, rests binary")
 
@@ -288,6 +290,7 @@ def packed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if len(s) and some[(own := digest(s)) % BLOOM_BITS] and own not in out:
                     out[own] = s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["digest", "tokens"])
+        release()
 
     found = docs.select("text").mapInArrow(scan, "digest long, tokens binary")
     return found.join(wanted, "digest").groupBy("digest").agg(F.first("tokens").alias("tokens"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm.common import BLANKS, table
+from litmill.llm.common import BLANKS, release, table
 from litmill.session import cut_lineage
 
 MIN_POINTS = 10
@@ -113,6 +113,8 @@ def line_keys(rows: DataFrame, points: int = MIN_POINTS) -> DataFrame:
             columns = [np.full(len(h), name, np.int64), h[:, 0], h[:, 1], pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(n, pa.int32())]
             columns.append(pa.array([b"".join(r) for r in refs], pa.binary()))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["batch", "h1", "h2", "lo", "hi", "n", "refs"])
+            del found, columns, refs
+        release()
 
     return rows.select("id", "mark", "text").mapInArrow(hashed, KEYS)
 
