@@ -65,10 +65,11 @@ def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
     return agg.select(*keys, "_row.*").select(*df.columns)
 
 
-def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each group with their rank; Spark limits each partition before the shuffle."""
+def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each group (all without ``k``) with their rank; Spark limits each partition before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    out = df.withColumn(rank, F.row_number().over(w))
+    return out if k is None else out.where(F.col(rank) <= k)
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], bucket: Column) -> DataFrame:

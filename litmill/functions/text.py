@@ -18,6 +18,16 @@ NOT_BEFORE = rf"(?<![{WORD}])"
 NOT_AFTER = rf"(?![{WORD}])"
 
 
+def first_of(items: Column, n: int | None) -> Column:
+    """The first ``n`` items of an array; all of them without ``n``."""
+    return items if n is None else F.slice(items, 1, n)
+
+
+def start_of(text: Column, n: int | None) -> Column:
+    """The first ``n`` characters of a text; the whole text without ``n``."""
+    return text if n is None else F.substring(text, 1, n)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``.
 

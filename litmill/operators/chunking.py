@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litmill.functions import fixed_values as fv
-from litmill.functions.text import let, lines, squeeze, strip, word_count, words
+from litmill.functions.text import first_of, let, lines, squeeze, strip, word_count, words
 from litmill.operators.cleaning import cleaned, expanded, without_back_matter
 from litmill.operators.fusion import rank_chunks
 from litmill.operators.lexical import counted
@@ -177,14 +177,14 @@ def layout_chunks(docs: DataFrame, size: int = 1500, overlap: int = 300, min_wor
 # ---- character chunkers --------------------------------------------------------------------------------------
 
 
-def _sliding(t: Column, size: int, step: int, limit: int, min_chars: int) -> Column:
+def _sliding(t: Column, size: int, step: int, limit: int | None, min_chars: int) -> Column:
     starts = F.when(F.length(t) > 0, F.sequence(F.lit(0), F.length(t) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
     pieces = F.transform(starts, lambda s: strip(F.substring(t, s + 1, F.lit(size))))
-    return F.slice(F.filter(pieces, lambda c: F.length(c) >= min_chars), 1, limit)
+    return first_of(F.filter(pieces, lambda c: F.length(c) >= min_chars), limit)
 
 
-def sliding_chunks(docs: DataFrame, size: int = 2800, step: int = 900, limit: int = 30, min_chars: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, chunk_no, text): windows of ``size`` characters every ``step``, at most ``limit`` per document."""
+def sliding_chunks(docs: DataFrame, size: int = 2800, step: int = 900, limit: int | None = None, min_chars: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, chunk_no, text): windows of ``size`` characters every ``step`` over the whole text; ``limit`` keeps the first ones."""
     return _exploded(docs, let(strip(F.coalesce(F.col(text), F.lit(""))), lambda t: _sliding(t, size, step, limit, min_chars)), key)
 
 
@@ -246,11 +246,11 @@ def page_merge_chunks(docs: DataFrame, min_chars: int = 150, limit: int = 4000,
     return _exploded(docs, let(strip(F.coalesce(F.col(text), F.lit(""))), lambda t: _page_merged(t, min_chars, limit)), key)
 
 
-def boundary_chunks(docs: DataFrame, size: int = 8000, overlap: int = 500, max_chunks: int | None = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
+def boundary_chunks(docs: DataFrame, size: int = 8000, overlap: int = 500, max_chunks: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, chunk_no, start, stop, text): chunks that end at a paragraph or sentence in their second half.
 
-    The cap is part of the operator; ``max_chunks=None`` covers the whole text. The last chunk is the
-    first one that reaches the end.
+    They cover the whole text; ``max_chunks`` keeps the first ones. The last chunk is the first one that
+    reaches the end.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     row = "array<struct<start:int,stop:int>>"
@@ -262,7 +262,7 @@ def boundary_chunks(docs: DataFrame, size: int = 8000, overlap: int = 500, max_c
 
     def cut(body: Column) -> Column:
         n = F.length(body)
-        turns = F.ceil(n / (size // 2 - max(overlap, size // 4) + size // 4)).cast("int") if max_chunks is None else F.lit(max_chunks)
+        turns = F.ceil(n / (size // 2 - min(overlap, size // 4))).cast("int") if max_chunks is None else F.lit(max_chunks)
         first = F.struct(F.array().cast(row).alias("out"), F.lit(0).alias("at"), F.lit(False).alias("done"))
 
         def step(acc: Column, _: Column) -> Column:
@@ -370,27 +370,27 @@ def stitch_overlap(chunks: DataFrame, k: int = 1, key: str = "doc_id") -> DataFr
 # ---- strategies -------------------------------------------------------------------------------------------------------
 
 
-def fallback_chunks(docs: DataFrame, max_total: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Page, section and sliding chunks of a document in this order, equal ones once, at most ``max_total``."""
+def fallback_chunks(docs: DataFrame, max_total: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Page, section and sliding chunks of a document in this order, equal ones once; ``max_total`` keeps the first ones."""
 
     def both(t: Column) -> Column:
-        every = F.concat(_page_merged(t, 120, 4000), _section_packed(t, 2600, 900, 200), _sliding(t, 2400, 700, 40, 200))
-        return F.slice(F.array_distinct(F.filter(F.transform(every, strip), lambda c: F.length(c) >= 200)), 1, max_total)
+        every = F.concat(_page_merged(t, 120, 4000), _section_packed(t, 2600, 900, 200), _sliding(t, 2400, 700, None, 200))
+        return first_of(F.array_distinct(F.filter(F.transform(every, strip), lambda c: F.length(c) >= 200)), max_total)
 
     return _exploded(docs, let(strip(F.coalesce(F.col(text), F.lit(""))), both), key)
 
 
-def build_chunks(docs: DataFrame, strategy: str = "semantic", top: int = 28, max_total: int = 40, key: str = "doc_id") -> DataFrame:
-    """Chunks by one strategy, ranked by priority words; the best ``top`` of each document."""
+def build_chunks(docs: DataFrame, strategy: str = "semantic", top: int | None = None, key: str = "doc_id") -> DataFrame:
+    """Chunks by one strategy, ranked by priority words; all of them, or the best ``top`` of each document."""
     makers = {
         "semantic": lambda: semantic_chunks(docs, key=key),
         "custom": lambda: custom_chunks(docs, key=key),
         "sections": lambda: section_pack_chunks(docs, 2600, 900, key=key),
-        "sliding": lambda: sliding_chunks(docs, 2400, 700, 40, key=key),
+        "sliding": lambda: sliding_chunks(docs, 2400, 700, key=key),
         "pages": lambda: page_merge_chunks(docs, 120, key=key),
     }
-    chunks = makers.get(strategy.lower().strip(), lambda: fallback_chunks(docs, max_total, key))()
-    return rank_chunks(chunks.select(F.col(key).alias("doc_id"), "chunk_no", "text"), min(top, max_total))
+    chunks = makers.get(strategy.lower().strip(), lambda: fallback_chunks(docs, key=key))()
+    return rank_chunks(chunks.select(F.col(key).alias("doc_id"), "chunk_no", "text"), top)
 
 
 def preprocessed_chunks(docs: DataFrame, strategy: str = "semantic") -> DataFrame:
@@ -435,8 +435,9 @@ def chunk_metadata(chunks: DataFrame, keywords: int = 10) -> DataFrame:
 
 def element_context(elements: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds ``context``: the lines around the line that holds an equation's text or a caption; figures also get
-    the lines around mentions of their number. Without a hit, the first 500 characters of the page.
+    the lines around mentions of their number. Without a hit, the page.
 
+    The first lines of the text and of the caption are looked for whole.
     elements: doc_id, page_num, element_type, number, text, caption, latex; pages: doc_id, page_num, text.
     """
     p = pages.select("doc_id", "page_num", F.col("text").alias("_page"))
@@ -451,9 +452,9 @@ def element_context(elements: DataFrame, pages: DataFrame) -> DataFrame:
 
     def context(ls: Column) -> Column:
         latex = F.coalesce("latex", F.lit(""))
-        eq = first_hit(ls, lambda l: (latex != "") & (F.contains(l, F.substring("text", 1, 50)) | F.contains(l, latex)))
-        cap30 = F.substring(F.coalesce("caption", F.lit("")), 1, 30)
-        cap = first_hit(ls, lambda l: F.contains(l, cap30) & ((cap30 != "") | (kind == "table")))
+        eq = first_hit(ls, lambda l: (latex != "") & (F.contains(l, F.split("text", "\n", 2)[0]) | F.contains(l, latex)))
+        caption = F.split(F.coalesce("caption", F.lit("")), "\n", 2)[0]
+        cap = first_hit(ls, lambda l: F.contains(l, caption) & ((caption != "") | (kind == "table")))
         n = F.col("number").cast("string")
         refs = [F.concat(F.lit(x), n) for x in ("Figure ", "Fig. ", "Fig ", "figure ")]
 
@@ -466,11 +467,11 @@ def element_context(elements: DataFrame, pages: DataFrame) -> DataFrame:
         return (
             F.when((kind == "equation") & (eq >= 0), around(ls, eq, fv.CONTEXT_WINDOW["equation"], fv.CONTEXT_WINDOW["equation"]))
             .when((kind == "table") & (cap >= 0), around(ls, cap, fv.CONTEXT_WINDOW["table"], fv.CONTEXT_WINDOW["table"]))
-            .when((kind == "figure") & (F.size(figure) > 0), F.substring(F.array_join(figure, " "), 1, 800))
+            .when((kind == "figure") & (F.size(figure) > 0), F.array_join(figure, " "))
         )
 
     rows = elements.join(p, ["doc_id", "page_num"], "left")
-    return rows.withColumn("context", F.coalesce(let(lines(F.coalesce("_page", F.lit(""))), context), F.substring("_page", 1, 500))).drop("_page")
+    return rows.withColumn("context", F.coalesce(let(lines(F.coalesce("_page", F.lit(""))), context), F.col("_page"))).drop("_page")
 
 
 def build_all_chunks(text_chunks: DataFrame, elements: DataFrame, pages: DataFrame, min_chars: int = 100) -> DataFrame:
@@ -498,7 +499,7 @@ CANONICAL = ["abstract", "introduction", "methodology", "results", "conclusion",
 def canonical_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, abstract, introduction, methodology, results, conclusion, limitations, future_work) of markdown documents.
 
-    Several headings add to one section; without headings the first 8000 characters are the introduction.
+    Several headings add to one section; without headings the whole text is the introduction.
     """
     heading = r"(?m)^#{1,4}\s+(.+)$"
     t = F.coalesce(F.col(text), F.lit(""))
@@ -518,6 +519,6 @@ def canonical_sections(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     def section(s: str) -> Column:
         joined = strip(F.array_join(F.transform(F.filter("_p", lambda p: p["section"] == s), lambda p: p["body"]), "\n\n"))
-        return F.when(F.col("_n") == 0, F.substring("_t", 1, 8000)).otherwise(joined).alias(s) if s == "introduction" else joined.alias(s)
+        return F.when(F.col("_n") == 0, F.col("_t")).otherwise(joined).alias(s) if s == "introduction" else joined.alias(s)
 
     return rows.select(key, *[section(s) for s in CANONICAL])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from litmill.functions import fixed_values as fv
 from litmill.functions.skew import top_k
-from litmill.functions.text import bigrams, count_contained, jaccard, squeeze, words
+from litmill.functions.text import bigrams, count_contained, jaccard, squeeze, start_of, words
 from litmill.operators import lexical
 from litmill.operators.lexical import TermIndex, bm25, ranked, tokens_of
 from litmill.operators.vectors import knn
@@ -154,12 +154,12 @@ def all_contexts(vector_hits: DataFrame, graph_facts: DataFrame) -> DataFrame:
     return v.unionByName(g)
 
 
-def build_context(contexts: DataFrame, max_chars: int = 1500) -> DataFrame:
+def build_context(contexts: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(query_id, context): numbered text blocks, then numbered facts. contexts carry the rank of a top-k table."""
     text = F.col("text")
-    cut = F.concat(
-        F.rtrim(F.substring(text, 1, max_chars), F.lit(" \t\n\r\x0b\f")), F.when(F.length(text) > max_chars, "…").otherwise("")
-    )
+    cut = F.rtrim(start_of(text, max_chars), F.lit(" \t\n\r\x0b\f"))
+    if max_chars is not None:
+        cut = F.concat(cut, F.when(F.length(text) > max_chars, "…").otherwise(""))
     item = F.struct("rank", F.when(F.col("source_type") == fv.VECTOR_SOURCE, cut).otherwise(text).alias("text"))
     per_source = lambda s: F.array_sort(F.collect_list(F.when(F.col("source_type") == s, item)))
     listed = contexts.groupBy("query_id").agg(per_source(fv.VECTOR_SOURCE).alias("v"), per_source(fv.GRAPH_SOURCE).alias("g"))
@@ -188,8 +188,8 @@ def collect_citations(sources: DataFrame, key: str = "answer_id") -> DataFrame:
     return listed.select(key, F.transform("l", lambda x: x["label"]).alias("citations"))
 
 
-def rank_chunks(chunks: DataFrame, k: int = 28) -> DataFrame:
-    """Chunks of each document by how many priority words they hold, one more for a heading mark; earlier first on a tie."""
+def rank_chunks(chunks: DataFrame, k: int | None = None) -> DataFrame:
+    """Chunks of each document (the best ``k`` if given) by how many priority words they hold, one more for a heading mark; earlier first on a tie."""
     score = count_contained(F.lower("text"), fv.PRIORITY_KEYWORDS) + F.col("text").contains("##").cast("int")
     return top_k(chunks.withColumn("score", score), ["doc_id"], [F.col("score").desc(), F.col("chunk_no")], k)
 
@@ -295,7 +295,7 @@ def extractive_answers(queries: DataFrame, pages: DataFrame, results: DataFrame,
     pair = pair.select("query_id", F.transform("s", lambda x: x["t"]).alias("snips"))
     best = selected.groupBy("query_id").pivot("element_type", list(fv.ELEMENT_TYPES)).agg(F.min("number"))
     top = results.where("rank = 1").join(chunks.select("chunk_id", "text", "page_num"), "chunk_id").select(
-        "query_id", F.substring(squeeze(F.col("text")), 1, 500).alias("first_text"), F.col("page_num").alias("first_page")
+        "query_id", squeeze(F.col("text")).alias("first_text"), F.col("page_num").alias("first_page")
     )
     rows = (
         q.join(abstracts.select("doc_id", "abstract"), "doc_id", "left")
@@ -307,7 +307,7 @@ def extractive_answers(queries: DataFrame, pages: DataFrame, results: DataFrame,
     found = F.coalesce("snips", F.array().cast("array<string>"))
     summary = F.slice(
         F.concat(
-            F.when(F.coalesce("abstract", F.lit("")) != "", F.array(F.substring("abstract", 1, 700))).otherwise(F.array().cast("array<string>")), found
+            F.when(F.coalesce("abstract", F.lit("")) != "", F.array(F.col("abstract"))).otherwise(F.array().cast("array<string>")), found
         ), 1, 2,
     )
     missing = F.lit(fv.NOT_CONTAINED)

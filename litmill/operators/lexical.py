@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from litmill.functions import fixed_values as fv
 from litmill.functions.skew import top_k
-from litmill.functions.text import contains_any, let, squeeze
+from litmill.functions.text import contains_any, first_of, let, squeeze
 from litmill.operators.lines import excerpt_of, requested_numbers
 from litmill.session import cut_lineage
 
@@ -159,15 +159,15 @@ def _digit_parts(run: Column) -> Column:
 def bm25_boosted(
     queries: DataFrame, chunks: DataFrame, index: TermIndex, k: int = 5, chunk_type: str | None = None
 ) -> DataFrame:
-    """BM25 plus boosts: chunk type, a leading token inside the text, the element number in the question,
+    """BM25 plus boosts: chunk type, a token of the question inside the text, the element number in the question,
     and the priority of elements. Chunks need chunk_type, number (nullable) and content_priority.
 
-    Candidates come from equi joins: shared terms, leading tokens inside longer terms, numbers.
+    Candidates come from equi joins: shared terms, tokens inside longer terms, numbers.
     Chunks without any match keep a fixed score that no question changes. Everything before such a
     chunk in the list of fixed scores scores at least as much, so only the first k of that list can
     be among the best k of any question.
     """
-    lead = queries.select("query_id", F.explode(F.slice(tokens_of(F.col("query")), 1, 8)).alias("needle")).distinct()
+    lead = queries.select("query_id", F.explode(tokens_of(F.col("query"))).alias("needle")).distinct()
     allowed = chunks if chunk_type is None else chunks.where(F.col("chunk_type") == chunk_type)
     postings = index.postings.select("term", "chunk_id").join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     inside = containing_terms(lead.select(F.col("needle").alias("term")).distinct(), index.terms.select("term"))
@@ -212,10 +212,10 @@ def bm25_boosted(
 # ---- terms and focus of a question -------------------------------------------------------------
 
 
-def key_terms_of(query: Column, limit: int = 10) -> Column:
+def key_terms_of(query: Column, limit: int | None = None) -> Column:
     """Distinct content words of a question in order."""
     found = F.regexp_extract_all(F.lower(query), F.lit(r"([a-z][a-z0-9\-]+)"), F.lit(1))
-    return F.slice(F.array_distinct(F.filter(found, lambda t: ~t.isin(fv.QUERY_STOP_WORDS))), 1, limit)
+    return first_of(F.array_distinct(F.filter(found, lambda t: ~t.isin(fv.QUERY_STOP_WORDS))), limit)
 
 
 def focus_term_of(query: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill.functions import fixed_values as fv
-from litmill.functions.text import WORD, contains_any, let, lines, squeeze, strip, strip_chars, word_count
+from litmill.functions.text import WORD, contains_any, first_of, let, lines, squeeze, strip, strip_chars, word_count
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,7 +350,7 @@ def embedding_text(chunks: DataFrame) -> DataFrame:
         .when(
             f["chunk_type"] == "table",
             F.concat(F.lit("Table: "), f["caption"], F.lit(" Headers: "), f["headers"], F.lit(" Data: "),
-                     F.substring(f["markdown"], 1, 500), F.lit(" Context: "), f["context"]),
+                     f["markdown"], F.lit(" Context: "), f["context"]),
         )
         .when(
             f["chunk_type"] == "figure",
@@ -364,14 +364,14 @@ def embedding_text(chunks: DataFrame) -> DataFrame:
     )
 
 
-def variables_of(c: Column, limit: int = 20) -> Column:
-    """Distinct Greek letters, then single Latin letters, at most ``limit``."""
+def variables_of(c: Column, limit: int | None = None) -> Column:
+    """Distinct Greek letters, then single Latin letters; ``limit`` keeps the first ones."""
     greek = F.regexp_extract_all(c, F.lit(f"([{fv.VARIABLE_GREEK}])"), F.lit(1))
     latin = F.regexp_extract_all(c, F.lit(rf"(?<![{WORD}])([a-zA-Z])(?![{WORD}])"), F.lit(1))
-    return F.slice(F.concat(F.array_sort(F.array_distinct(greek)), F.array_sort(F.array_distinct(latin))), 1, limit)
+    return first_of(F.concat(F.array_sort(F.array_distinct(greek)), F.array_sort(F.array_distinct(latin))), limit)
 
 
-def equation_variables(equations: DataFrame, text: str = "text", limit: int = 20) -> DataFrame:
+def equation_variables(equations: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
     return equations.withColumn("variables", variables_of(F.col(text), limit))
 
 
@@ -402,11 +402,11 @@ def markdown_formulas(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def markdown_title_authors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Title (first H1) and author line (first comma line) among the first non-empty lines."""
-    head = F.slice(F.filter(F.transform(lines(F.coalesce(F.col(text), F.lit(""))), strip), lambda l: l != ""), 1, 15)
+    """Title (first H1) and author line (first comma line) among the non-empty lines."""
+    head = F.filter(F.transform(lines(F.coalesce(F.col(text), F.lit(""))), strip), lambda l: l != "")
     h1 = F.get(F.filter(head, lambda l: l.startswith("# ")), F.lit(0))
     author = F.filter(
-        F.slice(head, 1, 10),
+        head,
         lambda l: l.contains(",")
         & ~l.startswith("#")
         & (F.length(l) < 300)

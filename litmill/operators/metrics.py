@@ -141,11 +141,16 @@ def alerts(measures: DataFrame, rules: list[tuple[str, str, float, int]] | None
     return b.withColumn("since", since).where(held).select("rule", "label", "minute", "value", "since")
 
 
-def absence_alerts(events: DataFrame, label: str, minutes: int = 1) -> DataFrame:
-    """(label, absent_from, absent_to, minutes): runs of minutes without any event of a label, longer than ``minutes``."""
+def absence_alerts(events: DataFrame, label: str, minutes: int = 1, as_of: Column | None = None) -> DataFrame:
+    """(label, absent_from, absent_to, minutes): runs of minutes without any event of a label, longer than ``minutes``.
+
+    A label that is silent now has a run up to the minute of ``as_of``, else of the last event of any label.
+    """
     seen = events.select(F.col(label).alias("label"), F.date_trunc("minute", "ts").alias("m")).distinct()
     w = Window.partitionBy("label").orderBy("m")
-    gap = seen.withColumn("nxt", F.lead("m").over(w)).where("nxt is not null")
+    if as_of is None:
+        as_of = events.agg(F.max("ts").alias("t")).select("t").scalar()
+    gap = seen.withColumn("nxt", F.coalesce(F.lead("m").over(w), F.date_trunc("minute", as_of)))
     n = F.floor((_seconds("nxt") - _seconds("m")) / 60) - 1
     rows = gap.withColumn("minutes", n.cast("bigint")).where(F.col("minutes") > minutes)
     return rows.select("label", (F.col("m") + F.expr("interval 1 minute")).alias("absent_from"), F.col("nxt").alias("absent_to"), "minutes")

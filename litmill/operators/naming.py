@@ -40,10 +40,9 @@ def extract_metadata(docs: DataFrame, text: str = "text", filename: str = "filen
     df = docs.withColumn("_page", page)
     df = df.withColumn("_lines", F.filter(F.split("_page", r"(?<=[.!?])\s+", -1), lambda x: F.trim(x) != ""))
     arxiv = F.regexp_extract(F.coalesce(F.col(filename), F.lit("")), fv.ARXIV_ID, 0)
-    first = F.slice("_lines", 1, 12)
     titles = F.slice(
         F.filter(
-            first, lambda x: ~F.lower(x).rlike(fv.TITLE_SKIP) & ~x.contains("@") & (F.length(x) >= 15)
+            "_lines", lambda x: ~F.lower(x).rlike(fv.TITLE_SKIP) & ~x.contains("@") & (F.length(x) >= 15)
         ),
         1,
         2,
@@ -62,13 +61,13 @@ def extract_metadata(docs: DataFrame, text: str = "text", filename: str = "filen
         {
             "arxiv_id": arxiv,
             "title": squeeze(strip_chars(title, " ,;-")),
-            "authors": F.slice(names, 1, 12),
-            "affiliations": F.slice(F.filter(first, lambda x: x.rlike(fv.AFFILIATION)), 1, 5),
+            "authors": names,
+            "affiliations": F.filter("_lines", lambda x: x.rlike(fv.AFFILIATION)),
             "year": F.when(year != "", year)
             .when(arxiv != "", (F.lit(2000) + arxiv.substr(1, 2).cast("int")).cast("string"))
             .otherwise(""),
             "abstract": F.when(abstract != "", squeeze(abstract)).otherwise(
-                strip(F.array_join(F.slice("_lines", 1, 4), " ").substr(1, 1200))
+                strip(F.array_join(F.slice("_lines", 1, 4), " "))
             ),
         }
     ).drop("_page", "_lines")
@@ -158,7 +157,7 @@ def resolve_titles(candidates: DataFrame) -> DataFrame:
     """
     intro = F.coalesce(F.col("introduction"), F.lit(""))
     from_abstract = F.coalesce(_best(titles_in(F.col("abstract"), 2), title_score), F.lit(""))
-    from_intro = F.coalesce(_best(titles_in(intro.substr(1, 400), 3), title_score), F.lit(""))
+    from_intro = F.coalesce(_best(titles_in(intro, 3), title_score), F.lit(""))
     fields = F.array(first_line(F.col("primary_title")), first_line(F.col("fallback_title")), from_abstract, from_intro)
     scored = let(fields, lambda a: _best(F.filter(a, is_title), title_score))
     longest = let(fields, lambda a: _best(F.filter(a, _plain_line), F.length))
@@ -179,7 +178,7 @@ def resolve_titles(candidates: DataFrame) -> DataFrame:
         return F.get(F.filter(F.transform(lines(F.coalesce(block, F.lit(""))), squeeze), ok), F.lit(0))
 
     title = F.coalesce(
-        scored, longest, usable(F.col("abstract")), usable(intro.substr(1, 600)), F.lit(fv.NOT_FOUND)
+        scored, longest, usable(F.col("abstract")), usable(intro), F.lit(fv.NOT_FOUND)
     )
     primary = clean_authors(F.col("primary_authors"))
     authors = F.when(primary != fv.NOT_FOUND, primary).otherwise(clean_authors(F.col("fallback_authors")))

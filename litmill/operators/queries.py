@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from litmill.functions import fixed_values as fv
 from litmill.functions.skew import top_k
-from litmill.functions.text import WORD, contains_any, count_contained, first_per_key, let, squeeze, strip, words
+from litmill.functions.text import WORD, contains_any, count_contained, first_of, first_per_key, let, squeeze, strip, words
 from litmill.operators.lexical import focus_term_of, is_definition, is_explanation, is_limitations, is_summary
 
 
@@ -94,14 +94,14 @@ def query_flags(queries: DataFrame, text: str = "query") -> DataFrame:
 # ---- terms ------------------------------------------------------------------------------------------
 
 
-def seed_terms(queries: DataFrame, key: str = "query_id", text: str = "query", limit: int = 12) -> DataFrame:
+def seed_terms(queries: DataFrame, key: str = "query_id", text: str = "query", limit: int | None = None) -> DataFrame:
     """(key, pos, term): quoted phrases, capitalised runs, content words; distinct in any case, in this order."""
     q = F.col(text)
     quoted = F.regexp_extract_all(q, F.lit(r'"([^"]+)"'), F.lit(1))
     runs = F.regexp_extract_all(q, F.lit(r"\b([A-Z][A-Za-z0-9\-]+(?:\s+[A-Z][A-Za-z0-9\-]+)*)\b"), F.lit(1))
     plain = F.regexp_extract_all(q, F.lit(r"\b([a-zA-Z][a-zA-Z0-9\-]{3,})\b"), F.lit(1))
     content = F.filter(plain, lambda t: ~F.lower(t).isin(fv.SEED_STOP_WORDS))
-    terms = F.slice(first_per_key(F.concat(quoted, runs, content), lambda t: F.lower(t), lambda t: F.lit(False)), 1, limit)
+    terms = first_of(first_per_key(F.concat(quoted, runs, content), lambda t: F.lower(t), lambda t: F.lit(False)), limit)
     return queries.select(key, F.posexplode(terms).alias("pos", "term"))
 
 
@@ -121,7 +121,7 @@ def _distinct_any_case(items: Column) -> Column:
     return first_per_key(items, lambda x: F.lower(strip(x)), lambda x: F.lit(False))
 
 
-def query_variants(queries: DataFrame, key: str = "query_id", text: str = "query", limit: int = 6) -> DataFrame:
+def query_variants(queries: DataFrame, key: str = "query_id", text: str = "query", limit: int | None = None) -> DataFrame:
     """(key, variant_no, query): the question, then searches for summaries, limitations and definitions."""
     q = strip(F.coalesce(F.col(text), F.lit("")))
     focus = squeeze(focus_term_of(q))
@@ -134,7 +134,7 @@ def query_variants(queries: DataFrame, key: str = "query_id", text: str = "query
             is_definition(q) & (focus != ""), F.array(focus, F.concat(focus, F.lit(" definition")), F.concat(F.lit("what is "), focus))
         ).otherwise(_strings()),
     )
-    kept = F.slice(_distinct_any_case(F.filter(items, lambda x: x != "")), 1, limit)
+    kept = first_of(_distinct_any_case(F.filter(items, lambda x: x != "")), limit)
     return queries.select(key, F.posexplode(kept).alias("variant_no", "query"))
 
 
@@ -175,7 +175,7 @@ def generalised(query: Column, n: int) -> Column:
         F.slice(concepts, 2, F.greatest(F.size(concepts), F.lit(1))),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    top = F.slice(F.concat(F.filter(pairs, lambda p: p.isNotNull()), concepts), 1, 5)
+    top = F.concat(F.filter(pairs, lambda p: p.isNotNull()), concepts)
     general = F.flatten(F.transform(top, lambda c: F.array(*[_filled(t, c) for t in fv.GENERAL_TEMPLATES])))
     ws = words(query)
     half = F.when(F.size(ws) > 3, F.array(F.array_join(F.slice(ws, F.lit(1), F.floor(F.size(ws) / 2).cast("int")), " "))).otherwise(_strings())

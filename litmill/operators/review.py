@@ -152,10 +152,9 @@ def _items(papers: DataFrame) -> Column:
         if section in papers.columns:
             parts.append(_tagged(split_sentences(F.col(section)), section))
     if "key_figures" in papers.columns:
-        figures = F.coalesce(F.slice("key_figures", 1, 15), F.col("key_figures"))
         parts.append(
             F.transform(
-                figures,
+                F.col("key_figures"),
                 lambda f: _feature(
                     F.concat_ws(
                         " | ", F.concat(f["label"], F.lit(": "), f["value"]), F.nullif(f["context"], F.lit("")), F.nullif(f["section"], F.lit(""))
@@ -304,7 +303,7 @@ def paper_profiles(papers: DataFrame) -> DataFrame:
 
     papers: paper_id and section columns.
     """
-    extra = F.concat_ws(" ", F.col("abstract"), F.substring("introduction", 1, 800))
+    extra = F.concat_ws(" ", F.col("abstract"), F.col("introduction"))
     out = select_evidence(papers.withColumn("_x", extra))
     more = F.when(F.col("dimension") == "novelty", squeeze(F.col("_x"))).otherwise("")
     out = out.withColumn("verdict", local_verdict(F.col("dimension"), F.col("evidence"), more))

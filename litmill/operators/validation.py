@@ -89,12 +89,12 @@ def numbers_of(c: Column) -> Column:
 
 
 def unsupported_numbers(responses: DataFrame, sources: DataFrame, key: str = "response_id") -> DataFrame:
-    """(key, unsupported, hedges, flags): of the first ten numbers of an answer those longer than two characters that
-    no source has, and hedging phrases; more than three or two of them raise a flag.
+    """(key, unsupported, hedges, flags): the numbers of an answer longer than two characters that no
+    source has, and hedging phrases; more than three or two of them raise a flag.
 
     sources: key, text. Only numbers are gathered per answer, distinct, and only those the answer has.
     """
-    asked = responses.select(key, F.slice(numbers_of(F.col("text")), 1, 10).alias("nums"), F.lower("text").alias("low"))
+    asked = responses.select(key, numbers_of(F.col("text")).alias("nums"), F.lower("text").alias("low"))
     wanted = asked.select(key, F.explode(F.array_distinct("nums")).alias("n"))
     have = sources.select(key, F.explode(F.array_distinct(numbers_of(F.col("text")))).alias("n")).distinct()
     known = wanted.join(have, [key, "n"], "left_semi").groupBy(key).agg(F.collect_set("n").alias("known"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,11 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill.functions.skew import top_k
-from litmill.session import at_most
 
-# Questions shipped to every task at once, and vectors per group when there are more of them.
-SHIPPED_QUERIES = 20_000
-GROUP_VECTORS = 50_000
+# Megabytes of float64 in a block of questions, and in a block of vectors or of their scores.
+QUESTION_MB = 2
+VECTOR_MB = 64
 
 
 def hash_vector(text: Column, dim: int = 64) -> Column:
@@ -23,11 +23,11 @@ def hash_vector(text: Column, dim: int = 64) -> Column:
 
     def values(h: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.conv(F.substring(h, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2 - 1,
+            F.sequence(F.lit(0), F.lit(31)),
+            lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2 - 1,
         )
 
-    raw = F.transform(F.array(hexa), values)[0]
+    raw = F.slice(F.flatten(F.array_repeat(F.transform(F.array(hexa), values)[0], -(-dim // 32))), 1, dim)
 
     def unit(v: Column) -> Column:
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
@@ -57,90 +57,82 @@ def embed_with(texts: DataFrame, make_model: Callable[[], Callable[[list[str]],
     return texts.withColumn(out, embed(F.col(text)))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores of one row; equal ones by id."""
-    if len(scores) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        pool = np.flatnonzero(scores >= cut)
-    else:
-        pool = np.arange(len(scores))
-    order = np.lexsort((ids[pool], -scores[pool]))[:k]
-    return pool[order]
-
-
-def _block_top(q: pd.DataFrame, v: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best vectors of a block for every question of a block."""
-    ids = v["chunk_id"].to_numpy()
-    scores = np.round(_matrix(q["embedding"]) @ _matrix(v["embedding"]).T, 9)
-    kinds = v["kind"].to_numpy()
-    picks = []
-    for row, want in zip(scores, q["want"]):
-        allowed = np.arange(len(ids)) if want is None else np.flatnonzero(kinds == want)
-        picks.append(allowed[_best(row[allowed], ids[allowed], k)])
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(q["query_id"].to_numpy(), [len(p) for p in picks]),
-            "chunk_id": np.concatenate([ids[p] for p in picks]),
-            "score": np.concatenate([scores[i][p] for i, p in enumerate(picks)]),
-        }
-    )
-
-
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64")
 
 
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k best scores of every row; equal ones by column."""
+    n = scores.shape[1]
+    cut = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    row, col = np.nonzero(scores >= cut[:, None])
+    order = np.lexsort((col, -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
+def _block_top(q: pd.DataFrame, v: pd.DataFrame, k: int, cells: int) -> pd.DataFrame:
+    """The k best vectors of a block for every question of a block; at most ``cells`` scores are held at once."""
+    found = [pd.DataFrame({"query_id": q["query_id"][:0], "chunk_id": v["chunk_id"][:0], "score": np.zeros(0)})]
+    v = v.sort_values("chunk_id", ignore_index=True)
+    for want, asked in q.groupby("want", dropna=False):
+        allowed = v if pd.isna(want) else v[v["kind"] == want]
+        left, ids = _matrix(asked["embedding"]), asked["query_id"].to_numpy()
+        step = max(1, cells // len(asked))
+        best = found[0]
+        for at in range(0, len(allowed), step):
+            part = allowed.iloc[at : at + step]
+            scores = np.round(left @ _matrix(part["embedding"]).T, 9)
+            row, col = _best(scores, k)
+            new = pd.DataFrame({"query_id": ids[row], "chunk_id": part["chunk_id"].to_numpy()[col], "score": scores[row, col]})
+            best = new if best.empty else pd.concat([best, new])
+            best = best.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        if len(best):
+            found.append(best)
+    return found[0] if len(found) == 1 else pd.concat(found[1:])
+
+
 def knn(
     queries: DataFrame,
     vectors: DataFrame,
     k: int = 10,
     where: Column | None = None,
-    shipped: int = SHIPPED_QUERIES,
-    group: int = GROUP_VECTORS,
+    question_mb: float = QUESTION_MB,
+    vector_mb: float = VECTOR_MB,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact top k by dot product for every question.
 
-    queries: query_id, embedding, optionally want (a chunk type or null); vectors: chunk_id, embedding,
-    chunk_type where questions want one. Filters and types apply before any ranking.
-    Up to ``shipped`` questions (checked) go to every task, which multiplies them with its batches of
-    vectors and keeps k per question: the vectors are not shuffled. With more questions both sides
-    are cut into groups by hashed id, so a task holds one block of each, whatever the sizes.
-    Scores are compared at nine digits, ties by chunk id.
+    queries: query_id (unique), embedding, optionally want (a chunk type or null); vectors: chunk_id, embedding,
+    chunk_type where questions want one. Filters and types apply before any ranking. Null embeddings are left out.
+    Both sides are cut into blocks by hashed id, as many as their rows times their width need, and every block of
+    questions meets every block of vectors in one task, which returns k rows per question. Nothing passes
+    through the driver but the four numbers that give the blocks. Scores are compared at nine digits, ties by chunk id.
     """
     if where is not None:
         vectors = vectors.where(where)
     text = "string"
     want = F.col("want").cast(text) if "want" in queries.columns else F.lit(None).cast(text)
     kind = F.col("chunk_type").cast(text) if "want" in queries.columns else F.lit(None).cast(text)
-    q = queries.select("query_id", "embedding", want.alias("want"))
-    v = vectors.select("chunk_id", "embedding", kind.alias("kind"))
+    q = queries.where("embedding is not null").select("query_id", "embedding", want.alias("want"))
+    v = vectors.where("embedding is not null").select("chunk_id", "embedding", kind.alias("kind"))
     qt, vt = q.schema["query_id"].dataType.simpleString(), v.schema["chunk_id"].dataType.simpleString()
-    schema = f"query_id {qt}, chunk_id {vt}, score double"
-    if at_most(q, shipped):
-        held = q.toPandas()
-        block = q.sparkSession.sparkContext.broadcast(held)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            asked = block.value
-            for pdf in batches:
-                if len(pdf) and len(asked):
-                    yield _block_top(asked, pdf, k)
-
-        partial = v.mapInPandas(run, schema)
-    else:
-        v_groups = max(1, -(-v.count() // group))
-        q_groups = max(1, -(-q.count() // shipped))
-        all_v = F.explode(F.sequence(F.lit(0), F.lit(v_groups - 1))).alias("vg")
-        all_q = F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))).alias("qg")
-        left = q.select("*", all_v, F.pmod(F.xxhash64("query_id"), F.lit(q_groups)).cast("int").alias("qg"))
-        right = v.select("*", all_q, F.pmod(F.xxhash64("chunk_id"), F.lit(v_groups)).cast("int").alias("vg"))
-
-        def block_pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame({"query_id": a["query_id"][:0], "chunk_id": b["chunk_id"][:0], "score": []})
-            return _block_top(a, b, k)
-
-        partial = left.groupBy("qg", "vg").cogroup(right.groupBy("qg", "vg")).applyInPandas(block_pair, schema)
+
+    def blocks(df: DataFrame, mb: float) -> int:
+        rows, width = df.agg(F.count("*"), F.max(F.size("embedding"))).first()
+        return max(1, math.ceil(rows * (width or 0) * 8 / (mb * 2**20)))
+
+    q_blocks, v_blocks = blocks(q, question_mb), blocks(v, vector_mb)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = q.select("*", own("query_id", q_blocks).alias("qb"), every(v_blocks).alias("vb"))
+    right = v.select("*", own("chunk_id", v_blocks).alias("vb"), every(q_blocks).alias("qb"))
+    cells = int(vector_mb * 2**17)
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _block_top(a, b, k, cells)
+
+    partial = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(pair, f"query_id {qt}, chunk_id {vt}, score double")
     return top_k(partial, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 

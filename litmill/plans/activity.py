@@ -99,7 +99,8 @@ def topic_score(spark, d):
 
 def hybrid_score(spark, d):
     s = _scored(spark, d).select("doc_id", "semantic", "topic", F.col("n_chars").alias("citations"), F.when(F.col("doc_id") % 2 == 0, F.floor(F.col("doc_id") / 2)).alias("source_rank"))
-    return papers.hybrid_score(s, F.lit(500)).select("doc_id", F.round("hybrid", 4).alias("hybrid"))
+    ranked = s.agg(F.count("source_rank").alias("n")).select("n").scalar()
+    return papers.hybrid_score(s, ranked).select("doc_id", F.round("hybrid", 4).alias("hybrid"))
 
 
 def page_of(spark, d):
@@ -118,7 +119,8 @@ def dedup_equations(spark, d):
 def _refs(spark, d):
     """Line items refer to element numbers of the document of their order."""
     li = table(spark, d, "lineitem")
-    return li.select((F.col("l_orderkey") % 1000).alias("doc_id"), F.when(F.col("l_returnflag") == "A", "equation").when(F.col("l_returnflag") == "N", "table").otherwise("figure").alias("element_type"),
+    n = table(spark, d, "documents").agg(F.count("*").alias("n")).select("n").scalar()
+    return li.select((F.col("l_orderkey") % n).alias("doc_id"), F.when(F.col("l_returnflag") == "A", "equation").when(F.col("l_returnflag") == "N", "table").otherwise("figure").alias("element_type"),
                      F.col("l_quantity").cast("bigint").alias("number")).distinct()
 
 

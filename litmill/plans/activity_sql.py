@@ -32,7 +32,7 @@ _SCO = f"""{dv.SQL_QUESTIONS},
   sc as (select doc_id, n_chars, case when len(q) = 0 then 0.5 else round(least(1.0, case when nt > 0 then least(1.0, raw + 0.15::double) else raw end), 4) end::double as semantic,
     case when len(q) = 0 then 0.5 else round(least(1.0, len(list_intersect(q, tags))::double / greatest(len(q), 1)), 4) end::double as topic from n)"""
 _REFS = f"""{dv.SQL_ELEMENTS}, reg as (select doc_id, element_type, number, chunk_id from elements where number <> 2),
-  refs as (select distinct l_orderkey % 1000 as doc_id, case l_returnflag when 'A' then 'equation' when 'N' then 'table' else 'figure' end as element_type, l_quantity::bigint as number from lineitem)"""
+  refs as (select distinct l_orderkey % (select count(*) from documents) as doc_id, case l_returnflag when 'A' then 'equation' when 'N' then 'table' else 'figure' end as element_type, l_quantity::bigint as number from lineitem)"""
 _WS = """files as (select o_orderkey as id, o_custkey as owner, o_orderdate as tm, o_orderstatus = 'P' as del from orders),
   sessions as (select distinct l_orderkey * 100 + l_linenumber as id, o_custkey as owner, case when l_returnflag <> 'R' then l_shipdate end as tm from lineitem join orders on l_orderkey = o_orderkey),
   searches as (select event_id as id, user_id as owner, ts as tm from events)"""
@@ -106,7 +106,7 @@ ORACLES = {
     "agg1_paper_distributions": f"""with {dv.SQL_PAPERS} select 'year' as kind, substring(published_date, 1, 4) as value, count(*) as n from papers group by 2
       union all select 'source', trim(s), count(*) from (select unnest(string_split(source, ',')) as s from papers) group by 2""",
     "agg2_top_keywords": f"with {dv.SQL_PAPERS} select k as keyword, count(*) as n from (select unnest(topic_tags) as k from papers) group by 1 order by n desc, k limit 8",
-    "agg3_author_impact": f"""with {dv.SQL_PAPERS}, b as (select authors[1] as author, count(*) as paper_count, sum(citations)::bigint as citations from papers group by 1 order by 2 desc, 1 limit 10)
+    "agg3_author_impact": f"""with {dv.SQL_PAPERS}, b as (select authors[1] as author, count(*) as paper_count, sum(citations)::bigint as citations from papers group by 1)
       select *, round(paper_count * 0.5::double + ln(1 + citations) * 0.5::double, 2) as impact_score from b order by impact_score desc, author limit 7""",
     "agg4_top_cited": f"with {dv.SQL_PAPERS} select paper_id, title, citations, substring(published_date, 1, 4) as year, source from papers order by citations desc, paper_id limit 10",
     "agg5_paper_trend": f"""with {dv.SQL_PAPERS}, t as (select count(*) as total_papers, round(sum(citations)::double / count(*), 1) as avg_citations, max(citations) as max_citations,
@@ -114,7 +114,7 @@ ORACLES = {
       select *, case when recent > older * 0.6 then '{fv.TREND_RISING}' when recent < older * 0.3 then '{fv.TREND_DECLINING}' else '{fv.TREND_STABLE}' end as trend from t""",
     "sco1_semantic_score": f"with {_SCO} select doc_id, semantic from sc",
     "sco2_topic_score": f"with {_SCO} select doc_id, topic from sc",
-    "sco3_hybrid_score": f"""with {_SCO} select doc_id, round(semantic * 0.4::double + topic * 0.2::double + (case when doc_id % 2 = 0 then greatest(0.0, 1.0 - (doc_id // 2) / 500.0::double) else 0.0 end)::double * 0.25::double
+    "sco3_hybrid_score": f"""with {_SCO} select doc_id, round(semantic * 0.4::double + topic * 0.2::double + (case when doc_id % 2 = 0 then greatest(0.0, 1.0 - (doc_id // 2) / (select count(*) from sc where doc_id % 2 = 0)::double) else 0.0 end)::double * 0.25::double
       + least(1.0, ln(1 + n_chars) / 10.0::double)::double * 0.15::double, 4) as hybrid from sc""",
     "sco4_page_of": f"with {dv.SQL_PAPERS}, r as (select paper_id, row_number() over (order by citations desc, paper_id) as rank from papers) select paper_id, rank, 60 < (select count(*) from r) as has_more from r where rank between 41 and 60",
     "win1_recent_context": f"""with {dv.SQL_TURNS}, r as (select *, row_number() over (partition by conv_id order by turn desc) as rn from turns where response_valid)
@@ -173,7 +173,7 @@ ORACLES = {
     "str4_alerts": f"with {_ALERT} select rule, label, minute, round(value, 6) as value, since from al where epoch(minute) - epoch(since) >= hold * 60",
     "str4_alerts_stream": f"""with {_ALERT} select rule, label, minute, round(value, 6) as value, since from al
       where epoch(minute) - epoch(since) >= hold * 60 and minute <= (select max(ts) from events) - interval 10 minutes""",
-    "str5_absence_alerts": """with m as (select distinct event_type as label, date_trunc('minute', ts) as m from events), n as (select *, lead(m) over (partition by label order by m) as nx from m)
+    "str5_absence_alerts": """with m as (select distinct event_type as label, date_trunc('minute', ts) as m from events), n as (select *, coalesce(lead(m) over (partition by label order by m), (select max(m) from m)) as nx from m)
       select label, m + interval 1 minute as absent_from, nx as absent_to, (epoch(nx)::bigint - epoch(m)::bigint) // 60 - 1 as minutes from n where (epoch(nx)::bigint - epoch(m)::bigint) // 60 - 1 > 10""",
     "str6_active_requests": """with m as (select event_type, epoch_us(ts) as us, 1 as d from events union all select event_type, epoch_us(ts) + round(value * 60 * 1000000)::bigint, -1 from events),
       g as (select event_type, us, sum(d) as c from m group by all)

@@ -56,8 +56,8 @@ def boundary_chunks(spark, d):
 
 
 def boundary_cover(spark, d):
-    """The uncapped chunks cover every text: no gap between neighbours, first at 0, last at the end."""
-    c = chunking.boundary_chunks(_docs(spark, d), 2000, 200, None)
+    """The chunks cover every text: no gap between neighbours, first at 0, last at the end."""
+    c = chunking.boundary_chunks(_docs(spark, d), 2000, 200)
     ends = c.groupBy("doc_id").agg(F.min("start").alias("first"), F.max("stop").alias("last"), F.count("*").alias("n"))
     return ends.select("doc_id", "first", "last")
 
@@ -155,7 +155,7 @@ ORACLES = {
       select doc_id, chunk_no, case when coalesce(tail, '') <> '' then {dv.sql_strip("tail || chr(10) || chr(10) || text")} else text end as text from t""",
     "chk7_sliding_chunks": f"""with t as (select doc_id, {dv.sql_strip('text')} as t from documents), s as (select doc_id, t, unnest(range(0, length(t), 900)) as s from t),
       c as (select doc_id, s, {dv.sql_strip('substring(t, s + 1, 2800)')} as text from s),
-      n as (select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int as chunk_no, text from c where length(text) >= 200) select * from n where chunk_no < 30""",
+      n as (select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int as chunk_no, text from c where length(text) >= 200) select * from n""",
     "chk9_boundary_cover": "select doc_id, 0 as first, length(text)::int as last from documents",
     "chk14_chunk_metadata": f"""with {dv.SQL_LINES},
       k as (select doc_id, line_no, w, i from (select doc_id, line_no, unnest(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]{{4,}}')) as w, generate_subscripts(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]{{4,}}'), 1) as i from lines)),
@@ -169,7 +169,7 @@ ORACLES = {
       s as (select doc_id, any_value(lang) as lang, """
     + ", ".join(f"coalesce(string_agg(body, chr(10) || chr(10) order by line_no) filter (h in ({', '.join(map(str, hs))}) and body <> ''), '') as {name}" for name, hs in _SEC.items())
     + f""" from m group by doc_id)
-      select doc_id, case when s.lang = 'de' then '' else abstract end as abstract, case when s.lang = 'de' then substring(d.text, 1, 8000) else {dv.sql_strip('introduction')} end as introduction,
+      select doc_id, case when s.lang = 'de' then '' else abstract end as abstract, case when s.lang = 'de' then d.text else {dv.sql_strip('introduction')} end as introduction,
         case when s.lang = 'de' then '' else methodology end as methodology, case when s.lang = 'de' then '' else results end as results, '' as conclusion,
         case when s.lang = 'de' then '' else limitations end as limitations, '' as future_work from s join documents d using (doc_id)""",
 }

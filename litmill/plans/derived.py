@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.plans.tables import spread, table
+from litmill.plans.tables import table
 
 WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
@@ -34,7 +34,7 @@ SQL_LINES = """lines as (
 
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, lang, source, line_no, line) of the documents."""
-    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "source", "text"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
     return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
@@ -155,12 +155,11 @@ TEMPLATES = [
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """One question per document: words of a benchmark text in one of eight forms."""
+    """One question per document: a whole benchmark text in one of eight forms."""
     docs = table(spark, d, "documents").select("doc_id")
     b = table(spark, d, "benchmark")
     n = b.agg(F.count("*").alias("n")).select("n").scalar()
-    few = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    rows = docs.withColumn("item_id", F.col("doc_id") % n).join(b.select("item_id", few.alias("w")), "item_id")
+    rows = docs.withColumn("item_id", F.col("doc_id") % n).join(b.select("item_id", F.col("text").alias("w")), "item_id")
     number = (F.col("doc_id") % 7 + 1).cast("string")
     form = F.element_at(
         F.array(*[F.concat(F.replace(F.lit(a), F.lit("#"), number), F.col("w"), F.lit(z)) for a, z in TEMPLATES]),
@@ -172,13 +171,13 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 _FORMS = ", ".join(f"replace('{a}', '#', (doc_id % 7 + 1)::varchar) || w || '{z}'" for a, z in TEMPLATES)
 SQL_QUESTIONS = f"""questions as (
   select doc_id as query_id, doc_id, [{_FORMS}][doc_id % {len(TEMPLATES)} + 1] as query
-  from (select doc_id, array_to_string(string_split(b.text, ' ')[1:6], ' ') as w
+  from (select doc_id, b.text as w
         from documents join benchmark b on b.item_id = doc_id % (select count(*) from benchmark)))"""
 
 
 def benchmark_questions(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark text as a question, in one of eight forms, about the document of the same number."""
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("w"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("w"))
     number = (F.col("doc_id") % 7 + 1).cast("string")
     form = F.element_at(
         F.array(*[F.concat(F.replace(F.lit(a), F.lit("#"), number), F.col("w"), F.lit(z)) for a, z in TEMPLATES]),
@@ -189,7 +188,7 @@ def benchmark_questions(spark: SparkSession, d: str) -> DataFrame:
 
 SQL_BENCHMARK_QUESTIONS = f"""bquestions as (
   select doc_id as query_id, doc_id, [{_FORMS}][doc_id % {len(TEMPLATES)} + 1] as query
-  from (select item_id as doc_id, array_to_string(string_split(text, ' ')[1:6], ' ') as w from benchmark))"""
+  from (select item_id as doc_id, text as w from benchmark))"""
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:

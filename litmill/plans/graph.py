@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from litmill.operators import fusion, graph, vectors
 from litmill.plans import derived as dv
-from litmill.plans.tables import spread, table
+from litmill.plans.tables import table
 
 def _entities(spark, d):
     """Suppliers, nations and regions as extracted entities: full forms with acronyms, bare acronyms, copies,
@@ -128,8 +128,10 @@ def _supply_edges(spark, d):
 
 
 def drop_isolated(spark, d):
-    nodes = table(spark, d, "part").select(F.concat(F.lit("PART "), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("type"))
-    e = _supply_edges(spark, d).where("type = 'SHIPPED_R'")
+    """Customers without an order go."""
+    nodes = table(spark, d, "customer").select(F.concat(F.lit("CUSTOMER "), F.col("c_custkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("type"))
+    name = lambda kind, c: F.concat(F.lit(f"{kind} "), F.col(c).cast("string"))
+    e = table(spark, d, "orders").select(name("Customer", "o_custkey").alias("src"), name("Order", "o_orderkey").alias("dst"), F.lit("PLACED").alias("type"))
     return graph.drop_isolated(nodes, e)
 
 
@@ -153,7 +155,7 @@ def _coded_edges(spark, d):
 
 
 def _graph_found(spark, d, tail):
-    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("sup"), F.col("item_id").cast("string"), F.lit("x"), tail).alias("query"))
     v = vectors.hash_embed(docs).select("chunk_id", "embedding")
     return graph.graph_retrieve(vectors.hash_embed(q, text="query"), docs, v, _coded_edges(spark, d))
@@ -193,7 +195,7 @@ _GRAPH = f"""{_CHAIN},
   ed as (select a.id as src, b.id as dst, relation as type from okr join nd a on a.key = lower(head) join nd b on b.key = lower(tail))"""
 
 ORACLES = {
-    "joi6_drop_isolated": f"with {_EDGES} select 'PART ' || p_partkey as id, p_type as type from part where 'part ' || p_partkey in (select lower(dst) from e where type = 'SHIPPED_R')",
+    "joi6_drop_isolated": "select 'CUSTOMER ' || c_custkey as id, c_mktsegment as type from customer where c_custkey in (select o_custkey from orders)",
     "joi8_acronym_pairs": f"with {SQL_ENTITIES}, {sql_aliases('entities', 'x')} select acronym, canonical from x_pair",
     "kgr1_alias_map": f"{_CHAIN} select * from e_alias",
     "kgr2_dedupe_entities": f"{_CHAIN} select pos, name, type from dedup",

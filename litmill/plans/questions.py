@@ -44,7 +44,8 @@ def expand_context(spark, d):
 
 def _scores(spark, d):
     ev = table(spark, d, "events")
-    return ev.select((F.col("event_id") % 500).alias("query_id"), ((F.col("event_id") % 97) / 100.0 * (F.col("event_id") % 500) / 300).alias("score"))
+    n = table(spark, d, "documents").agg(F.count("*").alias("n")).select("n").scalar()
+    return ev.select((F.col("event_id") % n).alias("query_id"), ((F.col("event_id") % 97) / 100.0 * (F.col("event_id") % 500) / 300).alias("score"))
 
 
 def expand_by_scores(spark, d):
@@ -58,14 +59,12 @@ def expansion_strategy(spark, d):
 def _history(spark, d):
     """User messages that were followed by an answer count as past questions."""
     t = dv.turns(spark, d)
-    short = F.array_join(F.slice(F.split("user_query", " "), 1, 8), " ")
-    return t.select(short.alias("past_query"), F.concat(short, F.lit(" details")).alias("expansion"), (F.col("retrieval_score") + 0.01).alias("score"))
+    return t.select(F.col("user_query").alias("past_query"), F.concat("user_query", F.lit(" details")).alias("expansion"), (F.col("retrieval_score") + 0.01).alias("score"))
 
 
 def _user_questions(spark, d):
     t = dv.turns(spark, d)
-    words = F.split("user_query", " ")
-    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.array_join(F.slice(words, 1, 7), " ").alias("query"))
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("user_query").alias("query"))
 
 
 def similar_queries(spark, d):
@@ -164,8 +163,8 @@ _VARIANTS = f"""[query] || case when {_sql_has('lower(query)', fv.SUMMARY_WORDS)
   || case when (starts_with(lower(query), 'what is ') or starts_with(lower(query), 'what are ') or {_sql_has('lower(query)', fv.DEFINITION_WORDS)}) and f <> ''
        then [f, f || ' definition', 'what is ' || f] else []::varchar[] end"""
 _UQ = f"""{dv.SQL_TURNS},
-  uq as (select conv_id * 1000 + turn as query_id, array_to_string(string_split(user_query, ' ')[1:7], ' ') as query from turns),
-  hist as (select array_to_string(string_split(user_query, ' ')[1:8], ' ') as past_query, max(retrieval_score + 0.01::double) as score from turns group by 1)"""
+  uq as (select conv_id * 1000 + turn as query_id, user_query as query from turns),
+  hist as (select user_query as past_query, max(retrieval_score + 0.01::double) as score from turns group by 1)"""
 
 ORACLES = {
     "qry1_classify_queries": f"""with {dv.SQL_QUESTIONS}, l as (select *, {_Q} as q from questions),
@@ -185,10 +184,10 @@ ORACLES = {
     "qry4_query_variants": f"""with {dv.SQL_QUESTIONS}, f as (select query_id, trim(query) as query, trim(regexp_replace({_FOCUS_CASE}, '\\s+', ' ', 'g')) as f from questions),
       v as (select query_id, unnest({_VARIANTS}) as query, generate_subscripts({_VARIANTS}, 1) as i from f),
       u as (select * from v where query <> '' qualify row_number() over (partition by query_id, lower(query) order by i) = 1),
-      n as (select query_id, (row_number() over (partition by query_id order by i) - 1)::int as variant_no, query from u) select * from n where variant_no < 6""",
+      n as (select query_id, (row_number() over (partition by query_id order by i) - 1)::int as variant_no, query from u) select * from n""",
     "qry5_expand_context": f"""with {dv.SQL_QUESTIONS}, t as (select query_id, unnest([query || ' in the document', query || ' according to the paper', query || ' details', query || ' explanation']) as expansion,
         unnest([0, 1, 2, 3]) as pos from (select query_id, trim(query) as query from questions)) select query_id, pos, expansion from t""",
-    "qry6_expansion_strategy": f"""with {dv.SQL_QUESTIONS}, s as (select event_id % 500 as query_id, avg((event_id % 97) / 100.0::double * (event_id % 500) / 300) as a from events group by 1)
+    "qry6_expansion_strategy": f"""with {dv.SQL_QUESTIONS}, s as (select event_id % (select count(*) from documents) as query_id, avg((event_id % 97) / 100.0::double * (event_id % 500) / 300) as a from events group by 1)
       select query_id, case when coalesce(a, 0) < 0.25 then 'specificity_reduction' when a < 0.5 then 'multi_strategy' else 'synonym_injection' end as strategy from questions left join s using (query_id)""",
     "qry7_similar_queries": f"""with {_UQ},
       w as (select query_id, list_distinct({dv.sql_words('lower(query)')}) as qw from uq), h as (select past_query, score, list_distinct({dv.sql_words('lower(past_query)')}) as pw from hist),

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from litmill.functions import fixed_values as fv
 from litmill.operators import fusion, lexical, queries, vectors
 from litmill.plans import derived as dv
-from litmill.plans.tables import spread, table
+from litmill.plans.tables import table
 
 
 def _corpus(spark, d):
-    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
 def _asked(spark, d):
@@ -30,8 +30,8 @@ def hash_embed(spark, d):
 
 
 def _vector_questions(spark, d):
-    """Every vector of an even label asks for its neighbours."""
-    return dv.vectors(spark, d).where("label % 2 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    """Every vector asks for its neighbours."""
+    return dv.vectors(spark, d).select(F.col("chunk_id").alias("query_id"), "embedding")
 
 
 def knn(spark, d):
@@ -39,8 +39,8 @@ def knn(spark, d):
 
 
 def knn_blocks(spark, d):
-    """The same search on its path for many questions."""
-    found = vectors.knn(_vector_questions(spark, d), dv.vectors(spark, d), 10, shipped=50, group=120)
+    """The same search with smaller blocks."""
+    found = vectors.knn(_vector_questions(spark, d), dv.vectors(spark, d), 10, question_mb=0.05, vector_mb=0.1)
     return _out(found, "query_id", "chunk_id")
 
 
@@ -124,7 +124,7 @@ def select_elements(spark, d):
 def _two_rankings(spark, d):
     ix = lexical.lexical_index(_corpus(spark, d))
     q = _asked(spark, d)
-    half = q.withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 8), " "))
+    half = q.withColumn("query", F.array_join(F.filter(F.split("query", " "), lambda w, i: i % 2 == 0), " "))
     return lexical.bm25(q, ix, 20), lexical.bm25(half, ix, 20)
 
 
@@ -187,7 +187,7 @@ def rerank_ngrams(spark, d):
 
 
 def build_context(spark, d):
-    return fusion.build_context(fusion.rerank_ngrams(_asked(spark, d), _contexts(spark, d), 6), 300)
+    return fusion.build_context(fusion.rerank_ngrams(_asked(spark, d), _contexts(spark, d), 6))
 
 
 def collect_citations(spark, d):
@@ -291,7 +291,7 @@ _TOP = "select query_id, chunk_id, rank, round(score, 6) as score from"
 
 def _sql_knn(k: int, where: str = "true") -> str:
     return f"""with s as (select q.vec_id as query_id, v.vec_id as chunk_id, round(list_dot_product(q.embedding::double[], v.embedding::double[]), 9) as score
-        from embeddings q, embeddings v where q.label % 2 = 0 and {where}),
+        from embeddings q, embeddings v where {where}),
       r as (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from s)
       {_TOP} r where rank <= {k}"""
 
@@ -305,7 +305,7 @@ _HASH = """v as (
     select {key}, list_transform(range(64), lambda i: ((instr('0123456789abcdef', h[(i % 32) * 2 + 1]) - 1) * 16 + instr('0123456789abcdef', h[(i % 32) * 2 + 2]) - 1) / 255.0::double * 2 - 1) as raw
     from (select *, sha256({text}) as h from {table}))"""
 
-_KEY_TERMS = f"""list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 10)"""
+_KEY_TERMS = f"""list_filter(t, lambda x, i: list_position(t, x) = i)"""
 _STOP = ", ".join(f"'{w}'" for w in fv.QUERY_STOP_WORDS)
 _FOCUS = "rtrim(trim(query), '? ')"
 _FOCUS_CASE = "case " + " ".join(
@@ -405,11 +405,11 @@ ORACLES = {
       select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id)::int as rank, round(score, 6) as score from b""",
     "lex9_best_element": f"""with {dv.SQL_QUESTIONS}, {dv.SQL_ELEMENTS}, {_BEST}
       select query_id, element_type, number, chunk_id, score from bs qualify row_number() over (partition by query_id, element_type order by score desc, number, page_num, chunk_id) = 1""",
-    "fus1_rrf": f"""with {_CORPUS}, halves as (select query_id, array_to_string(string_split(query, ' ')[1:8], ' ') as query from asked),
+    "fus1_rrf": f"""with {_CORPUS}, halves as (select query_id, array_to_string(list_filter(string_split(query, ' '), lambda w, i: i % 2 = 1), ' ') as query from asked),
       {sql_bm25('a', 'asked', 'corpus', 20, 'x')}, {sql_bm25('b', 'halves', 'corpus', 20, 'y')},
       f as (select query_id, chunk_id, sum(1.0::double / (60 + rank)) as score from (select * from a union all select * from b) group by all),
       r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id)::int as rank from f) {_TOP} r where rank <= 10""",
-    "fus1_best_rows": f"""with {_CORPUS}, halves as (select query_id, array_to_string(string_split(query, ' ')[1:8], ' ') as query from asked),
+    "fus1_best_rows": f"""with {_CORPUS}, halves as (select query_id, array_to_string(list_filter(string_split(query, ' '), lambda w, i: i % 2 = 1), ' ') as query from asked),
       {sql_bm25('a', 'asked', 'corpus', 20, 'x')}, {sql_bm25('b', 'halves', 'corpus', 20, 'y')}
       select query_id, chunk_id, round(max(score), 6) as best_score from (select * from a union all select * from b) group by query_id, chunk_id""",
     "fus2_hybrid": f"""with {_CORPUS}, {sql_bm25('lex', 'asked', 'corpus', 30, 'x')},
@@ -432,7 +432,7 @@ ORACLES = {
     "fus6_rerank_ngrams": f"with {_NGRAMS} select query_id, id, source_type, rank, round(score, 6) as score from r",
     "fus9_build_context": f"""with {_NGRAMS},
       b as (select query_id, source_type, rank, row_number() over (partition by query_id, source_type order by rank) as n,
-        case when source_type = 'Vector Chunk' then rtrim(substring(text, 1, 300), {dv.WS}) || case when length(text) > 300 then '…' else '' end else text end as t from r),
+        case when source_type = 'Vector Chunk' then rtrim(text, {dv.WS}) else text end as t from r),
       l as (select query_id, source_type, string_agg('**[' || case when source_type = 'Vector Chunk' then 'V' else 'G' end || n || ']** ' || t, chr(10) || chr(10) order by n) as body from b group by all),
       vx as (select query_id, '### 📄 Vector Evidence (semantic passages)' || chr(10) || chr(10) || body as x from l where source_type = 'Vector Chunk'),
       gx as (select query_id, chr(10) || '### 🔗 Knowledge-Graph Facts (structured triplets)' || chr(10) || chr(10) || body as x from l where source_type <> 'Vector Chunk')

@@ -255,7 +255,7 @@ ORACLES = {
         select conv_id as query_id, role as source, min(turn) as pos, arg_min(text, turn) as text,
                case when role = 'user' then '' else 'https://example.org/' || role end as url
         from conversations group by conv_id, role)
-      select query_id, string_agg('[' || source || ']' || case when url <> '' then ' — ' || url else '' end || chr(10) || substring(text, 1, 2000), chr(10) || chr(10) order by pos, source) as combined,
+      select query_id, string_agg('[' || source || ']' || case when url <> '' then ' — ' || url else '' end || chr(10) || text, chr(10) || chr(10) order by pos, source) as combined,
              coalesce(string_agg(url, ' ' order by pos, source) filter (url <> ''), '') as urls, count(*)::int as n_sources
       from r where trim(text) <> '' group by query_id""",
     "src13_append_history": """select event_id, row_number() over (order by event_type <> 'error', ts, event_id) as id from events""",

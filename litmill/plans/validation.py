@@ -110,7 +110,7 @@ ORACLES = {
         union select response_id, doc_id, 'table', unnest(regexp_extract_all(t, '\\b(?:table|tbl\\.)\\s*#?\\s*(\\d+)\\b', 1))::bigint from l
         union select response_id, doc_id, 'figure', unnest(regexp_extract_all(t, '\\b(?:figure|fig\\.)\\s*#?\\s*(\\d+)\\b', 1))::bigint from l)
       select response_id, element_type, number from f where not exists (select 1 from elements e where e.number <> 2 and e.doc_id = f.doc_id and e.element_type = f.element_type and e.number = f.number)""",
-    "val5_unsupported_numbers": f"""with {SQL_RESPONSES}, n as (select response_id, {_NUMS.format(x='r.text')}[1:10] as nums, lower(r.text) as low, {_NUMS.format(x="d.n_chars || ' ' || d.text")} as have from responses r join documents d on d.doc_id = r.doc_id),
+    "val5_unsupported_numbers": f"""with {SQL_RESPONSES}, n as (select response_id, {_NUMS.format(x='r.text')} as nums, lower(r.text) as low, {_NUMS.format(x="d.n_chars || ' ' || d.text")} as have from responses r join documents d on d.doc_id = r.doc_id),
       u as (select response_id, list_filter(nums, lambda x: length(x) > 2 and not list_contains(have, x)) as bad, list_filter({_HEDGES}, lambda h: contains(low, h)) as hd from n)
       select response_id, array_to_string(bad, ',') as unsupported, array_to_string(hd, ',') as hedges, (case when len(hd) > 2 then 1 else 0 end + case when len(bad) > 3 then 1 else 0 end)::int as flags from u""",
     "val7_repetition": f"""with s as (select doc_id, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: lower({dv.sql_strip('x')})), lambda x: length(x) > 10) as s from documents)

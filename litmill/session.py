@@ -30,13 +30,17 @@ def local_session(cpus: int | str = 8, app: str = "litmill", memory: str = "12g"
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test on one machine) gets a temporary folder.
+    Only a local session, which is one machine, gets a temporary folder when it names none; on a cluster
+    that is an error, as executors and driver share no local folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if folder is None and current is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="litmill-checkpoint-")
     if folder is not None and current is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -53,8 +57,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows

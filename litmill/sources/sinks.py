@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litmill.functions.skew import numbered
+from litmill.functions.text import start_of
 
 TURN_SCHEMA = (
     "turn_id bigint, timestamp string, user_query string, assistant_response string, retrieval_score double, "
@@ -86,7 +87,7 @@ def conversation_markdown(turns: DataFrame, part_turns: int = 500) -> DataFrame:
     )
 
 
-def combine_sources(results: DataFrame, limit_chars: int = 2000) -> DataFrame:
+def combine_sources(results: DataFrame, limit_chars: int | None = None) -> DataFrame:
     """(query_id, combined, urls, n_sources): provider texts under source headers.
 
     results: query_id, source, pos, text, url; one row per query and provider.
@@ -95,7 +96,7 @@ def combine_sources(results: DataFrame, limit_chars: int = 2000) -> DataFrame:
     url = F.coalesce(F.col("url"), F.lit(""))
     block = F.concat(
         F.lit("["), F.col("source"), F.lit("]"), F.when(url != "", F.concat(F.lit(" — "), url)).otherwise(""),
-        F.lit("\n"), F.substring("text", 1, limit_chars),
+        F.lit("\n"), start_of(F.col("text"), limit_chars),
     )
     rows = used.select("query_id", F.struct("pos", "source", block.alias("block"), url.alias("url")).alias("s"))
     listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list("s")).alias("s"))

@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 from litmill.operators import fusion, graph, lexical, queries, vectors
 
 
-def test_knn_paths_agree_with_brute_force(spark):
+def test_knn_blocks_agree_with_brute_force(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(200, 8))
     vec = spark.createDataFrame([(i, v[i].tolist(), "a" if i % 2 else "b") for i in range(200)], "chunk_id long, embedding array<double>, chunk_type string")
     q = vec.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "embedding")
     key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id) for r in df.collect())
-    near, blocks = vectors.knn(q, vec, 5), vectors.knn(q, vec, 5, shipped=7, group=30)
+    near, blocks = vectors.knn(q, vec, 5), vectors.knn(q, vec, 5, question_mb=0.0005, vector_mb=0.002)
     assert key(near) == key(blocks)
     for i in range(20):
         want = np.lexsort((np.arange(200), -np.round(v @ v[i], 9)))[:5].tolist()
