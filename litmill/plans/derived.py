@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.plans.tables import table
+from litmill.plans.tables import dealt, table
 
 WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
@@ -34,7 +34,7 @@ SQL_LINES = """lines as (
 
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, lang, source, line_no, line) of the documents."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    docs = dealt(table(spark, d, "documents").select("doc_id", "lang", "source", "text"))
     return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 

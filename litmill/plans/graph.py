@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from litmill.operators import fusion, graph, vectors
 from litmill.plans import derived as dv
-from litmill.plans.tables import table
+from litmill.plans.tables import dealt, table
 
 def _entities(spark, d):
     """Suppliers, nations and regions as extracted entities: full forms with acronyms, bare acronyms, copies,
@@ -155,7 +155,7 @@ def _coded_edges(spark, d):
 
 
 def _graph_found(spark, d, tail):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    docs = dealt(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("sup"), F.col("item_id").cast("string"), F.lit("x"), tail).alias("query"))
     v = vectors.hash_embed(docs).select("chunk_id", "embedding")
     return graph.graph_retrieve(vectors.hash_embed(q, text="query"), docs, v, _coded_edges(spark, d))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from litmill.functions import fixed_values as fv
 from litmill.operators import fusion, lexical, queries, vectors
 from litmill.plans import derived as dv
-from litmill.plans.tables import table
+from litmill.plans.tables import dealt, table
 
 
 def _corpus(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return dealt(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 def _asked(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from litmill.functions import review_values as rv
 from litmill.operators import review
 from litmill.plans import derived as dv
-from litmill.plans.tables import table
+from litmill.plans.tables import dealt, table
 
 # Words of the corpus that stand for review terms, so that the rules have something to find.
 SWAPS = [("atand", "accuracy 91.5% on the benchmark "), ("tionre", "does not report the learning rate "), ("erst", "novel dataset "), ("ingan", "limited to memory ")]
@@ -25,7 +25,7 @@ for _old, _new in SWAPS:
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text").select("doc_id", _text(F.col("text")).alias("text"))
+    return dealt(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", _text(F.col("text")).alias("text"))
 
 
 def _papers(spark, d):
@@ -34,7 +34,7 @@ def _papers(spark, d):
     lines = F.split(_text(F.col("text")), "\n", -1)
     pick = lambda n: F.array_join(F.transform(F.filter(lines, lambda x, i: i % 7 == n), lambda x: x), "\n")
     figures = F.array(F.struct(F.lit("accuracy").alias("label"), F.col("n_chars").cast("string").alias("value"), F.col("lang").alias("context"), F.lit("results").alias("section")))
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars"))
     return docs.select(F.col("doc_id").alias("paper_id"), *[pick(i).alias(n) for i, n in enumerate(names)], figures.alias("key_figures"))
 
 

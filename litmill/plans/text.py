@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from litmill.functions import fixed_values as fv
 from litmill.operators import cleaning, lines, naming
 from litmill.plans import derived as dv
-from litmill.plans.tables import table
+from litmill.plans.tables import dealt, table
 
 # Beside the default abbreviations, words that the test corpus contains.
 TERMS = {**fv.ABBREVIATIONS, "la": "LA", "the": "THE", "der": "DER"}
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return dealt(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _cited(spark, d):
