@@ -350,16 +350,25 @@ def enforce_vocab(texts: DataFrame, dimension: str = "dimension", text: str = "v
     return texts.withColumn(text, controlled_verdict(F.col(dimension), F.col(text)))
 
 
+FOUNDATIONAL_A, FOUNDATIONAL_B = rv.PAIRWISE["novelty"][:2]
+
+
+def _outcomes(dimension: str) -> list[str]:
+    """The vocabulary's entries for A ahead, B ahead, both alike and insufficient evidence."""
+    entries = rv.PAIRWISE[dimension]
+    return [entries[i] for i in (3, 4, 2, 5)] if dimension == "novelty" else entries
+
+
 def controlled_judgement(dimension: Column, text: Column) -> Column:
     """A free comparison mapped to the vocabulary by its direction."""
     low = F.lower(squeeze(F.coalesce(text, F.lit(""))))
     a = contains_any(low, rv.POSITIVE_A)
     b = contains_any(low, rv.POSITIVE_B)
     out = []
-    for d, (ahead_a, ahead_b, alike, unclear) in rv.PAIRWISE.items():
-        options = [ahead_a, ahead_b, alike, unclear] + ([rv.FOUNDATIONAL_A, rv.FOUNDATIONAL_B] if d == "novelty" else [])
+    for d, options in rv.PAIRWISE.items():
+        ahead_a, ahead_b, alike, unclear = _outcomes(d)
         # The first vocabulary entry in favour of B mentions "Paper B appears" in novelty.
-        favour_b = rv.FOUNDATIONAL_A if d == "novelty" else ahead_b
+        favour_b = FOUNDATIONAL_A if d == "novelty" else ahead_b
         pick = F.coalesce(*[F.when(low == o.lower(), F.lit(o)) for o in options])
         rule = (
             F.when(a & ~b & F.lit(d != "novelty"), ahead_a)
@@ -385,50 +394,59 @@ def _strength(side: str) -> Column:
     )
 
 
-def _novelty_kind(side: str) -> tuple[Column, Column]:
-    """(foundational, extending) by verdict and by the words of the assessment."""
+def _novelty_kind(side: str) -> tuple[Column, Column, Column]:
+    """(foundational, extending) by verdict, and whether the whole assessment names a type other than foundational."""
     s = lambda f: F.col(f"{side}.{f}")
     text = F.lower(squeeze(F.concat_ws(" ", s("verdict"), s("rationale"), F.array_join(s("evidence"), " "))))
     words = [w for ws in rv.NOVELTY_TYPE_WORDS.values() for w in ws]
     extending = contains_any(s("verdict"), ["Efficiency innovation", "Incremental extension", "Practical", "Mixed novelty"])
-    return s("verdict").contains("Foundational contribution"), extending | contains_any(text, words)
+    return s("verdict").contains("Foundational contribution"), extending, contains_any(text, words)
 
 
 def _judgement() -> Column:
-    """Rules over the two profile rows ``a`` and ``b`` and their strengths ``sa`` and ``sb``."""
+    """Rules over the two profile rows ``a`` and ``b`` and their strengths ``sa`` and ``sb``.
+
+    Weaknesses, assumptions and threats are never ranked. Two papers of low confidence: a verdict against none wins, a lead of
+    three counts for paper A only, which is the side the pair names first.
+    """
     none_a, none_b = F.col("a.verdict") == rv.NOT_ENOUGH, F.col("b.verdict") == rv.NOT_ENOUGH
+    both = ~none_a & ~none_b
     gap = F.col("sa") - F.col("sb")
-    equal = F.col("a.verdict") == F.col("b.verdict")
+    close = both & ((F.col("a.verdict") == F.col("b.verdict")) | (F.abs(gap) <= 1))
     sure_a, sure_b = normal_confidence(F.col("a.confidence")) != "Low", normal_confidence(F.col("b.confidence")) != "Low"
-    found_a, ext_a = _novelty_kind("a")
-    found_b, ext_b = _novelty_kind("b")
+    found_a, ext_a, typed_a = _novelty_kind("a")
+    found_b, ext_b, typed_b = _novelty_kind("b")
     per_dimension = []
-    for d, (ahead_a, ahead_b, alike, unclear) in rv.PAIRWISE.items():
+    for d in rv.PAIRWISE:
+        ahead_a, ahead_b, alike, unclear = _outcomes(d)
         if d == "novelty":
             rule = (
                 F.when(none_a & none_b, unclear)
-                .when(none_a, F.when(found_b, rv.FOUNDATIONAL_B).otherwise(ahead_b))
-                .when(none_b, F.when(found_a, rv.FOUNDATIONAL_A).otherwise(ahead_a))
-                .when(found_a & found_b, unclear)
-                .when(found_a & ext_b, rv.FOUNDATIONAL_A)
-                .when(found_b & ext_a, rv.FOUNDATIONAL_B)
+                .when(none_a, F.when(found_b, FOUNDATIONAL_B).otherwise(ahead_b))
+                .when(none_b, F.when(found_a, FOUNDATIONAL_A).otherwise(ahead_a))
+                .when(found_a & (ext_b | typed_b), FOUNDATIONAL_A)
+                .when(found_b & (ext_a | typed_a), FOUNDATIONAL_B)
                 .when(ext_a & ext_b, alike)
                 .otherwise(unclear)
             )
         elif d in ("weaknesses", "assumptions", "threats_to_validity"):
-            rule = F.when(none_a & none_b, unclear).when(none_a, ahead_b).when(none_b, ahead_a).otherwise(alike if d == "weaknesses" else unclear)
+            rule = F.lit(unclear)
         else:
-            clear = 2 if d == "strengths" else 3
-            low = ~sure_a & ~sure_b
+            doubtful = (
+                F.when(~none_a & none_b, ahead_a)
+                .when(none_a & ~none_b, ahead_b)
+                .when(both & (gap >= 3), ahead_a)
+                .when(close, alike)
+                .otherwise(unclear)
+            )
             rule = (
-                F.when(none_a & none_b, unclear)
-                .when(low & none_a, ahead_b)
-                .when(low & none_b, ahead_a)
-                .when(~none_a & ~none_b & ((low & (gap >= clear)) | (sure_a & (gap >= 2))), ahead_a)
-                .when(~none_a & ~none_b & ((low & (-gap >= clear)) | (sure_b & (-gap >= 2))), ahead_b)
-                .when(~none_a & ~none_b & (equal | (F.abs(gap) <= 1)), alike)
-                .when(sure_a & (gap > 0), ahead_a)
-                .when(sure_b & (gap < 0), ahead_b)
+                F.when(both & (F.abs(gap) >= 2) & F.lit(d == "strengths"), F.when(gap > 0, ahead_a).otherwise(ahead_b))
+                .when(~sure_a & ~sure_b, doubtful)
+                .when((gap >= 2) & sure_a, ahead_a)
+                .when((-gap >= 2) & sure_b, ahead_b)
+                .when(close, alike)
+                .when((gap > 0) & (both | sure_a), ahead_a)
+                .when((gap < 0) & (both | sure_b), ahead_b)
                 .otherwise(unclear)
             )
         per_dimension.append(F.when(F.col("dimension") == d, rule))
@@ -509,14 +527,68 @@ def on_dimension(items: Column, dimension: Column) -> Column:
     return F.coalesce(*[F.when(dimension == d, F.filter(items, fits(d))) for d in rv.DIMENSIONS], items)
 
 
-def normalize_assessments(assessments: DataFrame, extracted: DataFrame) -> DataFrame:
+def _scan_texts(papers: DataFrame) -> DataFrame:
+    """(paper_id, dimension, scan): the part of a paper that a dimension's guard reads, white space squeezed."""
+
+    def joined(*names: str) -> list[Column]:
+        return [F.when(F.col(n) != "Not found", F.col(n)) for n in names if n in papers.columns]
+
+    source = joined("title", "authors", *rv.PAPER_SECTIONS)
+    if "key_figures" in papers.columns:
+        source.append(F.array_join(F.transform("key_figures", lambda f: F.concat_ws(" ", f["label"], f["value"], f["context"], f["section"])), " "))
+    reads = {
+        "novelty": source,
+        "reproducibility": joined("methodology", "abstract"),
+        "fairness_of_comparison": [*source, *joined("abstract", "introduction")],
+        "applicability": source,
+        "weaknesses": joined(*rv.PAPER_SECTIONS),
+        "threats_to_validity": joined(*rv.PAPER_SECTIONS),
+        "assumptions": joined("methodology", "introduction", "abstract"),
+    }
+    texts = [F.struct(F.lit(d).alias("dimension"), squeeze(F.concat_ws(" ", *cols)).alias("scan")) for d, cols in reads.items()]
+    return papers.select("paper_id", F.explode(F.array(*texts)).alias("_t")).select("paper_id", "_t.*")
+
+
+def _novelty_verdict(text: Column, said: Column) -> tuple[Column, Column]:
+    """(verdict, foundational) by the words of assessment and paper; ``said``: the written verdict in lower case."""
+    strong = contains_any(text, rv.STRONG_FOUNDATIONAL)
+    typed = contains_any(text, rv.FOUNDATIONAL_TYPE_WORDS) & ~contains_any(text, rv.EXTENSION_SIGNALS)
+    foundational = strong & (typed | said.contains("foundational"))
+    kinds = {n: contains_any(text, ws) for n, ws in rv.NOVELTY_TYPE_WORDS.items()}
+    paradigm, efficient, incremental, practical, both = rv.VERDICTS["novelty"]
+    verdict = (
+        F.when(foundational & kinds["efficiency"], both)
+        .when(foundational, paradigm)
+        .when(kinds["efficiency"], efficient)
+        .when(kinds["practical"], practical)
+        .when(kinds["extension"], incremental)
+        .otherwise(rv.NOT_ENOUGH)
+    )
+    return verdict, foundational
+
+
+def _reproducibility_rationale(groups: Column, evidence: Column) -> Column:
+    absent = F.array_except(F.array(*map(F.lit, rv.REPRO_SIGNALS)), groups)
+    part = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(title), F.array_join(F.array_sort(c), ", "), F.lit(".")))
+    released = F.exists(evidence, lambda e: contains_any(F.lower(e), rv.RELEASE_WORDS) & ~contains_any(F.lower(e), rv.RELEASE_NEGATIVES))
+    return F.concat_ws(" ", part("Reproducibility signals present: ", groups), part("Missing signals: ", absent), F.when(~released, rv.NO_RELEASE))
+
+
+def normalize_assessments(assessments: DataFrame, extracted: DataFrame, papers: DataFrame | None = None) -> DataFrame:
     """Model-written assessments (paper_id, dimension, verdict, rationale, evidence, confidence) made consistent.
 
     Extracted evidence of the same paper and dimension is merged in, items off the dimension and contradicted ones go,
-    verdicts come from the vocabulary, confidence is capped, and rows without evidence say so.
+    verdicts come from the vocabulary, confidence is capped, and rows without evidence say so. Each dimension has a guard
+    that reads the assessment and, with ``papers`` (paper_id and sections), the paper: novelty is classified anew,
+    reproducibility and fairness need their signals, deployment words make an unclear applicability a constrained one,
+    and weaknesses, threats and assumptions need words for them.
     """
     found = extracted.select("paper_id", "dimension", F.col("evidence").alias("_found"))
     rows = assessments.where(F.col("dimension").isin(list(rv.DIMENSIONS))).join(found, ["paper_id", "dimension"], "left")
+    if papers is not None:
+        rows = rows.join(_scan_texts(papers).withColumnRenamed("scan", "_scan"), ["paper_id", "dimension"], "left")
+    else:
+        rows = rows.withColumn("_scan", F.lit(""))
     d = F.col("dimension")
     merged = on_dimension(F.concat(F.coalesce("evidence", _strings()), F.coalesce("_found", _strings())), d)
     verdict = controlled_verdict(d, F.col("verdict"))
@@ -527,18 +599,90 @@ def normalize_assessments(assessments: DataFrame, extracted: DataFrame) -> DataF
     quiet = F.filter("_e", lambda e: ~e.rlike(rv.POSITIVE_NOISE))
     kept = F.when(negative & (F.size(quiet) > 0), quiet).otherwise(F.col("_e"))
     rows = rows.withColumn("_e", kept).withColumn("_e", uncontradicted(F.col("_e")))
-    said = F.lower(squeeze(F.concat_ws(" ", "verdict", "rationale", F.array_join("_e", " "))))
-    empty = (F.size("_e") == 0) | (contains_any(said, rv.GENERIC_PHRASES) & (specific_count(F.col("_e")) == 0))
-    rows = rows.withColumn("_v", F.when(empty, rv.NOT_ENOUGH).otherwise(F.col("_v"))).withColumn("_e", F.when(empty, _strings()).otherwise(F.col("_e")))
-    nee = F.col("_v") == rv.NOT_ENOUGH
+
+    text = squeeze(F.concat_ws(" ", "verdict", "rationale", F.array_join("_e", " ")))
+    rows = rows.withColumns({"_text": F.lower(text), "_n": specific_count(F.col("_e"))})
+    rows = rows.withColumn("_all", F.lower(F.concat_ws(" ", "_text", "_scan")))
+    empty = (F.size("_e") == 0) | (contains_any(F.col("_text"), rv.GENERIC_PHRASES) & (F.col("_n") == 0))
+    # fairness says that no controls are named, where none are and nothing more concrete is known
+    silent = (d == "fairness_of_comparison") & ~F.exists("_e", lambda e: contains_any(F.lower(e), rv.CONTROL_WORDS))
+    noted = clean_evidence(F.concat("_e", F.array(F.lit(rv.NO_CONTROLS))))
+    rows = rows.withColumn("_empty", empty).withColumn("_e", F.when(silent & ~F.col("_empty"), noted).otherwise(F.col("_e")))
+    scan = F.concat_ws(" ", "_scan", F.array_join("_e", " "))
+    groups = F.when(d == "reproducibility", signal_groups_of(scan, rv.REPRO_SIGNALS)).when(
+        d == "fairness_of_comparison", signal_groups_of(scan, rv.FAIRNESS_SIGNALS)
+    )
+    rows = rows.withColumn("_g", F.coalesce(groups, _strings()))
+
+    e, n, g, v = F.col("_e"), F.col("_n"), F.col("_g"), F.col("_v")
+    has = lambda name: F.array_contains(g, name)
+    said = F.lower(squeeze(F.coalesce("verdict", F.lit(""))))
     written = F.coalesce("rationale", F.lit(""))
-    own = F.when((written != "") & ~contains_any(F.lower(squeeze(written)), rv.GENERIC_PHRASES), written).otherwise(_grounded(F.col("_e")))
-    rationale = F.when(empty, _missing(d)).when(nee & own.rlike(rv.ASSERTIVE_RATIONALE), rv.NEUTRAL_RATIONALE).otherwise(own)
-    capped = capped_confidence(F.col("confidence"), F.col("_e"))
-    doubtful = ~nee & own.rlike(rv.ABSENCE_RATIONALE) & (capped == "High")
+    vague = (written == "") | contains_any(F.lower(squeeze(written)), rv.GENERIC_PHRASES)
+    own = F.when(vague, _grounded(e)).otherwise(written)
+
+    novelty, foundational = _novelty_verdict(F.col("_all"), said)
+    assertive = contains_any(F.lower(squeeze(written)), rv.ASSERTIVE_PHRASES)
+
+    enough = has("hyperparameters") & has("data") & (has("setup") | has("protocol"))
+    strong = enough & (F.size(g) >= 4)
+    release = has("release") & ~F.exists(e, lambda x: x.rlike(rv.RELEASE_NEGATION))
+    reasonable, partial = rv.VERDICTS["reproducibility"][:2]
+    because = _reproducibility_rationale(g, e)
+    because = F.when(~enough, F.concat_ws(" ", because, F.lit(rv.CORE_MISSING))).when(strong & release, because).otherwise(
+        F.concat_ws(" ", because, F.lit(rv.RELEASE_INCOMPLETE))
+    )
+
+    fair_enough = (has("baselines") & has("metrics")) | (contains_any(said, rv.FAIR_VERDICT_WORDS) & (n >= 2))
+    fair, partly_fair = rv.VERDICTS["fairness_of_comparison"][:2]
+    fair_because = F.when(has("controls"), _grounded(e)).otherwise(F.concat_ws(" ", _grounded(e), F.lit(rv.CONTROLS_UNCLEAR)))
+
+    deploy = F.filter(word_array(rv.DEPLOY_SIGNALS), lambda w: F.contains(F.col("_all"), w))
+    constrained = (d == "applicability") & (F.size(deploy) >= 2) & v.isin(rv.NOT_ENOUGH, rv.VERDICTS["applicability"][2])
+    deployed = F.concat(
+        F.lit("The paper contains explicit deployment-relevant signals ("), F.array_join(F.slice(deploy, 1, 4), ", "),
+        F.lit("), which allow an applicability assessment grounded in the extracted text."),
+    )
+
+    worded = contains_any(F.col("_all"), rv.THREAT_TOKENS) | (~said.isin(rv.NOT_ENOUGH.lower(), "") & (n >= 1))
+    refused = (
+        F.col("_empty")
+        | ((d == "reproducibility") & ~enough & (F.size(g) == 0))
+        | ((d == "fairness_of_comparison") & ~fair_enough)
+        | (d.isin("weaknesses", "threats_to_validity") & ~worded)
+        | ((d == "assumptions") & ~contains_any(F.col("_all"), rv.ASSUMPTION_TOKENS))
+    )
+    rows = rows.withColumns(
+        {
+            "_refused": refused,
+            "_verdict": F.when(refused, rv.NOT_ENOUGH)
+            .when(d == "novelty", novelty)
+            .when(d == "reproducibility", F.when(strong & release, reasonable).otherwise(partial))
+            .when(d == "fairness_of_comparison", F.when(has("controls"), fair).otherwise(partly_fair))
+            .when(constrained, rv.VERDICTS["applicability"][1])
+            .otherwise(v),
+            "_why": F.when(d == "novelty", F.when(vague | assertive, rv.PLAIN_NOVELTY_RATIONALE).otherwise(written))
+            .when(d == "reproducibility", because)
+            .when(d == "fairness_of_comparison", fair_because)
+            .when(constrained, deployed)
+            .otherwise(own),
+            "_sure": F.when(d == "novelty", F.when((n >= 3) & foundational, "High").otherwise("Medium"))
+            .when(d == "reproducibility", F.when(~enough, "Low").when(release & strong, "High").otherwise("Medium"))
+            .when(d == "fairness_of_comparison", F.when(has("controls") & (F.size(g) >= 4), "High").otherwise("Medium"))
+            .when(constrained, F.when(n >= 2, "Medium").otherwise("Low"))
+            .otherwise(F.col("confidence")),
+            "_items": F.when(refused, _strings()).when(d == "applicability", F.filter(e, lambda x: ~x.rlike(rv.APPLICABILITY_NOISE))).otherwise(e),
+        }
+    )
+    nee = F.col("_verdict") == rv.NOT_ENOUGH
+    special = F.coalesce(*[F.when(d == k, F.lit(t)) for k, t in rv.MISSING_EVIDENCE.items()], _missing(d))
+    rationale = F.when(F.col("_refused"), special).when(nee & F.col("_why").rlike(rv.ASSERTIVE_RATIONALE), rv.NEUTRAL_RATIONALE).otherwise(F.col("_why"))
+    capped = capped_confidence(F.col("_sure"), F.col("_items"))
+    # the rationales of fairness and reproducibility name what is absent by rule
+    doubtful = ~nee & F.col("_why").rlike(rv.ABSENCE_RATIONALE) & (capped == "High") & (d != "fairness_of_comparison")
     return rows.select(
-        "paper_id", "dimension", F.col("_v").alias("verdict"), rationale.alias("rationale"),
-        F.when(nee, F.filter("_e", lambda e: ~e.rlike(rv.POSITIVE_METRIC))).otherwise(F.col("_e")).alias("evidence"),
+        "paper_id", "dimension", F.col("_verdict").alias("verdict"), rationale.alias("rationale"),
+        F.when(nee, F.filter("_items", lambda x: ~x.rlike(rv.POSITIVE_METRIC))).otherwise(F.col("_items")).alias("evidence"),
         F.when(nee | doubtful, "Low").otherwise(capped).alias("confidence"),
     )
 
@@ -547,11 +691,12 @@ def normalize_pairwise(raw: DataFrame, pairs: DataFrame, profiles: DataFrame) ->
     """Model-written comparison rows made consistent with the profiles; one row per pair and dimension.
 
     raw: pair_id, pos, dimension, judgement, rationale, evidence. The first row of a dimension counts; missing,
-    generic or unfounded ones are replaced by the local comparison.
+    generic or unfounded ones are replaced by the local comparison. Evidence: at most six items, of the first four
+    written ones those that neither profile holds.
     """
     valid = raw.withColumn("dimension", F.lower(squeeze(F.col("dimension")))).where(F.col("dimension").isin(list(rv.DIMENSIONS)))
     first = first_rows(valid, ["pair_id", "dimension"], ["pos"]).select(
-        "pair_id", "dimension", F.struct("judgement", "rationale", clean_evidence(F.col("evidence"), 4).alias("evidence")).alias("r")
+        "pair_id", "dimension", F.struct("judgement", "rationale", clean_evidence(F.col("evidence"), 4).alias("evidence"), F.slice("evidence", 1, 4).alias("raw")).alias("r")
     )
     rows = _paired(pairs, profiles).join(first, ["pair_id", "dimension"], "left").withColumn("local", _judgement())
     said = F.lower(squeeze(F.concat_ws(" ", "r.judgement", "r.rationale", F.array_join("r.evidence", " "))))
@@ -559,23 +704,28 @@ def normalize_pairwise(raw: DataFrame, pairs: DataFrame, profiles: DataFrame) ->
     none = (F.col("a.verdict") == rv.NOT_ENOUGH) & (F.col("b.verdict") == rv.NOT_ENOUGH)
     use_local = F.col("r").isNull() | vague | said.contains(rv.PAIRWISE_FALLBACK.lower())
     enforced = controlled_judgement(F.col("dimension"), F.col("r.judgement"))
-    found_a, _ = _novelty_kind("a")
-    found_b, _ = _novelty_kind("b")
+    found_a, _, _ = _novelty_kind("a")
+    found_b, _, _ = _novelty_kind("b")
     plain = lambda side: contains_any(F.col(f"{side}.verdict"), ["Efficiency innovation", "Incremental extension", "Practical or engineering innovation"])
     novelty = F.col("dimension") == "novelty"
     alike = contains_any(enforced, ["Both", "comparable", "similar"])
-    ahead = lambda i: F.coalesce(*[F.when(F.col("dimension") == d, F.lit(o[i])) for d, o in rv.PAIRWISE.items()])
+    ahead = lambda i: F.coalesce(*[F.when(F.col("dimension") == d, F.lit(_outcomes(d)[i])) for d in rv.PAIRWISE])
     gap = F.col("sa") - F.col("sb")
     sure = lambda side: normal_confidence(F.col(f"{side}.confidence")) != "Low"
     judged = (
-        F.when(novelty & found_a & plain("b"), rv.FOUNDATIONAL_A)
-        .when(novelty & found_b & plain("a"), rv.FOUNDATIONAL_B)
-        .when(novelty & found_a & found_b & (enforced == rv.PAIRWISE["novelty"][2]), rv.PAIRWISE["novelty"][3])
+        F.when(novelty & found_a & plain("b"), FOUNDATIONAL_A)
+        .when(novelty & found_b & plain("a"), FOUNDATIONAL_B)
+        .when(novelty & found_a & found_b & (enforced == _outcomes("novelty")[2]), _outcomes("novelty")[3])
         .when(~novelty & alike & (gap >= 3) & sure("a"), ahead(0))
         .when(~novelty & alike & (-gap >= 3) & sure("b"), ahead(1))
         .otherwise(enforced)
     )
-    evidence = clean_evidence(F.concat(F.coalesce(F.col("r.evidence"), _strings()), _both_evidence()), 6)
+    # of the written evidence, what neither profile holds stands before the profiles' own
+    plain_items = lambda c: F.transform(c, lambda e: F.lower(clean_bullet(e)))
+    held = F.concat(plain_items(F.col("a.evidence")), plain_items(F.col("b.evidence")))
+    fresh = F.filter(F.coalesce("r.raw", _strings()), lambda e: ~F.array_contains(held, F.lower(clean_bullet(e))))
+    own = clean_evidence(F.concat(fresh, _both_evidence()), 6)
+    evidence = F.when(use_local, own).otherwise(clean_evidence(F.concat(F.coalesce("r.evidence", _strings()), own), 6))
     return rows.select(
         "pair_id", "dimension", F.col("a.verdict").alias("verdict_a"), F.col("b.verdict").alias("verdict_b"),
         F.when(none, ahead(3)).when(use_local, F.col("local")).otherwise(judged).alias("judgement"),

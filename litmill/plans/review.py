@@ -126,7 +126,7 @@ def normalize_assessments(spark, d):
         F.when(F.col("paper_id") % 2 == 0, F.lit("A thorough analysis")).otherwise(F.col("rationale")).alias("rationale"),
         F.concat("evidence", F.array(F.lit("a thorough analysis of it"))).alias("evidence"), F.when(F.col("paper_id") % 3 == 0, "high").otherwise("medium").alias("confidence"),
     )
-    return _flat(review.normalize_assessments(written, review.select_evidence(_papers(spark, d), 4)))
+    return _flat(review.normalize_assessments(written, review.select_evidence(_papers(spark, d), 4), _papers(spark, d)))
 
 
 def normalize_pairwise(spark, d):
