@@ -83,45 +83,42 @@ def test_weaknesses_threats_and_assumptions_need_words(spark):
         assert normalized(spark, d, verdict, plain).verdict == NEE
 
 
-def compared(spark, dimension, a, b):
-    rows = [(1, dimension, a[0], "", a[1], a[2]), (2, dimension, b[0], "", b[1], b[2])]
-    pairs = spark.createDataFrame([(1, 1, 2)], "pair_id long, paper_a long, paper_b long")
-    return review.compare_profiles(pairs, spark.createDataFrame(rows, PROFILE)).first().judgement
-
-
 def items(n):
     return [f"accuracy {k}1.5% on benchmark {k}" for k in range(1, n + 1)]
 
 
-@pytest.mark.parametrize(
-    "dimension, a, b, entry",
-    [
-        ("weaknesses", ("x", items(2), "Low"), (NEE, [], "Low"), 3),
-        ("threats_to_validity", ("x", items(2), "Low"), ("x", [], "Low"), 3),
-        ("strengths", ("x", items(2), "Low"), ("y", [], "Low"), 0),
-        ("strengths", ("x", [], "Low"), ("y", items(2), "Low"), 1),
-        ("applicability", ("x", [], "Low"), (NEE, [], "Low"), 0),
-        ("applicability", (NEE, [], "Low"), ("x", [], "Low"), 1),
-        ("applicability", (NEE, [], "Low"), (NEE, [], "Low"), 3),
-        ("applicability", ("x", items(3), "Low"), ("x", [], "Low"), 0),
-        ("applicability", ("x", [], "Low"), ("y", items(3), "Low"), 3),
-        ("applicability", ("x", [], "Low"), ("x", items(3), "Low"), 2),
-        ("applicability", ("x", items(1), "Low"), ("y", [], "Low"), 2),
-        ("applicability", ("x", items(2), "High"), ("x", [], "Low"), 0),
-        ("applicability", ("x", [], "Low"), ("x", items(1), "High"), 1),
-        ("applicability", ("x", [], "Medium"), ("x", [], "Low"), 2),
-        ("applicability", ("x", items(3), "Low"), ("y", [], "Medium"), 0),
-        ("novelty", ("Foundational contribution", [], "Low"), ("Efficiency innovation", [], "Low"), 0),
-        ("novelty", ("Practical", [], "Low"), ("Foundational contribution", [], "Low"), 1),
-        ("novelty", ("Practical", [], "Low"), ("Efficiency innovation", [], "Low"), 2),
-        ("novelty", ("Practical", [], "Low"), (NEE, [], "Low"), 3),
-        ("novelty", (NEE, [], "Low"), ("Foundational contribution", [], "Low"), 1),
-        ("novelty", ("Foundational contribution", [], "Low"), ("Foundational contribution", [], "Low"), 5),
-        ("novelty", ("Foundational contribution", [], "Low"), ("Foundational contribution", ["an adaptation"], "Low"), 0),
-    ],
-)
-def test_decision_table(spark, dimension, a, b, entry):
-    assert compared(spark, dimension, a, b) == rv.PAIRWISE[dimension][entry]
+CASES = [
+    ("weaknesses", ("x", items(2), "Low"), (NEE, [], "Low"), 3),
+    ("threats_to_validity", ("x", items(2), "Low"), ("x", [], "Low"), 3),
+    ("strengths", ("x", items(2), "Low"), ("y", [], "Low"), 0),
+    ("strengths", ("x", [], "Low"), ("y", items(2), "Low"), 1),
+    ("applicability", ("x", [], "Low"), (NEE, [], "Low"), 0),
+    ("applicability", (NEE, [], "Low"), ("x", [], "Low"), 1),
+    ("applicability", (NEE, [], "Low"), (NEE, [], "Low"), 3),
+    ("applicability", ("x", items(3), "Low"), ("x", [], "Low"), 0),
+    ("applicability", ("x", [], "Low"), ("y", items(3), "Low"), 3),
+    ("applicability", ("x", [], "Low"), ("x", items(3), "Low"), 2),
+    ("applicability", ("x", items(1), "Low"), ("y", [], "Low"), 2),
+    ("applicability", ("x", items(2), "High"), ("x", [], "Low"), 0),
+    ("applicability", ("x", [], "Low"), ("x", items(1), "High"), 1),
+    ("applicability", ("x", [], "Medium"), ("x", [], "Low"), 2),
+    ("applicability", ("x", items(3), "Low"), ("y", [], "Medium"), 0),
+    ("novelty", ("Foundational contribution", [], "Low"), ("Efficiency innovation", [], "Low"), 0),
+    ("novelty", ("Practical", [], "Low"), ("Foundational contribution", [], "Low"), 1),
+    ("novelty", ("Practical", [], "Low"), ("Efficiency innovation", [], "Low"), 2),
+    ("novelty", ("Practical", [], "Low"), (NEE, [], "Low"), 3),
+    ("novelty", (NEE, [], "Low"), ("Foundational contribution", [], "Low"), 1),
+    ("novelty", ("Foundational contribution", [], "Low"), ("Foundational contribution", [], "Low"), 5),
+    ("novelty", ("Foundational contribution", [], "Low"), ("Foundational contribution", ["an adaptation"], "Low"), 0),
+]
+
+
+def test_decision_table(spark):
+    """Pair k holds case k: papers 2k and 2k + 1."""
+    rows = [(2 * k + i, d, side[0], "", side[1], side[2]) for k, (d, a, b, _) in enumerate(CASES) for i, side in enumerate((a, b))]
+    pairs = spark.createDataFrame([(k, 2 * k, 2 * k + 1) for k in range(len(CASES))], "pair_id long, paper_a long, paper_b long")
+    got = {r.pair_id: r.judgement for r in review.compare_profiles(pairs, spark.createDataFrame(rows, PROFILE)).collect()}
+    assert got == {k: rv.PAIRWISE[d][entry] for k, (d, _, _, entry) in enumerate(CASES)}
 
 
 def test_written_evidence_that_a_profile_holds_goes(spark):
