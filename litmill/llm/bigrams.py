@@ -1,0 +1,319 @@
+"""Pitman-Yor model in which the context of a word is the word before it.
+
+Each word is a restaurant for the words after it; all share one parent, the word restaurant, whose base is uniform over the
+known words and one unknown word. A text starts in the restaurant of the end (the empty word), so a word has as many
+customers in its restaurant as it has places in the corpus.
+
+Words are 64-bit hashes. Pairs (word before, word) are counted in blocks before they are dealt, and are dealt by a hash of
+both, so a frequent word's restaurant is spread over all shards. A dish served once in a context has one table for certain:
+sweeps are over the other pairs, with the totals of their context and word joined to them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from litmill.llm.pitman_yor import BURN_IN, HELD_TOKENS, STRENGTH, SWEEPS, packed, tables, tokens, unpacked
+from litmill.session import cut_lineage
+
+BLOCK_SHARDS = 4
+PAIR = np.dtype([("u", "<i8"), ("w", "<i8"), ("n", "<i4")])
+OWN = np.dtype([("u", "<i8"), ("w", "<i8"), ("own", "<f4")])
+WORD = np.dtype([("h", "<i8"), ("c", "<i8"), ("shared", "<f8"), ("back", "<f8")])
+ASKS = "block long, shard int, pairs binary"
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), "<i8")
+
+
+class Places:
+    """Numbers and hashes of the distinct words of some texts."""
+
+    def __init__(self) -> None:
+        self.place: dict[bytes, int] = {b"": 0}
+        self.hashes = hashed([b""])
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word before, word, tokens of each text)."""
+        place, rows, new = self.place, [], []
+        for text in texts:
+            own = tokens(text)
+            for w in set(own).difference(place):
+                place[w] = len(place)
+                new.append(w)
+            rows.append(np.fromiter(map(place.__getitem__, own), np.int64, len(own)))
+        self.hashes = np.concatenate([self.hashes, hashed(new)])
+        word = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        # each text ends with the empty word, which is also the context of the next text's first
+        return np.concatenate([[0], word[:-1]])[: len(word)], word, np.array([len(r) for r in rows], np.int64)
+
+
+def _shard(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+    mix = (u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ w.view(np.uint64)
+    return ((mix >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+
+
+def block_pairs(docs: DataFrame, shards: int) -> DataFrame:
+    """ASKS: the distinct pairs of each block of ``docs`` (block, text, train), by shard; n: how often in rows that ``train``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[Places, list]] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for block in list(held):
+                places, parts = held.pop(block)
+                key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                pair = np.zeros(len(key), PAIR)
+                pair["u"], pair["w"] = places.hashes[key >> 32], places.hashes[key & 0xFFFFFFFF]
+                pair["n"] = np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(key))
+                shard = _shard(pair["u"].copy(), pair["w"].copy(), shards)
+                size = np.bincount(shard, minlength=shards)
+                some = np.flatnonzero(size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), block, np.int64)), pa.array(some.astype(np.int32)), packed(pair[np.argsort(shard, kind="stable")], size[some])], ["block", "shard", "pairs"]
+                )
+
+        for b in batches:
+            of = b.column(0).to_numpy()
+            train = b.column(2).to_numpy(zero_copy_only=False)
+            for block in np.unique(of).tolist():
+                own = np.flatnonzero(of == block)
+                places, parts = held.setdefault(block, (Places(), []))
+                before, word, size = places(b.column(1).take(pa.array(own)).to_pylist())
+                key, at = np.unique(before << 32 | word, return_inverse=True)
+                parts.append((key, np.bincount(at, weights=np.repeat(train[own], size), minlength=len(key))))
+            if sum(len(k) for _, parts in held.values() for k, _ in parts) > HELD_TOKENS:
+                yield from rows()
+        yield from rows()
+
+    return docs.select("block", "text", "train").mapInArrow(count, ASKS)
+
+
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """The distinct pairs of ``rows``, by u and w, with their sums."""
+    rows = rows[np.lexsort((rows["w"], rows["u"]))]
+    if not len(rows):
+        return rows
+    first = np.flatnonzero(np.concatenate([[True], (rows["u"][1:] != rows["u"][:-1]) | (rows["w"][1:] != rows["w"][:-1])]))
+    out = rows[first]
+    out["n"] = np.add.reduceat(rows["n"], first)
+    return out
+
+
+def counted(asks: DataFrame) -> DataFrame:
+    """(shard, pairs) with the pairs of all blocks that were seen in training."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        rows, _ = unpacked(t.column("pairs"), PAIR)
+        rows = _merged(rows[rows["n"] > 0])
+        return pa.table([t.column("shard").slice(0, 1).combine_chunks(), packed(rows, np.array([len(rows)]))], ["shard", "pairs"])
+
+    return asks.groupBy("shard").applyInArrow(merge, "shard int, pairs binary")
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, c, t_u, one_u, t_w, one_w) of the words of each shard's pairs, as contexts and as dishes."""
+    for b in batches:
+        rows, _ = unpacked(b.column(0), PAIR)
+        for side in "uw":
+            h, at = np.unique(rows[side], return_inverse=True)
+            t, one = np.bincount(at, minlength=len(h)), np.bincount(at, weights=rows["n"] == 1, minlength=len(h)).astype(np.int64)
+            none = np.zeros(len(h), np.int64)
+            c = np.bincount(at, weights=rows["n"], minlength=len(h)).astype(np.int64) if side == "w" else none
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((h, c, t, one, none, none) if side == "u" else (h, c, none, none, t, one))], ["h", "c", "t_u", "one_u", "t_w", "one_w"])
+
+
+def _busy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows, _ = unpacked(b.column(0), PAIR)
+        rows = rows[rows["n"] > 1]
+        n = rows["n"].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows["u"].copy(), rows["w"].copy(), n, np.ones(len(n), np.int64), np.zeros(len(n), np.int64))], ["u", "w", "n", "t", "sum"])
+
+
+@dataclass
+class Bigrams:
+    """words: (h, c, shared, back); busy: (u, w, n, t, sum), the pairs seen more than once; sum: tables over the ``kept`` samples."""
+
+    words: DataFrame
+    busy: DataFrame
+    pairs: DataFrame
+    own: float  # discount in the contexts
+    kept: int
+    n_tokens: int
+    n_words: int
+    unknown: float  # the parent's probability of an unknown word
+
+
+def train(pairs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> Bigrams:
+    """The model from ``pairs`` (shard, pairs). The discounts are n1 / (n1 + 2 n2) of the dishes served once and twice."""
+    blobs = pairs.select("pairs")
+    sides = blobs.mapInArrow(_sides, "h long, c long, t_u long, one_u long, t_w long, one_w long")
+    vocab = sides.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("c", "t_u", "one_u", "t_w", "one_w")])
+    vocab = cut_lineage(vocab.select("*", F.lit(0).cast("long").alias("up"), F.lit(0.0).alias("shared"), F.lit(0).cast("long").alias("t_sum")))
+    busy = cut_lineage(blobs.mapInArrow(_busy, "u long, w long, n long, t long, sum long"))
+    one = vocab.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("c"), F.lit(1), F.col("t_w"), F.col("one_w"), (F.col("t_w") == 1).cast("long"), (F.col("t_w") == 2).cast("long"))]).first()
+    n, v, total, n1, p1, p2 = map(int, one)
+    n2 = busy.where("n = 2").count()
+    own, above = (min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5 for a, b in ((n1, n2), (p1, p2)))
+    base, parents, kept, lone = 1 / (v + 1), v, 0, 0.0
+    vocab = vocab.withColumn("up", F.lit(1).cast("long"))
+
+    def prior() -> F.Column:
+        return (F.col("t_w") - above * F.col("up") + (STRENGTH + above * parents) * base) / (STRENGTH + total)
+
+    for sweep in range(sweeps):
+        weight = (STRENGTH + above * parents) * base
+
+        def seat(batches: Iterator[pa.RecordBatch], sweep=sweep, keep=sweep >= burn_in) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    u, w, n, sums, t_u, p = (b.column(x).to_numpy() for x in ("u", "w", "n", "sum", "t_u", "prior"))
+                    rng = np.random.default_rng([sweep, int(u[0]) & 0xFFFFFFFF, int(w[0]) & 0xFFFFFFFF, len(u)])
+                    t = tables(n, (STRENGTH + own * t_u) * p, own, rng)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, n, t, sums + keep * t)], ["u", "w", "n", "t", "sum"])
+
+        def seat_parent(batches: Iterator[pa.RecordBatch], sweep=sweep, weight=weight) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    t = b.column("t_w").to_numpy()
+                    rng = np.random.default_rng([sweep, int(b.column("h")[0].as_py()) & 0xFFFFFFFF, len(t)])
+                    yield b.set_column(b.schema.get_field_index("up"), "up", pa.array(tables(t, np.full(len(t), weight), above, rng)))
+
+        of_u, of_w = vocab.select(F.col("h").alias("u"), "t_u"), vocab.select(F.col("h").alias("w"), prior().alias("prior"))
+        joined = busy.select("u", "w", "n", "sum").join(of_u, "u").join(of_w, "w")
+        busy = cut_lineage(joined.select("u", "w", "n", "sum", "t_u", "prior").mapInArrow(seat, "u long, w long, n long, t long, sum long"))
+        none = F.lit(0).cast("long")
+        sums = busy.select(F.col("u").alias("h"), F.col("t").alias("a"), none.alias("b")).union(busy.select("w", none, "t")).groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        new = vocab.join(sums, "h", "left").select(
+            "h", "c", (F.col("one_u") + F.coalesce("a", none)).alias("t_u"), "one_u", (F.col("one_w") + F.coalesce("b", none)).alias("t_w"), "one_w", "up", "shared", "t_sum"
+        )
+        vocab = cut_lineage(new.mapInArrow(seat_parent, new.schema))
+        total, parents = map(int, vocab.agg(F.coalesce(F.sum("t_w"), F.lit(0)), F.coalesce(F.sum("up"), F.lit(0))).first())
+        if sweep >= burn_in:
+            kept += 1
+            vocab = vocab.withColumns({"shared": F.col("shared") + prior(), "t_sum": F.col("t_sum") + F.col("t_u")})
+            lone += (STRENGTH + above * parents) * base / (STRENGTH + total)
+    if not kept:
+        kept, lone = 1, (STRENGTH + above * parents) * base / (STRENGTH + total)
+        vocab = vocab.withColumns({"shared": prior(), "t_sum": F.col("t_u")})
+        busy = busy.withColumn("sum", F.col("t"))
+    back = (STRENGTH + own * F.col("t_sum") / kept) / (STRENGTH + F.col("c"))
+    return Bigrams(vocab.select("h", "c", (F.col("shared") / kept).alias("shared"), back.alias("back")), busy, pairs, own, kept, n, v, lone / kept)
+
+
+def _packed_rows(batches: Iterator[pa.RecordBatch], kind: np.dtype, name: str) -> Iterator[pa.RecordBatch]:
+    """(block, pairs, words): the other columns of ``batches`` packed by block."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        of = b.column(0).to_numpy()
+        block, size = np.unique(of, return_counts=True)
+        rows = np.zeros(len(of), kind)
+        order = np.argsort(of, kind="stable")
+        for k, field in enumerate(kind.names):
+            rows[field] = b.column(k + 1).to_numpy()[order]
+        none = pa.nulls(len(block), pa.binary())
+        own = packed(rows, size)
+        yield pa.RecordBatch.from_arrays([pa.array(block), *((own, none) if name == "pairs" else (none, own))], ["block", "pairs", "words"])
+
+
+def score(docs: DataFrame, asks: DataFrame, model: Bigrams, shards: int) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of each row of ``docs`` (doc_id, block, text); ``asks``: ASKS of the same rows."""
+    answers = "block long, pairs binary, words binary"
+    own, kept, n, v, unknown = model.own, model.kept, model.n_tokens, model.n_words, model.unknown
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                rows = np.zeros(b.num_rows, OWN)
+                rows["u"], rows["w"], rows["own"] = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
+                shard = _shard(rows["u"].copy(), rows["w"].copy(), shards)
+                size = np.bincount(shard, minlength=shards)
+                some = np.flatnonzero(size)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), packed(rows[np.argsort(shard, kind="stable")], size[some]), pa.array([2] * len(some), pa.int32())], ["shard", "pairs", "of"])
+
+    def answer(t: pa.Table) -> pa.Table:
+        """What each block's pairs keep after the discount: those seen once from the counts, the others from the sweeps."""
+        of = t.column("of").to_numpy()
+        known, _ = unpacked(t.filter(pa.array(of == 1)).column("pairs"), PAIR)  # by u and w
+        keeps = known["n"] - own
+        busy, _ = unpacked(t.filter(pa.array(of == 2)).column("pairs"), OWN)
+        busy = busy[np.lexsort((busy["w"], busy["u"]))]
+        keeps[known["n"] > 1] = busy["own"]  # the same pairs in the same order
+        mine = t.filter(pa.array(of == 0))
+        rows, size = unpacked(mine.column("pairs"), PAIR)
+        # places of the asked pairs among the known ones: both are numbered in the order of u and w
+        both = np.concatenate([known[["u", "w"]], rows[["u", "w"]]])
+        order = np.lexsort((both["w"], both["u"]))
+        s = both[order]
+        new = np.concatenate([[True], (s["u"][1:] != s["u"][:-1]) | (s["w"][1:] != s["w"][:-1])])[: len(s)]
+        number = np.zeros(len(both), np.int64)
+        number[order] = np.cumsum(new) - 1
+        value = np.zeros(int(new.sum()))
+        value[number[: len(known)]] = keeps
+        out = np.zeros(len(rows), OWN)
+        out["u"], out["w"], out["own"] = rows["u"], rows["w"], value[number[len(known) :]]
+        some = out["own"] > 0
+        left = np.bincount(np.repeat(np.arange(len(size)), size)[some], minlength=len(size))
+        return pa.table([mine.column("block").combine_chunks(), packed(out[some], left), pa.nulls(len(size), pa.binary())], ["block", "pairs", "words"])
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, size = unpacked(b.column(1), PAIR)
+            of = np.repeat(b.column(0).to_numpy(), size)
+            for block in np.unique(of):
+                h = np.unique(rows["w"][of == block])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block)), pa.array(h)], ["block", "h"])
+
+    kinds = F.lit(None).cast("long").alias("block")
+    seats = model.busy.select("u", "w", (F.col("n") - own * F.col("sum") / kept).alias("own")).mapInArrow(deal, "shard int, pairs binary, of int")
+    rows = asks.select("block", "shard", "pairs", F.lit(0).alias("of")).union(model.pairs.select(kinds, "shard", "pairs", F.lit(1))).union(seats.select(kinds, "shard", "pairs", "of"))
+    of_pairs = rows.groupBy("shard").applyInArrow(answer, answers)
+    words = asks.select("block", "pairs").mapInArrow(words_of, "block long, h long").distinct().join(model.words, "h").select("block", "h", "c", "shared", "back")
+    of_words = words.mapInArrow(lambda batches: _packed_rows(batches, WORD, "words"), answers)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def judge(texts: pa.Table, known: pa.Table) -> pa.Table:
+        places = Places()
+        before, word, size = places(texts.column("text").to_pylist())
+        by = np.argsort(places.hashes)
+        sorted_ = places.hashes[by]
+        local = lambda h: by[np.searchsorted(sorted_, h)]  # noqa: E731 - all that is answered was asked
+        rows, _ = unpacked(known.column("words").drop_null(), WORD)
+        c, shared, back = np.zeros(len(by)), np.full(len(by), unknown), np.ones(len(by))
+        at = local(rows["h"])
+        c[at], shared[at], back[at] = rows["c"], rows["shared"], rows["back"]
+        pairs, _ = unpacked(known.column("pairs").drop_null(), OWN)
+        key = local(pairs["u"]) << 32 | local(pairs["w"])
+        order = np.argsort(key)
+        key, mine = key[order], pairs["own"][order].astype(float)
+        base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+        p = back[before] * shared[word]
+        if len(key):
+            asked = before << 32 | word
+            spot = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+            p = p + np.where(key[spot] == asked, mine[spot], 0.0) / (STRENGTH + c[before])
+        first = np.cumsum(size) - size
+        sums = [np.add.reduceat(x, first) if len(x) else x for x in (np.ones(len(word), np.int64), (c > 0)[word].astype(np.int64), base[word], np.log10(p))]
+        return pa.table([texts.column("doc_id"), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return docs.select("doc_id", "block", "text").groupBy("block").cogroup(of_pairs.union(of_words).groupBy("block")).applyInArrow(
+        judge, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
+    )
+
+
+def bigram_model(docs: DataFrame) -> tuple[DataFrame, Bigrams, int]:
+    """(ASKS, model, shards) of ``docs`` (block, text, train)."""
+    blocks = docs.select("block").distinct().count()
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), BLOCK_SHARDS * blocks)
+    asks = cut_lineage(block_pairs(docs, shards))
+    return asks, train(cut_lineage(counted(asks))), shards

@@ -1,7 +1,7 @@
 """Hierarchical Pitman-Yor language model.
 
-The context of a word is the last of CONTEXTS very frequent words before it in its text. Each context is a restaurant; all
-share one parent, the word restaurant, whose base is uniform over the known words and one unknown word. A customer that
+The query's context of a word is the word before it (``bigrams``). What follows is the small model for callers that ask for a
+number of contexts: the last of so many very frequent words before a word in its text. Each context is a restaurant; all share one parent, the word restaurant, whose base is uniform over the known words and one unknown word. A customer that
 opens a table in a context becomes a customer of the parent. Tables are sampled by Gibbs sweeps over all words; a text is
 scored by predictive probabilities averaged over the sweeps after the first ones.
 
@@ -26,7 +26,7 @@ from litmill.session import cut_lineage
 
 BLOCK_BYTES = 16 << 20
 HELD_TOKENS = 8_000_000
-FREQUENT = 1000
+HELD_WORDS = 500_000
 CONTEXTS = 16
 BURN_IN, SWEEPS = 1, 4
 STRENGTH, STEPS = 1.0, 64
@@ -95,20 +95,21 @@ def blocked(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, contexts: int = CONTEXTS) -> list[bytes]:
-    """The words that make contexts, from all of ``docs`` (text): a task reports the words that are at least 1 / FREQUENT of its own."""
+    """The most frequent words, counted exactly over all of ``docs`` (text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        total = 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
         for b in batches:
             for text in b.column(0):
-                own = tokens(text.as_py())[:-1]
-                total += len(own)
-                found.update(own)
-            if len(found) > 500_000:  # what is rare so far can't be frequent by much
-                found = Counter({w: n for w, n in found.items() if n * FREQUENT >= total})
-        kept = {w: n for w, n in found.items() if n * FREQUENT >= total}
-        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array(list(kept.values()), pa.int64())], ["word", "n"])
+                found.update(tokens(text.as_py())[:-1])
+            if len(found) > HELD_WORDS:
+                yield rows()
+                found.clear()
+        yield rows()
 
     found = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r["word"]) for r in found.orderBy(F.desc("n"), "word").limit(contexts).collect()]
@@ -338,19 +339,26 @@ def score(docs: DataFrame, words: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def pitman_yor_scores(docs: DataFrame, held: Column, contexts: int = CONTEXTS) -> DataFrame:
+def pitman_yor_scores(docs: DataFrame, held: Column, contexts: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of ``docs`` (doc_id, text; others are ignored).
 
+    The context of a word is the word before it; with ``contexts`` it is the last of so many most frequent words before it.
     The model learns from all whole texts but those for which ``held`` (a column of doc_id) is true. Tokens are the words,
     A-Z lower-cased, and one end for each text; null and empty texts have the end alone. base_score: additive smoothing (0.5)
     of the training tokens; score: log10 of the model's probability, in which all unknown words are one word. Rows that repeat
     count and are scored each. With nothing to learn from, both scores are 0. An empty table gives no rows.
     """
     docs = blocked(docs.select("doc_id", "text")).withColumn("train", ~held)
-    markers = frequent_words(docs.where("train"), contexts)
-    words = cut_lineage(block_words(docs, markers))
-    model = train(docs, words, markers)
-    out = score(docs, words, model)
+    if contexts is None:
+        from litmill.llm import bigrams
+
+        asks, model, shards = bigrams.bigram_model(docs)
+        out = bigrams.score(docs, asks, model, shards)
+    else:
+        markers = frequent_words(docs.where("train"), contexts)
+        words = cut_lineage(block_words(docs, markers))
+        model = train(docs, words, markers)
+        out = score(docs, words, model)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     tokens_ = F.lit(model.n_tokens).cast("long").alias("train_tokens")
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", tokens_, "base_score", "score", perplexity.alias("perplexity"))
