@@ -12,10 +12,11 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litmill.llm.common import table
@@ -304,19 +305,34 @@ def learn(samples: list[str], seed: int = 7) -> Weights:
 
 
 def sampled(docs: DataFrame, rows: int = TRAIN_REGIONS) -> list[str]:
-    """Texts of at most TRAIN_CHARS around base spans and other digits, at most ``rows`` of them, chosen by hashes: the bound of the training set."""
+    """Texts of at most TRAIN_CHARS around digits and at-signs, chosen by hashes: the bound of the training set.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    For each kind at most ``rows`` distinct ones that hold a base span of it, and at most ``rows`` that hold none.
+    """
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, int]] = [{} for _ in range(len(KINDS) + 1)]  # the last one: without a base span
+        least = lambda own: dict(sorted(own.items(), key=lambda x: (x[1], x[0]))[:rows])
         for b in batches:
-            near = []
             for text in b.column(0):
                 t = text.as_py()
-                if t is not None:
-                    near += [t[max(0, a - 40) : e + 20] for a, e in regions(t) if e - a <= TRAIN_CHARS - 60]
-            yield pa.RecordBatch.from_arrays([pa.array(list(dict.fromkeys(near)), pa.string())], ["near"])
-
-    near = docs.select(F.when(F.col("text").rlike(CANDIDATE), F.col("text")).alias("text")).where("text is not null").mapInArrow(cut, "near string")
-    return [r["near"] for r in near.orderBy(F.xxhash64("near"), "near").limit(rows).collect()]
+                for a, e in regions(t) if t is not None else ():
+                    if e - a > TRAIN_CHARS - 60:
+                        continue
+                    start = max(0, a - 40)
+                    near = t[start : e + 20]
+                    code = int.from_bytes(blake2b(near.encode(), digest_size=8).digest(), "big", signed=True)
+                    for k in {k for k, x, y in base_spans(near) if a <= start + x and start + y <= e} or {len(KINDS)}:
+                        held[k][near] = code
+                        if len(held[k]) > 4 * rows:
+                            held[k] = least(held[k])
+        found = [(k, near, code) for k, own in enumerate(held) for near, code in least(own).items()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.int64()))], ["kind", "near", "code"])
+
+    near = docs.select(F.when(F.col("text").rlike(CANDIDATE), F.col("text")).alias("text")).where("text is not null").mapInArrow(choose, "kind int, near string, code long")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("code", "near"))
+    chosen = near.distinct().withColumn("place", place).where(F.col("place") <= rows).select("code", "near").distinct()
+    return [r["near"] for r in sorted(chosen.collect(), key=lambda r: (r["code"], r["near"]))]
 
 
 def pii_spans(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
