@@ -112,14 +112,14 @@ def _number_dump(t: Column) -> Column:
 
 
 def _feature(item: Column, **extra: Column) -> Column:
-    """What selecting evidence needs to know about one item, worked out once."""
+    """What selecting evidence needs to know about one item, worked out once: ``whole`` is ranked, ``t`` cleaned and shown."""
 
-    def of_text(t: Column) -> Column:
+    def of_text(whole: Column, t: Column) -> Column:
         low = F.lower(t)
         value = F.when(contains_any(low, rv.METRIC_WORDS), F.regexp_extract(low, r"\b(\d[\d,.]*)\b", 1)).otherwise("")
-        return F.struct(t.alias("t"), low.alias("low"), value.alias("value"), *[c.alias(n) for n, c in extra.items()])
+        return F.struct(whole.alias("whole"), t.alias("t"), low.alias("low"), value.alias("value"), *[c.alias(n) for n, c in extra.items()])
 
-    return let(let(_first_segment(clean_bullet(item)), _trimmed), of_text)
+    return let(item, lambda whole: let(_first_segment(clean_bullet(whole)), lambda t: of_text(whole, t)))
 
 
 def _usable(f: Column) -> Column:
@@ -128,21 +128,22 @@ def _usable(f: Column) -> Column:
     return (F.length(t) >= 12) & ~fragment & ~contains_any(f["low"], rv.GENERIC_PHRASES) & ~_number_dump(t)
 
 
-def _selected(features: Column, limit: int) -> Column:
-    """Distinct texts in order, one per metric value, concrete ones only when there are any."""
+def _selected(features: Column, limit: int, trim: bool = False) -> Column:
+    """Distinct texts in order, one per metric value, concrete ones only when there are any; ``trim``: the chosen ones in 160 characters."""
     distinct = first_per_key(features, lambda f: f["low"], lambda f: F.lit(False))
     single = first_per_key(distinct, lambda f: f["value"], lambda f: f["value"] == "")
     texts = F.transform(single, lambda f: f["t"])
-    return let(
+    chosen = let(
         texts,
         lambda xs: let(F.filter(xs, is_specific), lambda sp: F.slice(F.when(F.size(sp) > 0, sp).otherwise(xs), 1, limit)),
     )
+    return F.transform(chosen, _trimmed) if trim else chosen
 
 
-def clean_evidence(items: Column, limit: int = 5) -> Column:
+def clean_evidence(items: Column, limit: int = 5, trim: bool = False) -> Column:
     """Cleaned, distinct evidence in order: no generic phrases or number dumps, one item per metric value, concrete
-    items only when there are any, at most ``limit``."""
-    return _selected(F.filter(F.transform(items, lambda x: _feature(x)), _usable), limit)
+    items only when there are any, at most ``limit``. Whole texts, unless ``trim`` asks for 160 characters to show."""
+    return _selected(F.filter(F.transform(items, lambda x: _feature(x)), _usable), limit, trim)
 
 
 def _items(papers: DataFrame) -> Column:
@@ -171,7 +172,7 @@ def _tagged(items: Column, section: str) -> Column:
     return F.transform(items, lambda s: _feature(s, section=F.lit(section), scope=F.lit("")))
 
 
-def _evidence(items: Column, dimension: str, limit: int) -> Column:
+def _evidence(items: Column, dimension: str, limit: int, trim: bool = False) -> Column:
     """The best items of the sections that count for a dimension: by score, then in section order."""
     sources = rv.EVIDENCE_SOURCES[dimension]
 
@@ -181,26 +182,29 @@ def _evidence(items: Column, dimension: str, limit: int) -> Column:
         if "key_figures" in sources and scope:
             figure = (f["section"] == "key_figures") & contains_any(f["scope"], scope)
             if dimension != "strengths":
-                figure = figure & contains_any(f["low"], rv.KEYWORDS[dimension])
+                figure = figure & contains_any(F.lower(f["whole"]), rv.KEYWORDS[dimension])
             ok = ok | figure
         if dimension == "threats_to_validity":
-            ok = ok & ~f["t"].rlike(rv.ARCHITECTURE_NOISE)
+            ok = ok & ~f["whole"].rlike(rv.ARCHITECTURE_NOISE)
         return ok
 
     place = lambda f: F.coalesce(*[F.when(f["section"] == x, F.lit(i)) for i, x in enumerate(sources)], F.lit(9))
     scored = F.transform(
         F.filter(items, wanted),
-        lambda f, i: F.struct((-evidence_score(f["t"], dimension)).alias("n"), place(f).alias("p"), i.alias("i"), f.alias("f")),
+        lambda f, i: F.struct((-evidence_score(f["whole"], dimension)).alias("n"), place(f).alias("p"), i.alias("i"), f.alias("f")),
     )
-    return _selected(F.transform(F.array_sort(scored), lambda x: x["f"]), limit)
+    return _selected(F.transform(F.array_sort(scored), lambda x: x["f"]), limit, trim)
 
 
-def select_evidence(papers: DataFrame, limit: int = 5, dimensions: list[str] | None = None) -> DataFrame:
-    """(paper_id, dimension, evidence) of papers given as section columns; other columns are kept."""
+def select_evidence(papers: DataFrame, limit: int = 5, dimensions: list[str] | None = None, trim: bool = False) -> DataFrame:
+    """(paper_id, dimension, evidence) of papers given as section columns; other columns are kept.
+
+    Sentences are scored, filtered and ranked whole; with ``trim`` the chosen ones come in 160 characters.
+    """
     keep = [c for c in papers.columns if c not in (*rv.PAPER_SECTIONS, "key_figures")]
     rows = papers.select(*keep, _items(papers).alias("_items"))
     per = F.array(
-        *[F.struct(F.lit(d).alias("dimension"), _evidence(F.col("_items"), d, limit).alias("evidence")) for d in dimensions or rv.DIMENSIONS]
+        *[F.struct(F.lit(d).alias("dimension"), _evidence(F.col("_items"), d, limit, trim).alias("evidence")) for d in dimensions or rv.DIMENSIONS]
     )
     return rows.select(*keep, F.explode(per).alias("e")).select(*keep, "e.dimension", "e.evidence")
 
