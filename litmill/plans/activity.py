@@ -303,6 +303,26 @@ def _cases(spark, d):
     return answers, cases
 
 
+def _whole_cases(spark, d):
+    """The whole text as the answer; expected are the first words of all its lines, the context their last words."""
+    docs = table(spark, d, "documents")
+    words = F.transform(F.split("text", "\n", -1), lambda x: F.split(x, " ", -1))
+    cases = docs.select(F.col("doc_id").alias("case_id"), F.col("lang").alias("category"), F.transform(words, lambda w: F.element_at(w, 1)).alias("expected"), F.transform(words, lambda w: F.element_at(w, -1)).alias("context"),
+                        F.when(F.col("n_chars") % 2 == 0, F.element_at(F.element_at(words, -1), 1)).alias("exact_match"), (F.col("doc_id") % 5 == 0).alias("is_negative_control"))
+    answers = docs.select(F.col("doc_id").alias("case_id"), F.when(F.col("doc_id") % 10 == 0, F.lit(fv.NOT_CONTAINED)).otherwise(F.col("text")).alias("answer"), F.array("source", "lang").alias("sources"))
+    return answers, cases
+
+
+def evaluate_whole_answers(spark, d):
+    e = history.evaluate_answers(*_whole_cases(spark, d))
+    return e.select("case_id", "category", F.round("hit_rate", 6).alias("hit_rate"), F.round("faithfulness", 6).alias("faithfulness"), "exact_match", "passed")
+
+
+def whole_answers_summary(spark, d):
+    s = history.evaluation_summary(history.evaluate_answers(*_whole_cases(spark, d)))
+    return s.select("category", "cases", *[F.round(c, 6).alias(c) for c in ("hit_rate", "faithfulness", "exact_match")], "passed")
+
+
 def evaluate_answers(spark, d):
     e = history.evaluate_answers(*_cases(spark, d))
     return e.select("case_id", "category", F.round("hit_rate", 6).alias("hit_rate"), F.round("faithfulness", 6).alias("faithfulness"), "exact_match", "passed")
@@ -422,6 +442,7 @@ QUERIES = {
     "agg6_search_accounting": search_accounting, "agg7_chunk_counts": chunk_counts, "agg8_chunk_keywords": chunk_keywords,
     "agg9_inferred_tags": inferred_tags, "agg10_chat_stats": chat_stats, "agg11_workspace_summary": workspace_summary,
     "agg12_merge_sections": merge_sections, "agg13_merge_key_figures": merge_key_figures, "agg14_evaluate_answers": evaluate_answers,
+    "agg14_evaluate_whole_answers": evaluate_whole_answers, "agg14_whole_answers_summary": whole_answers_summary,
     "agg14_evaluation_summary": evaluation_summary, "agg15_answer_quality": answer_quality, "agg16_quiz_scores": quiz_scores,
     "agg17_bucket_quantile": bucket_quantile, "agg18_element_catalogue": element_catalogue, "sco1_semantic_score": semantic_score,
     "sco2_topic_score": topic_score, "sco3_hybrid_score": hybrid_score, "sco4_page_of": page_of, "win1_recent_context": recent_context,

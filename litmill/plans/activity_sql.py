@@ -70,6 +70,14 @@ _CASES = f"""q as (select doc_id as case_id, lang as category, w[1:3] as expecte
         when {' or '.join(f"contains(lower(answer), '{p}')" for p in fv.DENIALS)} then 0.0 else len(list_filter(expected, lambda x: contains(lower(answer), lower(x)))) / len(expected)::double end::double as faithfulness,
       case when em is null then null when contains(answer, em) then 1.0 else 0.0 end::double as exact_match from q),
   e2 as (select *, case when nc = 0 then 1.0 else hit0 end::double as hit_rate from ev)"""
+_WHOLE_CASES = f"""q as (select doc_id as case_id, lang as category, list_transform(w, lambda x: x[1]) as expected, list_transform(w, lambda x: x[-1]) as context, case when n_chars % 2 = 0 then w[-1][1] end as em, doc_id % 5 = 0 as neg,
+      case when doc_id % 10 = 0 then '{fv.NOT_CONTAINED}' else text end as answer, source || ' ' || lang as src
+    from (select *, list_transform(string_split(text, chr(10)), lambda x: string_split(x, ' ')) as w from documents)),
+  ev as (select case_id, category, len(list_filter(context, lambda x: contains(lower(answer) || ' ' || lower(src), lower(x)))) / len(context)::double as hit0, len(context) as nc,
+      case when neg then (case when {' or '.join(f"contains(lower(answer), '{p}')" for p in fv.REFUSALS)} then 1.0 else 0.0 end)
+        when {' or '.join(f"contains(lower(answer), '{p}')" for p in fv.DENIALS)} then 0.0 else len(list_filter(expected, lambda x: contains(lower(answer), lower(x)))) / len(expected)::double end::double as faithfulness,
+      case when em is null then null when contains(answer, em) then 1.0 else 0.0 end::double as exact_match from q),
+  e2 as (select *, case when nc = 0 then 1.0 else hit0 end::double as hit_rate from ev)"""
 
 ORACLES = {
     "joi1_merge_papers": f"with {_SRC} select * from merged",
@@ -155,6 +163,9 @@ ORACLES = {
     "agg14_evaluate_answers": f"with {_CASES} select case_id, category, round(hit_rate, 6) as hit_rate, round(faithfulness, 6) as faithfulness, exact_match, hit_rate >= 0.5 and faithfulness >= 0.5 as passed from e2",
     "agg14_evaluation_summary": f"""with {_CASES} select category, count(*) as cases, round(avg(hit_rate), 6) as hit_rate, round(avg(faithfulness), 6) as faithfulness, round(avg(exact_match), 6) as exact_match,
       count(*) filter (hit_rate >= 0.5 and faithfulness >= 0.5) as passed from e2 group by 1""",
+    "agg14_evaluate_whole_answers": f"with {_WHOLE_CASES} select case_id, category, round(hit_rate, 6) as hit_rate, round(faithfulness, 6) as faithfulness, exact_match, hit_rate >= 0.5 and faithfulness >= 0.5 as passed from e2",
+    "agg14_whole_answers_summary": f"""with {_WHOLE_CASES} select category, count(*) as cases, round(avg(hit_rate), 6) as hit_rate, round(avg(faithfulness), 6) as faithfulness, round(avg(exact_match), 6) as exact_match,
+      count(*) filter (hit_rate >= 0.5 and faithfulness >= 0.5) as passed from e2 group by 1""",
     "agg15_answer_quality": f"""with {dv.SQL_TURNS}, w as (select conv_id, turn, assistant_response as r, list_distinct({dv.sql_words('lower(user_query)')}) as q, {dv.sql_words('assistant_response')} as rw from turns),
       s as (select conv_id, turn, case when length({dv.sql_strip('r')}) > 100 then least(1.0, length(r) / 500.0::double) else 0.0 end::double as c, least(1.0, len(list_intersect(q, list_distinct(list_transform(rw, lambda x: lower(x)))))::double / greatest(len(q), 1))::double as v,
         1.0::double / (1 + len(rw)::double / greatest(len(string_split_regex(r, '[.!?]+')), 1) / 20) as y, case when length(r) > 1000 then greatest(0.5, 1.0 - (length(r) - 1000) / 2000.0::double) else 1.0 end::double as z from w)

@@ -105,7 +105,7 @@ def consistent_evidence(spark, d):
     e = _papers(spark, d).select(
         "paper_id",
         F.array(F.lit("The method was not evaluated on the glue tasks"), F.concat(F.lit("It reaches 80 accuracy on "), F.when(F.col("paper_id") % 2 == 0, "glue").otherwise("squad")),
-                F.substring("abstract", 1, 60)).alias("evidence"),
+                F.col("abstract")).alias("evidence"),
     )
     return _flat(review.consistent_evidence(e))
 

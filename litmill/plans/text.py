@@ -136,9 +136,9 @@ def resolve_titles(spark, d):
     return naming.resolve_titles(
         p.select(
             F.col("doc_id").alias("paper_id"),
-            F.when(F.col("quality") == 1, F.concat(F.lit("Deep Models: "), F.substring(first, 1, 60))).otherwise("Introduction").alias("primary_title"),
+            F.when(F.col("quality") == 1, F.concat(F.lit("Deep Models: "), first)).otherwise("Introduction").alias("primary_title"),
             first.alias("fallback_title"),
-            F.concat(F.initcap("lang"), F.lit(" Author, "), F.substring(first, 1, 30)).alias("primary_authors"),
+            F.concat(F.initcap("lang"), F.lit(" Author, "), first).alias("primary_authors"),
             F.lit("Jane Doe").alias("fallback_authors"),
             F.col("text").alias("abstract"),
             F.col("text").alias("introduction"),
