@@ -167,6 +167,17 @@ def combine_sources(spark, d):
     return sinks.combine_sources(r).withColumn("urls", F.array_join("urls", " "))
 
 
+def combine_messages(spark, d):
+    """All messages: each two turns of a conversation are a question's sources."""
+    c = table(spark, d, "conversations")
+    pair = F.concat_ws(":", F.col("conv_id").cast("string"), F.floor(F.col("turn") / 2).cast("string"))
+    r = c.select(
+        pair.alias("query_id"), F.col("role").alias("source"), F.col("turn").alias("pos"), "text",
+        F.when(F.col("role") == "user", "").otherwise(F.concat(F.lit("https://example.org/"), "role")).alias("url"),
+    )
+    return sinks.combine_sources(r).withColumn("urls", F.array_join("urls", " "))
+
+
 def append_history(spark, d):
     path = _folder(spark, "history")
     ev = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
@@ -190,6 +201,7 @@ QUERIES = {
     "src10_conversation_markdown": conversation_markdown,
     "src11_write_graph": write_graph,
     "src12_combine_sources": combine_sources,
+    "src12_combine_messages": combine_messages,
     "src13_append_history": append_history,
     "src14_repair_json": repair_json,
 }
@@ -258,6 +270,11 @@ ORACLES = {
       select query_id, string_agg('[' || source || ']' || case when url <> '' then ' — ' || url else '' end || chr(10) || text, chr(10) || chr(10) order by pos, source) as combined,
              coalesce(string_agg(url, ' ' order by pos, source) filter (url <> ''), '') as urls, count(*)::int as n_sources
       from r where trim(text) <> '' group by query_id""",
+    "src12_combine_messages": """with r as (
+        select conv_id || ':' || (turn // 2) as query_id, role as source, turn as pos, text, case when role = 'user' then '' else 'https://example.org/' || role end as url from conversations)
+      select query_id, string_agg('[' || source || ']' || case when url <> '' then ' — ' || url else '' end || chr(10) || text, chr(10) || chr(10) order by pos, source, text) as combined,
+             coalesce(string_agg(url, ' ' order by pos, source, text) filter (url <> ''), '') as urls, count(*)::int as n_sources
+      from r where trim(text) <> '' group by query_id""",
     "src13_append_history": """select event_id, row_number() over (order by event_type <> 'error', ts, event_id) as id from events""",
     "src14_repair_json": """select o_orderkey as response_id, case when o_orderstatus = 'O' then '[{"k": ' || o_orderkey || '}]'
         else '{"rows": [{"k": ' || o_orderkey || '}, {"p": "' || o_orderpriority || ' }]"}]}' end as json, true as parsed
