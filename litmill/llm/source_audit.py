@@ -60,16 +60,16 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def kept_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(groups, terms). ``terms``: (lang, source, term, n, lang_n) of the kept terms, counts of 1 and more. ``groups``: (lang,
-    source, total, terms, lang_total, tile) of every group, also those without terms."""
+    """(groups, terms). ``terms``: (lang, source, term, n, lang_n, first) of the kept terms, counts of 1 and more; ``first`` in one
+    row of each term. ``groups``: (lang, source, total, terms, lang_total, tile) of every group, also those without terms."""
     # dealt by term, so that the sums of a source and of the language need one shuffle; a task's counts come summed
     rows = cut_lineage(counted(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     whole = Window.partitionBy("lang", "term")
-    words = rows.where("term != ''").withColumns({"lang_n": F.sum("n").over(whole), "_docs": F.sum("docs").over(whole)})
-    terms = cut_lineage(words.where(F.col("_docs") >= min_docs).select("lang", "source", "term", "n", "lang_n"))
-    # the smallest source of a term counts it once for the language, without a second shuffle by term
-    first = F.row_number().over(Window.partitionBy("lang", "term").orderBy("source")) == 1
-    sums = terms.withColumn("_first", first.cast("long")).groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("_first").alias("_firsts"))
+    own = {"lang_n": F.sum("n"), "_docs": F.sum("docs"), "_least": F.min("source")}
+    words = rows.where("term != ''").withColumns({c: v.over(whole) for c, v in own.items()})
+    kept = words.where(F.col("_docs") >= min_docs)
+    terms = cut_lineage(kept.select("lang", "source", "term", "n", "lang_n", (F.col("source") == F.col("_least")).alias("first")))
+    sums = terms.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if("first").alias("_firsts"))
     lang = Window.partitionBy("lang")
     groups = rows.where("term = ''").select("lang", "source").join(sums, ["lang", "source"], "left").na.fill(0, ["total", "_firsts"])
     groups = groups.withColumns({"terms": F.sum("_firsts").over(lang), "lang_total": F.sum("total").over(lang)})
@@ -106,40 +106,38 @@ def joint_tables(groups: DataFrame, terms: DataFrame) -> DataFrame:
     size = groups.groupBy("lang").agg(F.max("tile").alias("_tiles"), F.ceil(F.max("terms") / BLOCK).alias("_blocks")).where("_blocks > 0")
     other = F.explode(F.sequence(F.lit(0), F.col("_tiles"))).alias("_other")
     pair = [F.least("tile", "_other").alias("_i"), F.greatest("tile", "_other").alias("_j")]
-    block = F.pmod(F.xxhash64("term"), F.col("_blocks")).alias("_block")
     tiles = groups.join(size, "lang").select("lang", "source", "tile", "_tiles", "_blocks")
-    rows = terms.join(tiles, ["lang", "source"]).select("lang", "source", "tile", "term", "n", block, other)
-    rows = rows.select("lang", "_block", *pair, "source", "tile", "term", "n")
-    names = tiles.select("lang", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), "source", "tile", other)
-    names = names.select(F.col("lang").alias("lang"), "_block", *pair, F.col("source").alias("source"), F.col("tile").alias("tile"))
+    dealt = terms.join(tiles, ["lang", "source"]).withColumn("_block", F.pmod(F.xxhash64("term"), F.col("_blocks")))
+    rows = dealt.select("lang", "_block", "source", "tile", "term", "n", other).select("lang", "_block", *pair, "source", "term", "n")
+    held = dealt.groupBy("lang", "_block").agg(F.count_if("first").alias("_held"))
+    names = tiles.join(held, "lang").select("lang", "_block", "_held", "source", "tile", other).select("lang", "_block", "_held", *pair, "source", "tile")
+    names = names.select(*[F.col(c).alias(c) for c in names.columns])
 
     def multiply(rows: pa.Table, names: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], [], []]
-        if rows.num_rows:
-            tile = names.column("tile").to_pylist()
-            i, j = (names.column(c)[0].as_py() for c in ("_i", "_j"))
-            sides = [sorted(s for s, k in zip(names.column("source").to_pylist(), tile, strict=True) if k == x) for x in (i, j)]
-            term = rows.column("term").combine_chunks().dictionary_encode()
-            of, n, own = term.indices.to_numpy(), rows.column("n").to_numpy(), rows.column("source").combine_chunks()
-            level = []
-            for side in sides:
-                m = np.zeros((len(term.dictionary), len(side)), np.int64)
-                at = pa.compute.index_in(own, pa.array(side, pa.string()))
-                has = at.is_valid().to_numpy(zero_copy_only=False)
-                m[of[has], at.drop_null().to_numpy()] = n[has]
-                level.append(m)
-            for s, t, c, d, m in product(*level):
-                if sides[0][s] < sides[1][t]:
-                    for o, v in zip(out, ([sides[0][s]] * len(c), [sides[1][t]] * len(c), c, d, m), strict=True):
-                        o.append(v)
-        lang = rows.column("lang")[0].as_py() if rows.num_rows else ""
-        flat = [sum(out[0], []), sum(out[1], []), *[np.concatenate(v) if v else np.zeros(0, np.int64) for v in out[2:]]]
-        columns = [pa.array([lang] * len(flat[0]), pa.string()), *[pa.array(v, pa.string()) for v in flat[:2]], *[pa.array(v, pa.int64()) for v in flat[2:]]]
+        lang, i, j, held = (names.column(c)[0].as_py() for c in ("lang", "_i", "_j", "_held"))
+        tiles = list(zip(names.column("tile").to_pylist(), names.column("source").to_pylist(), strict=True))
+        sides = [sorted(s for t, s in tiles if t == side) for side in (i, j)]
+        term, source = (pa.array(rows.column(c).to_pylist(), pa.string()) for c in ("term", "source"))
+        term, levels = term.dictionary_encode(), []
+        for side in sides:
+            m = np.zeros((len(term.dictionary), len(side)), np.int64)
+            at = pa.compute.index_in(source, pa.array(side, pa.string()))
+            has = at.is_valid().to_numpy(zero_copy_only=False)
+            m[term.indices.to_numpy()[has], at.drop_null().to_numpy()] = rows.column("n").to_numpy()[has]
+            levels.append(m)
+        rest = held - len(term.dictionary)  # terms of the block that no source of these two tiles has
+        out = [np.zeros((5, 0), np.int64)]
+        for s, t, c, d, n in product(*levels):
+            if sides[0][s] < sides[1][t]:
+                out.append(np.stack([np.full(len(c) + 1, s), np.full(len(c) + 1, t), np.append(c, 0), np.append(d, 0), np.append(n, rest)]))
+        cells = np.concatenate(out, axis=1)
+        names_of = [pa.array(side, pa.string()).take(pa.array(k)) for side, k in zip(sides, cells[:2], strict=True)]
+        columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros_like(cells[0]))), *names_of, *map(pa.array, cells[2:])]
         return pa.Table.from_arrays(columns, ["lang", "source", "other", "level", "other_level", "n"])
 
     key = ["lang", "_block", "_i", "_j"]
     cells = rows.groupBy(*key).cogroup(names.groupBy(*key)).applyInArrow(multiply, JOINT)
-    return cells.groupBy("lang", "source", "other", "level", "other_level").agg(F.sum("n").alias("n"))
+    return cells.groupBy("lang", "source", "other", "level", "other_level").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def chance(count: Column | str, total: str, terms: str) -> Column:
