@@ -294,15 +294,6 @@ def merge_key_figures(spark, d):
     return history.merge_key_figures(f)
 
 
-def _cases(spark, d):
-    docs = table(spark, d, "documents")
-    w = F.split(F.split("text", "\n", -1)[0], " ")
-    cases = docs.select(F.col("doc_id").alias("case_id"), F.col("lang").alias("category"), F.slice(w, 1, 3).alias("expected"), F.slice(w, 2, 4).alias("context"),
-                        F.when(F.col("n_chars") % 2 == 0, F.element_at(w, 1)).alias("exact_match"), (F.col("doc_id") % 5 == 0).alias("is_negative_control"))
-    answers = docs.select(F.col("doc_id").alias("case_id"), F.when(F.col("doc_id") % 10 == 0, F.lit(fv.NOT_CONTAINED)).otherwise(F.substring("text", 1, 60)).alias("answer"), F.array("source", "lang").alias("sources"))
-    return answers, cases
-
-
 def _whole_cases(spark, d):
     """The whole text as the answer; expected are the first words of all its lines, the context their last words."""
     docs = table(spark, d, "documents")
@@ -323,16 +314,6 @@ def whole_answers_summary(spark, d):
     return s.select("category", "cases", *[F.round(c, 6).alias(c) for c in ("hit_rate", "faithfulness", "exact_match")], "passed")
 
 
-def evaluate_answers(spark, d):
-    e = history.evaluate_answers(*_cases(spark, d))
-    return e.select("case_id", "category", F.round("hit_rate", 6).alias("hit_rate"), F.round("faithfulness", 6).alias("faithfulness"), "exact_match", "passed")
-
-
-def evaluation_summary(spark, d):
-    s = history.evaluation_summary(history.evaluate_answers(*_cases(spark, d)))
-    return s.select("category", "cases", *[F.round(c, 6).alias(c) for c in ("hit_rate", "faithfulness", "exact_match")], "passed")
-
-
 def answer_quality(spark, d):
     a = history.answer_quality(dv.turns(spark, d).select("conv_id", "turn", F.col("user_query").alias("query"), F.col("assistant_response").alias("response")))
     return a.select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("completeness", "relevance", "clarity", "conciseness", "overall")])
@@ -441,9 +422,9 @@ QUERIES = {
     "agg3_author_impact": author_impact, "agg4_top_cited": top_cited, "agg5_paper_trend": paper_trend,
     "agg6_search_accounting": search_accounting, "agg7_chunk_counts": chunk_counts, "agg8_chunk_keywords": chunk_keywords,
     "agg9_inferred_tags": inferred_tags, "agg10_chat_stats": chat_stats, "agg11_workspace_summary": workspace_summary,
-    "agg12_merge_sections": merge_sections, "agg13_merge_key_figures": merge_key_figures, "agg14_evaluate_answers": evaluate_answers,
+    "agg12_merge_sections": merge_sections, "agg13_merge_key_figures": merge_key_figures,
     "agg14_evaluate_whole_answers": evaluate_whole_answers, "agg14_whole_answers_summary": whole_answers_summary,
-    "agg14_evaluation_summary": evaluation_summary, "agg15_answer_quality": answer_quality, "agg16_quiz_scores": quiz_scores,
+    "agg15_answer_quality": answer_quality, "agg16_quiz_scores": quiz_scores,
     "agg17_bucket_quantile": bucket_quantile, "agg18_element_catalogue": element_catalogue, "sco1_semantic_score": semantic_score,
     "sco2_topic_score": topic_score, "sco3_hybrid_score": hybrid_score, "sco4_page_of": page_of, "win1_recent_context": recent_context,
     "win2_history_segments": history_segments, "win3_number_rows": number_rows, "win4_keyset_page": keyset_page,

@@ -62,14 +62,6 @@ _QUOTA = """u as (select event_id as request_id, floor(value * 100)::bigint as t
     coalesce(sum(floor(value * 100)::bigint) over (w range between interval 86400 seconds preceding and current row exclude group), 0)::bigint as tokens_day,
     coalesce(sum(floor(value * 100)::bigint) over (w range between interval 2592000 seconds preceding and current row exclude group), 0)::bigint as tokens_month
   from events window w as (partition by event_type order by ts))"""
-_CASES = f"""q as (select doc_id as case_id, lang as category, w[1:3] as expected, w[2:5] as context, case when n_chars % 2 = 0 then w[1] end as em, doc_id % 5 = 0 as neg,
-      case when doc_id % 10 = 0 then '{fv.NOT_CONTAINED}' else substring(text, 1, 60) end as answer, source || ' ' || lang as src
-    from (select *, string_split(string_split(text, chr(10))[1], ' ') as w from documents)),
-  ev as (select case_id, category, len(list_filter(context, lambda x: contains(lower(answer) || ' ' || lower(src), lower(x)))) / len(context)::double as hit0, len(context) as nc,
-      case when neg then (case when {' or '.join(f"contains(lower(answer), '{p}')" for p in fv.REFUSALS)} then 1.0 else 0.0 end)
-        when {' or '.join(f"contains(lower(answer), '{p}')" for p in fv.DENIALS)} then 0.0 else len(list_filter(expected, lambda x: contains(lower(answer), lower(x)))) / len(expected)::double end::double as faithfulness,
-      case when em is null then null when contains(answer, em) then 1.0 else 0.0 end::double as exact_match from q),
-  e2 as (select *, case when nc = 0 then 1.0 else hit0 end::double as hit_rate from ev)"""
 _WHOLE_CASES = f"""q as (select doc_id as case_id, lang as category, list_transform(w, lambda x: x[1]) as expected, list_transform(w, lambda x: x[-1]) as context, case when n_chars % 2 = 0 then w[-1][1] end as em, doc_id % 5 = 0 as neg,
       case when doc_id % 10 = 0 then '{fv.NOT_CONTAINED}' else text end as answer, source || ' ' || lang as src
     from (select *, list_transform(string_split(text, chr(10)), lambda x: string_split(x, ' ')) as w from documents)),
@@ -160,9 +152,6 @@ ORACLES = {
     "agg13_merge_key_figures": f"""with {dv.SQL_LINES}, f as (select doc_id as paper_id, line_no, ' N ' || (length(line) % 3) as label, (length(line) % 2)::varchar as value, line as context, ['Results', 'abstract', 'conclusion', 'other'][line_no % 4 + 1] as section,
         [0, 1, 2, 99][line_no % 4 + 1] as p from lines)
       select paper_id, label, value, context, section from f qualify row_number() over (partition by paper_id, label, value order by p, line_no) = 1""",
-    "agg14_evaluate_answers": f"with {_CASES} select case_id, category, round(hit_rate, 6) as hit_rate, round(faithfulness, 6) as faithfulness, exact_match, hit_rate >= 0.5 and faithfulness >= 0.5 as passed from e2",
-    "agg14_evaluation_summary": f"""with {_CASES} select category, count(*) as cases, round(avg(hit_rate), 6) as hit_rate, round(avg(faithfulness), 6) as faithfulness, round(avg(exact_match), 6) as exact_match,
-      count(*) filter (hit_rate >= 0.5 and faithfulness >= 0.5) as passed from e2 group by 1""",
     "agg14_evaluate_whole_answers": f"with {_WHOLE_CASES} select case_id, category, round(hit_rate, 6) as hit_rate, round(faithfulness, 6) as faithfulness, exact_match, hit_rate >= 0.5 and faithfulness >= 0.5 as passed from e2",
     "agg14_whole_answers_summary": f"""with {_WHOLE_CASES} select category, count(*) as cases, round(avg(hit_rate), 6) as hit_rate, round(avg(faithfulness), 6) as faithfulness, round(avg(exact_match), 6) as exact_match,
       count(*) filter (hit_rate >= 0.5 and faithfulness >= 0.5) as passed from e2 group by 1""",

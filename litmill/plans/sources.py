@@ -157,16 +157,6 @@ def write_graph(spark, d):
     )
 
 
-def combine_sources(spark, d):
-    c = table(spark, d, "conversations")
-    first = c.groupBy("conv_id", "role").agg(F.min_by("text", "turn").alias("text"), F.min("turn").alias("pos"))
-    r = first.select(
-        F.col("conv_id").alias("query_id"), F.col("role").alias("source"), "pos", "text",
-        F.when(F.col("role") == "user", "").otherwise(F.concat(F.lit("https://example.org/"), "role")).alias("url"),
-    )
-    return sinks.combine_sources(r).withColumn("urls", F.array_join("urls", " "))
-
-
 def combine_messages(spark, d):
     """All messages: each two turns of a conversation are a question's sources."""
     c = table(spark, d, "conversations")
@@ -200,7 +190,6 @@ QUERIES = {
     "src9_valid_quiz_items": valid_quiz_items,
     "src10_conversation_markdown": conversation_markdown,
     "src11_write_graph": write_graph,
-    "src12_combine_sources": combine_sources,
     "src12_combine_messages": combine_messages,
     "src13_append_history": append_history,
     "src14_repair_json": repair_json,
@@ -263,13 +252,6 @@ ORACLES = {
     "src11_write_graph": """select 'node' as kind, 'Supplier' as type, s_name as a, '' as b from supplier
       union all select 'node', 'Nation', n_name, '' from nation
       union all select 'edge', 'LOCATED_IN', s_name, n_name from supplier join nation on s_nationkey = n_nationkey""",
-    "src12_combine_sources": """with r as (
-        select conv_id as query_id, role as source, min(turn) as pos, arg_min(text, turn) as text,
-               case when role = 'user' then '' else 'https://example.org/' || role end as url
-        from conversations group by conv_id, role)
-      select query_id, string_agg('[' || source || ']' || case when url <> '' then ' — ' || url else '' end || chr(10) || text, chr(10) || chr(10) order by pos, source) as combined,
-             coalesce(string_agg(url, ' ' order by pos, source) filter (url <> ''), '') as urls, count(*)::int as n_sources
-      from r where trim(text) <> '' group by query_id""",
     "src12_combine_messages": """with r as (
         select conv_id || ':' || (turn // 2) as query_id, role as source, turn as pos, text, case when role = 'user' then '' else 'https://example.org/' || role end as url from conversations)
       select query_id, string_agg('[' || source || ']' || case when url <> '' then ' — ' || url else '' end || chr(10) || text, chr(10) || chr(10) order by pos, source, text) as combined,
