@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from litmill.functions import fixed_values as fv
+
 # Whitespace and word characters, spelled out so that every engine agrees on them.
 BLANKS = " \t\n\r\x0b\f"
 WORD = r"\p{L}\p{N}_"
@@ -135,3 +137,10 @@ def _nfkc(s: pd.Series) -> pd.Series:
 def nfkc(c: Column) -> Column:
     """Unicode NFKC; only rows that can change are sent to Python."""
     return F.coalesce(_nfkc(F.when(c.rlike(_NEEDS_NFKC), c)), c)
+
+
+def tokens_of(c: Column) -> Column:
+    """Lower-case tokens longer than one character."""
+    return F.filter(
+        F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"({fv.TOKEN})"), F.lit(1)), lambda t: F.length(t) > 1
+    )

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from litmill.functions import fixed_values as fv
 from litmill.functions.skew import top_k
-from litmill.functions.text import bigrams, count_contained, jaccard, squeeze, start_of, words
+from litmill.functions.text import bigrams, count_contained, jaccard, squeeze, start_of, tokens_of, words
 from litmill.operators import lexical
-from litmill.operators.lexical import TermIndex, bm25, ranked, tokens_of
+from litmill.operators.lexical import bm25, ranked
+from litmill.operators.postings import PostingStore
 from litmill.operators.vectors import knn
 from litmill.session import cut_lineage
 
@@ -31,7 +32,7 @@ def best_rows(results: list[DataFrame], key: str = "query_id") -> DataFrame:
     return both.groupBy(key, "chunk_id").agg(F.max("score").alias("best_score"))
 
 
-def search_lists(rows: DataFrame, vectors: DataFrame, index: TermIndex, depth: int, chunks: DataFrame | None = None) -> DataFrame:
+def search_lists(rows: DataFrame, vectors: DataFrame, index: PostingStore, depth: int, chunks: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, rank, list): dense and lexical rankings of every question row, ``depth`` long.
 
     rows: query_id, query, embedding, optionally want. One pass over the vectors and one join with the
@@ -47,7 +48,7 @@ def fused(lists: DataFrame, k: int) -> DataFrame:
     return rrf([lists.where(F.col("rank") <= 3 * k)], k)
 
 
-def hybrid(queries: DataFrame, vectors: DataFrame, index: TermIndex, k: int = 5, chunks: DataFrame | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, vectors: DataFrame, index: PostingStore, k: int = 5, chunks: DataFrame | None = None) -> DataFrame:
     """Dense and lexical top 3k, fused. queries: query_id, query, embedding, optionally want (a chunk type)."""
     return fused(search_lists(queries, vectors, index, 3 * k, chunks), k)
 
@@ -67,7 +68,7 @@ def _per_question(found: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return rrf([placed], k)
 
 
-def multi_query_hybrid(variants: DataFrame, vectors: DataFrame, index: TermIndex, k: int = 5) -> DataFrame:
+def multi_query_hybrid(variants: DataFrame, vectors: DataFrame, index: PostingStore, k: int = 5) -> DataFrame:
     """variants: query_id, variant_no, query, embedding. Each distinct variant brings its best 2k, fused per question."""
     rows = _variant_rows(variants)
     return _per_question(hybrid(rows, vectors, index, 2 * k), rows, k)
@@ -214,7 +215,7 @@ def _wanted_type() -> Column:
     return F.when(F.col("query_type") != "general", F.col("target_type")).alias("want")
 
 
-def route_retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: TermIndex, k: int = 5) -> DataFrame:
+def route_retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: PostingStore, k: int = 5) -> DataFrame:
     """(query_id, chunk_id, score, rank, strategy): retrieval by intent.
 
     queries: query_id, doc_id, query, embedding and the intent columns query_type, target_type, target_number.
@@ -230,7 +231,7 @@ def route_retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, in
     return direct.unionByName(searched)
 
 
-def retrieve(queries: DataFrame, variants: DataFrame, chunks: DataFrame, vectors: DataFrame, index: TermIndex, k: int = 5) -> DataFrame:
+def retrieve(queries: DataFrame, variants: DataFrame, chunks: DataFrame, vectors: DataFrame, index: PostingStore, k: int = 5) -> DataFrame:
     """(query_id, chunk_id, score, rank): the whole cascade for a batch of questions.
 
     Stages: all variants hybrid, best pages, intent route, and keywords for questions that found nothing.

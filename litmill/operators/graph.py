@@ -19,6 +19,8 @@ from litmill.sources.model_output import relation_type
 
 _ACRONYM = r"[A-Z][A-Z0-9\-]{1,12}"
 _NUMBER = r"^\d+(\.\d+)?$"
+GRAM = 8
+HUB = 50_000
 
 
 def initials_of(c: Column) -> Column:
@@ -156,55 +158,107 @@ def drop_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # ---- facts around seed terms ------------------------------------------------------------------------------
 
 
-def _seed_nodes(nodes: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
-    """(key, id): nodes whose id contains a seed term, any case.
+def _numbered(seeds: DataFrame, key: str) -> DataFrame:
+    """(key, block, bit): a place for each question in masks of 64 bits."""
+    no = F.monotonically_increasing_id()
+    rows = seeds.select(key).distinct().withColumn("_no", no)
+    return cut_lineage(rows.select(key, F.floor(F.col("_no") / 64).alias("block"), (F.col("_no") % 64).cast("int").alias("bit")))
 
-    Terms meet ids through the first two characters they share with some gram of the id; distinct terms
-    and ids are compared, never questions and nodes.
+
+def _masked(rows: DataFrame, numbers: DataFrame, key: str, *group: str) -> DataFrame:
+    """(group, block, mask): the questions of each group of ``rows`` as bits."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    return rows.join(numbers, key).groupBy(*group, "block").agg(F.bit_or(bit).alias("mask"))
+
+
+def _bits(mask: Column) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", mask, i) == 1)
+
+
+def _seed_nodes(nodes: DataFrame, seeds: DataFrame, numbers: DataFrame, key: str) -> DataFrame:
+    """(id, block, mask): nodes whose id contains a seed term, any case, with the questions of these terms.
+
+    A term meets an id on a piece of the id as long as the term: up to GRAM characters, of longer terms the first GRAM, which
+    are then looked at whole. Only pieces of lengths that some term has are made, and distinct terms and ids are compared.
     """
     terms = seeds.select(key, F.lower(strip(F.col("term"))).alias("term")).where("term != ''").distinct()
-    size = 2
+    asked = cut_lineage(_masked(terms, numbers, key, "term"))
+    n = F.least(F.length("term"), F.lit(GRAM))
+    lengths = asked.agg(F.sort_array(F.collect_set(n)).alias("l")).first().l  # at most GRAM numbers
     low = F.lower("id")
-    grams = F.array_distinct(
-        F.concat(
-            F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, i, F.lit(1))),
-            F.when(
-                F.length(low) >= size, F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substring(low, i, F.lit(size)))
-            ).otherwise(F.array().cast("array<string>")),
-            F.when(
-                F.length(low) >= 6, F.transform(F.sequence(F.lit(1), F.length(low) - 5), lambda i: F.substring(low, i, F.lit(6)))
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
+
+    def pieces_of(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(low) - (size - 1))
+        return F.when(F.length(low) >= size, F.transform(starts, lambda i: F.substring(low, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    pieces = [pieces_of(size) for size in lengths]
+    grams = F.array_distinct(F.concat(*pieces)) if pieces else F.array().cast("array<string>")
     by_gram = nodes.where(F.length("id") > 0).select("id", low.alias("low"), F.explode(grams).alias("gram"))
-    # The longest gram a term has (six, two or one characters) is the most selective key.
-    gram = F.when(F.length("term") >= 6, F.substring("term", 1, 6)).when(F.length("term") >= 2, F.substring("term", 1, 2)).otherwise(F.col("term"))
-    distinct = terms.select("term", gram.alias("gram")).distinct()
-    hits = distinct.join(by_gram, "gram").where(F.contains("low", F.col("term"))).select("term", "id").distinct()
-    return terms.join(hits, "term").select(key, "id").distinct()
+    distinct = asked.select("term", F.substring("term", 1, GRAM).alias("gram")).distinct()
+    hits = distinct.join(by_gram, "gram").where((F.length("term") <= GRAM) | F.contains("low", F.col("term"))).select("term", "id")
+    return hits.join(asked, "term").groupBy("id", "block").agg(F.bit_or("mask").alias("mask"))
+
+
+def _without(rows: DataFrame, taken: str) -> DataFrame:
+    """(id, block, mask) without the questions in the mask ``taken``."""
+    left = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce(taken, F.lit(0))))
+    return rows.select("id", "block", left.alias("mask")).where("mask != 0")
+
 
+def sharded_ends(edges: DataFrame, hub: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ends, hubs). ``ends``: (a, shard, b, type, out), every edge at both its ends, ``out`` where a is its source. ``hubs``: (a,
+    shards) of the nodes with more than ``hub`` (HUB) ends, which are dealt to shards of about that many; others have shard 0 alone."""
+    hub = hub or HUB
+    e = edges.where("src is not null and dst is not null").select("src", "type", "dst").distinct()
+    at = lambda a, b, out: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(out).alias("out"))
+    sides = F.when(F.col("src") == F.col("dst"), F.array(at("src", "dst", True))).otherwise(F.array(at("src", "dst", True), at("dst", "src", False)))
+    both = cut_lineage(e.select("type", F.explode(sides).alias("s")).select("s.a", "s.b", "type", "s.out"))
+    hubs = both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > hub)
+    hubs = cut_lineage(hubs.select("a", F.ceil(F.col("n") / hub).cast("int").alias("shards")))
+    shard = F.coalesce(F.pmod(F.xxhash64("b", "type"), F.col("shards")), F.lit(0)).cast("int").alias("shard")
+    return both.join(hubs, "a", "left").select("a", shard, "b", "type", "out"), hubs
 
-def khop_facts(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 60, key: str = "query_id") -> DataFrame:
+
+def _touched(front: DataFrame, ends: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(a, b, type, out, block, mask): the edges at the nodes of ``front``; a hub's questions go to each of its shards."""
+    spread = front.join(hubs.withColumnRenamed("a", "id"), "id", "left")
+    spread = spread.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1)).alias("shard"), "block", "mask")
+    return spread.join(ends, ["a", "shard"]).drop("shard")
+
+
+def khop_facts(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 60, key: str = "query_id", hub: int | None = None) -> DataFrame:
     """(key, fact_no, head, rel, tail, text): edges on a path of up to ``hops`` steps, in any direction, from a node
     that contains a seed term; nearest first, then by name, at most ``limit`` per question.
 
     A node is at the smallest number of steps it is reached in; an edge belongs to the answer when one end
-    is less than ``hops`` steps away. Each step joins the newly reached nodes only.
+    is less than ``hops`` steps away. A step's front has one row for each node and 64 questions, who are bits of a mask; a hub's
+    edges are dealt to shards. Nearer facts come first, so a question that has ``limit`` of them goes no further.
     """
-    e = cut_lineage(edges.where("src is not null and dst is not null").select("src", "dst", "type").distinct())
-    ends = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
-    front = cut_lineage(_seed_nodes(nodes, seeds, key))
-    reached = front.withColumn("step", F.lit(0))
-    for step in range(1, hops):
-        nxt = front.join(ends, F.col("id") == F.col("a")).select(key, F.col("b").alias("id")).distinct()
-        front = cut_lineage(nxt.join(reached.select(key, "id"), [key, "id"], "left_anti"))
-        reached = reached.unionByName(front.withColumn("step", F.lit(step)))
-    touched = reached.join(e, F.col("id") == F.col("src")).select(key, "src", "dst", "type", "step").unionByName(
-        reached.join(e, F.col("id") == F.col("dst")).select(key, "src", "dst", "type", "step")
-    )
-    facts = touched.groupBy(key, "src", "type", "dst").agg(F.min("step").alias("step"))
-    best = top_k(facts, [key], [F.col("step"), F.col("src"), F.col("type"), F.col("dst")], limit, "n")
+    ends, hubs = sharded_ends(edges, hub)
+    numbers = _numbered(seeds, key)
+    nodes = ends.select(F.col("a").alias("id")).distinct()
+    front = cut_lineage(_seed_nodes(nodes, seeds, numbers, key))
+    reached, found = front, None
+    order = [F.col("src"), F.col("type"), F.col("dst")]
+    for step in range(hops):
+        touched = _touched(front, ends, hubs)
+        src, dst = F.when(F.col("out"), F.col("a")).otherwise(F.col("b")), F.when(F.col("out"), F.col("b")).otherwise(F.col("a"))
+        each = touched.select(src.alias("src"), "type", dst.alias("dst"), "block", F.explode(_bits(F.col("mask"))).alias("bit"))
+        # a question meets an edge at one end or both, so the first 2 x limit rows hold the first ``limit`` edges
+        nearest = top_k(each, ["block", "bit"], order, 2 * limit, "n").drop("n").join(numbers, ["block", "bit"])
+        nearest = nearest.select(key, "src", "type", "dst", F.lit(step).alias("step"))
+        found = nearest if found is None else found.unionByName(nearest)
+        if step + 1 < hops:
+            found = cut_lineage(found)
+            full = found.groupBy(key).agg(F.count_distinct("src", "type", "dst").alias("n")).where(F.col("n") >= limit)
+            full = _masked(full, numbers, key).withColumnRenamed("mask", "_full")
+            walking = _without(front.join(full, "block", "left"), "_full")
+            nxt = _touched(walking, ends, hubs).groupBy(F.col("b").alias("id"), "block").agg(F.bit_or("mask").alias("mask"))
+            old = reached.groupBy("id", "block").agg(F.bit_or("mask").alias("_old"))
+            front = cut_lineage(_without(nxt.join(old, ["id", "block"], "left"), "_old"))
+            reached = reached.unionByName(front)
+    facts = found.groupBy(key, "src", "type", "dst").agg(F.min("step").alias("step"))
+    best = top_k(facts, [key], [F.col("step"), *order], limit, "n")
     text = F.concat_ws(" ", "src", F.lower(F.replace("type", F.lit("_"), F.lit(" "))), "dst")
     return best.select(key, (F.col("n") - 1).alias("fact_no"), F.col("src").alias("head"), F.col("type").alias("rel"), F.col("dst").alias("tail"), text.alias("text"))
 

@@ -1,28 +1,18 @@
-"""Lexical retrieval: term index as tables, BM25 by joining query terms to postings, keyword matching.
-
-Only postings of terms that a query mentions are ever joined; chunks without a query term cost one scan.
-Term counts of a chunk are made inside its row, so building the index shuffles nothing but term totals.
-"""
+"""Lexical retrieval: BM25 over stored postings (``postings``), boosts, keyword matching."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litmill.functions import fixed_values as fv
 from litmill.functions.skew import top_k
-from litmill.functions.text import contains_any, first_of, let, squeeze
+from litmill.functions.text import contains_any, first_of, let, squeeze, tokens_of
 from litmill.operators.lines import excerpt_of, requested_numbers
-from litmill.session import cut_lineage
-
-
-def tokens_of(c: Column) -> Column:
-    """Lower-case tokens longer than one character."""
-    return F.filter(
-        F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"({fv.TOKEN})"), F.lit(1)), lambda t: F.length(t) > 1
-    )
+from litmill.operators.postings import PostingStore, impact
+from litmill.session import ensure_checkpoint_dir
 
 
 def tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
@@ -51,24 +41,10 @@ def counted(items: Column) -> Column:
     return let(F.array_sort(items), runs)
 
 
-@dataclass(frozen=True)
-class TermIndex:
-    """postings (chunk_id, term, tf, dl), terms (term, df), stats (n_chunks, avg_len: one row)."""
-
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-
-
-def lexical_index(chunks: DataFrame, text: str = "text", key: str = "chunk_id") -> TermIndex:
-    """Index tables of a chunk table. Postings are checkpointed: term totals, length and every search read them,
-    and no text is tokenised twice."""
-    toks = chunks.select(F.col(key).alias("chunk_id"), tokens_of(F.col(text)).alias("tokens"))
-    postings = toks.select("chunk_id", F.size("tokens").alias("dl"), F.explode(counted(F.col("tokens"))).alias("p"))
-    postings = cut_lineage(postings.select("chunk_id", "p.term", "p.tf", "dl"))
-    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).select("n").scalar()
-    stats = chunks.agg(F.count("*").alias("n_chunks")).select("n_chunks", (total / F.col("n_chunks")).alias("avg_len"))
-    return TermIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
+def lexical_index(chunks: DataFrame, text: str = "text", key: str = "chunk_id") -> PostingStore:
+    """An index of a chunk table in a folder of its own; ``PostingStore`` keeps one and appends to it."""
+    spark = chunks.sparkSession
+    return PostingStore(spark, f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}").append(chunks, text, key)
 
 
 def query_terms(queries: DataFrame, text: str = "query", key: str = "query_id") -> DataFrame:
@@ -78,12 +54,12 @@ def query_terms(queries: DataFrame, text: str = "query", key: str = "query_id")
     )
 
 
-def bm25_scores(queries: DataFrame, index: TermIndex, key: str = "query_id") -> DataFrame:
+def bm25_scores(queries: DataFrame, index: PostingStore, key: str = "query_id") -> DataFrame:
     """(key, chunk_id, score) for every chunk that shares a term with the question.
 
     Document frequencies are counted over the whole corpus but only for terms that are asked for.
     A frequent term makes a large join partition, which adaptive execution splits; scores are summed
-    on the map side before they are shuffled by (key, chunk_id).
+    on the map side before they are shuffled by (key, chunk_id). ``bm25`` finds the best ones without scoring all.
     """
     asked = query_terms(queries, key=key)
     wanted = asked.select("term").distinct()
@@ -93,8 +69,7 @@ def bm25_scores(queries: DataFrame, index: TermIndex, key: str = "query_id") ->
         F.log(1 + (index.stats.select("n_chunks").scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qf"),
     )
     avg_len = index.stats.select(F.greatest(F.lit(1.0), F.col("avg_len"))).scalar()
-    dl = F.greatest(F.col("dl"), F.lit(1))
-    part = F.col("tf") * (fv.BM25_K1 + 1) / (F.col("tf") + fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * dl / avg_len))
+    part = impact(F.col("tf"), F.greatest(F.col("dl"), F.lit(1)), avg_len)
     return (
         hits.withColumn("part", part)
         .join(weights.select(key, "term", "weight"), "term")
@@ -108,15 +83,14 @@ def ranked(scores: DataFrame, k: int, key: str = "query_id", chunk: str = "chunk
     return top_k(scores, [key], [F.round("score", 9).desc(), F.col(chunk)], k)
 
 
-def bm25(queries: DataFrame, index: TermIndex, k: int = 5, chunks: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, index: PostingStore, k: int = 5, chunks: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank). Where questions ``want`` a chunk type, the type restricts the
     chunks (chunk_id, chunk_type), not the statistics."""
-    scores = bm25_scores(queries, index)
-    if "want" in queries.columns:
-        kinds = chunks.select("chunk_id", "chunk_type")
-        scores = scores.join(queries.select("query_id", "want"), "query_id").join(kinds, "chunk_id")
-        scores = scores.where("want is null or want = chunk_type").select("query_id", "chunk_id", "score")
-    return ranked(scores, k)
+    terms = query_terms(queries)
+    if "want" not in queries.columns:
+        return index.search(terms, k).results
+    terms = terms.join(queries.select("query_id", "want"), "query_id")
+    return index.search(terms, k, kinds=chunks.select("chunk_id", "chunk_type")).results
 
 
 # ---- substring matches without scanning every pair ------------------------------------------------
@@ -157,7 +131,7 @@ def _digit_parts(run: Column) -> Column:
 
 
 def bm25_boosted(
-    queries: DataFrame, chunks: DataFrame, index: TermIndex, k: int = 5, chunk_type: str | None = None
+    queries: DataFrame, chunks: DataFrame, index: PostingStore, k: int = 5, chunk_type: str | None = None
 ) -> DataFrame:
     """BM25 plus boosts: chunk type, a token of the question inside the text, the element number in the question,
     and the priority of elements. Chunks need chunk_type, number (nullable) and content_priority.

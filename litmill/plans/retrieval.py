@@ -64,6 +64,21 @@ def lexical_index(spark, d):
     return ix.postings.join(ix.terms, "term").select("chunk_id", "term", "tf", "dl", "df")
 
 
+def _appended(spark, d):
+    """The index of the corpus, stored in two appends."""
+    c = _corpus(spark, d)
+    return lexical.lexical_index(c.where("chunk_id % 3 = 0")).append(c.where("chunk_id % 3 <> 0"))
+
+
+def appended_index(spark, d):
+    ix = _appended(spark, d)
+    return ix.postings.join(ix.terms, "term").select("chunk_id", "term", "tf", "dl", "df")
+
+
+def bm25_appended(spark, d):
+    return _out(lexical.bm25(_asked(spark, d), _appended(spark, d), 10), "query_id", "chunk_id")
+
+
 def lexical_stats(spark, d):
     ix = lexical.lexical_index(_corpus(spark, d))
     return ix.stats.select("n_chunks", F.round("avg_len", 6).alias("avg_len"))
@@ -235,6 +250,8 @@ QUERIES = {
     "vec4_upsert_vectors": upsert_vectors,
     "lex1_tokens": tokens,
     "lex2_lexical_index": lexical_index,
+    "lex2_appended_index": appended_index,
+    "lex3_bm25_appended": bm25_appended,
     "lex2_lexical_stats": lexical_stats,
     "lex3_bm25": bm25,
     "lex4_bm25_boosted": bm25_boosted,
@@ -447,3 +464,4 @@ ORACLES = {
       r as (select *, row_number() over (partition by doc_id order by score desc, chunk_no)::int as rank from s) select * from r where rank <= 5""",
     "set1_all_contexts": f"with {_CONTEXTS} select query_id, id, source_type, length(text)::int as chars, round(score, 6) as score from contexts",
 }
+ORACLES |= {"lex2_appended_index": ORACLES["lex2_lexical_index"], "lex3_bm25_appended": ORACLES["lex3_bm25"]}
