@@ -1,40 +1,48 @@
-"""Hierarchical Pitman-Yor language model.
+"""Hierarchical Pitman-Yor language model: the context of a word is the word before it.
 
-The query's context of a word is the word before it (``bigrams``). What follows is the small model for callers that ask for a
-number of contexts: the last of so many very frequent words before a word in its text. Each context is a restaurant; all share one parent, the word restaurant, whose base is uniform over the known words and one unknown word. A customer that
-opens a table in a context becomes a customer of the parent. Tables are sampled by Gibbs sweeps over all words; a text is
-scored by predictive probabilities averaged over the sweeps after the first ones.
+Each word is a restaurant for the words after it; all share one parent, the word restaurant, whose base is uniform. A customer that
+opens a table in a context becomes a customer of the parent. Words seen fewer than MIN_COUNT times, and unknown ones, are one dish
+and one context, RARE, within which a word has its smoothed share; so contexts and dishes grow with the corpus. A text starts in
+the restaurant of the end (the empty word).
 
-Given the totals of the restaurants (a few numbers), words are independent within a sweep, so a sweep is a pass over the
-table of words. Texts meet the model in blocks (a split of the input): a block asks once for each of its distinct words.
+A Gibbs sweep removes all customers of a dish from a context, its tables from the parent too, and seats them anew one after
+another, given the other dishes' seats of the sweep before; draws are hashes of (context, dish, sweep, customer), so they don't
+depend on how rows are dealt. Texts are scored by predictive probabilities averaged over the sweeps after the first ones.
+
+Texts are read once, into blocks of word numbers. A block sends each of its distinct words and pairs once; pairs are dealt by a
+hash of both words, so a frequent word's restaurant is spread. What comes back to a block has no keys, only values in the order
+in which it asked.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from litmill.llm.common import crc_remainder, table
-from litmill.session import cut_lineage
+from litmill.llm.common import crc_remainder, prefix_sums, release, table, tasks
+from litmill.session import cut_lineage, ensure_checkpoint_dir
 
-BLOCK_BYTES = 16 << 20
-HELD_TOKENS = 8_000_000
-HELD_WORDS = 500_000
-CONTEXTS = 16
+MIN_COUNT = 10
 BURN_IN, SWEEPS = 1, 4
 STRENGTH, STEPS = 1.0, 64
-SHARD_ROWS = 300_000
+BLOCK_TOKENS = 4_000_000
+SHARDS_A_BLOCK = 4
+RARE = 0
 
-PAIR = np.dtype([("x", "u1"), ("n", "<i8")])
-SEAT = np.dtype([("x", "u1"), ("n", "<i8"), ("t", "<i8"), ("sum", "<i8")])
-OWN = np.dtype([("x", "u1"), ("own", "<f4")])
+SEQUENCE = 1 << 20  # blocks of a task
+PAIR = np.dtype([("u", "<i4"), ("w", "<i4"), ("n", "<i4")])
+OWN = np.dtype([("u", "<i4"), ("w", "<i4"), ("own", "<f4")])
+ANSWERS = "block long, shard int, own binary, local int, c long, id int, back array<double>, shared array<double>"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -44,323 +52,399 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
-def packed(rows: np.ndarray, size: np.ndarray) -> pa.Array:
-    """A binary value for each run of ``size`` records."""
-    offsets = np.concatenate([[0], np.cumsum(size)]) * rows.dtype.itemsize
-    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go when each has ended, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
-def unpacked(column: pa.ChunkedArray | pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """(all records, how many each value has) of what ``packed`` made."""
-    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    rows, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
-    for c in chunks:
-        at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
-        if len(at) > 1 and at[-1] > at[0]:
-            rows.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind))
-        sizes.append(np.diff(at) // kind.itemsize)
-    return np.concatenate(rows), np.concatenate(sizes)
+class Rewritten:
+    """A table in the shared folder that is written again and again: two folders in turn, so the version before the last goes."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.turn = spark, f"{ensure_checkpoint_dir(spark)}/turns-{uuid4().hex}", 0
 
-def tables(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables that ``customers`` of one dish take, seated one after another; ``new``: weight of a new table with the dish.
+    def put(self, df: DataFrame) -> DataFrame:
+        self.turn += 1
+        path = f"{self.folder}/{self.turn % 2}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-    The first STEPS customers are seated singly. Those after them come in groups, each as large as all before it, within which
-    the chance of a new table changes by less than two.
-    """
-    t = np.minimum(customers, 1)
-    seated, last = 1, customers.max() if len(customers) else 0
-    while seated < last:
-        more = np.flatnonzero(customers > seated)
-        group = 1 if seated < STEPS else seated
-        n = np.minimum(customers[more] - seated, group)
-        p = new[more] / (new[more] + np.maximum(seated + (n - 1) / 2 - discount * t[more], 1e-9))
-        t[more] += (rng.random(len(more)) < p) if group == 1 else rng.binomial(n, p)
-        seated += group
-    return t
 
+def packed(rows: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A binary value for each run of ``size`` records, field by field, so that it packs well."""
+    ends = np.cumsum(size)
+    return pa.array([b"".join(rows[f][a:b].tobytes() for f in rows.dtype.names) for a, b in zip(ends - size, ends, strict=True)], pa.binary())
 
-def blocked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``block``: the input split that the row comes from, cut further where splits are larger than BLOCK_BYTES.
 
-    Reading the same files again gives the same blocks. Rows that don't come straight from files are written first.
-    """
-    spark = docs.sparkSession
-    one = docs.select(F.input_file_name().alias("f")).first()
-    if one is not None and not one["f"]:
-        docs = cut_lineage(docs)
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    shares = max(1, round(split / BLOCK_BYTES))
-    return docs.withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64("doc_id"), F.lit(shares))))
+def unpacked(values: pa.ChunkedArray | pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(all records, how many each value has) of what ``packed`` made."""
+    blobs = [v.as_buffer() for v in values]
+    size = np.array([b.size // kind.itemsize for b in blobs], np.int64)
+    out, at = np.zeros(int(size.sum()), kind), 0
+    for b, n in zip(blobs, size.tolist(), strict=True):
+        start = 0
+        for f in kind.names:
+            out[f][at : at + n] = np.frombuffer(b, kind[f], n, start)
+            start += n * kind[f].itemsize
+        at += n
+    return out, size
+
+
+# ---- texts to blocks --------------------------------------------------------------------------------------
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """One row for each block of ``docs`` (doc_id, text, train): its texts as places in its sorted words, and the words' counts in training."""
+    kind = docs.schema["doc_id"].dataType
+    arrow = to_arrow_type(kind)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() * SEQUENCE
+        place: dict[bytes, int] = {}
+        ids, sizes, train, parts, held = [], [], [], [], 0
+
+        def row() -> pa.RecordBatch:
+            words = sorted(place)
+            rank = np.empty(len(place), np.int32)
+            rank[np.fromiter(map(place.__getitem__, words), np.int64, len(words))] = np.arange(len(words), dtype=np.int32)
+            places = rank[np.concatenate(parts)]
+            n = np.bincount(places[np.repeat(np.array(train, bool), sizes)], minlength=len(words)).astype(np.int64)
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            columns = [pa.array([block], pa.int64()), *map(one, (pa.array(ids, arrow), pa.array(sizes, pa.int32()), pa.array(train, pa.bool_()), pa.array(places), pa.array(words, pa.binary()), pa.array(n)))]
+            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "train", "places", "words", "counts"])
 
+        for b in batches:
+            for doc, text, use in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                own = tokens(text.as_py())
+                for w in set(own).difference(place):
+                    place[w] = len(place)
+                parts.append(np.fromiter(map(place.__getitem__, own), np.int32, len(own)))
+                ids.append(doc)
+                sizes.append(len(own))
+                train.append(bool(use))
+                held += len(own)
+                if held >= BLOCK_TOKENS:
+                    yield row()
+                    block, held = block + 1, 0
+                    place.clear()
+                    ids, sizes, train, parts = [], [], [], []
+        if ids:
+            yield row()
+        release()
+
+    schema = f"block long, ids array<{kind.simpleString()}>, sizes array<int>, train array<boolean>, places array<int>, words array<binary>, counts array<long>"
+    return docs.select("doc_id", "text", "train").mapInArrow(read, schema)
 
-def frequent_words(docs: DataFrame, contexts: int = CONTEXTS) -> list[bytes]:
-    """The most frequent words, counted exactly over all of ``docs`` (text)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+@dataclass
+class Vocabulary:
+    """places: (block, local, c, id) of the blocks' words, RARE below ``min_count``; counts of training tokens and words."""
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+    places: DataFrame
+    n_tokens: int
+    n_words: int
+    rare_tokens: int
+    rare_words: int
+    size: int  # dishes, RARE included
+
+
+def vocabulary(blocks: DataFrame, min_count: int) -> Vocabulary:
+    """Words numbered from 1 by count, then in byte order, so the numbers don't depend on how rows are dealt."""
+    each = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "_w"))
+    each = each.select("block", "local", F.col("_w.words").alias("word"), F.col("_w.counts").alias("n"))
+    # a block has one row for each of its words, so a word has as many rows as blocks at most
+    w = Window.partitionBy("word")
+    rows = each.withColumns({"c": F.sum("n").over(w), "_one": F.row_number().over(w.orderBy("block")) == 1})
+    rows = cut_lineage(rows.select("block", "local", "c", "_one", F.when(F.col("c") >= min_count, F.col("word")).alias("word")))
+    rare = (F.col("c") < min_count) & (F.col("c") > 0)
+    sums = [F.sum("c"), F.count_if(F.col("c") > 0), F.sum(F.when(rare, F.col("c"))), F.count_if(rare)]
+    n, v, rare_n, rare_v = (int(x or 0) for x in rows.where("_one").agg(*sums).first())
+    named = rows.where("_one and word is not null").select("word", (-F.col("c")).alias("_c"), F.lit(1).alias("_n"))
+    ids = prefix_sums(named, [], ["_c", "word"], {"_before": "_n"}).select("word", (F.col("_before") + 1).cast("int").alias("id"))
+    common = rows.where("word is not null").join(ids, "word").select("block", "local", "c", "id")
+    places = rows.where("word is null").select("block", "local", "c", F.lit(RARE).alias("id")).unionByName(common)
+    return Vocabulary(cut_lineage(places), n, v, rare_n, rare_v, v - rare_v + 1)
+
+
+# ---- pairs ------------------------------------------------------------------------------------------------
+
+
+def _shard(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+    return (mixed(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
+def _block_pairs(blocks: pa.Table, id_of: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct pairs by shard, u and w; shard of each; each token's pair). A text's first word has the end before it."""
+    word = id_of[blocks.column("places").combine_chunks().flatten().to_numpy()].astype(np.int64)
+    size = blocks.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64)
+    use = np.repeat(blocks.column("train").combine_chunks().flatten().to_numpy(zero_copy_only=False), size)
+    before = np.concatenate([word[-1:], word[:-1]])  # every text ends with the end
+    key, at = np.unique(before << 32 | word, return_inverse=True)
+    pair = np.zeros(len(key), PAIR)
+    pair["u"], pair["w"] = key >> 32, key & 0xFFFFFFFF
+    pair["n"] = np.bincount(at[use], minlength=len(key))
+    shard = _shard(pair["u"], pair["w"], shards)
+    order = np.argsort(shard, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return pair[order], shard[order], place[at]
+
+
+def _ids(local: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(local.max()) + 1 if len(local) else 1, np.int64)
+    out[local] = ids
+    return out
 
-        for b in batches:
-            for text in b.column(0):
-                found.update(tokens(text.as_py())[:-1])
-            if len(found) > HELD_WORDS:
-                yield rows()
-                found.clear()
-        yield rows()
-
-    found = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in found.orderBy(F.desc("n"), "word").limit(contexts).collect()]
-
-
-class Words:
-    """Numbers of the distinct words of some texts, and the context of each of their tokens."""
-
-    def __init__(self, markers: list[bytes]):
-        self.place: dict[bytes, int] = {}
-        self.marker = {w: k + 1 for k, w in enumerate(markers)}
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, context, tokens of each text); context 0: no frequent word before it."""
-        place, rows = self.place, []
-        for text in texts:
-            own = tokens(text)
-            for w in set(own).difference(place):
-                place[w] = len(place)
-            rows.append(np.fromiter(map(place.__getitem__, own), np.int32, len(own)))
-        size = np.array([len(r) for r in rows], np.int64)
-        word = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        kind = np.zeros(len(place), np.int8)
-        for w, k in self.marker.items():
-            if w in place:
-                kind[place[w]] = k
-        own = kind[word]
-        at = np.arange(len(word))
-        last = np.concatenate([[-1], np.maximum.accumulate(np.where(own > 0, at, -1))[:-1]])[: len(word)]
-        first = np.repeat(np.cumsum(size) - size, size)
-        return word, np.where(last >= first, own[last], 0), size
-
-
-def block_words(docs: DataFrame, markers: list[bytes]) -> DataFrame:
-    """(block, word, pairs): the words of each block of ``docs`` (block, text, train); pairs: (context, n) in the rows that ``train``."""
-    width = len(markers) + 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[Words, list]] = {}
-
-        def rows(blocks: list[int]) -> Iterator[pa.RecordBatch]:
-            for block in blocks:
-                words, parts = held.pop(block)
-                key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                pair = np.zeros(len(key), PAIR)
-                pair["x"] = key % width
-                pair["n"] = np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(key))
-                size = np.bincount(key // width, minlength=len(words.place))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), block, np.int64)), pa.array(list(words.place), pa.binary()), packed(pair, size)], ["block", "word", "pairs"])
 
-        for b in batches:
-            of = b.column(0).to_numpy()
-            train = b.column(2).to_numpy(zero_copy_only=False)
-            for block in np.unique(of).tolist():
-                rows_ = np.flatnonzero(of == block)
-                words, parts = held.setdefault(block, (Words(markers), []))
-                word, context, size = words(b.column(1).take(pa.array(rows_)).to_pylist())
-                use = np.repeat(train[rows_], size)
-                key, n = np.unique(word[use].astype(np.int64) * width + context[use], return_counts=True)
-                parts.append((key, n))
-            if sum(len(k) for _, parts in held.values() for k, _ in parts) > HELD_TOKENS:
-                yield from rows(list(held))
-        yield from rows(list(held))
-
-    return docs.select("block", "text", "train").mapInArrow(count, "block long, word binary, pairs binary")
+def block_pairs(blocks: DataFrame, places: DataFrame, shards: int) -> DataFrame:
+    """(block, shard, pairs): the distinct pairs of each block; n: how often in rows that ``train``."""
 
+    def count(blocks: pa.Table, places: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if blocks.num_rows:
+            pair, shard, _ = _block_pairs(blocks, _ids(places.column("local").to_numpy(), places.column("id").to_numpy()), shards)
+            size = np.bincount(shard, minlength=shards)
+            some = np.flatnonzero(size)
+            out = [blocks.column("block").to_pylist() * len(some), some.tolist(), packed(pair, size[some])]
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), out[2] if len(out[0]) else pa.array([], pa.binary())], ["block", "shard", "pairs"])
 
-@dataclass
-class Totals:
-    """Of the restaurants: customers and tables of each context, tables of the word restaurant, and the number of words."""
+    left = blocks.select("block", "sizes", "train", "places").groupBy("block")
+    return left.cogroup(places.select("block", "local", "id").groupBy("block")).applyInArrow(count, "block long, shard int, pairs binary")
 
-    customers: np.ndarray
-    tables: np.ndarray
-    parents: int
-    words: int
-    once: np.ndarray  # words and pairs seen once, then twice: for the discounts
 
-    @classmethod
-    def read(cls, rows: DataFrame, width: int) -> Totals:
-        """Sums what tasks report beside their words: rows without a word, each a few numbers."""
-        found = [np.frombuffer(r["seats"], "<i8") for r in rows.where("word is null").select("seats").collect()]
-        s = np.sum(found, 0) if found else np.zeros(2 * width + 6, np.int64)
-        return cls(s[:width], s[width : 2 * width], int(s[2 * width]), int(s[2 * width + 1]), s[2 * width + 2 :])
+def counted(asks: DataFrame) -> DataFrame:
+    """(u, w, n) of the pairs seen in training."""
 
+    def merge(t: pa.Table) -> pa.Table:
+        rows, _ = unpacked(t.column("pairs"), PAIR)
+        rows = rows[rows["n"] > 0]
+        key, at = np.unique(rows["u"].astype(np.int64) << 32 | rows["w"], return_inverse=True)
+        n = np.bincount(at, weights=rows["n"], minlength=len(key)).astype(np.int64)
+        return pa.table({"u": (key >> 32).astype(np.int32), "w": (key & 0xFFFFFFFF).astype(np.int32), "n": n})
 
-def _report(seat: np.ndarray, size: np.ndarray, parents: np.ndarray, width: int) -> bytes:
-    out = [np.bincount(seat["x"], weights=seat[c], minlength=width) for c in ("n", "t")]
-    customers = np.add.reduceat(seat["t"], np.cumsum(size) - size) if len(seat) else np.zeros(0)
-    once = [(customers == 1).sum(), (customers == 2).sum(), (seat["n"] == 1).sum(), (seat["n"] == 2).sum()]
-    return np.concatenate([*out, [parents.sum(), len(size)], once]).astype("<i8").tobytes()
+    return asks.groupBy("shard").applyInArrow(merge, "u int, w int, n long")
 
 
-SEATED = "word binary, c long, seats binary, parents long, parents_sum long"
+# ---- sweeps -----------------------------------------------------------------------------------------------
 
 
-def _rows(words: list, seat: np.ndarray, size: np.ndarray, parents: np.ndarray, parents_sum: np.ndarray, width: int) -> pa.RecordBatch:
-    c = np.add.reduceat(seat["n"], np.cumsum(size) - size) if len(seat) else np.zeros(0, np.int64)
-    seats = pa.concat_arrays([packed(seat, size), pa.array([_report(seat, size, parents, width)], pa.binary())])
-    cols = [pa.array([*words, None], pa.binary()), pa.array(np.append(c, 0)), seats, pa.array(np.append(parents, 0)), pa.array(np.append(parents_sum, 0))]
-    return pa.RecordBatch.from_arrays([x.cast(pa.int64()) if k in (1, 3, 4) else x for k, x in enumerate(cols)], ["word", "c", "seats", "parents", "parents_sum"])
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers (the finaliser of SplitMix64; its factors are fixed)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def counted(words: DataFrame, width: int, shards: int) -> DataFrame:
-    """SEATED, a table for each dish in each restaurant, from ``words`` (block, word, pairs), and a row of totals for each shard."""
+def seated(customers: np.ndarray, fresh: Callable[[np.ndarray, np.ndarray], np.ndarray], discount: float, key: np.ndarray, sweep: int, steps: int = STEPS) -> np.ndarray:
+    """Tables that the ``customers`` of each dish take, seated one after another; the first opens one.
 
-    def merge(t: pa.Table) -> pa.Table:
-        code = t.column("word").combine_chunks().dictionary_encode()
-        pair, size = unpacked(t.column("pairs"), PAIR)
-        key, at = np.unique(np.repeat(code.indices.to_numpy().astype(np.int64), size) * width + pair["x"], return_inverse=True)
-        seat = np.zeros(len(key), SEAT)
-        seat["x"], seat["t"] = key % width, 1
-        seat["n"] = np.bincount(at, weights=pair["n"].astype(float), minlength=len(key))
-        of = np.bincount(key // width, minlength=len(code.dictionary))
-        some = np.flatnonzero(of)  # the others are in rows that don't train only
-        one = np.ones(len(some), np.int64)
-        return pa.Table.from_batches([_rows(code.dictionary.take(pa.array(some)).to_pylist(), seat, of[some], one, one * 0, width)])
-
-    dealt = words.where("octet_length(pairs) > 0").select("word", "pairs", F.pmod(F.xxhash64("word"), F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInArrow(merge, SEATED)
+    fresh(which, tables): weight of a new table of these dishes that have so many tables by then. The first ``steps`` customers
+    are seated singly; later ones come in groups, each as large as all before it, that take their expected number of tables,
+    rounded at random: within a group the chance of a new table changes by less than two. Draws are hashes of ``key``.
+    """
+    t = np.minimum(customers, 1)
+    place, last, step = 1, int(customers.max()) if len(customers) else 0, 0
+    base = mixed(key.astype(np.uint64) + np.uint64(sweep) * np.uint64(0xD1342543DE82EF95))
+    while place < last:
+        more = np.flatnonzero(customers > place)
+        group = 1 if place < steps else place
+        n, new = np.minimum(customers[more] - place, group), fresh(more, t[more])
+        p = new / (new + np.maximum(place + (n - 1) / 2 - discount * t[more], 1e-9))
+        draw = (mixed(base[more] + np.uint64(step)) >> np.uint64(11)) * 2.0**-53
+        t[more] += np.floor(n * p + draw).astype(t.dtype)
+        place, step = place + group, step + 1
+    return t
 
 
 @dataclass
 class Model:
-    """words: (word, c, own, shared): own, packed by context, and the parent's probability, both averaged over the samples."""
+    """words: (id, back, shared), arrays over the kept sweeps: what a context passes on, and the parent's probability of the dish;
+    busy: (u, w, n, t, sum) of the pairs seen more than once, sum: tables over the kept sweeps; lone: (u, w) of those seen once."""
 
     words: DataFrame
-    markers: list[bytes]
-    n_tokens: int
-    n_words: int
-    back: np.ndarray  # by context: what goes to the parent
-    unknown: float  # the parent's probability of an unknown word
+    busy: DataFrame
+    pairs: DataFrame
+    own: float  # discount in the contexts
+    kept: int
+
+
+def train(pairs: DataFrame, dishes: int, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> Model:
+    """The model from ``pairs`` (u, w, n). The discounts are n1 / (n1 + 2 n2) of the dishes served once and twice."""
+    spark = pairs.sparkSession
+    one, zero, none = (F.col("n") == 1).cast("long"), F.lit(0).cast("long"), F.array().cast("array<double>")
+    sides = pairs.groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("c"), F.count("*").alias("t_u"), F.sum(one).alias("one_u")).withColumns({"t_w": zero, "one_w": zero})
+    sides = sides.unionByName(pairs.groupBy(F.col("w").alias("id")).agg(F.count("*").alias("t_w"), F.sum(one).alias("one_w")).withColumns({"c": zero, "t_u": zero, "one_u": zero}))
+    sides = sides.unionByName(spark.range(1).select(F.lit(RARE).alias("id"), *[zero.alias(c) for c in ("c", "t_u", "one_u", "t_w", "one_w")]))
+    words = sides.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("c", "t_u", "one_u", "t_w", "one_w")])
+    kept_words, kept_busy = Rewritten(spark), Rewritten(spark)
+    words = kept_words.put(words.withColumns({"up": F.least("t_w", F.lit(1)), "back": none, "shared": none}))
+    busy = kept_busy.put(pairs.where("n > 1").select("u", "w", "n", F.lit(1).cast("long").alias("t"), zero.alias("sum")))
+    sums = [F.sum("t_w"), F.sum("up"), F.sum("one_w"), F.count_if(F.col("t_w") == 1), F.count_if(F.col("t_w") == 2)]
+    total, parents, n1, p1, p2 = (int(x or 0) for x in words.agg(*sums).first())
+    n2 = busy.where("n = 2").count()
+    own, above = (min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5 for a, b in ((n1, n2), (p1, p2)))
+    base, kept = 1 / dishes, 0
+    for sweep in range(sweeps):
+        keep = int(sweep >= burn_in)
 
+        def seat(batches: Iterator[pa.RecordBatch], sweep=sweep, keep=keep, total=total, parents=parents) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    u, w, n, old, sums, t_u, t_w, up = (x.to_numpy() for x in b.columns)
+                    u_rest, w_rest, floor = t_u - old, t_w - old, (STRENGTH + above * parents) * base
+
+                    def fresh(k: np.ndarray, t: np.ndarray, of=(old, u_rest, w_rest, up), floor=floor) -> np.ndarray:
+                        old, u_rest, w_rest, up = (x[k] for x in of)
+                        at = w_rest + t
+                        parent = (at - above * np.minimum(up, at) + floor) / (STRENGTH + total - old + t)
+                        return (STRENGTH + own * (u_rest + t)) * parent
+
+                    t = seated(n, fresh, own, u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), sweep)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, n, t, sums + keep * t)], ["u", "w", "n", "t", "sum"])
+
+        of_u, of_w = words.select(F.col("id").alias("u"), "t_u"), words.select(F.col("id").alias("w"), "t_w", "up")
+        at = busy.join(of_u, "u").join(of_w, "w").select("u", "w", "n", "t", "sum", "t_u", "t_w", "up")
+        busy = kept_busy.put(at.mapInArrow(seat, "u int, w int, n long, t long, sum long"))
+        tabled = [busy.groupBy(F.col(c).alias("id")).agg(F.sum("t").alias(f"_{c}")) for c in "uw"]
+        new = reduce(lambda a, b: a.join(b, "id", "left"), tabled, words)
+        new = new.withColumns({f"t_{c}": F.col(f"one_{c}") + F.coalesce(f"_{c}", zero) for c in "uw"}).drop("_u", "_w")
+
+        def seat_parent(batches: Iterator[pa.RecordBatch], sweep=sweep, parents=parents) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    rest = parents - b.column("up").to_numpy()
+                    fresh = lambda k, t, rest=rest: (STRENGTH + above * (rest[k] + t)) * base
+                    up = seated(b.column("t_w").to_numpy(), fresh, above, b.column("id").to_numpy(), sweep)
+                    yield b.set_column(b.schema.get_field_index("up"), "up", pa.array(up))
+
+        new = kept_words.put(new.mapInArrow(seat_parent, new.schema))
+        total, parents = (int(x or 0) for x in new.agg(F.sum("t_w"), F.sum("up")).first())
+        words = new
+        if keep or sweep + 1 == sweeps and not kept:
+            kept += 1
+            back = (STRENGTH + own * F.col("t_u")) / (STRENGTH + F.col("c"))
+            shared = (F.col("t_w") - above * F.col("up") + (STRENGTH + above * parents) * base) / (STRENGTH + total)
+            words = words.withColumns({"back": F.concat("back", F.array(back)), "shared": F.concat("shared", F.array(shared))})
+            busy = busy if keep else busy.withColumn("sum", F.col("t"))
+    return Model(cut_lineage(words.select("id", "c", "back", "shared")), busy, pairs, own, kept)
 
-def train(docs: DataFrame, words: DataFrame, markers: list[bytes], sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> Model:
-    """The model from ``words`` (block, word, pairs). The discounts are n1 / (n1 + 2 n2) of the dishes served once and twice."""
-    spark = words.sparkSession
-    width = len(markers) + 1
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // SHARD_ROWS))
-    rows = cut_lineage(counted(words, width, shards))
-    now = Totals.read(rows, width)
-    above, own = (min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5 for a, b in (now.once[:2], now.once[2:4]))
-    n, v, customers = int(now.customers.sum()), now.words, now.customers
-    base = 1 / (v + 1)
-    back, lone, kept = np.zeros(width), 0.0, 0
 
-    def parent(c: np.ndarray, t: np.ndarray, now: Totals) -> np.ndarray:
-        return (c - above * t + (STRENGTH + above * now.parents) * base) / (STRENGTH + now.tables.sum())
+# ---- scores -----------------------------------------------------------------------------------------------
 
-    for sweep in range(sweeps):
 
-        def seat(batches: Iterator[pa.RecordBatch], now=now, sweep=sweep, keep=sweep >= burn_in) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                b = b.filter(b.column(0).is_valid())
-                if not b.num_rows:
-                    continue
-                words = b.column(0).to_pylist()
-                seat, size = unpacked(b.column(2), SEAT)
-                first, of = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
-                rng = np.random.default_rng([sweep, zlib.crc32(words[0]), len(words)])
-                prior = parent(np.add.reduceat(seat["t"], first), b.column(3).to_numpy(), now)
-                seat["t"] = tables(seat["n"], (STRENGTH + own * now.tables[seat["x"]]) * prior[of], own, rng)
-                c = np.add.reduceat(seat["t"], first)
-                up = tables(c, np.full(len(c), (STRENGTH + above * now.parents) * base), above, rng)
-                if keep:
-                    seat["sum"] += seat["t"]
-                yield _rows(words, seat, size, up, b.column(4).to_numpy() + keep * up, width)
-
-        rows = cut_lineage(rows.mapInArrow(seat, SEATED))
-        now = Totals.read(rows, width)
-        if sweep >= burn_in:
-            kept += 1
-            back += (STRENGTH + own * now.tables) / (STRENGTH + customers)
-            lone += float(parent(np.zeros(1), np.zeros(1), now)[0])
-    k = max(1, kept)
-    total, tables_ = now.tables.sum(), now.parents
+def answered(asks: DataFrame, model: Model, shards: int) -> DataFrame:
+    """(block, shard, own): what each asked pair keeps after the discount, averaged over the kept sweeps; 32-bit floats in the order asked."""
+    own, kept = model.own, model.kept
 
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(b.column(0).is_valid())
-            seat, size = unpacked(b.column(2), SEAT)
-            mine = np.zeros(len(seat), OWN)
-            mine["x"] = seat["x"]
-            mine["own"] = (seat["n"] - own * seat["sum"] / k) / (STRENGTH + customers[seat["x"]])
-            c = np.bincount(np.repeat(np.arange(len(size)), size), weights=seat["sum"] / k, minlength=len(size))
-            shared = (c - above * b.column(4).to_numpy() / k + (STRENGTH + above * tables_) * base) / (STRENGTH + total)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed(mine, size), pa.array(shared)], ["word", "c", "own", "shared"])
-
-    model = rows.mapInArrow(average, "word binary, c long, own binary, shared double")
-    return Model(model, markers, n, v, back / k if kept else np.ones(width), lone / k if kept else base)
-
-
-def score(docs: DataFrame, words: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of each row of ``docs`` (doc_id, block, text); ``words`` has their (block, word)."""
-    answers = words.select("block", "word").join(model.words, "word")
-    markers, n, v, back, unknown = model.markers, model.n_tokens, model.n_words, model.back, model.unknown
-    width = len(markers) + 1
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def judge(texts: pa.Table, known: pa.Table) -> pa.Table:
-        words = Words(markers)
-        word, context, size = words(texts.column("text").to_pylist())
-        place = words.place
-        at = np.array([place.get(w, -1) for w in known.column("word").to_pylist()], np.int64)
-        c, shared = np.zeros(len(place)), np.full(len(place), unknown)
-        ok = at >= 0
-        c[at[ok]] = known.column("c").to_numpy()[ok]
-        shared[at[ok]] = known.column("shared").to_numpy()[ok]
-        own, sizes = unpacked(known.column("own"), OWN)
-        key = np.repeat(at, sizes) * width + own["x"]
+            if b.num_rows:
+                rows = np.zeros(b.num_rows, OWN)
+                rows["u"], rows["w"], rows["own"] = (x.to_numpy() for x in b.columns)
+                shard = _shard(rows["u"], rows["w"], shards)
+                size = np.bincount(shard, minlength=shards)
+                some = np.flatnonzero(size)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), packed(rows[np.argsort(shard, kind="stable")], size[some])], ["shard", "known"])
+
+    def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
+        rows, _ = unpacked(known.column("known"), OWN)
+        key = rows["u"].astype(np.int64) << 32 | rows["w"]
         order = np.argsort(key)
-        key, mine = key[order], own["own"][order].astype(float)
-        base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+        key, value = np.append(key[order], -1), np.append(rows["own"][order], np.float32(0))
+        out = []
+        for blob in asks.column("pairs"):
+            mine, _ = unpacked(pa.array([blob.as_py()], pa.binary()), PAIR)
+            asked = mine["u"].astype(np.int64) << 32 | mine["w"]
+            at = np.searchsorted(key[:-1], asked)
+            out.append(np.where(key[at] == asked, value[at], np.float32(0)).astype("<f4").tobytes())
+        return pa.table([asks.column("block"), asks.column("shard"), pa.array(out, pa.binary())], ["block", "shard", "own"])
+
+    lone = model.pairs.where("n = 1").select("u", "w", F.lit(1 - own).cast("double").alias("own"))
+    seats = model.busy.select("u", "w", (F.col("n") - own * F.col("sum") / kept).alias("own"))
+    known = lone.unionAll(seats).mapInArrow(deal, "shard int, known binary")
+    return asks.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "block long, shard int, own binary")
+
+
+def score(blocks: DataFrame, asks: DataFrame, words: Vocabulary, model: Model, shards: int) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of each text of ``blocks``."""
+    n, v, rare_n, rare_v, dishes, kept = words.n_tokens, words.n_words, words.rare_tokens, words.rare_words, words.size, max(1, model.kept)
+    empty = F.lit(None)
+    own = answered(asks, model, shards).select("block", "shard", "own", *[empty.cast(t).alias(c) for c, t in (("local", "int"), ("c", "long"), ("id", "int"), ("back", "array<double>"), ("shared", "array<double>"))])
+    at = words.places.join(model.words.select("id", "back", "shared"), "id", "left")
+    at = at.where(F.col("id") != RARE).unionByName(words.places.where(F.col("id") == RARE).withColumns({"back": empty.cast("array<double>"), "shared": empty.cast("array<double>")}))
+    at = at.select("block", empty.cast("int").alias("shard"), empty.cast("binary").alias("own"), "local", "c", "id", "back", "shared")
+    # the one class of all rare words is a few numbers
+    rare = model.words.where(F.col("id") == RARE).first()
+    rare_back, rare_shared, rare_c = (rare["back"], rare["shared"], rare["c"]) if rare else ([1.0], [1 / dishes], 0)
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def judge(blocks: pa.Table, known: pa.Table) -> pa.Table:
+        own = known.filter(known.column("own").is_valid()).sort_by("shard")
+        rows = known.filter(known.column("local").is_valid())
+        local = rows.column("local").to_numpy().astype(np.int64)
+        c, id_of = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
+        c[local], id_of[local] = rows.column("c").to_numpy(), rows.column("id").to_numpy()
+        common = rows.filter(pa.array(rows.column("id").to_numpy() != RARE))
+        where = common.column("local").to_numpy()
+        back, shared = np.empty((len(c), kept)), np.empty((len(c), kept))
+        back[:], shared[:] = rare_back, rare_shared
+        if common.num_rows:
+            back[where] = common.column("back").combine_chunks().flatten().to_numpy().reshape(-1, kept)
+            shared[where] = common.column("shared").combine_chunks().flatten().to_numpy().reshape(-1, kept)
+        customers = np.where(id_of == RARE, rare_c, c)
+        # a rare word's share of its class, in which all unknown words are one
+        share = np.where(id_of == RARE, (c + 0.5) / (rare_n + 0.5 * (rare_v + 1)), 1.0)
+        word = blocks.column("places").combine_chunks().flatten().to_numpy()
+        size = blocks.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64)
+        before = np.concatenate([word[-1:], word[:-1]])
+        _, _, pair = _block_pairs(blocks, id_of, shards)
+        seats = np.frombuffer(b"".join(own.column("own").to_pylist()), "<f4").astype(float)[pair] / (STRENGTH + customers[before])
+        p = np.zeros(len(word))
+        for k in range(kept):
+            p += seats + back[before, k] * shared[word, k]
+        logs = np.log10(p / kept * share[word])
+        base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))[word]
         first = np.cumsum(size) - size
-        sums = []
-        for x in (np.ones(len(word), np.int64), (c > 0)[word].astype(np.int64), base[word]):
-            sums.append(np.add.reduceat(x, first) if len(x) else x)
-        asked = word.astype(np.int64) * width + context
-        p = back[context] * shared[word]
-        if len(key):
-            spot = np.minimum(np.searchsorted(key, asked), len(key) - 1)
-            p = p + np.where(key[spot] == asked, mine[spot], 0.0)
-        sums.append(np.add.reduceat(np.log10(p), first) if len(p) else p)
-        return pa.table([texts.column("doc_id"), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    return docs.select("doc_id", "block", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        judge, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
-    )
-
-
-def pitman_yor_scores(docs: DataFrame, held: Column, contexts: int | None = None) -> DataFrame:
+        sums = [np.add.reduceat(x, first) for x in (np.ones(len(word), np.int64), (c > 0)[word].astype(np.int64), base, logs)]
+        return pa.table([blocks.column("ids").combine_chunks().flatten(), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    left = blocks.select("block", "ids", "sizes", "train", "places").groupBy("block")
+    return left.cogroup(own.unionByName(at).groupBy("block")).applyInArrow(judge, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+
+
+def learnt(docs: DataFrame, min_count: int = MIN_COUNT, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple[DataFrame, DataFrame, Vocabulary, Model, int]:
+    """(blocks, asks, vocabulary, model, shards) of ``docs`` (doc_id, text, train)."""
+    spark = docs.sparkSession
+    with shuffles_end(spark):
+        blocks = cut_lineage(blocks_of(docs))
+        words = vocabulary(blocks, min_count)
+        shards = max(tasks(spark), SHARDS_A_BLOCK * blocks.count())
+        asks = cut_lineage(block_pairs(blocks, words.places, shards))
+        model = train(cut_lineage(counted(asks)), words.size, sweeps, burn_in)
+    return blocks, asks, words, model, shards
+
+
+def pitman_yor_scores(docs: DataFrame, held: Column, min_count: int = MIN_COUNT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of ``docs`` (doc_id, text; others are ignored).
 
-    The context of a word is the word before it; with ``contexts`` it is the last of so many most frequent words before it.
-    The model learns from all whole texts but those for which ``held`` (a column of doc_id) is true. Tokens are the words,
-    A-Z lower-cased, and one end for each text; null and empty texts have the end alone. base_score: additive smoothing (0.5)
-    of the training tokens; score: log10 of the model's probability, in which all unknown words are one word. Rows that repeat
-    count and are scored each. With nothing to learn from, both scores are 0. An empty table gives no rows.
+    The model learns from all whole texts but those for which ``held`` (a column of doc_id) is true. Tokens are the words, A-Z
+    lower-cased, and one end for each text; null and empty texts have the end alone. base_score: additive smoothing (0.5) of the
+    training tokens; score: log10 of the model's probability, in which all unknown words are one word. Words seen fewer than
+    ``min_count`` times in training share a dish and a context. Rows that repeat count and are scored each. With nothing to
+    learn from, both scores are 0. An empty table gives no rows. Rows dealt otherwise give equal scores.
     """
-    docs = blocked(docs.select("doc_id", "text")).withColumn("train", ~held)
-    if contexts is None:
-        from litmill.llm import bigrams
-
-        asks, model, shards = bigrams.bigram_model(docs)
-        out = bigrams.score(docs, asks, model, shards)
-    else:
-        markers = frequent_words(docs.where("train"), contexts)
-        words = cut_lineage(block_words(docs, markers))
-        model = train(docs, words, markers)
-        out = score(docs, words, model)
+    blocks, asks, words, model, shards = learnt(docs.select("doc_id", "text", (~held).alias("train")), min_count)
+    out = score(blocks, asks, words, model, shards)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
-    tokens_ = F.lit(model.n_tokens).cast("long").alias("train_tokens")
+    tokens_ = F.lit(words.n_tokens).cast("long").alias("train_tokens")
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", tokens_, "base_score", "score", perplexity.alias("perplexity"))
 
 

@@ -1,13 +1,14 @@
-"""The word before a word is its context, for any number of contexts."""
+"""The Pitman-Yor model: every word before is a context, exact pair counts, a distribution, scores as its tables say, whatever the partitions."""
 
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litmill.llm import bigrams, pitman_yor
+from litmill.llm import pitman_yor as py
 
 
 def table(spark, tmp_path, rows):
@@ -15,62 +16,100 @@ def table(spark, tmp_path, rows):
     return spark.read.parquet(str(tmp_path / "t"))
 
 
+def words_of(text):
+    return [*re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower()), b""]
+
+
+def plain(rows, min_count):
+    """(number of each common word, counts of words, counts of pairs) of the texts."""
+    count = Counter(w for t in rows for w in words_of(t))
+    common = sorted((w for w, n in count.items() if n >= min_count), key=lambda w: (-count[w], w))
+    number = {w: k for k, w in enumerate(common, 1)}
+    pairs = Counter()
+    for t in rows:
+        ids = [number.get(w, py.RARE) for w in [b"", *words_of(t)]]
+        pairs.update(zip(ids, ids[1:]))
+    return number, count, pairs
+
+
 def test_every_word_is_a_context(spark, tmp_path):
     """60 words, each followed by its own; a text with the pairs of another word is less probable."""
     rows = [(k * 20 + j, f"a{k} b{k}") for k in range(60) for j in range(20)]
     rows += [(5000 + k, f"a{k} b{k}") for k in range(60)] + [(6000 + k, f"a{k} b{(k + 7) % 60}") for k in range(60)]
-    got = {r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(table(spark, tmp_path, rows), F.col("doc_id") >= 5000).collect()}
+    got = {r.doc_id: r.score for r in py.pitman_yor_scores(table(spark, tmp_path, rows), F.col("doc_id") >= 5000).collect()}
     assert all(got[5000 + k] > got[6000 + k] + 1 for k in range(60))
 
 
-def test_pairs_and_sums(spark, docs, rows):
-    """Pairs are counted exactly; after each word the probabilities of all known words and an unknown one sum to 1."""
-    d = pitman_yor.blocked(docs.select("doc_id", "text")).withColumn("train", F.lit(True))
-    _, model, _ = bigrams.bigram_model(d)
-    want = Counter()
-    for r in rows:
-        words = [b"", *re.findall(rb"[^\x20\x09-\x0d]+", (r[1] or "").encode().lower()), b""]
-        want.update(zip(words, words[1:]))
-    number = {w: int(bigrams.hashed([w])[0]) for w in {w for p in want for w in p}}
-    pairs = np.concatenate([np.frombuffer(r.pairs, bigrams.PAIR) for r in model.pairs.collect()])
-    assert {(int(p["u"]), int(p["w"])): int(p["n"]) for p in pairs} == {(number[u], number[w]): n for (u, w), n in want.items()}
-    assert len(pairs) == len(want) and model.n_tokens == sum(want.values())
-    seats = {(r.u, r.w): r.n - model.own * r.sum / model.kept for r in model.busy.collect()}
-    assert set(seats) == {(number[u], number[w]) for (u, w), n in want.items() if n > 1}
-    words = {r.h: r for r in model.words.collect()}
-    assert len(words) == model.n_words == len(number)
-    shared = sum(r.shared for r in words.values()) + model.unknown
-    kept = Counter()
-    for (u, w), n in want.items():
-        kept[number[u]] += seats.get((number[u], number[w]), n - model.own)
-    for h, r in words.items():
-        assert r.back * shared + kept[h] / (pitman_yor.STRENGTH + r.c) == pytest.approx(1, abs=1e-6)
-
-
-def test_scores_are_those_of_the_model(spark, docs, rows):
-    d = pitman_yor.blocked(docs.select("doc_id", "text")).withColumn("train", F.coalesce(F.col("doc_id") < 30, F.lit(False)))
-    asks, model, shards = bigrams.bigram_model(d)
-    seats = {(r.u, r.w): r.n - model.own * r.sum / model.kept for r in model.busy.collect()}
-    for r in model.pairs.collect():
-        for u, w, n in np.frombuffer(r.pairs, bigrams.PAIR).tolist():
-            seats.setdefault((u, w), n - model.own)
-    words = {r.h: r for r in model.words.collect()}
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in (4, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            rows = py.pitman_yor_scores(docs.repartition(n), F.coalesce(F.col("doc_id") % 3 == 1, F.lit(False)), 2).collect()
+            found.append(Counter((r.doc_id, r.n_tokens, round(r.base_score, 9), round(r.score, 9)) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def test_pairs_distribution_and_scores(spark, docs, rows, monkeypatch):
+    """Pairs are counted exactly; after each word the probabilities of all dishes sum to 1; scores are those of the tables."""
+    monkeypatch.setattr(py, "BLOCK_TOKENS", 5000)
+    trained = [r[1] for r in rows if r[0] is not None and r[0] < 250]
+    blocks, asks, voc, model, shards = py.learnt(docs.select("doc_id", "text", F.coalesce(F.col("doc_id") < 250, F.lit(False)).alias("train")), 2)
+    assert blocks.count() > 2
+    number, count, pairs = plain(trained, 2)
+    assert {(r.u, r.w): r.n for r in model.pairs.collect()} == pairs
+    assert (voc.n_tokens, voc.n_words, voc.size) == (sum(count.values()), len(count), len(number) + 1)
+    busy = {(r.u, r.w): r for r in model.busy.collect()}
+    assert set(busy) == {p for p, n in pairs.items() if n > 1}
+    assert all(model.kept <= r.sum <= model.kept * r.n and 1 <= r.t <= r.n for r in busy.values())
+    words = {r.id: r for r in model.words.collect()}
+    assert set(words) == set(range(voc.size))
+    own = {p: pairs[p] - model.own * (busy[p].sum / model.kept if p in busy else 1) for p in pairs}
+    kept = defaultdict(float)
+    for (u, _), x in own.items():
+        kept[u] += x
+    for k in range(model.kept):
+        assert sum(r.shared[k] for r in words.values()) == pytest.approx(1, abs=1e-9)
+    for u, r in words.items():
+        assert kept[u] / (py.STRENGTH + r.c) + np.mean(r.back) == pytest.approx(1, abs=1e-9)
+    rare_n, rare_v = sum(n for w, n in count.items() if w not in number), len(count) - len(number)
     want = Counter()
     for r in rows:
-        h = bigrams.hashed([b"", *re.findall(rb"[^\x20\x09-\x0d]+", (r[1] or "").encode().lower()), b""]).tolist()
-        s = 0.0
-        for u, w in zip(h, h[1:]):
-            shared = words[w].shared if w in words else model.unknown
-            back, c = (words[u].back, words[u].c) if u in words else (1.0, 0)
-            s += np.log10(back * shared + seats.get((u, w), 0.0) / (pitman_yor.STRENGTH + c))
-        want[r[0], len(h) - 1, round(s, 1)] += 1
-    got = Counter((r.doc_id, r.n_tokens, round(r.score, 1)) for r in bigrams.score(d, asks, model, shards).collect())
+        s, u = 0.0, number[b""]
+        for w in words_of(r[1]):
+            i = number.get(w, py.RARE)
+            p = own.get((u, i), 0.0) / (py.STRENGTH + words[u].c) + np.mean([b * x for b, x in zip(words[u].back, words[i].shared)])
+            s += np.log10(p if i else p * (count[w] + 0.5) / (rare_n + 0.5 * (rare_v + 1)))
+            u = i
+        want[r[0], len(words_of(r[1])), round(s, 1)] += 1
+    got = Counter((r.doc_id, r.n_tokens, round(r.score, 1)) for r in py.score(blocks, asks, voc, model, shards).collect())
     assert sum((want - got).values()) <= 1  # rounding
 
 
-def test_markers_are_counted_over_all_tasks(spark):
-    """A word that is rare in each task and frequent in all is found, however the rows are dealt."""
-    flat = [(" ".join(f"w{t}x{k}" for k in range(3000)) + " every",) for t in range(6)]
-    for n in (1, 6):
-        d = spark.createDataFrame(flat, "text string").repartition(n)
-        assert pitman_yor.frequent_words(d, 2) == [b"every", b"w0x0"]
+def slowly(customers, new, discount, r):
+    t = 1
+    for at in range(1, customers):
+        t += r.random() < new / (new + at - discount * t)
+    return t
+
+
+@pytest.mark.parametrize("customers", [3, 60, 300, 5000])
+def test_tables_follow_the_restaurant(customers):
+    """The mean number of tables is that of customers seated one after another, also where later ones come in groups."""
+    n = 4000
+    t = py.seated(np.full(n, customers), lambda k, t: np.full(len(k), 0.7), 0.5, np.arange(n), 0)
+    r = random.Random(2)
+    slow = [slowly(customers, 0.7, 0.5, r) for _ in range(400)]
+    assert t.mean() == pytest.approx(np.mean(slow), rel=0.06)
+    alone = py.seated(np.full(n, customers), lambda k, t: np.full(len(k), 0.7), 0.5, np.arange(n), 0, steps=10**9)
+    assert t.mean() == pytest.approx(alone.mean(), rel=0.03)
+    assert py.seated(np.array([0, 1]), lambda k, t: np.ones(len(k)), 0.5, np.arange(2), 0).tolist() == [0, 1]
+
+
+def test_nothing_to_learn_from(spark):
+    d = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
+    got = py.pitman_yor_scores(d, F.lit(True)).collect()
+    assert [(r.score, r.base_score, r.n_known, r.train_tokens) for r in got] == [(0, 0, 0, 0)] * 2

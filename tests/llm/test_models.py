@@ -163,34 +163,6 @@ def test_pitman_yor(spark, docs, rows, none, sf_dir):
     assert pitman_yor.pitman_yor_scores(none, F.lit(False)).collect() == []
 
 
-def test_pitman_yor_is_a_distribution(spark, docs):
-    """In each context the probabilities of all known words and of an unknown one sum to 1."""
-    d = pitman_yor.blocked(docs.select("doc_id", "text")).withColumn("train", F.lit(True))
-    markers = pitman_yor.frequent_words(d, 4)
-    model = pitman_yor.train(d, pitman_yor.cut_lineage(pitman_yor.block_words(d, markers)), markers)
-    rows = model.words.collect()
-    for x in range(len(markers) + 1):
-        total = model.back[x] * model.unknown
-        for r in rows:
-            own = np.frombuffer(r.own, pitman_yor.OWN)
-            total += model.back[x] * r.shared + own["own"][own["x"] == x].sum()
-        assert total == pytest.approx(1, abs=2e-3)
-
-
-def test_tables_follow_the_restaurant():
-    """The mean number of tables is that of customers seated one after another."""
-    rng = np.random.default_rng(1)
-    t = pitman_yor.tables(np.full(4000, 300), np.full(4000, 0.7), 0.5, rng)
-    r = random.Random(2)
-    slow = []
-    for _ in range(1500):
-        k = 1
-        for seated in range(1, 300):
-            k += r.random() < 0.7 / (0.7 + seated - 0.5 * k)
-        slow.append(k)
-    assert t.mean() == pytest.approx(np.mean(slow), rel=0.05) and pitman_yor.tables(np.array([0, 1]), np.ones(2), 0.5, rng).tolist() == [0, 1]
-
-
 def test_url_filter(spark, none):
     urls = ["https://a.example.org/es/1", "http://EXAMPLE.org/en/12?x=1", "http://x.org", "http://x.org/", "http://org/a#b", "ftp://notorg/", "a.com/fr/", "http://b.com/fr/x", "http://com/de/",
             "http://example.com/en", None, "", "://", "http://a.xorg/", "https://example.org/en/2", "http://u:p@Z.COM:80/de/", "http://c.com/DE/", "://b.com/fr/://com/de/"]
