@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill.functions.skew import top_k
+from litmill.operators.cells import VectorStore
 
 # Megabytes of float64 in a block of questions, and in a block of vectors or of their scores.
 QUESTION_MB = 2
@@ -95,7 +96,7 @@ def _block_top(q: pd.DataFrame, v: pd.DataFrame, k: int, cells: int) -> pd.DataF
 
 def knn(
     queries: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | VectorStore,
     k: int = 10,
     where: Column | None = None,
     question_mb: float = QUESTION_MB,
@@ -108,7 +109,10 @@ def knn(
     Both sides are cut into blocks by hashed id, as many as their rows times their width need, and every block of
     questions meets every block of vectors in one task, which returns k rows per question. Nothing passes
     through the driver but the four numbers that give the blocks. Scores are compared at nine digits, ties by chunk id.
+    Stored vectors (``cells``) are searched by their cells instead; ``where`` is for tables alone.
     """
+    if isinstance(vectors, VectorStore):
+        return vectors.search(queries, k).results
     if where is not None:
         vectors = vectors.where(where)
     text = "string"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from litmill.functions import fixed_values as fv
-from litmill.operators import fusion, lexical, queries, vectors
+from litmill.operators import cells, fusion, lexical, queries, vectors
 from litmill.plans import derived as dv
 from litmill.plans.tables import dealt, table
+from litmill.session import ensure_checkpoint_dir
 
 
 def _corpus(spark, d):
@@ -48,6 +51,22 @@ def knn_where(spark, d):
     return _out(vectors.knn(_vector_questions(spark, d), dv.vectors(spark, d), 5, where=F.col("label") == 3), "query_id", "chunk_id")
 
 
+def _vector_store(spark, d):
+    """The vectors in cells, stored in two appends; their type is the label."""
+    v = dv.vectors(spark, d).select("chunk_id", "embedding", F.col("label").cast("string").alias("chunk_type"))
+    store = cells.VectorStore(spark, f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    return store.append(v.where("chunk_type <> '1'")).append(v.where("chunk_type = '1'"))
+
+
+def knn_cells(spark, d):
+    return _out(vectors.knn(_vector_questions(spark, d), _vector_store(spark, d), 10), "query_id", "chunk_id")
+
+
+def knn_cells_typed(spark, d):
+    q = _vector_questions(spark, d).withColumn("want", F.lit("3"))
+    return _out(vectors.knn(q, _vector_store(spark, d), 5), "query_id", "chunk_id")
+
+
 def upsert_vectors(spark, d):
     v = dv.vectors(spark, d)
     new = vectors.upsert_vectors(v.where("label <> 1"), v.unionByName(v.where("label = 1")))
@@ -246,6 +265,8 @@ QUERIES = {
     "vec1_hash_embed": hash_embed,
     "vec2_knn": knn,
     "vec2_knn_blocks": knn_blocks,
+    "vec2_knn_cells": knn_cells,
+    "vec3_knn_cells_typed": knn_cells_typed,
     "vec3_knn_where": knn_where,
     "vec4_upsert_vectors": upsert_vectors,
     "lex1_tokens": tokens,
@@ -464,4 +485,5 @@ ORACLES = {
       r as (select *, row_number() over (partition by doc_id order by score desc, chunk_no)::int as rank from s) select * from r where rank <= 5""",
     "set1_all_contexts": f"with {_CONTEXTS} select query_id, id, source_type, length(text)::int as chars, round(score, 6) as score from contexts",
 }
+ORACLES |= {"vec2_knn_cells": ORACLES["vec2_knn"], "vec3_knn_cells_typed": ORACLES["vec3_knn_where"]}
 ORACLES |= {"lex2_appended_index": ORACLES["lex2_lexical_index"], "lex3_bm25_appended": ORACLES["lex3_bm25"]}
