@@ -370,6 +370,36 @@ def latency_quantiles(spark, d):
     return r.select("window_start", "event_type", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
+def _stream(spark, d):
+    return jobs.table_stream(spark, d, "events").select("ts", "event_type", "user_id", "value")
+
+
+def _plain_start(df):
+    return df.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def error_rates_stream(spark, d):
+    r = metrics.error_rates(_stream(spark, d), ["user_id"], _is_error())
+    r = r.select("window_start", "user_id", "increase", F.round("errors_per_s", 6).alias("errors_per_s"))
+    return _plain_start(jobs.run_available(r, "errors"))
+
+
+def latency_quantiles_stream(spark, d):
+    r = metrics.latency_quantiles(_stream(spark, d), ["event_type"])
+    r = r.select("window_start", "event_type", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+    return _plain_start(jobs.run_available(r, "latency"))
+
+
+def metric_totals_stream(spark, d):
+    """Totals since the beginning, as the stream's state stands at the end."""
+    return jobs.run_complete(metrics.metric_totals(_stream(spark, d), ["event_type"]), "totals")
+
+
+def silence_stream(spark, d):
+    r = jobs.run_available(jobs.silence_stream(_stream(spark, d), "event_type", 10), "silence")
+    return r.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("absent_from", "absent_to")})
+
+
 _RULES = [("HighErrorRate", "error_share", 0.1, 2), ("HighLatency", "p95", 20.0, 3), ("RateLimitHit", "limit_hits", 0.0, 0)]
 
 
@@ -432,6 +462,8 @@ QUERIES = {
     "win8_top_k": top_k_documents, "win9_session_titles": session_titles, "win10_transcript": transcript,
     "win11_number_elements": number_elements, "str1_request_rates": request_rates, "str1_request_rates_stream": request_rates_stream,
     "str2_error_rates": error_rates, "str3_latency_quantiles": latency_quantiles, "str4_alerts": alerts, "str4_alerts_stream": alerts_stream,
+    "str2_error_rates_stream": error_rates_stream, "str3_latency_quantiles_stream": latency_quantiles_stream,
+    "str9_metric_totals_stream": metric_totals_stream, "str5_silence_stream": silence_stream,
     "str5_absence_alerts": absence_alerts, "str6_active_requests": active_requests, "str7_quota_stream": quota_stream,
     "str8_dedup_stream": dedup_stream, "str9_metric_totals": metric_totals,
 }

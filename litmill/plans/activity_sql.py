@@ -170,6 +170,17 @@ ORACLES = {
       group by 1 having window_start + interval 1 minute <= (select max(ts) from events) - interval 10 minutes""",
     "str2_error_rates": f"with {_SLIDE} select window_start, user_id, count(*) as increase, round(count(*) / 300.0::double, 6) as errors_per_s from s where event_type = 'error' group by all",
     "str3_latency_quantiles": f"with {_SLIDE}, h as (select window_start, event_type, count(*) as n, {_COUNTS} as cnt from s group by all) select window_start, event_type, n, round({_bq('cnt', 0.5)}, 6) as p50, round({_bq('cnt', 0.95)}, 6) as p95 from h",
+    "str2_error_rates_stream": f"""with {_SLIDE} select window_start, user_id, count(*) as increase, round(count(*) / 300.0::double, 6) as errors_per_s from s where event_type = 'error'
+      and window_start + interval 5 minutes <= (select max(ts) from events where event_type = 'error') - interval 10 minutes group by all""",
+    "str3_latency_quantiles_stream": f"""with {_SLIDE}, h as (select window_start, event_type, count(*) as n, {_COUNTS} as cnt from s
+        where window_start + interval 5 minutes <= (select max(ts) from events) - interval 10 minutes group by all)
+      select window_start, event_type, n, round({_bq('cnt', 0.5)}, 6) as p50, round({_bq('cnt', 0.95)}, 6) as p95 from h""",
+    "str9_metric_totals_stream": "select event_type, count(*) as total, max(ts) as last_ts from events group by 1",
+    "str5_silence_stream": """with t as (select max(ts) - interval 10 minutes as mark from events),
+      m as (select distinct event_type as label, date_trunc('minute', ts) as m from events), d as (select m.* from m, t where m + interval 1 minute <= mark),
+      n as (select *, lead(m) over (partition by label order by m) as nx from d), g as (select *, (epoch(nx)::bigint - epoch(m)::bigint) // 60 - 1 as gap from n)
+      select label, 'back' as what, m + interval 1 minute as absent_from, nx as absent_to, gap as minutes from g where gap > 10
+      union all select label, 'silent', m + interval 1 minute, null, 11 from g, t where gap > 10 or nx is null and m + interval 12 minutes < mark""",
     "str4_alerts": f"with {_ALERT} select rule, label, minute, round(value, 6) as value, since from al where epoch(minute) - epoch(since) >= hold * 60",
     "str4_alerts_stream": f"""with {_ALERT} select rule, label, minute, round(value, 6) as value, since from al
       where epoch(minute) - epoch(since) >= hold * 60 and minute <= (select max(ts) from events) - interval 10 minutes""",

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from litmill.functions import fixed_values as fv
@@ -27,21 +29,50 @@ def folder_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
 
 
-def write_available(stream: DataFrame, name: str) -> str:
-    """Process everything that is there into a new parquet folder of the shared folder; returns its path."""
-    base = f"{ensure_checkpoint_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-        .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").start()
-    )
+@contextmanager
+def timer_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state where timers and state variables need it; the setting stays with the query."""
+    name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, kind)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def write_available(stream: DataFrame, name: str, base: str | None = None) -> str:
+    """Process everything that is there into a parquet folder of the shared folder; returns its path.
+
+    With ``base``, the folder of an earlier run, the query goes on from its state: only what is new is read.
+    """
+    spark = stream.sparkSession
+    base = base or f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with timer_state(spark):
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").start()
+        )
     query.awaitTermination()
     return f"{base}/out"
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
+def run_available(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
     """As ``write_available``, read back as a table."""
     schema = stream.schema
-    return stream.sparkSession.read.schema(schema).parquet(write_available(stream, name))
+    return stream.sparkSession.read.schema(schema).parquet(write_available(stream, name, base))
+
+
+def run_complete(stream: DataFrame, name: str) -> DataFrame:
+    """Process everything that is there in complete mode: the last state of an aggregate without windows, as a table."""
+    spark = stream.sparkSession
+    base = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    query = (
+        stream.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{base}/state")
+        .foreachBatch(lambda batch, no: batch.write.mode("overwrite").parquet(f"{base}/out")).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def dedup_stream(docs: DataFrame, text: str = "text", ts: str = "ts", late: str = WATERMARK) -> DataFrame:
@@ -78,6 +109,72 @@ def alerts_stream(measures: DataFrame, rules: list[tuple[str, str, float, int]]
     )
 
 
+class _Silence(StatefulProcessor):
+    """The last minute of a label, and whether its silence has been told."""
+
+    def __init__(self, minutes: int, forget: int):
+        self.minutes, self.forget = minutes, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("seen", "last long, told boolean")
+
+    def _row(self, label: str, what: str, last: int, now: int | None) -> tuple:
+        at = lambda m: None if m is None else pd.Timestamp(m * 60, unit="s")
+        return label, what, at(last + 1), at(now), self.minutes + 1 if now is None else now - last - 1
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=["label", "what", "absent_from", "absent_to", "minutes"])
+        return frame.astype({"absent_from": "datetime64[us]", "absent_to": "datetime64[us]"})
+
+    def _timer(self, minute: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(minute * 60_000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, told = self.state.get() if self.state.exists() else (None, False)
+        out = []
+        for now in sorted({m.value // 60_000_000_000 for frame in rows for m in frame["minute"]}):
+            if last is not None and now <= last:
+                continue
+            if last is not None and now - last - 1 > self.minutes:
+                out += [] if told else [self._row(key[0], "silent", last, None)]
+                out.append(self._row(key[0], "back", last, now))
+            last, told = now, False
+        self.state.update((last, told))
+        self._timer(last + self.minutes + 2)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, told = self.state.get()
+        if told:  # silent for so long that it is forgotten
+            self.state.clear()
+            yield self._frame([])
+            return
+        self.state.update((last, True))
+        self._timer(last + self.forget)
+        yield self._frame([self._row(key[0], "silent", last, None)])
+
+    def close(self) -> None:
+        pass
+
+
+def silence_stream(events: DataFrame, label: str, minutes: int = 1, late: str = WATERMARK, forget: int = 30 * 24 * 60) -> DataFrame:
+    """(label, what, absent_from, absent_to, minutes): silences of more than ``minutes`` whole minutes, told as they happen.
+
+    `silent` comes from an event-time timer as soon as the events of other labels have moved the watermark past the silence,
+    without any event of the label; `back` when it is seen again, with the end. Minutes with an event are counted by a
+    window first, so a label sends one row for each minute. Rows later than ``late`` are dropped by that window and counted in the
+    query's progress. The state of a label is its last minute; it goes after ``forget`` minutes of silence.
+    """
+    seen = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    seen = seen.groupBy(F.window("ts", "1 minute"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    seen = seen.select("label", F.window_time("window").alias("minute"))
+    schema = "label string, what string, absent_from timestamp, absent_to timestamp, minutes long"
+    return seen.groupBy("label").transformWithStateInPandas(_Silence(minutes, forget), schema, "Append", "EventTime")
+
+
 def quota_stream(requests: DataFrame, limits: dict[str, int] | None = None, margin: float = fv.QUOTA_MARGIN) -> DataFrame:
     """Usage and decision per request on a stream (request_id, key, ts, tokens).
 
