@@ -36,13 +36,12 @@ MIN_COUNT = 10
 BURN_IN, SWEEPS = 1, 4
 STRENGTH, STEPS = 1.0, 64
 BLOCK_TOKENS = 4_000_000
-SHARDS_A_BLOCK = 4
 RARE = 0
 
 SEQUENCE = 1 << 20  # blocks of a task
 PAIR = np.dtype([("u", "<i4"), ("w", "<i4"), ("n", "<i4")])
+LONE = np.dtype([("u", "<i4"), ("w", "<i4")])
 OWN = np.dtype([("u", "<i4"), ("w", "<i4"), ("own", "<f4")])
-ANSWERS = "block long, shard int, own binary, local int, c long, id int, back array<double>, shared array<double>"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -77,54 +76,82 @@ class Rewritten:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """First all lowest bytes, then all next ones: small numbers leave runs of zeros, which pack well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def numbers(raw: bytes | pa.Buffer, kind: str) -> np.ndarray:
+    """What ``planes`` made into bytes."""
+    size = np.dtype(kind).itemsize
+    rows = np.frombuffer(raw, np.uint8).reshape(size, len(memoryview(raw)) // size).T
+    return np.ascontiguousarray(rows).view(kind).ravel()
+
+
 def packed(rows: np.ndarray, size: np.ndarray) -> pa.Array:
-    """A binary value for each run of ``size`` records, field by field, so that it packs well."""
+    """A binary value for each run of ``size`` records, field by field; a run is sorted by its first field, of which the steps are kept."""
+    first, *others = rows.dtype.names
     ends = np.cumsum(size)
-    return pa.array([b"".join(rows[f][a:b].tobytes() for f in rows.dtype.names) for a, b in zip(ends - size, ends, strict=True)], pa.binary())
+    runs = [rows[a:b] for a, b in zip(ends - size, ends, strict=True)]
+    steps = lambda x: np.diff(x, prepend=x.dtype.type(0))
+    return pa.array([b"".join([planes(steps(r[first])), *(planes(r[f].copy()) for f in others)]) for r in runs], pa.binary())
 
 
-def unpacked(values: pa.ChunkedArray | pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """(all records, how many each value has) of what ``packed`` made."""
-    blobs = [v.as_buffer() for v in values]
-    size = np.array([b.size // kind.itemsize for b in blobs], np.int64)
-    out, at = np.zeros(int(size.sum()), kind), 0
-    for b, n in zip(blobs, size.tolist(), strict=True):
-        start = 0
+def unpacked(values: pa.ChunkedArray | pa.Array, kind: np.dtype) -> np.ndarray:
+    """All records of what ``packed`` made, one value after another."""
+    out = [np.zeros(0, kind)]
+    for v in values:
+        raw = memoryview(v.as_buffer())
+        rows, at = np.zeros(len(raw) // kind.itemsize, kind), 0
         for f in kind.names:
-            out[f][at : at + n] = np.frombuffer(b, kind[f], n, start)
-            start += n * kind[f].itemsize
-        at += n
-    return out, size
+            end = at + len(rows) * kind[f].itemsize
+            x = numbers(raw[at:end], kind[f].str)
+            rows[f] = np.cumsum(x, dtype=x.dtype) if f == kind.names[0] else x
+            at = end
+        out.append(rows)
+    return np.concatenate(out)
 
 
 # ---- texts to blocks --------------------------------------------------------------------------------------
 
 
+class Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """One row for each block of ``docs`` (doc_id, text, train): its texts as places in its sorted words, and the words' counts in training."""
+    """One row for each block of ``docs`` (doc_id, text, train): its texts as places in its words, and the words' counts in training.
+
+    A block's words stand by count, the most frequent first, then in byte order.
+    """
     kind = docs.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() * SEQUENCE
-        place: dict[bytes, int] = {}
-        ids, sizes, train, parts, held = [], [], [], [], 0
+        place, ids, sizes, train, parts, held = Numbers(), [], [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            words = sorted(place)
-            rank = np.empty(len(place), np.int32)
-            rank[np.fromiter(map(place.__getitem__, words), np.int64, len(words))] = np.arange(len(words), dtype=np.int32)
-            places = rank[np.concatenate(parts)]
+            words, flat = sorted(place), np.concatenate(parts)
+            n = np.bincount(flat, minlength=len(words))
+            came = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            order = np.argsort(-n[came], kind="stable")
+            rank = np.empty(len(words), np.int32)
+            rank[came[order]] = np.arange(len(words), dtype=np.int32)
+            places = rank[flat]
             n = np.bincount(places[np.repeat(np.array(train, bool), sizes)], minlength=len(words)).astype(np.int64)
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            columns = [pa.array([block], pa.int64()), *map(one, (pa.array(ids, arrow), pa.array(sizes, pa.int32()), pa.array(train, pa.bool_()), pa.array(places), pa.array(words, pa.binary()), pa.array(n)))]
+            columns = [pa.array([block], pa.int64()), *map(one, (pa.array(ids, arrow), pa.array(sizes, pa.int32()), pa.array(train, pa.bool_())))]
+            columns += [pa.array([planes(places)], pa.binary()), one(pa.array([words[k] for k in order], pa.binary())), one(pa.array(n))]
             return pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "train", "places", "words", "counts"])
 
         for b in batches:
             for doc, text, use in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 own = tokens(text.as_py())
-                for w in set(own).difference(place):
-                    place[w] = len(place)
                 parts.append(np.fromiter(map(place.__getitem__, own), np.int32, len(own)))
                 ids.append(doc)
                 sizes.append(len(own))
@@ -132,22 +159,21 @@ def blocks_of(docs: DataFrame) -> DataFrame:
                 held += len(own)
                 if held >= BLOCK_TOKENS:
                     yield row()
-                    block, held = block + 1, 0
-                    place.clear()
-                    ids, sizes, train, parts = [], [], [], []
+                    block, place, ids, sizes, train, parts, held = block + 1, Numbers(), [], [], [], [], 0
         if ids:
             yield row()
         release()
 
-    schema = f"block long, ids array<{kind.simpleString()}>, sizes array<int>, train array<boolean>, places array<int>, words array<binary>, counts array<long>"
+    schema = f"block long, ids array<{kind.simpleString()}>, sizes array<int>, train array<boolean>, places binary, words array<binary>, counts array<long>"
     return docs.select("doc_id", "text", "train").mapInArrow(read, schema)
 
 
 @dataclass
 class Vocabulary:
-    """places: (block, local, c, id) of the blocks' words, RARE below ``min_count``; counts of training tokens and words."""
+    """known: (block, word_ids, word_counts), the number, RARE below ``min_count``, and count of each block's words in their order;
+    counts of training tokens and words."""
 
-    places: DataFrame
+    known: DataFrame
     n_tokens: int
     n_words: int
     rare_tokens: int
@@ -169,8 +195,16 @@ def vocabulary(blocks: DataFrame, min_count: int) -> Vocabulary:
     named = rows.where("_one and word is not null").select("word", (-F.col("c")).alias("_c"), F.lit(1).alias("_n"))
     ids = prefix_sums(named, [], ["_c", "word"], {"_before": "_n"}).select("word", (F.col("_before") + 1).cast("int").alias("id"))
     common = rows.where("word is not null").join(ids, "word").select("block", "local", "c", "id")
-    places = rows.where("word is null").select("block", "local", "c", F.lit(RARE).alias("id")).unionByName(common)
-    return Vocabulary(cut_lineage(places), n, v, rare_n, rare_v, v - rare_v + 1)
+    every = rows.where("word is null").select("block", "local", "c", F.lit(RARE).alias("id")).unionByName(common)
+
+    def known(t: pa.Table) -> pa.Table:
+        local = t.column("local").to_numpy()
+        ids, counts = np.zeros(len(local), np.int32), np.zeros(len(local), np.int64)
+        ids[local], counts[local] = t.column("id").to_numpy(), t.column("c").to_numpy()
+        return pa.table([t.column("block").slice(0, 1), pa.array([planes(ids)], pa.binary()), pa.array([planes(counts)], pa.binary())], ["block", "word_ids", "word_counts"])
+
+    known = every.groupBy("block").applyInArrow(known, "block long, word_ids binary, word_counts binary")
+    return Vocabulary(cut_lineage(known), n, v, rare_n, rare_v, v - rare_v + 1)
 
 
 # ---- pairs ------------------------------------------------------------------------------------------------
@@ -180,11 +214,10 @@ def _shard(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
     return (mixed(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
-def _block_pairs(blocks: pa.Table, id_of: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block_pairs(places: np.ndarray, size: np.ndarray, train: np.ndarray, ids: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct pairs by shard, u and w; shard of each; each token's pair). A text's first word has the end before it."""
-    word = id_of[blocks.column("places").combine_chunks().flatten().to_numpy()].astype(np.int64)
-    size = blocks.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64)
-    use = np.repeat(blocks.column("train").combine_chunks().flatten().to_numpy(zero_copy_only=False), size)
+    word = ids[places].astype(np.int64)
+    use = np.repeat(train, size)
     before = np.concatenate([word[-1:], word[:-1]])  # every text ends with the end
     key, at = np.unique(before << 32 | word, return_inverse=True)
     pair = np.zeros(len(key), PAIR)
@@ -197,39 +230,65 @@ def _block_pairs(blocks: pa.Table, id_of: np.ndarray, shards: int) -> tuple[np.n
     return pair[order], shard[order], place[at]
 
 
-def _ids(local: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(int(local.max()) + 1 if len(local) else 1, np.int64)
-    out[local] = ids
-    return out
+def _texts(b: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, sizes, train, word ids) of a row of blocks."""
+    of = lambda c: b.column(c)[k]
+    size = of("sizes").values.to_numpy().astype(np.int64)
+    return numbers(of("places").as_buffer(), "<i4"), size, of("train").values.to_numpy(zero_copy_only=False), numbers(of("word_ids").as_buffer(), "<i4")
 
 
-def block_pairs(blocks: DataFrame, places: DataFrame, shards: int) -> DataFrame:
+def block_pairs(blocks: DataFrame, known: DataFrame, shards: int) -> DataFrame:
     """(block, shard, pairs): the distinct pairs of each block; n: how often in rows that ``train``."""
 
-    def count(blocks: pa.Table, places: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if blocks.num_rows:
-            pair, shard, _ = _block_pairs(blocks, _ids(places.column("local").to_numpy(), places.column("id").to_numpy()), shards)
-            size = np.bincount(shard, minlength=shards)
-            some = np.flatnonzero(size)
-            out = [blocks.column("block").to_pylist() * len(some), some.tolist(), packed(pair, size[some])]
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), out[2] if len(out[0]) else pa.array([], pa.binary())], ["block", "shard", "pairs"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                pair, shard, _ = _block_pairs(*_texts(b, k), shards)
+                size = np.bincount(shard, minlength=shards)
+                some = np.flatnonzero(size)
+                block = pa.array([b.column("block")[k].as_py()] * len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([block, pa.array(some.astype(np.int32)), packed(pair, size[some])], ["block", "shard", "pairs"])
+        release()
 
-    left = blocks.select("block", "sizes", "train", "places").groupBy("block")
-    return left.cogroup(places.select("block", "local", "id").groupBy("block")).applyInArrow(count, "block long, shard int, pairs binary")
+    rows = blocks.select("block", "sizes", "train", "places").join(known, "block")
+    return rows.mapInArrow(count, "block long, shard int, pairs binary")
 
 
 def counted(asks: DataFrame) -> DataFrame:
-    """(u, w, n) of the pairs seen in training."""
+    """(shard, lone, busy): the pairs seen once in training, and those seen more often, one row for each shard."""
 
     def merge(t: pa.Table) -> pa.Table:
-        rows, _ = unpacked(t.column("pairs"), PAIR)
+        rows = unpacked(t.column("pairs"), PAIR)
         rows = rows[rows["n"] > 0]
         key, at = np.unique(rows["u"].astype(np.int64) << 32 | rows["w"], return_inverse=True)
-        n = np.bincount(at, weights=rows["n"], minlength=len(key)).astype(np.int64)
-        return pa.table({"u": (key >> 32).astype(np.int32), "w": (key & 0xFFFFFFFF).astype(np.int32), "n": n})
+        pair = np.zeros(len(key), PAIR)
+        pair["u"], pair["w"] = key >> 32, key & 0xFFFFFFFF
+        pair["n"] = np.minimum(np.bincount(at, weights=rows["n"], minlength=len(key)), 2**31 - 1)
+        once = pair["n"] == 1
+        lone = np.zeros(int(once.sum()), LONE)
+        lone["u"], lone["w"] = pair["u"][once], pair["w"][once]
+        values = [packed(x, np.array([len(x)])) for x in (lone, pair[~once])]
+        return pa.table([t.column("shard").slice(0, 1), *values], ["shard", "lone", "busy"])
+
+    return asks.groupBy("shard").applyInArrow(merge, "shard int, lone binary, busy binary")
 
-    return asks.groupBy("shard").applyInArrow(merge, "u int, w int, n long")
+
+def _busy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = unpacked(b.column(0), PAIR)
+        one = np.ones(len(rows), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows["u"].copy(), rows["w"].copy(), rows["n"].astype(np.int64), one, one * 0)], ["u", "w", "n", "t", "sum"])
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, c, t_u, one_u, t_w, one_w): of each word in a shard, its customers and dishes as a context, its contexts as a dish."""
+    for b in batches:
+        lone, busy = unpacked(b.column(0), LONE), unpacked(b.column(1), PAIR)
+        ids = np.unique(np.concatenate([lone["u"], lone["w"], busy["u"], busy["w"]]))
+        sums = lambda rows, f, weights=None: np.bincount(np.searchsorted(ids, rows[f]), weights, len(ids)).astype(np.int64)
+        once, many = [sums(lone, f) for f in "uw"], [sums(busy, f) for f in "uw"]
+        columns = [once[0] + sums(busy, "u", busy["n"]), once[0] + many[0], once[0], once[1] + many[1], once[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, columns)], ["id", "c", "t_u", "one_u", "t_w", "one_w"])
 
 
 # ---- sweeps -----------------------------------------------------------------------------------------------
@@ -266,8 +325,8 @@ def seated(customers: np.ndarray, fresh: Callable[[np.ndarray, np.ndarray], np.n
 
 @dataclass
 class Model:
-    """words: (id, back, shared), arrays over the kept sweeps: what a context passes on, and the parent's probability of the dish;
-    busy: (u, w, n, t, sum) of the pairs seen more than once, sum: tables over the kept sweeps; lone: (u, w) of those seen once."""
+    """words: (id, c, back, shared), arrays over the kept sweeps: what a context passes on, and the parent's probability of the dish;
+    busy: (u, w, n, t, sum) of the pairs seen more than once, sum: tables over the kept sweeps; pairs: as ``counted``."""
 
     words: DataFrame
     busy: DataFrame
@@ -277,16 +336,15 @@ class Model:
 
 
 def train(pairs: DataFrame, dishes: int, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> Model:
-    """The model from ``pairs`` (u, w, n). The discounts are n1 / (n1 + 2 n2) of the dishes served once and twice."""
+    """The model from ``pairs`` (``counted``). The discounts are n1 / (n1 + 2 n2) of the dishes served once and twice."""
     spark = pairs.sparkSession
-    one, zero, none = (F.col("n") == 1).cast("long"), F.lit(0).cast("long"), F.array().cast("array<double>")
-    sides = pairs.groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("c"), F.count("*").alias("t_u"), F.sum(one).alias("one_u")).withColumns({"t_w": zero, "one_w": zero})
-    sides = sides.unionByName(pairs.groupBy(F.col("w").alias("id")).agg(F.count("*").alias("t_w"), F.sum(one).alias("one_w")).withColumns({"c": zero, "t_u": zero, "one_u": zero}))
-    sides = sides.unionByName(spark.range(1).select(F.lit(RARE).alias("id"), *[zero.alias(c) for c in ("c", "t_u", "one_u", "t_w", "one_w")]))
-    words = sides.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("c", "t_u", "one_u", "t_w", "one_w")])
+    zero, none, names = F.lit(0).cast("long"), F.array().cast("array<double>"), ("c", "t_u", "one_u", "t_w", "one_w")
+    sides = pairs.select("lone", "busy").mapInArrow(_sides, "id int, c long, t_u long, one_u long, t_w long, one_w long")
+    sides = sides.unionByName(spark.range(1).select(F.lit(RARE).alias("id"), *[zero.alias(c) for c in names]))
+    words = sides.groupBy("id").agg(*[F.sum(c).alias(c) for c in names])
     kept_words, kept_busy = Rewritten(spark), Rewritten(spark)
     words = kept_words.put(words.withColumns({"up": F.least("t_w", F.lit(1)), "back": none, "shared": none}))
-    busy = kept_busy.put(pairs.where("n > 1").select("u", "w", "n", F.lit(1).cast("long").alias("t"), zero.alias("sum")))
+    busy = kept_busy.put(pairs.select("busy").mapInArrow(_busy, "u int, w int, n long, t long, sum long"))
     sums = [F.sum("t_w"), F.sum("up"), F.sum("one_w"), F.count_if(F.col("t_w") == 1), F.count_if(F.col("t_w") == 2)]
     total, parents, n1, p1, p2 = (int(x or 0) for x in words.agg(*sums).first())
     n2 = busy.where("n = 2").count()
@@ -349,64 +407,71 @@ def answered(asks: DataFrame, model: Model, shards: int) -> DataFrame:
             if b.num_rows:
                 rows = np.zeros(b.num_rows, OWN)
                 rows["u"], rows["w"], rows["own"] = (x.to_numpy() for x in b.columns)
+                rows = rows[np.argsort(rows["u"], kind="stable")]
                 shard = _shard(rows["u"], rows["w"], shards)
                 size = np.bincount(shard, minlength=shards)
                 some = np.flatnonzero(size)
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), packed(rows[np.argsort(shard, kind="stable")], size[some])], ["shard", "known"])
+                values = packed(rows[np.argsort(shard, kind="stable")], size[some])
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), values, pa.nulls(len(some), pa.binary())], ["shard", "busy", "lone"])
 
     def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
-        rows, _ = unpacked(known.column("known"), OWN)
-        key = rows["u"].astype(np.int64) << 32 | rows["w"]
+        once, more = unpacked(known.column("lone").drop_null(), LONE), unpacked(known.column("busy").drop_null(), OWN)
+        key = np.concatenate([x["u"].astype(np.int64) << 32 | x["w"] for x in (once, more)])
         order = np.argsort(key)
-        key, value = np.append(key[order], -1), np.append(rows["own"][order], np.float32(0))
+        key, value = np.append(key[order], -1), np.append(np.concatenate([np.full(len(once), 1 - own, "<f4"), more["own"]])[order], np.float32(0))
         out = []
         for blob in asks.column("pairs"):
-            mine, _ = unpacked(pa.array([blob.as_py()], pa.binary()), PAIR)
+            mine = unpacked([blob], PAIR)
             asked = mine["u"].astype(np.int64) << 32 | mine["w"]
             at = np.searchsorted(key[:-1], asked)
-            out.append(np.where(key[at] == asked, value[at], np.float32(0)).astype("<f4").tobytes())
+            out.append(planes(np.where(key[at] == asked, value[at], np.float32(0)).astype("<f4")))
         return pa.table([asks.column("block"), asks.column("shard"), pa.array(out, pa.binary())], ["block", "shard", "own"])
 
-    lone = model.pairs.where("n = 1").select("u", "w", F.lit(1 - own).cast("double").alias("own"))
-    seats = model.busy.select("u", "w", (F.col("n") - own * F.col("sum") / kept).alias("own"))
-    known = lone.unionAll(seats).mapInArrow(deal, "shard int, known binary")
+    seats = model.busy.select("u", "w", (F.col("n") - own * F.col("sum") / kept).alias("own")).mapInArrow(deal, "shard int, busy binary, lone binary")
+    known = seats.unionByName(model.pairs.select("shard", F.lit(None).cast("binary").alias("busy"), "lone"))
     return asks.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "block long, shard int, own binary")
 
 
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, id) of the numbered words of each block."""
+    for b in batches:
+        for block, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            ids = numbers(ids.as_buffer(), "<i4")
+            ids = ids[ids != RARE]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block, np.int64)), pa.array(ids)], ["block", "id"])
+
+
 def score(blocks: DataFrame, asks: DataFrame, words: Vocabulary, model: Model, shards: int) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of each text of ``blocks``."""
     n, v, rare_n, rare_v, dishes, kept = words.n_tokens, words.n_words, words.rare_tokens, words.rare_words, words.size, max(1, model.kept)
-    empty = F.lit(None)
-    own = answered(asks, model, shards).select("block", "shard", "own", *[empty.cast(t).alias(c) for c, t in (("local", "int"), ("c", "long"), ("id", "int"), ("back", "array<double>"), ("shared", "array<double>"))])
-    at = words.places.join(model.words.select("id", "back", "shared"), "id", "left")
-    at = at.where(F.col("id") != RARE).unionByName(words.places.where(F.col("id") == RARE).withColumns({"back": empty.cast("array<double>"), "shared": empty.cast("array<double>")}))
-    at = at.select("block", empty.cast("int").alias("shard"), empty.cast("binary").alias("own"), "local", "c", "id", "back", "shared")
+    none = {c: F.lit(None).cast(t) for c, t in (("shard", "int"), ("own", "binary"), ("id", "int"), ("back", "array<double>"), ("shared", "array<double>"))}
+    at = words.known.select("block", "word_ids").mapInArrow(_common, "block long, id int").join(model.words.select("id", "back", "shared"), "id")
+    at = at.withColumns({c: none[c] for c in ("shard", "own")})
+    own = answered(asks, model, shards).withColumns({c: none[c] for c in ("id", "back", "shared")})
     # the one class of all rare words is a few numbers
     rare = model.words.where(F.col("id") == RARE).first()
-    rare_back, rare_shared, rare_c = (rare["back"], rare["shared"], rare["c"]) if rare else ([1.0], [1 / dishes], 0)
+    rare_back, rare_shared, rare_c = rare["back"], rare["shared"], rare["c"]
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
 
     def judge(blocks: pa.Table, known: pa.Table) -> pa.Table:
         own = known.filter(known.column("own").is_valid()).sort_by("shard")
-        rows = known.filter(known.column("local").is_valid())
-        local = rows.column("local").to_numpy().astype(np.int64)
-        c, id_of = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
-        c[local], id_of[local] = rows.column("c").to_numpy(), rows.column("id").to_numpy()
-        common = rows.filter(pa.array(rows.column("id").to_numpy() != RARE))
-        where = common.column("local").to_numpy()
+        rows = known.filter(known.column("id").is_valid()).sort_by("id")
+        word, size, train, id_of = _texts(blocks, 0)
+        c = numbers(blocks.column("word_counts")[0].as_buffer(), "<i8")
+        common = np.flatnonzero(id_of != RARE)
         back, shared = np.empty((len(c), kept)), np.empty((len(c), kept))
         back[:], shared[:] = rare_back, rare_shared
-        if common.num_rows:
-            back[where] = common.column("back").combine_chunks().flatten().to_numpy().reshape(-1, kept)
-            shared[where] = common.column("shared").combine_chunks().flatten().to_numpy().reshape(-1, kept)
+        if len(common):
+            spot = np.searchsorted(rows.column("id").to_numpy(), id_of[common])
+            for out, name in ((back, "back"), (shared, "shared")):
+                out[common] = rows.column(name).combine_chunks().flatten().to_numpy().reshape(-1, kept)[spot]
         customers = np.where(id_of == RARE, rare_c, c)
         # a rare word's share of its class, in which all unknown words are one
         share = np.where(id_of == RARE, (c + 0.5) / (rare_n + 0.5 * (rare_v + 1)), 1.0)
-        word = blocks.column("places").combine_chunks().flatten().to_numpy()
-        size = blocks.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64)
         before = np.concatenate([word[-1:], word[:-1]])
-        _, _, pair = _block_pairs(blocks, id_of, shards)
-        seats = np.frombuffer(b"".join(own.column("own").to_pylist()), "<f4").astype(float)[pair] / (STRENGTH + customers[before])
+        _, _, pair = _block_pairs(word, size, train, id_of, shards)
+        kept_of = np.concatenate([numbers(x.as_buffer(), "<f4") for x in own.column("own")]).astype(float)
+        seats = kept_of[pair] / (STRENGTH + customers[before])
         p = np.zeros(len(word))
         for k in range(kept):
             p += seats + back[before, k] * shared[word, k]
@@ -414,10 +479,11 @@ def score(blocks: DataFrame, asks: DataFrame, words: Vocabulary, model: Model, s
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))[word]
         first = np.cumsum(size) - size
         sums = [np.add.reduceat(x, first) for x in (np.ones(len(word), np.int64), (c > 0)[word].astype(np.int64), base, logs)]
-        return pa.table([blocks.column("ids").combine_chunks().flatten(), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([blocks.column("ids")[0].values, *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    left = blocks.select("block", "ids", "sizes", "train", "places").groupBy("block")
-    return left.cogroup(own.unionByName(at).groupBy("block")).applyInArrow(judge, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    left = blocks.select("block", "ids", "sizes", "train", "places").join(words.known, "block")
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    return left.groupBy("block").cogroup(own.unionByName(at).groupBy("block")).applyInArrow(judge, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def learnt(docs: DataFrame, min_count: int = MIN_COUNT, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple[DataFrame, DataFrame, Vocabulary, Model, int]:
@@ -426,8 +492,8 @@ def learnt(docs: DataFrame, min_count: int = MIN_COUNT, sweeps: int = SWEEPS, bu
     with shuffles_end(spark):
         blocks = cut_lineage(blocks_of(docs))
         words = vocabulary(blocks, min_count)
-        shards = max(tasks(spark), SHARDS_A_BLOCK * blocks.count())
-        asks = cut_lineage(block_pairs(blocks, words.places, shards))
+        shards = max(tasks(spark), blocks.count())
+        asks = cut_lineage(block_pairs(blocks, words.known, shards))
         model = train(cut_lineage(counted(asks)), words.size, sweeps, burn_in)
     return blocks, asks, words, model, shards
 

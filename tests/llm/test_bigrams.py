@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,7 +61,10 @@ def test_pairs_distribution_and_scores(spark, docs, rows, monkeypatch):
     blocks, asks, voc, model, shards = py.learnt(docs.select("doc_id", "text", F.coalesce(F.col("doc_id") < 250, F.lit(False)).alias("train")), 2)
     assert blocks.count() > 2
     number, count, pairs = plain(trained, 2)
-    assert {(r.u, r.w): r.n for r in model.pairs.collect()} == pairs
+    shard = model.pairs.collect()
+    lone = np.concatenate([py.unpacked(pa.array([r.lone]), py.LONE) for r in shard])
+    more = np.concatenate([py.unpacked(pa.array([r.busy]), py.PAIR) for r in shard])
+    assert {(u, w): 1 for u, w in lone.tolist()} | {(u, w): n for u, w, n in more.tolist()} == pairs and len(lone) + len(more) == len(pairs)
     assert (voc.n_tokens, voc.n_words, voc.size) == (sum(count.values()), len(count), len(number) + 1)
     busy = {(r.u, r.w): r for r in model.busy.collect()}
     assert set(busy) == {p for p, n in pairs.items() if n > 1}
