@@ -21,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many "_" in front as it takes for ``df`` to lack them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def release() -> None:
     """Gives Arrow's unused memory back: a Python worker stays alive for later tasks of other kinds."""
     pa.default_memory_pool().release_unused()

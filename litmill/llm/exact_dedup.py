@@ -50,15 +50,16 @@ class DigestIndex:
         known = self.rows().select("digest").hint("merge")
         return groups.join(known, "digest", "left_anti").select("digest", "keep_id", "group_size")
 
-    def add(self, groups: DataFrame) -> None:
-        """Appends the digests that the index lacks; ``groups`` has one row per digest."""
-        new = self.unseen(groups)
+    def add(self, groups: DataFrame) -> DataFrame:
+        """Appends the digests that the index lacks, and returns them; ``groups`` has one row per digest."""
         # the scan of the index ends before the append begins, so that no task reads files of the same batch
-        self._append(cut_lineage(new).repartition(self.buckets, "digest"))
+        new = cut_lineage(self.unseen(groups))
+        self._append(new.repartition(self.buckets, "digest"))
+        return new
 
-    def files(self) -> DataFrame:
-        """The rows as plain files: a join shuffles both sides, so that Spark can split a hot digest."""
-        return self.spark.read.schema(SCHEMA).parquet(self.folder)
+    def known(self, groups: DataFrame) -> DataFrame:
+        """The index's rows of the digests of ``groups``; the index is read by bucket, without a shuffle."""
+        return self.rows().join(groups.select("digest").hint("merge"), "digest", "left_semi")
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -78,10 +79,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
         )
     )
     first = F.struct(-F.col("_points"), F.col("doc_id").isNull(), F.col("doc_id"))
-    groups = rows.groupBy("digest").agg(F.min_by("doc_id", first).alias("keep_id"), F.count("*").alias("group_size"))
-    index.add(groups)
-    known = index.files()
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    groups = cut_lineage(rows.groupBy("digest").agg(F.min_by("doc_id", first).alias("keep_id"), F.count("*").alias("group_size")))
+    new = index.add(groups).select("digest", F.lit(True).alias("_new"))
+    # the batch's digests alone, as plain files: a join with the rows shuffles both sides, so that Spark can split a hot digest
+    known = cut_lineage(index.known(groups).join(new, "digest", "left"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.coalesce("_new", F.lit(False))
     out = rows.join(known, "digest")
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm.common import BLANKS, release, table
+from litmill.llm.common import BLANKS, free_names, release, table
 from litmill.session import cut_lineage
 
 MIN_POINTS = 10
@@ -179,23 +179,27 @@ def dropped_lines(rows: DataFrame, points: int = MIN_POINTS) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, points: int = MIN_POINTS) -> DataFrame:
-    """``docs`` (doc_id, text and any others but id, mark, lines) with ``text`` cut, n_lines (before) and n_dropped added.
+    """``docs`` (doc_id, text and any others) with ``text`` cut, n_lines (before) and n_dropped added.
 
     A line's key is the line without ASCII blanks at its ends, A-Z lower-cased. Keys of at least ``points`` code points that
     at least two doc_ids hold lose all their lines but those in the smallest doc_id that holds them. Null and empty texts are
     one empty line, and come back empty. Rows that repeat a doc_id are one document to this rule. A null doc_id comes after
-    all others. An empty table gives an empty table.
+    all others; ids are numbers. An empty table gives an empty table. Other columns stay as they are, whatever their names;
+    those named n_lines and n_dropped are replaced.
     """
+    own, mark, gone = free_names(docs, "_id", "_mark", "_lines")
     # a row is known by its id and the hash of its text: rows that repeat both lose the same lines
-    rows = docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))), "mark": F.xxhash64("text")})
-    lost = dropped_lines(rows.select("id", "mark", "text"), points)
+    rows = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))), mark: F.xxhash64("text")})
+    lost = dropped_lines(rows.select(F.col(own).alias("id"), F.col(mark).alias("mark"), "text"), points)
+    lost = lost.select(F.col("id").alias(own), F.col("mark").alias(mark), F.col("lines").alias(gone))
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lines"))
-    kept = F.when(F.col("lines").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(at, lambda i: lines[i]), "\n"))
+    at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(at, lambda i: lines[i]), "\n"))
     n = F.size(lines).cast("long")
-    dropped = F.coalesce(F.size(F.array_distinct("lines")), F.lit(0)).cast("long")
-    return rows.join(lost, ["id", "mark"], "left").select(
-        *[(kept.alias(c) if c == "text" else F.col(c)) for c in docs.columns], n.alias("n_lines"), dropped.alias("n_dropped")
+    dropped = F.coalesce(F.size(F.array_distinct(F.col(gone))), F.lit(0)).cast("long")
+    others = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return rows.join(lost, [own, mark], "left").select(
+        *[(kept.alias(c) if c == "text" else F.col(c)) for c in others], n.alias("n_lines"), dropped.alias("n_dropped")
     )
 
 

@@ -37,6 +37,11 @@ def test_exact_dedup(spark, docs, rows, none, tmp_path):
     later = spark.createDataFrame([(900, rows[0][1] + " "), (901, "a text that was never seen")], "doc_id long, text string")
     got = {r.doc_id: r for r in exact_dedup.exact_dedup(later, ix).collect()}
     assert (got[900].keep_id, got[900].kept, got[901].kept) == (0, False, True) and ix.rows().count() == n + 1
+    # rows that came before, null ids among them, keep their earlier document: none of the batch
+    assert not any(r.kept for r in exact_dedup.exact_dedup(docs, ix).collect()) and ix.rows().count() == n + 1
+    known = ix.known(spark.createDataFrame([(bytes(32), 1, 1)], exact_dedup.SCHEMA))
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan and plan.count("Exchange") == 1
     assert exact_dedup.exact_dedup(none, ix).collect() == []
     batch = spark.createDataFrame([(bytes(32), 1, 1)], exact_dedup.SCHEMA)
     plan = ix.unseen(batch)._jdf.queryExecution().executedPlan().toString()
@@ -64,6 +69,13 @@ def test_line_dedup(spark, docs, rows, none):
     got = Counter(map(tuple, out.select("doc_id", "n_lines", "n_dropped", "text").collect()))
     assert got == brute_lines(rows) and any(k[2] for k in got)
     assert line_dedup.line_dedup(none).collect() == []
+    # columns with the names that the operator works with come through as they are
+    from pyspark.sql import functions as F
+
+    mine = {"id": F.lit(77), "mark": F.lit("m"), "lines": F.lit(5), "_id": F.lit("x"), "_MARK": F.lit("y"), "n_lines": F.lit("gone")}
+    clash = line_dedup.line_dedup(docs.withColumns(mine))
+    assert Counter(map(tuple, clash.select("doc_id", "n_lines", "n_dropped", "text").collect())) == brute_lines(rows)
+    assert {(r.id, r.mark, r.lines, r["_id"], r["_MARK"]) for r in clash.collect()} == {(77, "m", 5, "x", "y")}
 
 
 def test_perfect_hash_is_minimal():
