@@ -85,9 +85,14 @@ def dedup_stream(docs: DataFrame, text: str = "text", ts: str = "ts", late: str
 
 def alerts_stream(measures: DataFrame, rules: list[tuple[str, str, float, int]] | None = None) -> DataFrame:
     """Alerts on a stream of five-minute measures: the state of a rule and label is the start and the last minute
-    of the running breach."""
+    of the running breach. It goes when the watermark has passed the minute after, which then can't come any more."""
+    columns = ["rule", "label", "minute", "value", "since"]
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
         since, last = state.get if state.exists else (None, None)
         rows = pd.concat(list(frames)).sort_values("minute")
         out = []
@@ -98,14 +103,16 @@ def alerts_stream(measures: DataFrame, rules: list[tuple[str, str, float, int]]
             if now - since >= r.hold * 60:
                 out.append((key[0], key[1], r.minute, r.value, pd.Timestamp(since, unit="s")))
         state.update((since, last))
-        yield pd.DataFrame(out, columns=["rule", "label", "minute", "value", "since"])
+        state.setTimeoutTimestamp(max((last + 60) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=columns)
 
-    return breaches(measures, rules).groupBy("rule", "label").applyInPandasWithState(
+    timed = breaches(measures, rules).withColumn("minute", F.col("minute").cast("timestamp")).withWatermark("minute", WATERMARK)
+    return timed.groupBy("rule", "label").applyInPandasWithState(
         follow,
         "rule string, label string, minute timestamp, value double, since timestamp",
         "since long, last long",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
