@@ -35,7 +35,7 @@ from litmill.session import cut_lineage, ensure_checkpoint_dir
 MIN_COUNT = 10
 BURN_IN, SWEEPS = 1, 4
 STRENGTH, STEPS = 1.0, 64
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 RARE = 0
 
 SEQUENCE = 1 << 20  # blocks of a task
@@ -75,6 +75,11 @@ class Rewritten:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def end(self) -> None:
+        """What was written goes; nothing reads it any more."""
+        for turn in (0, 1):
+            self.spark.range(0).write.mode("overwrite").parquet(f"{self.folder}/{turn}")
+
 
 def planes(values: np.ndarray) -> bytes:
     """First all lowest bytes, then all next ones: small numbers leave runs of zeros, which pack well."""
@@ -188,7 +193,8 @@ def vocabulary(blocks: DataFrame, min_count: int) -> Vocabulary:
     # a block has one row for each of its words, so a word has as many rows as blocks at most
     w = Window.partitionBy("word")
     rows = each.withColumns({"c": F.sum("n").over(w), "_one": F.row_number().over(w.orderBy("block")) == 1})
-    rows = cut_lineage(rows.select("block", "local", "c", "_one", F.when(F.col("c") >= min_count, F.col("word")).alias("word")))
+    kept = Rewritten(blocks.sparkSession)
+    rows = kept.put(rows.select("block", "local", "c", "_one", F.when(F.col("c") >= min_count, F.col("word")).alias("word")))
     rare = (F.col("c") < min_count) & (F.col("c") > 0)
     sums = [F.sum("c"), F.count_if(F.col("c") > 0), F.sum(F.when(rare, F.col("c"))), F.count_if(rare)]
     n, v, rare_n, rare_v = (int(x or 0) for x in rows.where("_one").agg(*sums).first())
@@ -203,8 +209,9 @@ def vocabulary(blocks: DataFrame, min_count: int) -> Vocabulary:
         ids[local], counts[local] = t.column("id").to_numpy(), t.column("c").to_numpy()
         return pa.table([t.column("block").slice(0, 1), pa.array([planes(ids)], pa.binary()), pa.array([planes(counts)], pa.binary())], ["block", "word_ids", "word_counts"])
 
-    known = every.groupBy("block").applyInArrow(known, "block long, word_ids binary, word_counts binary")
-    return Vocabulary(cut_lineage(known), n, v, rare_n, rare_v, v - rare_v + 1)
+    known = cut_lineage(every.groupBy("block").applyInArrow(known, "block long, word_ids binary, word_counts binary"))
+    kept.end()
+    return Vocabulary(known, n, v, rare_n, rare_v, v - rare_v + 1)
 
 
 # ---- pairs ------------------------------------------------------------------------------------------------
@@ -441,13 +448,25 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block, np.int64)), pa.array(ids)], ["block", "id"])
 
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, word_ids, chances): the rows of each block in a batch together; chances: 32-bit, those passed on, then those of the parent."""
+    for b in batches:
+        if b.num_rows:
+            of, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            both = np.concatenate([b.column(c).flatten().to_numpy().reshape(len(of), -1) for c in (2, 3)], axis=1).astype("<f4")
+            runs = [(x, np.flatnonzero(of == x)) for x in np.unique(of)]
+            values = [[ids[at].astype("<i4").tobytes() for _, at in runs], [both[at].tobytes() for _, at in runs]]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in runs], pa.int64()), *[pa.array(v, pa.binary()) for v in values]], ["block", "word_ids", "chances"])
+
+
 def score(blocks: DataFrame, asks: DataFrame, words: Vocabulary, model: Model, shards: int) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of each text of ``blocks``."""
     n, v, rare_n, rare_v, dishes, kept = words.n_tokens, words.n_words, words.rare_tokens, words.rare_words, words.size, max(1, model.kept)
-    none = {c: F.lit(None).cast(t) for c, t in (("shard", "int"), ("own", "binary"), ("id", "int"), ("back", "array<double>"), ("shared", "array<double>"))}
+    none = {c: F.lit(None).cast(t) for c, t in (("shard", "int"), ("own", "binary"), ("word_ids", "binary"), ("chances", "binary"))}
     at = words.known.select("block", "word_ids").mapInArrow(_common, "block long, id int").join(model.words.select("id", "back", "shared"), "id")
+    at = at.select("block", "id", "back", "shared").mapInArrow(_by_block, "block long, word_ids binary, chances binary")
     at = at.withColumns({c: none[c] for c in ("shard", "own")})
-    own = answered(asks, model, shards).withColumns({c: none[c] for c in ("id", "back", "shared")})
+    own = answered(asks, model, shards).withColumns({c: none[c] for c in ("word_ids", "chances")})
     # the one class of all rare words is a few numbers
     rare = model.words.where(F.col("id") == RARE).first()
     rare_back, rare_shared, rare_c = rare["back"], rare["shared"], rare["c"]
@@ -455,27 +474,27 @@ def score(blocks: DataFrame, asks: DataFrame, words: Vocabulary, model: Model, s
 
     def judge(blocks: pa.Table, known: pa.Table) -> pa.Table:
         own = known.filter(known.column("own").is_valid()).sort_by("shard")
-        rows = known.filter(known.column("id").is_valid()).sort_by("id")
+        rows = known.filter(known.column("word_ids").is_valid())
+        asked = np.concatenate([np.zeros(0, "<i4"), *[np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("word_ids")]])
+        chances = np.concatenate([np.zeros((0, 2 * kept), "<f4"), *[np.frombuffer(x.as_buffer(), "<f4").reshape(-1, 2 * kept) for x in rows.column("chances")]])
         word, size, train, id_of = _texts(blocks, 0)
         c = numbers(blocks.column("word_counts")[0].as_buffer(), "<i8")
         common = np.flatnonzero(id_of != RARE)
-        back, shared = np.empty((len(c), kept)), np.empty((len(c), kept))
-        back[:], shared[:] = rare_back, rare_shared
-        if len(common):
-            spot = np.searchsorted(rows.column("id").to_numpy(), id_of[common])
-            for out, name in ((back, "back"), (shared, "shared")):
-                out[common] = rows.column(name).combine_chunks().flatten().to_numpy().reshape(-1, kept)[spot]
+        values = np.empty((len(c), 2 * kept))
+        values[:] = [*rare_back, *rare_shared]
+        order = np.argsort(asked)
+        values[common] = chances[order[np.searchsorted(asked[order], id_of[common])]]
+        back, shared = values[:, :kept], values[:, kept:]
         customers = np.where(id_of == RARE, rare_c, c)
         # a rare word's share of its class, in which all unknown words are one
         share = np.where(id_of == RARE, (c + 0.5) / (rare_n + 0.5 * (rare_v + 1)), 1.0)
         before = np.concatenate([word[-1:], word[:-1]])
-        _, _, pair = _block_pairs(word, size, train, id_of, shards)
-        kept_of = np.concatenate([numbers(x.as_buffer(), "<f4") for x in own.column("own")]).astype(float)
-        seats = kept_of[pair] / (STRENGTH + customers[before])
-        p = np.zeros(len(word))
+        pair = _block_pairs(word, size, train, id_of, shards)[2]
+        p = np.concatenate([numbers(x.as_buffer(), "<f4") for x in own.column("own")])[pair] / (STRENGTH + customers[before]) * kept
         for k in range(kept):
-            p += seats + back[before, k] * shared[word, k]
+            p += back[before, k] * shared[word, k]
         logs = np.log10(p / kept * share[word])
+        del pair, p, before
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))[word]
         first = np.cumsum(size) - size
         sums = [np.add.reduceat(x, first) for x in (np.ones(len(word), np.int64), (c > 0)[word].astype(np.int64), base, logs)]
@@ -490,8 +509,11 @@ def learnt(docs: DataFrame, min_count: int = MIN_COUNT, sweeps: int = SWEEPS, bu
     """(blocks, asks, vocabulary, model, shards) of ``docs`` (doc_id, text, train)."""
     spark = docs.sparkSession
     with shuffles_end(spark):
-        blocks = cut_lineage(blocks_of(docs))
-        words = vocabulary(blocks, min_count)
+        read = Rewritten(spark)
+        every = read.put(blocks_of(docs))
+        blocks = cut_lineage(every.drop("words", "counts"))
+        words = vocabulary(every.select("block", "words", "counts"), min_count)
+        read.end()
         shards = max(tasks(spark), blocks.count())
         asks = cut_lineage(block_pairs(blocks, words.known, shards))
         model = train(cut_lineage(counted(asks)), words.size, sweeps, burn_in)
