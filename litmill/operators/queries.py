@@ -12,6 +12,7 @@ from litmill.functions import fixed_values as fv
 from litmill.functions.skew import top_k
 from litmill.functions.text import WORD, contains_any, count_contained, first_of, first_per_key, let, squeeze, strip, words
 from litmill.operators.lexical import focus_term_of, is_definition, is_explanation, is_limitations, is_summary
+from litmill.session import cut_lineage
 
 
 def _any_match(c: Column, patterns: list[str]) -> Column:
@@ -238,40 +239,75 @@ def adaptive_expand(queries: DataFrame, attempts: DataFrame, similar: DataFrame,
     return rows.select(key, F.col("c.strategy").alias("strategy"), F.posexplode("c.x").alias("pos", "expansion"))
 
 
-def similar_queries(queries: DataFrame, history: DataFrame, threshold: float = 0.5, keep: int = 10, key: str = "query_id") -> DataFrame:
-    """(key, past_query, expansion, similarity, score): successful expansions of past questions whose words
-    overlap more than ``threshold`` of the larger word set; the ``keep`` best per question.
+SKETCH = 4  # words of 64 bits
+SHARE = 2000  # texts that share a rare word in one join group
+
+
+def _sketch(ws: Column) -> list[Column]:
+    """A bit for each word of a set, in SKETCH longs: two sets share at most the words of the one whose bits the other has."""
+    places = F.transform(ws, lambda w: F.pmod(F.xxhash64(w), F.lit(64 * SKETCH)).cast("int"))
+    one = F.lit(1).cast("long")
 
-    history: past_query, expansion, score. Equal texts are merged first. Two sets that overlap enough share
-    a word among their rarest ones, so only those are joined: frequent words never make pairs.
+    def bits(i: int) -> Column:
+        own = F.filter(places, lambda h: F.floor(h / 64) == i)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", one, h % 64)))
+
+    return [bits(i).alias(f"s{i}") for i in range(SKETCH)]
+
+
+def close_sets(asked: DataFrame, past: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): candidates for pairs of sets that share more than ``threshold`` of the larger one. Both: id (unique), w (distinct words).
+
+    Two such sets share one of their rarest words, at places that leave room for the overlap; of the pairs that do, only those go
+    further whose sketches allow it. A word that many sets hold is dealt to shards.
     """
-    best = history.groupBy("past_query").agg(F.max_by(F.struct("expansion", "score"), F.struct("score", "expansion")).alias("b"))
-    past = best.select(F.col("past_query").alias("text"), F.array_distinct(words(F.lower("past_query"))).alias("w"), "b.*")
-    asked = queries.select(F.col("query").alias("text")).distinct().select("text", F.array_distinct(words(F.lower("text"))).alias("w"))
     usage = (
         past.select(F.explode("w").alias("word")).unionByName(asked.select(F.explode("w").alias("word")))
         .groupBy("word").agg(F.count("*").alias("n"))
     )
 
     def rare(side: DataFrame, name: str) -> DataFrame:
-        """The rarest words of each set that any sufficient overlap must touch."""
+        """The rarest words of each set that any sufficient overlap must touch, with size, place and sketch."""
         ordered = (
-            side.select("text", F.size("w").alias("size"), F.explode("w").alias("word")).join(usage, "word")
-            .groupBy("text", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
+            side.select("id", F.explode("w").alias("word")).join(usage, "word")
+            .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
         )
-        needed = F.floor(F.col("size") * threshold).cast("int") + 1
-        prefix = F.slice("o", F.lit(1), F.greatest(F.col("size") - needed + 1, F.lit(0)))
-        return ordered.select(F.col("text").alias(name), F.explode(F.transform(prefix, lambda x: x["word"])).alias("word"))
+        needed = F.floor(F.size("o") * threshold).cast("int") + 1
+        prefix = F.slice("o", F.lit(1), F.greatest(F.size("o") - needed + 1, F.lit(0)))
+        rows = ordered.join(side.select("id", *_sketch(F.col("w"))), "id")
+        rows = rows.select("id", F.size("o").alias("size"), F.posexplode(prefix).alias("at", "x"), *[f"s{i}" for i in range(SKETCH)])
+        shards = F.floor(F.col("x.n") / SHARE) + 1
+        shard = F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)) if name == "a" else F.pmod(F.xxhash64("id"), shards)
+        return rows.select(F.col("x.word").alias("word"), shard.alias("shard"), *[F.col(c).alias(f"{name}_{c}") for c in ("id", "size", "at", *[f"s{i}" for i in range(SKETCH)])])
 
-    pairs = rare(asked, "query").join(rare(past, "past_query"), "word").select("query", "past_query").distinct()
-    sized = pairs.join(asked.select(F.col("text").alias("query"), F.col("w").alias("qw")), "query").join(
-        past.select(F.col("text").alias("past_query"), F.col("w").alias("pw"), "expansion", "score"), "past_query"
-    )
+    pairs = rare(asked, "a").join(rare(past, "b"), ["word", "shard"])
+    least = F.greatest("a_size", "b_size") * threshold - 1e-6
+    missing = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_s{i}").bitwiseAND(F.bitwise_not(f"b_s{i}"))) for i in range(SKETCH)])
+    room = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    return pairs.where((room > least) & (F.col("a_size") - missing > least)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+def similar_queries(queries: DataFrame, history: DataFrame, threshold: float = 0.5, keep: int = 10, key: str = "query_id") -> DataFrame:
+    """(key, past_query, expansion, similarity, score): successful expansions of past questions whose words
+    overlap more than ``threshold`` of the larger word set; the ``keep`` best per question.
+
+    history: past_query, expansion, score. Equal texts are merged first. Pairs are numbers until they are known to be close
+    (``close_sets``): frequent words never make pairs, and texts are never multiplied.
+    """
+    best = history.groupBy("past_query").agg(F.max_by(F.struct("expansion", "score"), F.struct("score", "expansion")).alias("b"))
+    number = F.monotonically_increasing_id().alias("id")
+    past = cut_lineage(best.select(number, "past_query", F.array_distinct(words(F.lower("past_query"))).alias("w"), "b.*"))
+    asked = cut_lineage(queries.select("query").distinct().select(number, "query", F.array_distinct(words(F.lower("query"))).alias("w")))
+    pairs = close_sets(asked.select("id", "w"), past.select("id", "w"), threshold)
+    sized = pairs.join(asked.select(F.col("id").alias("a"), F.col("w").alias("qw")), "a").join(past.select(F.col("id").alias("b"), F.col("w").alias("pw"), "score"), "b")
     similarity = F.size(F.array_intersect("qw", "pw")) / F.greatest(F.size("qw"), F.size("pw"))
-    close = sized.withColumn("similarity", similarity).where(F.col("similarity") > threshold)
-    close = close.withColumn("score", F.col("score") * F.col("similarity")).select("query", "past_query", "expansion", "similarity", "score")
-    rows = queries.select(key, "query").join(close, "query").drop("query")
-    return top_k(rows, [key], [F.round("score", 9).desc(), F.col("past_query")], keep).drop("rank")
+    close = sized.select("a", "b", "score", similarity.alias("similarity")).where(F.col("similarity") > threshold)
+    close = close.withColumn("score", F.col("score") * F.col("similarity"))
+    close = close.join(past.select(F.col("id").alias("b"), "past_query", "expansion"), "b")
+    order = [F.round("score", 9).desc(), F.col("past_query")]
+    close = top_k(close, ["a"], order, keep).drop("rank").join(asked.select(F.col("id").alias("a"), "query"), "a")
+    rows = queries.select(key, "query").join(close.select("query", "past_query", "expansion", "similarity", "score"), "query").drop("query")
+    return top_k(rows, [key], order, keep).drop("rank")
 
 
 # ---- decomposition and fusion ---------------------------------------------------------------------------
