@@ -9,8 +9,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litmill.functions import review_values as rv
 from litmill.functions.skew import first_rows
@@ -39,38 +43,74 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 # ---- scores ---------------------------------------------------------------------------------------
 
 
-def evidence_score(s: Column, dimension: str) -> Column:
-    """Digits, keywords, marks and length, minus penalties for sentences off the dimension."""
-    low = F.lower(s)
+def _word_points(low: pa.Array) -> np.ndarray:
+    """A row for each lower-case sentence, a column for each dimension: points for the words of a score that are plain text."""
+    found: dict[str, np.ndarray] = {}
+
+    def has(word: str) -> np.ndarray:
+        if word not in found:
+            found[word] = pa.compute.match_substring(low, word).to_numpy(zero_copy_only=False).astype(np.int32)
+        return found[word]
+
+    def some(words: list[str]) -> np.ndarray:
+        return reduce(np.maximum, map(has, words))
+
+    every = some(["not ", "only ", "missing", "limited", "unclear"]) * 2
+    out = np.empty((len(low), len(rv.DIMENSIONS)), np.int32)
+    for i, d in enumerate(rv.DIMENSIONS):
+        out[:, i] = every + 3 * reduce(np.add, map(has, rv.KEYWORDS[d]))
+        if d in rv.REQUIRED:
+            out[:, i] -= 6 * (1 - some(rv.REQUIRED[d]))
+        if d == "reproducibility":
+            out[:, i] -= 15 * (some(rv.RESULT_WORDS) & (1 - some(rv.SETUP_WORDS)))
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _points(lows: pa.Array) -> pa.Array:
+    """The points of all sentences of a row, counted a batch of rows at a time."""
+    flat = pa.compute.fill_null(lows.flatten(), "")
+    width = len(rv.DIMENSIONS)
+    points = _word_points(flat).ravel()
+    ends = lambda n, step: pa.array(np.arange(n + 1, dtype=np.int32) * step)
+    each = pa.ListArray.from_arrays(ends(len(flat), width), pa.array(points))
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lows), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), each)
+
+
+def _common_points(s: Column) -> Column:
+    """Digits, marks and length: what counts in every dimension."""
     points = lambda cond, n: F.when(cond, n).otherwise(0)
-    score = (
-        (F.length(s) - F.length(F.regexp_replace(s, r"\d", ""))) * 4
-        + count_contained(low, rv.KEYWORDS[dimension]) * 3
-        + points(s.contains("%"), 2)
-        + points(contains_any(low, ["not ", "only ", "missing", "limited", "unclear"]), 2)
-        + points(F.length(s) > 40, 1)
-    )
-    if dimension in rv.REQUIRED:
-        score = score - points(~contains_any(low, rv.REQUIRED[dimension]), 6)
+    digits = F.when(s.rlike(r"\d"), F.length(s) - F.length(F.regexp_replace(s, r"\d", ""))).otherwise(0)
+    return digits * 4 + points(s.contains("%"), 2) + points(F.length(s) > 40, 1)
+
+
+def _noise_points(s: Column, low: Column, dimension: str) -> Column:
+    """Penalties for sentences that a pattern finds off the dimension."""
+    points = lambda cond, n: F.when(cond, n).otherwise(0)
+    out = F.lit(0)
     if dimension in ("threats_to_validity", "applicability"):
-        score = score - points(s.rlike(rv.ARCHITECTURE_NOISE), 6)
+        out = out + points(s.rlike(rv.ARCHITECTURE_NOISE), 6)
     if dimension == "applicability":
-        score = score - points(s.rlike(rv.APPLICABILITY_NOISE), 6)
+        out = out + points(s.rlike(rv.APPLICABILITY_NOISE), 6)
     if dimension == "reproducibility":
-        bare = ~contains_any(low, rv.SETUP_WORDS)
-        score = score - points(s.rlike(rv.RESULT_NOISE) & bare, 12) - points(contains_any(low, rv.RESULT_WORDS) & bare, 15)
-    return score
+        out = out + points(s.rlike(rv.RESULT_NOISE) & ~contains_any(low, rv.SETUP_WORDS), 12)
+    return out
 
 
 def score_evidence(sentence_rows: DataFrame, dimensions: list[str] | None = None) -> DataFrame:
-    """Every sentence with its score in each dimension: one projection and an explode of eight entries."""
+    """Every sentence with its score in each dimension: digits, keywords, marks and length, minus penalties for sentences off the
+    dimension. One projection and an explode of eight entries; a null sentence has no score."""
+    s, at = F.col("sentence"), list(rv.DIMENSIONS).index
+    rows = sentence_rows.withColumns({"_low": F.lower(s), "_common": _common_points(s)})
+    rows = rows.withColumn("_points", _points(F.array("_low"))[0])
     scores = F.array(
         *[
-            F.struct(F.lit(d).alias("dimension"), evidence_score(F.col("sentence"), d).alias("score"))
+            F.struct(F.lit(d).alias("dimension"), (F.col("_common") + F.col("_points")[at(d)] - _noise_points(s, F.col("_low"), d)).alias("score"))
             for d in dimensions or rv.DIMENSIONS
         ]
     )
-    return sentence_rows.withColumn("_d", F.explode(scores)).select(*sentence_rows.columns, "_d.dimension", "_d.score")
+    return rows.withColumn("_d", F.explode(scores)).select(*sentence_rows.columns, "_d.dimension", "_d.score")
 
 
 # ---- evidence -----------------------------------------------------------------------------------------
@@ -108,7 +148,7 @@ def _first_segment(t: Column) -> Column:
 
 def _number_dump(t: Column) -> Column:
     parts = F.transform(F.split(t, ",", -1), strip)
-    return (F.size(parts) > 4) & (F.size(F.filter(parts, lambda p: p.rlike(r"^\d[\d.±]*$"))) / F.size(parts) > 0.5)
+    return t.contains(",") & (F.size(parts) > 4) & (F.size(F.filter(parts, lambda p: p.rlike(r"^\d[\d.±]*$"))) / F.size(parts) > 0.5)
 
 
 def _feature(item: Column, **extra: Column) -> Column:
@@ -117,7 +157,8 @@ def _feature(item: Column, **extra: Column) -> Column:
     def of_text(whole: Column, t: Column) -> Column:
         low = F.lower(t)
         value = F.when(contains_any(low, rv.METRIC_WORDS), F.regexp_extract(low, r"\b(\d[\d,.]*)\b", 1)).otherwise("")
-        return F.struct(whole.alias("whole"), t.alias("t"), low.alias("low"), value.alias("value"), *[c.alias(n) for n, c in extra.items()])
+        own = [whole.alias("whole"), t.alias("t"), low.alias("low"), value.alias("value"), is_specific(t).alias("specific")]
+        return F.struct(*own, *[c.alias(n) for n, c in extra.items()])
 
     return let(item, lambda whole: let(_first_segment(clean_bullet(whole)), lambda t: of_text(whole, t)))
 
@@ -132,11 +173,11 @@ def _selected(features: Column, limit: int, trim: bool = False) -> Column:
     """Distinct texts in order, one per metric value, concrete ones only when there are any; ``trim``: the chosen ones in 160 characters."""
     distinct = first_per_key(features, lambda f: f["low"], lambda f: F.lit(False))
     single = first_per_key(distinct, lambda f: f["value"], lambda f: f["value"] == "")
-    texts = F.transform(single, lambda f: f["t"])
     chosen = let(
-        texts,
-        lambda xs: let(F.filter(xs, is_specific), lambda sp: F.slice(F.when(F.size(sp) > 0, sp).otherwise(xs), 1, limit)),
+        single,
+        lambda xs: let(F.filter(xs, lambda f: f["specific"]), lambda sp: F.slice(F.when(F.size(sp) > 0, sp).otherwise(xs), 1, limit)),
     )
+    chosen = F.transform(chosen, lambda f: f["t"])
     return F.transform(chosen, _trimmed) if trim else chosen
 
 
@@ -165,7 +206,8 @@ def _items(papers: DataFrame) -> Column:
                 ),
             )
         )
-    return F.filter(F.concat(*parts), _usable)
+    usable = F.filter(F.concat(*parts), _usable)
+    return F.transform(usable, lambda f: f.withField("common", _common_points(f["whole"])).withField("whole_low", F.lower(f["whole"])))
 
 
 def _tagged(items: Column, section: str) -> Column:
@@ -182,18 +224,20 @@ def _evidence(items: Column, dimension: str, limit: int, trim: bool = False) ->
         if "key_figures" in sources and scope:
             figure = (f["section"] == "key_figures") & contains_any(f["scope"], scope)
             if dimension != "strengths":
-                figure = figure & contains_any(F.lower(f["whole"]), rv.KEYWORDS[dimension])
+                figure = figure & contains_any(f["whole_low"], rv.KEYWORDS[dimension])
             ok = ok | figure
         if dimension == "threats_to_validity":
             ok = ok & ~f["whole"].rlike(rv.ARCHITECTURE_NOISE)
         return ok
 
     place = lambda f: F.coalesce(*[F.when(f["section"] == x, F.lit(i)) for i, x in enumerate(sources)], F.lit(9))
+    at = list(rv.DIMENSIONS).index(dimension)
+    score = lambda f: f["common"] + f["points"][at] - _noise_points(f["whole"], f["whole_low"], dimension)
     scored = F.transform(
         F.filter(items, wanted),
-        lambda f, i: F.struct((-evidence_score(f["whole"], dimension)).alias("n"), place(f).alias("p"), i.alias("i"), f.alias("f")),
+        lambda f, i: F.struct((-score(f)).alias("n"), place(f).alias("p"), i.alias("i"), f.alias("f")),
     )
-    return _selected(F.transform(F.array_sort(scored), lambda x: x["f"]), limit, trim)
+    return _selected(F.transform(F.sort_array(scored), lambda x: x["f"]), limit, trim)
 
 
 def select_evidence(papers: DataFrame, limit: int = 5, dimensions: list[str] | None = None, trim: bool = False) -> DataFrame:
@@ -203,6 +247,8 @@ def select_evidence(papers: DataFrame, limit: int = 5, dimensions: list[str] | N
     """
     keep = [c for c in papers.columns if c not in (*rv.PAPER_SECTIONS, "key_figures")]
     rows = papers.select(*keep, _items(papers).alias("_items"))
+    rows = rows.withColumn("_points", _points(F.transform("_items", lambda f: f["whole_low"])))
+    rows = rows.withColumn("_items", F.zip_with("_items", "_points", lambda f, p: f.withField("points", p))).drop("_points")
     per = F.array(
         *[F.struct(F.lit(d).alias("dimension"), _evidence(F.col("_items"), d, limit, trim).alias("evidence")) for d in dimensions or rv.DIMENSIONS]
     )

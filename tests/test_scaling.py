@@ -32,3 +32,32 @@ def test_similar_queries_of_copies_and_nulls(spark):
     got = sorted((r.query_id, r.past_query, r.expansion, round(r.similarity, 6)) for r in queries.similar_queries(q, h).collect())
     assert got == [x for i in (1, 2, 3) for x in ((i, "a b c", "two", 1.0), (i, "a b c d", "three", 0.75))]
     assert queries.similar_queries(q, h, keep=1).agg(F.count("*")).first()[0] == 3
+
+
+def test_word_points_equal_the_column_rules(spark):
+    """Points counted a batch at a time equal the rules written out for one sentence; null rows and empty lists come through."""
+    from litmill.functions import review_values as rv
+    from litmill.operators import review
+
+    words = sorted({w for ws in [*rv.KEYWORDS.values(), *rv.REQUIRED.values(), rv.SETUP_WORDS, rv.RESULT_WORDS] for w in ws})
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.sample(words, n)) + " the 12% ones" * (n % 2) for n in (0, 1, 2, 3, 5) for _ in range(12)] + ["", "Só é", "x" * 50]
+
+    def want(s: str, d: str) -> int:
+        import re
+
+        low, has = s.lower(), lambda ws: any(w in s.lower() for w in ws)
+        java = lambda p: re.search(p, s) is not None
+        n = 4 * sum(c in "0123456789" for c in s) + 3 * sum(w in low for w in rv.KEYWORDS[d]) + 2 * ("%" in s) + (len(s) > 40)
+        n += 2 * has(["not ", "only ", "missing", "limited", "unclear"]) - 6 * (d in rv.REQUIRED and not has(rv.REQUIRED.get(d, [])))
+        n -= 6 * (d in ("threats_to_validity", "applicability") and java(rv.ARCHITECTURE_NOISE)) + 6 * (d == "applicability" and java(rv.APPLICABILITY_NOISE))
+        if d == "reproducibility" and not has(rv.SETUP_WORDS):
+            n -= 12 * java(rv.RESULT_NOISE) + 15 * has(rv.RESULT_WORDS)
+        return n
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "pos int, sentence string")
+    got = {(r.pos, r.dimension): r.score for r in review.score_evidence(rows).collect()}
+    assert got == {(i, d): want(s, d) for i, s in enumerate(texts) for d in rv.DIMENSIONS}
+    lists = spark.createDataFrame([(0, None), (1, []), (2, ["novel", None]), (3, ["only f1"])], "i int, w array<string>")
+    sizes = {r.i: r.n for r in lists.select("i", F.size(review._points(F.col("w"))).alias("n")).collect()}
+    assert (sizes[1], sizes[2], sizes[3]) == (0, 2, 1)
