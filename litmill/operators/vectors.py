@@ -73,27 +73,48 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[place < k], col[place < k]
 
 
-def _block_top(q: pd.DataFrame, v: pd.DataFrame, k: int, cells: int) -> pd.DataFrame:
-    """The k best vectors of a block for every question of a block; at most ``cells`` scores are held at once."""
+def _top_columns(left: np.ndarray, right: np.ndarray, k: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and places of the k best rows of ``right`` for every row of ``left``; at most ``cells`` scores are held at once."""
+    n, step = min(k, len(right)), max(1, cells // len(left))
+    score, col = np.full((len(left), n), -np.inf), np.full((len(left), n), len(right))
+    for at in range(0, len(right), step):
+        new = np.round(left @ right[at : at + step].T, 9)
+        row, c = np.nonzero(new > score[:, -1:])  # equal ones came earlier
+        if len(row) > 4 * n * len(left):
+            row, c = _best(new, n)
+        if not len(row):
+            continue
+        some = np.unique(row)
+        r, s, c = np.concatenate([np.repeat(some, n), row]), np.concatenate([score[some].ravel(), new[row, c]]), np.concatenate([col[some].ravel(), c + at])
+        order = np.lexsort((c, -s, r))
+        kept = order[np.arange(len(r)) - np.searchsorted(r[order], r[order]) < n]
+        score[some], col[some] = s[kept].reshape(-1, n), c[kept].reshape(-1, n)
+    return score, col
+
+
+def _block_top(q: pd.DataFrame, v: pd.DataFrame, k: int, rows: int, cells: int) -> pd.DataFrame:
+    """The k best vectors of a block for every question of a block, ``rows`` questions at a time; at most ``cells`` scores are held at once."""
     found = [pd.DataFrame({"query_id": q["query_id"][:0], "chunk_id": v["chunk_id"][:0], "score": np.zeros(0)})]
-    v = v.sort_values("chunk_id", ignore_index=True)
+    v, q = v.sort_values("chunk_id", ignore_index=True), q[q["query_id"].notna()]
     for want, asked in q.groupby("want", dropna=False):
         allowed = v if pd.isna(want) else v[v["kind"] == want]
-        left, ids = _matrix(asked["embedding"]), asked["query_id"].to_numpy()
-        step = max(1, cells // len(asked))
-        best = found[0]
-        for at in range(0, len(allowed), step):
-            part = allowed.iloc[at : at + step]
-            scores = np.round(left @ _matrix(part["embedding"]).T, 9)
-            row, col = _best(scores, k)
-            new = pd.DataFrame({"query_id": ids[row], "chunk_id": part["chunk_id"].to_numpy()[col], "score": scores[row, col]})
-            best = new if best.empty else pd.concat([best, new])
-            best = best.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if len(best):
-            found.append(best)
+        if not len(allowed):
+            continue
+        right, ids = _matrix(allowed["embedding"]), allowed["chunk_id"].to_numpy()
+        for at in range(0, len(asked), rows):
+            part = asked.iloc[at : at + rows]
+            score, col = _top_columns(_matrix(part["embedding"]), right, k, cells)
+            row, place = np.nonzero(np.isfinite(score))
+            found.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "chunk_id": ids[col[row, place]], "score": score[row, place]}))
     return found[0] if len(found) == 1 else pd.concat(found[1:])
 
 
+def _blocks(df: DataFrame, mb: float) -> tuple[int, int]:
+    """Number of blocks that hold ``mb`` megabytes of vectors each, and the width of a vector."""
+    rows, width = df.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    return max(1, math.ceil(rows * (width or 0) * 8 / (mb * 2**20))), max(1, width or 0)
+
+
 def knn(
     queries: DataFrame,
     vectors: DataFrame | VectorStore,
@@ -106,9 +127,11 @@ def knn(
 
     queries: query_id (unique), embedding, optionally want (a chunk type or null); vectors: chunk_id, embedding,
     chunk_type where questions want one. Filters and types apply before any ranking. Null embeddings are left out.
-    Both sides are cut into blocks by hashed id, as many as their rows times their width need, and every block of
-    questions meets every block of vectors in one task, which returns k rows per question. Nothing passes
-    through the driver but the four numbers that give the blocks. Scores are compared at nine digits, ties by chunk id.
+    Both sides are dealt to blocks by hashed id, as many as their rows times their width need, and every block of
+    questions meets every block of vectors in one task, which returns k rows per question. Rows are copied once for
+    each block of the other side, so blocks smaller than QUESTION_MB and VECTOR_MB are cut inside the task, not
+    dealt. Nothing passes through the driver but the four numbers that give the blocks. Scores are compared at nine
+    digits, ties by chunk id.
     Stored vectors (``cells``) are searched by their cells instead; ``where`` is for tables alone.
     """
     if isinstance(vectors, VectorStore):
@@ -122,19 +145,15 @@ def knn(
     v = vectors.where("embedding is not null").select("chunk_id", "embedding", kind.alias("kind"))
     qt, vt = q.schema["query_id"].dataType.simpleString(), v.schema["chunk_id"].dataType.simpleString()
 
-    def blocks(df: DataFrame, mb: float) -> int:
-        rows, width = df.agg(F.count("*"), F.max(F.size("embedding"))).first()
-        return max(1, math.ceil(rows * (width or 0) * 8 / (mb * 2**20)))
-
-    q_blocks, v_blocks = blocks(q, question_mb), blocks(v, vector_mb)
+    (q_blocks, width), (v_blocks, _) = _blocks(q, max(question_mb, QUESTION_MB)), _blocks(v, max(vector_mb, VECTOR_MB))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = q.select("*", own("query_id", q_blocks).alias("qb"), every(v_blocks).alias("vb"))
     right = v.select("*", own("chunk_id", v_blocks).alias("vb"), every(q_blocks).alias("qb"))
-    cells = int(vector_mb * 2**17)
+    rows, cells = max(1, int(question_mb * 2**17 / width)), int(vector_mb * 2**17)
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _block_top(a, b, k, cells)
+        return _block_top(a, b, k, rows, cells)
 
     partial = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(pair, f"query_id {qt}, chunk_id {vt}, score double")
     return top_k(partial, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)

@@ -123,3 +123,21 @@ def test_khop_reaches_two_steps(spark):
     e = spark.createDataFrame([("A1", "B", "R"), ("B", "C", "R"), ("C", "D", "R"), ("D", "D", "SELF")], "src string, dst string, type string")
     s = spark.createDataFrame([(1, "a1")], "query_id long, term string")
     assert [(r.head, r.tail) for r in graph.khop_facts(e, s, 2).orderBy("fact_no").collect()] == [("A1", "B"), ("B", "C")]
+
+
+def test_small_blocks_are_cut_in_the_task(spark, monkeypatch):
+    """Rows are copied once for each block of the other side; small blocks must not multiply them. Copies and ties go by id."""
+    rnd = np.random.default_rng(4)
+    m = np.round(rnd.normal(size=(300, 3)), 1)
+    m[150:] = m[:150]
+    vec = spark.createDataFrame([(i, r.tolist(), "ab"[i % 2]) for i, r in enumerate(m)], "chunk_id long, embedding array<double>, chunk_type string")
+    q = vec.select(F.col("chunk_id").alias("query_id"), "embedding", F.when(F.col("chunk_id") % 3 == 0, "a").alias("want"))
+    dealt, blocks = [], vectors._blocks
+    monkeypatch.setattr(vectors, "_blocks", lambda *a: dealt.append(blocks(*a)) or dealt[-1])
+    got = vectors.knn(q, vec, 7, question_mb=0.0005, vector_mb=0.001)
+    assert [n for n, _ in dealt] == [1, 1]
+    want = set()
+    for i in range(300):
+        ids = [j for j in np.lexsort((np.arange(300), -np.round(m @ m[i], 9))) if i % 3 or j % 2 == 0]
+        want |= {(i, int(j), rank) for rank, j in enumerate(ids[:7], 1)}
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in got.collect()} == want
