@@ -1,7 +1,9 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from litmill.operators import fusion, graph, lexical, queries, vectors
+from litmill.operators import fusion, graph, lexical, postings, queries, vectors
 
 
 def test_knn_blocks_agree_with_brute_force(spark):
@@ -141,3 +143,36 @@ def test_small_blocks_are_cut_in_the_task(spark, monkeypatch):
         ids = [j for j in np.lexsort((np.arange(300), -np.round(m @ m[i], 9))) if i % 3 or j % 2 == 0]
         want |= {(i, int(j), rank) for rank, j in enumerate(ids[:7], 1)}
     assert {(r.query_id, r.chunk_id, r["rank"]) for r in got.collect()} == want
+
+
+def test_boosted_scores_go_zone_by_zone(spark, monkeypatch):
+    """At most k rows a question and zone; no pair is a row unless its chunk id repeats or isn't stored."""
+    monkeypatch.setattr(postings, "ZONE_CHUNKS", 15)
+    monkeypatch.setattr(postings, "QUESTIONS", 4)
+    rnd = random.Random(5)
+    words = ["ab", "abc", "xab", "of", "the", "zz9", "12", "3", "tab"]
+    rows = [(f"c{i}", " ".join(rnd.choice(words) + rnd.choice(["", "", "1"]) for _ in range(rnd.randint(0, 8))), "text", rnd.choice([None, 1, 3, 12, 77]), None) for i in range(90)]
+    schema = "chunk_id string, text string, chunk_type string, number long, content_priority double"
+    asked = [(1, "ab the 12"), (2, "abc 3"), (3, "3"), (4, ""), (5, None), (6, "of of ab"), (6, "of of ab"), (None, "zz9 xab"), (None, "tab 77"), (7, "77 nothing")]
+    q = spark.createDataFrame(asked, "query_id long, query string")
+
+    def both(rows, stored):
+        c = spark.createDataFrame(rows, schema)
+        ix = lexical.lexical_index(spark.createDataFrame(stored, schema).repartition(2))
+        terms = lexical.query_terms(q)
+        lead = terms.select("query_id", F.col("term").alias("needle")).distinct()
+        inside = lexical.containing_terms(lead.select(F.col("needle").alias("term")).distinct(), ix.terms.select("term"))
+        runs = q.select("query_id", F.explode(F.regexp_extract_all("query", F.lit(r"(\d+)"), F.lit(1))).alias("r"))
+        digits = runs.select("query_id", F.explode(lexical._digit_parts(F.col("r"))).alias("digits")).distinct()
+        pairs = lexical._boosted_pairs(q, lead, inside, digits, c, F.lit(0.0), ix)
+        want = lexical.ranked(pairs.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), 6)
+        key = lambda df: sorted(((r.query_id or 0, r["rank"], r.chunk_id, round(r.score, 7)) for r in df.collect()), key=repr)
+        return key(lexical.bm25_boosted(q, c, ix, 6)), key(want)
+
+    more = rows + [rows[3], (None, *rows[4][1:]), ("not stored", "ab", "text", 3, None)]
+    got, want = both(more, more[:-1])
+    assert got == want and len(got) > 30
+    got, want = both(rows, rows)
+    monkeypatch.setattr(lexical, "bm25_scores", None)
+    c = spark.createDataFrame(rows, schema)
+    assert got == want and lexical.bm25_boosted(q, c, lexical.lexical_index(c), 6).count() == len(got)
