@@ -1,6 +1,10 @@
 import random
+import time
 
 from litmill.operators import chunking
+from litmill.operators.chunking import keywords_of
+from litmill.operators.papers import inferred_tags_of
+from pyspark.sql import functions as F
 
 
 def docs(spark, *texts):
@@ -70,3 +74,17 @@ def test_canonical_sections_merge_headings(spark):
     row = chunking.canonical_sections(docs(spark, md, "plain text")).orderBy("doc_id").collect()
     assert row[0].methodology == "a\n\nb" and row[0].limitations == "c"
     assert row[1].introduction == "plain text"
+
+
+def test_keywords_of_a_text_with_many_words(spark):
+    """Looking each of 200,000 words up among all of them would take minutes; ties keep the order of first use, whatever the alphabet says."""
+    n = 200_000
+    words = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("word"), F.reverse(F.lpad(i.cast("string"), 7, "0"))))
+    text = F.concat(F.array_join(words, " "), F.lit(" zeta WORD3000000 Zeta word2000000 word3000000"))
+    begun = time.time()
+    row = spark.range(1).select(keywords_of(text, 5).alias("k"), inferred_tags_of(F.lit("beta alpha beta gamma alpha beta delta"), 3).alias("t")).first()
+    assert time.time() - begun < 20
+    assert row.k == ["word3000000", "word2000000", "zeta", "word1000000", "word4000000"]
+    assert row.t == ["beta", "alpha", "gamma"]
+    none = spark.createDataFrame([(None,), ("",), ("abc",)], "x string").select(keywords_of(F.col("x")).alias("k")).collect()
+    assert [r.k for r in none] == [[], [], []]
