@@ -1,6 +1,9 @@
 import random
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from litmill.operators import chunking
 from litmill.operators.chunking import keywords_of
 from litmill.operators.papers import inferred_tags_of
@@ -88,3 +91,22 @@ def test_keywords_of_a_text_with_many_words(spark):
     assert row.t == ["beta", "alpha", "gamma"]
     none = spark.createDataFrame([(None,), ("",), ("abc",)], "x string").select(keywords_of(F.col("x")).alias("k")).collect()
     assert [r.k for r in none] == [[], [], []]
+
+
+def test_a_batch_of_documents_stays_in_arrow():
+    """24 MB of vectors; a batch as lists of arrays would take more than that again. Some rows are a slice of a larger batch."""
+    rng, n, width = np.random.default_rng(1), 1500, 32
+    vectors = rng.normal(size=(n * width, 64))
+    texts = [[f"paragraph {i} {j} " * 8 for j in range(width)] for i in range(n)]
+    each = pa.ListArray.from_arrays(pa.array(np.arange(n * width + 1, dtype=np.int32) * 64), pa.array(vectors.ravel()))
+    vs = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), each)
+    ps = pa.array(texts, pa.list_(pa.string()))
+    tracemalloc.start()
+    out = chunking._grouped(ps, vs, 300, 700, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000
+    right = [chunking._semantic_groups(t, list(vectors[i * width : (i + 1) * width]), 300, 700, 0.5) for i, t in enumerate(texts)]
+    assert out.to_pylist() == right
+    assert chunking._grouped(ps[7:9], vs[7:9], 300, 700, 0.5).to_pylist() == right[7:9]
+    assert chunking._grouped(ps[:0], vs[:0], 300, 700, 0.5).to_pylist() == []
