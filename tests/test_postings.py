@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from litmill.functions import fixed_values as fv
 from litmill.operators import lexical, postings
@@ -112,3 +113,47 @@ def test_empty(spark, tmp_path):
     assert lexical.bm25(q, store).collect() == [] and store.stats.first().n_chunks == 0
     some = lexical.lexical_index(spark.createDataFrame([(1, "alpha")], "chunk_id long, text string"))
     assert lexical.bm25(q.where("false"), some).collect() == []
+
+
+def test_a_question_is_one_row_for_a_group_of_zones():
+    """Three zones and 1,100 questions, more than are scored at once: what comes back holds the k best over all zones, ties included,
+    and nothing that k others pass or that lies below ``least``; repeated terms count twice; wanted types hide the others."""
+    r, k, avg = random.Random(4), 3, 5.0
+    zones, terms = ["z0", "z1", "z2"], [f"t{i}" for i in range(6)]
+    blocks = []
+    for z in zones:
+        for t in terms:
+            at = sorted(r.sample(range(10), r.randint(1, 6)))
+            blocks.append({"zone": z, "term": t, "places": at, "tfs": [r.randint(1, 2) for _ in at], "dls": [5 for _ in at], "kinds": None})
+        blocks.append({"zone": z, "term": None, "places": [], "tfs": [], "dls": [], "kinds": ["ab"[p % 2] for p in range(10)]})
+    kinds = {"zone": pa.string(), "term": pa.string(), "places": pa.list_(pa.int32()), "tfs": pa.list_(pa.int32()), "dls": pa.list_(pa.int32()), "kinds": pa.list_(pa.string())}
+    asked = []
+    for q in range(1100):
+        own = [r.choice([*terms, "absent"]) for _ in range(3)]
+        least = 0.9 if q % 4 == 0 else None
+        asked.append({"query_id": q, "zones": r.sample(zones, r.randint(1, 3)), "least": least, "terms": own, "weights": [r.choice([0.5, 1.0]) for _ in own], "want": r.choice(["a", None])})
+    sort = {"query_id": pa.int64(), "zones": pa.list_(pa.string()), "least": pa.float64(), "terms": pa.list_(pa.string()), "weights": pa.list_(pa.float64()), "want": pa.string()}
+    out = postings._group_scores(pa.Table.from_pylist(blocks, pa.schema(kinds)), pa.Table.from_pylist(asked, pa.schema(sort)), k, "query_id", avg)
+    got = {}
+    for row in out.to_pylist():
+        got.setdefault(row["query_id"], []).append((round(row["score"], 9), row["zone"], row["place"]))
+    for a in asked:
+        scores = Counter()
+        for b in blocks:
+            for t, w in zip(a["terms"], a["weights"], strict=True):
+                if b["term"] == t and b["zone"] in a["zones"]:
+                    for p, tf, dl in zip(b["places"], b["tfs"], b["dls"], strict=True):
+                        if a["want"] in (None, "ab"[p % 2]):
+                            scores[b["zone"], p] += w * postings.impact(tf, dl, avg)
+        best = sorted(((round(s, 9), *at) for at, s in scores.items()), key=lambda x: (-x[0], x[1], x[2]))
+        found = sorted(got.get(a["query_id"], []), key=lambda x: (-x[0], x[1], x[2]))
+        floor = a["least"] or 0
+        assert found[:k] == [b for b in best[:k] if b[0] >= floor]
+        assert all(b[0] >= floor and b in best and (len(found) < k or b[0] == found[k - 1][0]) for b in found[k:])
+
+
+def test_bounds_of_zones():
+    heads = pa.table({"term": ["a", "b", "a"], "zone": ["x", "x", "y"], "most": [1.0, 2.0, 0.5], "_q": [3, 3, 3], "_g": [1, 1, 1]})
+    rows = pa.table({"query_id": [7, 8, 9], "terms": [["a", "b"], ["c"], ["b", "b"]], "weights": [[1.0, 0.5], [1.0], [1.0, 1.0]]})
+    found = postings._zone_bounds(heads, rows, "query_id").to_pylist()
+    assert sorted((r["query_id"], r["zone"], r["bound"], r["_q"], r["_g"]) for r in found) == [(7, "x", 2.0, 3, 1), (7, "y", 0.5, 3, 1), (9, "x", 4.0, 3, 1)]
