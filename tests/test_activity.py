@@ -46,6 +46,31 @@ def test_near_titles_equal_brute_force(spark):
     assert got == want
 
 
+def test_titles_of_a_series_meet_only_near_ones(spark):
+    """Titles that differ in a number are not all compared: their pieces part the number, not the common words."""
+    texts = [f"buildingstudynumber{10_000 + 7 * i}" for i in range(2000)]
+    index, probe = papers._pieces(spark.createDataFrame([(t,) for t in texts], "t string"))
+    assert index.join(probe, ["m", "n", "i", "piece"]).count() < 0.4 * 2000 * 2000
+
+
+def test_first_near_title_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(papers, "EARLY", 1)
+    rnd = random.Random(8)
+    names = [rnd.choice(["building study no ", "furniture study ", "x", "!"]) + str(rnd.randint(0, 3000)) for _ in range(150)]
+    rows = [(rnd.randint(1, 400) if rnd.random() < 0.95 else None, None, name, [], "2000") for name in [*names, *names[:40], None, "", "?!"]]
+    df = spark.createDataFrame(rows, "paper_id long, doi string, title string, authors array<string>, year string")
+    got = sorted((r.paper_id, r.duplicate_of) for r in papers.fuzzy_duplicates(df).collect())
+    texts = {t: "".join(c for c in t.lower() if c.isalnum()) for _, _, t, _, _ in rows if t}
+    close = {tuple(sorted((r.a, r.b))) for r in papers.close_titles(spark.createDataFrame([(t,) for t in texts.values()], "t string")).collect()}
+    near = lambda a, b: a == b or tuple(sorted((a, b))) in close
+    want = []
+    for i, _, t, _, _ in rows:
+        ids = [j for j, _, u, _, _ in rows if t and u and j is not None and near(texts[t], texts[u])]
+        if i is not None and ids and min(ids) < i:
+            want.append((i, min(ids)))
+    assert want and got == sorted(want)
+
+
 def test_merge_papers_last_enriches_first_stays(spark):
     schema = "paper_id long, pos long, title string, authors array<string>, citations long, topic_tags array<string>, venue string"
     left = spark.createDataFrame([(1, 0, "Deep Nets!", ["A"], 0, ["x"], None)], schema)
