@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TASK_ROWS = 1_000_000
+
 
 def _offsets(df: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
     """Total of all earlier buckets of the same key, one row per (key, bucket)."""
@@ -72,6 +74,11 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int |
     return out if k is None else out.where(F.col(rank) <= k)
 
 
+def spread(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """``df`` dealt by its keys to tasks of about TASK_ROWS rows each: ``rows`` is its number of rows, or what a task makes of them."""
+    return df.repartition(max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], bucket: Column) -> DataFrame:
     """Several running sums in one pass; see ``running_sum``."""
     b = df.withColumn("_bucket", bucket).withColumns({f"_v_{n}": v for n, v in values.items()})

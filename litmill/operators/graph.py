@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litmill.functions.skew import first_rows, top_k
+from litmill.functions.skew import first_rows, spread, top_k
 from litmill.functions.text import squeeze, strip
 from litmill.operators import fusion
 from litmill.operators.queries import seed_terms
@@ -226,6 +226,17 @@ def _touched(front: DataFrame, ends: DataFrame, hubs: DataFrame) -> DataFrame:
     return spread.join(ends, ["a", "shard"]).drop("shard")
 
 
+def _nearest_ends(front: DataFrame, ends: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` ends of each shard of the nodes of ``front``, by names: what a question can take of them.
+
+    The tasks are as many as the ends, and the pairs of question and end that they become, need.
+    """
+    asked = front.agg(F.coalesce(F.sum(F.bit_count("mask")), F.lit(0))).first()[0]
+    at = ends.join(front.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+    src, dst = F.when(F.col("out"), F.col("a")).otherwise(F.col("b")), F.when(F.col("out"), F.col("b")).otherwise(F.col("a"))
+    return top_k(spread(at, ["a", "shard"], max(ends.count(), asked * n)), ["a", "shard"], [src, F.col("type"), dst], n, "n").drop("n")
+
+
 def khop_facts(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 60, key: str = "query_id", hub: int | None = None) -> DataFrame:
     """(key, fact_no, head, rel, tail, text): edges on a path of up to ``hops`` steps, in any direction, from a node
     that contains a seed term; nearest first, then by name, at most ``limit`` per question.
@@ -241,10 +252,10 @@ def khop_facts(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 6
     reached, found = front, None
     order = [F.col("src"), F.col("type"), F.col("dst")]
     for step in range(hops):
-        touched = _touched(front, ends, hubs)
+        # a question meets an edge at one end or both, so the first 2 x limit rows, of a node and of all, hold the first ``limit`` edges
+        touched = _touched(front, _nearest_ends(front, ends, 2 * limit), hubs)
         src, dst = F.when(F.col("out"), F.col("a")).otherwise(F.col("b")), F.when(F.col("out"), F.col("b")).otherwise(F.col("a"))
         each = touched.select(src.alias("src"), "type", dst.alias("dst"), "block", F.explode(_bits(F.col("mask"))).alias("bit"))
-        # a question meets an edge at one end or both, so the first 2 x limit rows hold the first ``limit`` edges
         nearest = top_k(each, ["block", "bit"], order, 2 * limit, "n").drop("n").join(numbers, ["block", "bit"])
         nearest = nearest.select(key, "src", "type", "dst", F.lit(step).alias("step"))
         found = nearest if found is None else found.unionByName(nearest)

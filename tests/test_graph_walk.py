@@ -75,3 +75,14 @@ def test_terms_meet_ids_on_pieces_of_their_length(spark):
     found = graph._seed_nodes(nodes, s, graph._numbered(s, "query_id"), "query_id")
     assert sorted(r.id for r in found.collect()) == ["PART1", "part123x"]
     assert found.select(F.bit_count("mask").alias("n")).distinct().collect()[0].n == 1
+
+
+def test_a_question_meets_only_the_ends_it_can_take(spark):
+    edges = spark.createDataFrame([("hub", f"n{k:03d}", "A") for k in range(300)] + [("other", "n001", "B")], "src string, dst string, type string")
+    ends, _ = graph.sharded_ends(edges, 100)
+    front = spark.createDataFrame([("hub", 0, 5), ("n001", 0, 2)], "id string, block long, mask long")
+    got = graph._nearest_ends(front, ends, 4).collect()
+    shards = {(r.a, r.shard) for r in got}
+    assert {a for a, _ in shards} == {"hub", "n001"} and len(got) <= 4 * len(shards)
+    assert {r.b for r in got if r.a == "n001"} == {"hub", "other"}
+    assert {f"n{k:03d}" for k in range(4)} <= {r.b for r in got if r.a == "hub"}
