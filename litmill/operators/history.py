@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litmill.functions import fixed_values as fv
-from litmill.functions.skew import first_rows, last_rows, numbered, previous, running_sum, running_sums, top_k
+from litmill.functions.skew import first_rows, last_rows, numbered, previous, running_sum, running_sums, spread, top_k
 from litmill.functions.text import contains_any, strip, words
 from litmill.operators.cleaning import without_doubled_half
 from litmill.operators.lines import is_equation, is_heading
+from litmill.session import cut_lineage
 
 # ---- chat ------------------------------------------------------------------------------------------
 
@@ -115,9 +116,13 @@ def keyset_page(df: DataFrame, at: str, cursor: str | None = None, limit: int =
 
 
 def upsert_documents(base: DataFrame, changes: DataFrame, keys: list[str] | None = None, at: str = "updated_at") -> DataFrame:
-    """Base rows with changes applied: the last write per id and owner wins, changes over equal times."""
+    """Base rows with changes applied: the last write per id and owner wins, changes over equal times.
+
+    All rows are written once, so that their number gives the tasks.
+    """
     both = base.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
-    return last_rows(both, keys or ["id", "owner"], [at, "_new"]).drop("_new")
+    both, keys = cut_lineage(both), keys or ["id", "owner"]
+    return last_rows(spread(both, keys, both.count()), keys, [at, "_new"]).drop("_new")
 
 
 def apply_deletes(base: DataFrame, deletes: DataFrame) -> DataFrame:

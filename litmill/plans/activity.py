@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litmill.functions import fixed_values as fv
-from litmill.functions.skew import numbered, top_k
+from litmill.functions.skew import numbered, spread, top_k
 from litmill.operators import history, metrics, papers
 from litmill.operators.chunking import keywords_of
 from litmill.plans import derived as dv
@@ -211,7 +211,10 @@ def _orders(spark, d):
 
 
 def upsert_documents(spark, d):
-    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_extendedprice")
+    n = li.count()
+    o = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], n)
+    li = spread(li, ["l_orderkey"], n).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     ch = li.groupBy(F.col("l_orderkey").alias("id"), F.col("o_custkey").alias("owner"), F.col("l_shipdate").alias("updated_at")).agg(F.max("l_extendedprice").alias("price"))
     return history.upsert_documents(_orders(spark, d), ch.withColumn("is_deleted", F.lit(False))).select("id", "owner", "updated_at", "price")
 

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from litmill.functions import skew
 from litmill.functions.skew import numbered, previous, running_sum
 from litmill.operators import history, metrics, papers, review, validation
 from litmill.sources import model_output
@@ -71,6 +72,16 @@ def test_first_near_title_equals_brute_force(spark, monkeypatch):
     assert want and got == sorted(want)
 
 
+def test_upserts_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    schema = "id long, owner long, updated_at int, price double"
+    base = spark.createDataFrame([(i, i % 7, 10, 1.0) for i in range(600)], schema)
+    changes = spark.createDataFrame([(i, i % 7, t, float(t)) for i in range(300, 700) for t in (5, 10, 12)], schema)
+    out = history.upsert_documents(base, changes)
+    assert out.rdd.getNumPartitions() >= (600 + 1200) // 50
+    assert {(r.id, r.updated_at, r.price) for r in out.collect()} == {(i, 10, 1.0) for i in range(300)} | {(i, 12, 12.0) for i in range(300, 700)}
+
+
 def test_merge_papers_last_enriches_first_stays(spark):
     schema = "paper_id long, pos long, title string, authors array<string>, citations long, topic_tags array<string>, venue string"
     left = spark.createDataFrame([(1, 0, "Deep Nets!", ["A"], 0, ["x"], None)], schema)
