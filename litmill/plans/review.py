@@ -31,10 +31,10 @@ def _docs(spark, d):
 def _papers(spark, d):
     """Documents as papers: the lines are dealt to the sections in turn."""
     names = ["abstract", "introduction", "methodology", "results", "conclusion", "limitations", "future_work"]
-    lines = F.split(_text(F.col("text")), "\n", -1)
-    pick = lambda n: F.array_join(F.transform(F.filter(lines, lambda x, i: i % 7 == n), lambda x: x), "\n")
+    pick = lambda n: F.array_join(F.filter("_lines", lambda x, i: i % 7 == n), "\n")
     figures = F.array(F.struct(F.lit("accuracy").alias("label"), F.col("n_chars").cast("string").alias("value"), F.col("lang").alias("context"), F.lit("results").alias("section")))
     docs = dealt(table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars"))
+    docs = docs.withColumn("_lines", F.split(_text(F.col("text")), "\n", -1))  # in a step of its own: split once, not for each section
     return docs.select(F.col("doc_id").alias("paper_id"), *[pick(i).alias(n) for i, n in enumerate(names)], figures.alias("key_figures"))
 
 
