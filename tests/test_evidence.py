@@ -46,3 +46,10 @@ def test_words_are_found_where_paper_and_assessment_meet(spark):
     marks = review._scan_marks(papers)
     assert marks.agg(F.max(F.length("_head"))).first()[0] <= ev.HEAD
     assert {r.dimension for r in marks.collect()} == set(rv.DIMENSIONS) - {"strengths"}
+
+
+def test_a_profile_is_weighed_once_for_all_its_pairs(spark):
+    profiles = spark.createDataFrame([(i, "strengths", "v", "r", ["accuracy 5% on the dataset", "b", "c"], "High") for i in (1, 2)], "paper_id long, dimension string, verdict string, rationale string, evidence array<string>, confidence string")
+    pairs = spark.createDataFrame([(1, 1, 2)], "pair_id long, paper_a long, paper_b long")
+    row = review._paired(pairs, profiles, 2).first()
+    assert row.sa == row.sb == 6 and row.a.evidence == ["accuracy 5% on the dataset", "b"] and "rationale" not in row.a.asDict()
